@@ -10,8 +10,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+
 from equipledger.operators import cards as C
 from equipledger.operators import filters as FL
+from equipledger.operators import nested as N
+from equipledger.operators import reports as R
+from equipledger.operators import scope as S
 from equipledger.session import apply_conf
 from equipledger.sources.mapping import AS_OF, MappedTables
 
@@ -47,10 +51,175 @@ def cards_stock_by_type(spark, sf_dir):
     return FL.cards_by_place(equipment_cards(spark, sf_dir), "spbipk")
 
 
+# ---------------------------------------------------------------- reports
+
+def categories_report(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return R.categories_report(t["siz_categories"], t["siz_items"]).select("id", "name", "items_count")
+
+
+def items_report(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return R.items_report(t["siz_items"], t["siz_categories"]).select(
+        "id", "name", "code", "category_id", "category_name", "category_code")
+
+
+def items_search(spark, sf_dir):
+    """F3 with wildcards kept: '_' matches any one character, matching is case-insensitive."""
+    t = tables(spark, sf_dir)
+    return R.items_report(t["siz_items"], t["siz_categories"], text="BRAND#1_").select(
+        "id", "name", "code", "category_name")
+
+
+def position_norms(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return R.position_norms(t["position_siz_norms"], t["siz_items"], t["siz_categories"]).select(
+        "id", "position_id", "siz_item_id", "quantity", "issue_period_months", "item_name", "unit",
+        "wear_period_months", "category_name")
+
+
+def norm_report(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return R.norm_report(t["position_siz_norms"], t["positions"], t["siz_items"], t["siz_categories"])
+
+
+def entitlements(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return R.entitlements(t["employees"], t["position_siz_norms"], t["siz_items"], t["siz_categories"])
+
+
+def entitlement_counts(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return R.entitlement_counts(t["employees"], t["position_siz_norms"], t["siz_items"])
+
+
+def positions_report(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return R.positions_report(t["positions"], t["position_siz_norms"], t["employees"], t["enterprises"],
+                              t["res_units"], t["departments"]).select(
+        "id", "name", "norms_count", "employees_count", "enterprise_name", "res_name", "department_name")
+
+
+def enterprises_report(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return R.enterprises_report(t["enterprises"], t["organizations"]).select(
+        "id", "name", "organization_id", "organization_name")
+
+
+def warehouses_report(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return R.warehouses_report(t["warehouses"], t["spbipk"], t["res_units"], t["enterprises"]).select(
+        "id", "name", "warehouse_type", "enterprise_id", "spbipk_name", "res_name", "enterprise_name")
+
+
+def employees_report(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return R.employees_report(t).select("id", "last_name", "position_id", "enterprise_id", "position_name",
+                                        "res_name", "enterprise_name", "department_name")
+
+
+def stock_report(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return R.stock_report(t["warehouse_stock"], t["siz_items"], t["siz_categories"])
+
+
+def stock_totals(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return R.stock_totals(t["warehouses"], t["warehouse_stock"])
+
+
+def holdings_report(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return R.holdings_report(t["employee_siz"], t["siz_items"], t["siz_categories"], t["warehouses"]).select(
+        "id", "employee_id", "siz_item_id", "size_value", "quantity", "issued_date", "exploitation_start",
+        "status", "from_warehouse_id", "item_name", "item_code", "unit", "exploitation_months",
+        "exploitation_years", "category_name", "warehouse_name", "exploitation_end")
+
+
+def movement_report(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return R.movement_report(t).select(
+        "id", "movement_type", "siz_item_id", "quantity", "from_warehouse_id", "to_warehouse_id", "employee_id",
+        "movement_date", "item_name", "unit", "category_name", "from_warehouse_name", "to_warehouse_name",
+        "last_name", "first_name", "middle_name", "moved_by_name")
+
+
+def latest_movements(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return R.latest_movements(t["stock_movements"], 200).select(
+        "warehouse_id", "id", "movement_type", "quantity", "created_at", "rank")
+
+
+def warehouse_staff_counts(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return R.warehouse_staff_counts(t["warehouses"], t["employees"])
+
+
+def latest_audit(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return R.audit_report(t["audit_log"], t["users"]).select(
+        "id", "user_id", "table_name", "action", "changes", "created_at", "user_name", "username")
+
+
+def latest_audit_employees(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return R.audit_report(t["audit_log"], t["users"], table_name="employees").select(
+        "id", "user_id", "table_name", "action", "changes", "created_at", "user_name", "username")
+
+
+def org_tree_nodes(spark, sf_dir):
+    return N.org_tree_nodes(tables(spark, sf_dir))
+
+
+def employee_norm_summary(spark, sf_dir):
+    return N.employee_norm_summary(tables(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- scope and admission
+
+def card_stats_per_actor(spark, sf_dir):
+    """F4 + F5 + A2 for every active actor at once: statistics are aggregated per (enterprise, res unit) once,
+    rolled up per scope key, then joined to the actors by their scope key; no actor x card pairs."""
+    t = tables(spark, sf_dir)
+    base = C.card_stats(equipment_cards(spark, sf_dir), AS_OF, by=["enterprise_id", "res_unit_id"])
+    return S.stats_per_actor(base, S.actor_context(t["users"], t["roles"]),
+                             ["total", "in_stock", "issued", "expired", "expiring_soon"])
+
+
+def admit_requests(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    actors = S.actor_context(t["users"], t["roles"])
+    return S.admit_requests(t.admission_requests(), actors).select(
+        "request_id", "actor_id", "operation", "admitted", "refusal")
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "equipment_cards": equipment_cards,
     "card_stats": card_stats,
     "card_stats_by_enterprise": card_stats_by_enterprise,
     "cards_expiring_soon": cards_expiring_soon,
     "cards_stock_by_type": cards_stock_by_type,
+    "categories_report": categories_report,
+    "items_report": items_report,
+    "items_search": items_search,
+    "position_norms": position_norms,
+    "norm_report": norm_report,
+    "entitlements": entitlements,
+    "entitlement_counts": entitlement_counts,
+    "positions_report": positions_report,
+    "enterprises_report": enterprises_report,
+    "warehouses_report": warehouses_report,
+    "employees_report": employees_report,
+    "stock_report": stock_report,
+    "stock_totals": stock_totals,
+    "holdings_report": holdings_report,
+    "movement_report": movement_report,
+    "latest_movements": latest_movements,
+    "warehouse_staff_counts": warehouse_staff_counts,
+    "latest_audit": latest_audit,
+    "latest_audit_employees": latest_audit_employees,
+    "org_tree_nodes": org_tree_nodes,
+    "employee_norm_summary": employee_norm_summary,
+    "card_stats_per_actor": card_stats_per_actor,
+    "admit_requests": admit_requests,
 }

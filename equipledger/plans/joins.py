@@ -19,6 +19,8 @@ def within_rows(df: DataFrame, max_rows: int) -> bool:
     The answer is remembered on the DataFrame object, so a table loaded once and joined by many reports is
     counted once.
     """
+    if max_rows < 0:
+        return False
     memo = getattr(df, "_eql_row_bounds", None)
     if memo is None:
         memo = {}
@@ -47,5 +49,37 @@ def left_labels(fact: DataFrame, dim: DataFrame, fk: str, key: str = "id", cols:
     k = f"__k_{fk}"
     d = dim.select(F.col(key).alias(k), *[F.col(c).alias(a) for c, a in cols.items()])
     if within_rows(dim, max_rows):
-        d = F.broadcast(d)
-    return fact.join(d, fact[fk] == d[k], "left").drop(k)
+        return fact.join(F.broadcast(d), fact[fk] == d[k], "left").drop(k)
+    return null_safe_left(fact, d, fk, k, max_rows=-1).drop(k)
+
+
+def hot_key_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salts: int = 32,
+                 max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Equi-join whose keys may be hot (one key holding a large share of ``big``).
+
+    ``small`` is broadcast when its row count is proven within ``max_rows`` (no shuffle of ``big`` at all).
+    Beyond that, each ``big`` row gets a salt in ``[0, salts)`` and ``small`` is replicated once per salt, so a
+    hot key is spread over ``salts`` tasks instead of one. ``how`` is ``inner`` or ``left`` (``big`` preserved).
+    """
+    if within_rows(small, max_rows):
+        return big.join(F.broadcast(small), on, how)
+    salt = "__salt"
+    b = big.withColumn(salt, (F.abs(F.xxhash64(*[F.col(c) for c in big.columns])) % salts).cast("int"))
+    s = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return b.join(s, [*on, salt], how).drop(salt)
+
+
+def null_safe_left(fact: DataFrame, dim: DataFrame, fk: str, key: str, max_rows: int = DEFAULT_BROADCAST_ROWS
+                   ) -> DataFrame:
+    """LEFT JOIN on ``fact.fk = dim.key`` where many ``fk`` may be NULL.
+
+    Broadcast when the dimension is proven small. Otherwise rows with a NULL ``fk`` bypass the shuffle (they can
+    match nothing) instead of all hashing to one partition, and are unioned back with typed NULL columns.
+    """
+    if within_rows(dim, max_rows):
+        return fact.join(F.broadcast(dim), fact[fk] == dim[key], "left")
+    nulls = fact.where(F.col(fk).isNull())
+    for f in dim.schema.fields:
+        nulls = nulls.withColumn(f.name, F.lit(None).cast(f.dataType))
+    hit = fact.where(F.col(fk).isNotNull())
+    return hit.join(dim, hit[fk] == dim[key], "left").unionByName(nulls)

@@ -169,6 +169,28 @@ class MappedTables(Mapping):
                          F.when(flag != "N", _s("o_custkey")).alias("employee_id"),
                          F.to_date("l_shipdate").alias("movement_date"), F.col("l_shipdate").alias("created_at"))
 
+    # -- actors --
+    def _build_users(self):
+        u = self.raw("events").select("user_id").distinct()
+        role = (F.when(F.col("user_id") % 4 == 0, "admin_ia").when(F.col("user_id") % 4 == 1, "admin_enterprise")
+                .when(F.col("user_id") % 4 == 2, "admin_spbipk").otherwise("admin_res"))
+        return u.select(_s("user_id").alias("id"), F.concat(F.lit("user"), _s("user_id")).alias("username"),
+                        F.concat(F.lit("User "), _s("user_id")).alias("full_name"), role.alias("role_id"),
+                        (F.col("user_id") % 25).cast("string").alias("enterprise_id"),
+                        (F.col("user_id") % 9 != 0).alias("is_active"))
+
+    def _build_roles(self):
+        from equipledger.operators.scope import seed_roles
+        return seed_roles(self.spark)
+
+    def admission_requests(self) -> DataFrame:
+        """One change request per event: actor = user_id, operation by event type."""
+        e = self.raw("events")
+        op = (F.when(F.col("event_type") == "click", "receipt").when(F.col("event_type") == "purchase", "issue")
+              .when(F.col("event_type") == "view", "norms.upsert")
+              .when(F.col("event_type") == "signup", "employees.create").otherwise("stock.adjust"))
+        return e.select(_s("event_id").alias("request_id"), _s("user_id").alias("actor_id"), op.alias("operation"))
+
     # -- audit --
     def _build_audit_log(self):
         e = self.raw("events")
