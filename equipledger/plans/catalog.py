@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from equipledger.operators import cards as C
 from equipledger.operators import filters as FL
+from equipledger.operators import ledger as L
 from equipledger.operators import nested as N
 from equipledger.operators import reports as R
 from equipledger.operators import scope as S
 from equipledger.session import apply_conf
-from equipledger.sources.mapping import AS_OF, MappedTables
+from equipledger.schemas import empty
+from equipledger.sources.mapping import AS_OF, IMPORT_DAY, IMPORT_WAREHOUSE, MappedTables
 
 _tables: dict[tuple[int, str], MappedTables] = {}
 
@@ -193,6 +195,55 @@ def admit_requests(spark, sf_dir):
         "request_id", "actor_id", "operation", "admitted", "refusal")
 
 
+# ---------------------------------------------------------------- ledger
+
+def _ledger(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return L.apply_movements(t.opening_stock(), empty(spark, "employee_siz"), t["movement_events"],
+                             t["siz_items"], materialize=False)
+
+
+def ledger_decisions(spark, sf_dir):
+    """L9 decisions for every movement event, judged in (event_time, event_id) order per stock key."""
+    t = tables(spark, sf_dir)
+    return L.decide(t.opening_stock(), empty(spark, "employee_siz"), t["movement_events"])
+
+
+def ledger_stock(spark, sf_dir):
+    return _ledger(spark, sf_dir).stock.select("warehouse_id", "siz_item_id", "size_value", "quantity")
+
+
+def ledger_holdings(spark, sf_dir):
+    return _ledger(spark, sf_dir).holdings.select(
+        "id", "employee_id", "siz_item_id", "quantity", "issued_date", "exploitation_start", "status",
+        "from_warehouse_id")
+
+
+def ledger_movements(spark, sf_dir):
+    return _ledger(spark, sf_dir).movements.select(
+        "id", "movement_type", "siz_item_id", "quantity", "from_warehouse_id", "to_warehouse_id", "employee_id",
+        "movement_date")
+
+
+def _import(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return L.import_stock(t.import_stock_rows(), t["siz_items"], IMPORT_WAREHOUSE, today=IMPORT_DAY)
+
+
+def import_stock_deltas(spark, sf_dir):
+    return _import(spark, sf_dir)["deltas"]
+
+
+def import_stock_summary(spark, sf_dir):
+    return _import(spark, sf_dir)["summary"]
+
+
+def import_stock_movements(spark, sf_dir):
+    return _import(spark, sf_dir)["movements"].select(
+        "movement_type", "siz_item_id", "size_value", "quantity", "to_warehouse_id", "document_reference", "notes",
+        "movement_date")
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "equipment_cards": equipment_cards,
     "card_stats": card_stats,
@@ -222,4 +273,11 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "employee_norm_summary": employee_norm_summary,
     "card_stats_per_actor": card_stats_per_actor,
     "admit_requests": admit_requests,
+    "ledger_decisions": ledger_decisions,
+    "ledger_stock": ledger_stock,
+    "ledger_holdings": ledger_holdings,
+    "ledger_movements": ledger_movements,
+    "import_stock_deltas": import_stock_deltas,
+    "import_stock_summary": import_stock_summary,
+    "import_stock_movements": import_stock_movements,
 }

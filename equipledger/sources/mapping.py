@@ -21,6 +21,8 @@ DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "
 OPENING_BALANCE = 50     # opening stock per (warehouse, item) key of the movement-event fixture
 EVENT_WAREHOUSES = 5     # movement events go to warehouse l_suppkey % 5
 AS_OF = "1999-01-01"     # fixed as-of date for expiry tests
+IMPORT_WAREHOUSE = "1"   # target warehouse of the stock-import fixture
+IMPORT_DAY = "2024-01-15"
 
 
 def lineitem_row_id() -> F.Column:
@@ -209,6 +211,16 @@ class MappedTables(Mapping):
                          F.when(F.col("l_returnflag") == "A", _s("o_custkey")).alias("employee_id"),
                          F.col("l_quantity").cast("int").alias("quantity"))
 
+    def import_stock_rows(self) -> DataFrame:
+        """Stock-import payload rows from lineitem 'R' rows: padded sizes, quantities with trailing text or
+        <= 0, blank item ids, inactive items -- every rule of the import is exercised."""
+        li = self.raw("lineitem").where(F.col("l_returnflag") == "R")
+        item = F.when(F.col("l_linenumber") == 7, F.lit("")).otherwise(_s("l_partkey"))
+        size = F.concat(F.lit(" "), F.col("l_linestatus"), F.lit("\t"))
+        qty = F.concat((F.col("l_quantity").cast("int") - 10).cast("string"),
+                       F.when(F.col("l_linenumber") % 3 == 0, F.lit("pcs")).otherwise(F.lit("")))
+        return li.select(item.alias("siz_item_id"), size.alias("size_value"), qty.alias("quantity"))
+
     def opening_stock(self) -> DataFrame:
         """Opening balance of OPENING_BALANCE on every (warehouse, item) key that the events touch."""
         ev = self["movement_events"].select("warehouse_id", "siz_item_id", "size_value").distinct()
