@@ -51,17 +51,19 @@ def within_days(c: Column, as_of=None, days: int = EXPIRING_WINDOW_DAYS) -> Colu
     return c.between(d, F.date_add(d, days))
 
 
-def js_or(c: Column | str, default) -> Column:
-    """C4, JS ``a || b``: the default replaces NULL, empty string and zero."""
+def js_or(c: Column | str, default, numeric: bool = False) -> Column:
+    """C4, JS ``a || b``: the default replaces a falsy value -- NULL and '' for text, NULL and 0 for numbers."""
     c = F.col(c) if isinstance(c, str) else c
     d = default if isinstance(default, Column) else F.lit(default)
-    return F.when(js_falsy(c), d).otherwise(c)
+    return F.when(js_falsy(c, numeric), d).otherwise(c)
 
 
-def js_falsy(c: Column) -> Column:
-    """JS falsiness for the values a request body can carry (NULL, '', 0, false)."""
-    s = c.cast("string")
-    return c.isNull() | (s == "") | (s == "0") | (s == "false") | (s == "0.0")
+def js_falsy(c: Column, numeric: bool = False) -> Column:
+    """JS falsiness of a request value: NULL, '' (text) or 0 / NaN (numbers). A non-empty string such as
+    '0' is truthy."""
+    if numeric:
+        return c.isNull() | (c == 0) | F.isnan(c.cast("double"))
+    return c.isNull() | (c.cast("string") == "")
 
 
 def js_parse_int(s: Column | str) -> Column:

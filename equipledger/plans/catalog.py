@@ -11,7 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+from pyspark.sql import functions as F
+
 from equipledger.operators import cards as C
+from equipledger.operators import changes as M
+from equipledger.operators import checks as K
+from equipledger.operators import imports as I
 from equipledger.operators import filters as FL
 from equipledger.operators import ledger as L
 from equipledger.operators import nested as N
@@ -244,6 +249,73 @@ def import_stock_movements(spark, sf_dir):
         "movement_date")
 
 
+def retire_ia_warehouses(spark, sf_dir):
+    """L8 + M3: retire every central ('ia') warehouse; refused while its stock sums to > 0."""
+    t = tables(spark, sf_dir)
+    req = t["warehouses"].where(F.col("warehouse_type") == "ia").select("id")
+    return L.retire_warehouses(t["warehouses"], t["warehouse_stock"], req)["warehouses"].select("id", "is_active")
+
+
+# ---------------------------------------------------------------- changes, checks, imports
+
+def norms_upsert(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return M.upsert_norms(t["position_siz_norms"], t.norm_requests()).select(
+        "position_id", "siz_item_id", "quantity", "issue_period_months", "extra", "is_active")
+
+
+def stock_upsert_returns(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return M.upsert_add(t["warehouse_stock"], t.return_deltas(), ["warehouse_id", "siz_item_id", "size_value"]) \
+        .select("warehouse_id", "siz_item_id", "size_value", "quantity")
+
+
+def patch_employees(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    ch = M.patch_rows(t["employees"], t.employee_patches(), "employees")
+    return ch.table.select("id", "last_name", "enterprise_id", "extra")
+
+
+def patch_employees_audit(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    ch = M.patch_rows(t["employees"], t.employee_patches(), "employees")
+    keys = F.array_join(F.array_sort(F.json_object_keys("changes")), ",")
+    return ch.audit.select("record_id", "action", keys.alias("changed_fields"),
+                           F.get_json_object("changes", "$.last_name.new").alias("new_last_name"))
+
+
+def import_items_rows(spark, sf_dir):
+    out = I.import_items(tables(spark, sf_dir).import_item_rows())["rows"]
+    return out.select("name", "code", "category_id", "exploitation_months", "exploitation_years", "unit")
+
+
+def import_items_rejected(spark, sf_dir):
+    return I.import_items(tables(spark, sf_dir).import_item_rows())["rejected"].select("name", "code", "reason")
+
+
+def import_employees_rows(spark, sf_dir):
+    out = I.import_employees(tables(spark, sf_dir).import_employee_rows())["rows"]
+    return out.select("last_name", "first_name", "employee_number", "enterprise_id", "position_id")
+
+
+def check_norm_keys_unique(spark, sf_dir):
+    return K.check_unique(tables(spark, sf_dir)["position_siz_norms"], ["position_id", "siz_item_id"])
+
+
+def check_movement_employees(spark, sf_dir):
+    """movements whose employee is not an active employee."""
+    t = tables(spark, sf_dir)
+    emp = t["employees"].where("is_active")
+    return K.check_references(t["stock_movements"].select("id", "employee_id"), "employee_id", emp)[1]
+
+
+def check_movement_types(spark, sf_dir):
+    """movement types outside the allowed list (none expected)."""
+    t = tables(spark, sf_dir)
+    return K.check_values(t["stock_movements"].select("id", "movement_type"), "movement_type",
+                          L.MOVEMENT_KINDS)[1]
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "equipment_cards": equipment_cards,
     "card_stats": card_stats,
@@ -280,4 +352,15 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "import_stock_deltas": import_stock_deltas,
     "import_stock_summary": import_stock_summary,
     "import_stock_movements": import_stock_movements,
+    "retire_ia_warehouses": retire_ia_warehouses,
+    "norms_upsert": norms_upsert,
+    "stock_upsert_returns": stock_upsert_returns,
+    "patch_employees": patch_employees,
+    "patch_employees_audit": patch_employees_audit,
+    "import_items_rows": import_items_rows,
+    "import_items_rejected": import_items_rejected,
+    "import_employees_rows": import_employees_rows,
+    "check_norm_keys_unique": check_norm_keys_unique,
+    "check_movement_employees": check_movement_employees,
+    "check_movement_types": check_movement_types,
 }

@@ -221,6 +221,60 @@ class MappedTables(Mapping):
                        F.when(F.col("l_linenumber") % 3 == 0, F.lit("pcs")).otherwise(F.lit("")))
         return li.select(item.alias("siz_item_id"), size.alias("size_value"), qty.alias("quantity"))
 
+    def norm_requests(self) -> DataFrame:
+        """Norm upserts: parts with p_partkey % 50 = 9; FURNITURE when p_partkey % 100 = 9 (an existing norm
+        key: overwrite + re-activate), else BUILDING (a new key). quantity / period may be 0 (-> defaults)."""
+        p = self.raw("part").where(F.col("p_partkey") % 50 == 9)
+        pos = F.when(F.col("p_partkey") % 100 == 9, F.lit("FURNITURE")).otherwise(F.lit("BUILDING"))
+        return p.select(F.col("p_partkey").alias("request_id"), pos.alias("position_id"),
+                        _s("p_partkey").alias("siz_item_id"), (F.col("p_size") % 4).alias("quantity"),
+                        (F.col("p_size") % 18).alias("issue_period_months"), F.lit(None).cast("string").alias("extra"))
+
+    def return_deltas(self) -> DataFrame:
+        """Stock deltas of the 'R' lineitems (returns into stock) per (warehouse, item)."""
+        li = self.raw("lineitem").where(F.col("l_returnflag") == "R")
+        return li.select(_s("l_suppkey").alias("warehouse_id"), _s("l_partkey").alias("siz_item_id"),
+                         F.lit("").alias("size_value"), F.col("l_quantity").cast("int").alias("quantity"))
+
+    def import_item_rows(self) -> DataFrame:
+        """Item-import payload from part: blank names, months with trailing text / leading blanks / junk,
+        years as text, default units."""
+        p = self.raw("part")
+        k = F.col("p_partkey")
+        name = F.when(k % 50 == 0, F.lit("")).otherwise(F.col("p_name"))
+        months = (F.when(k % 4 == 0, F.lit("")).when(k % 4 == 1, F.concat(_s("p_size"), F.lit("m")))
+                  .when(k % 4 == 2, F.concat(F.lit(" "), _s("p_size"))).otherwise(F.concat(F.lit("x"), _s("p_size"))))
+        years = F.when(k % 8 == 0, F.lit("")).otherwise(
+            F.concat((F.col("p_size") % 7).cast("string"), F.lit("."), (k % 10).cast("string")))
+        unit = F.when(k % 5 == 0, F.lit("пара")).otherwise(F.lit(""))
+        return p.select(name.alias("name"), F.col("p_brand").alias("code"), F.col("p_type").alias("category_id"),
+                        months.alias("exploitation_months"), years.alias("exploitation_years"), unit.alias("unit"))
+
+    def import_employee_rows(self) -> DataFrame:
+        c = self.raw("customer")
+        k = F.col("c_custkey")
+        return c.select(F.when(k % 11 == 0, F.lit("")).otherwise(F.col("c_name")).alias("last_name"),
+                        F.when(k % 3 == 0, F.lit("")).when(k % 3 == 1, F.lit("0")).otherwise(F.lit("Ivan"))
+                        .alias("first_name"),
+                        _s("c_custkey").alias("employee_number"),
+                        F.when(k % 4 == 0, F.lit("")).otherwise(_s("c_nationkey")).alias("enterprise_id"),
+                        F.col("c_mktsegment").alias("position_id"))
+
+    def employee_patches(self) -> DataFrame:
+        """One patch per employee: c % 3 = 0 sets last_name; 1 sets last_name and enterprise_id; 2 sets only
+        an extra member. last_name is upper-cased (a change) for even keys, kept for odd ones."""
+        c = self.raw("customer")
+        k = F.col("c_custkey")
+        fields = (F.when(k % 3 == 0, F.array(F.lit("last_name")))
+                  .when(k % 3 == 1, F.array(F.lit("last_name"), F.lit("enterprise_id")))
+                  .otherwise(F.array().cast("array<string>")))
+        return c.select(_s("c_custkey").alias("id"), k.alias("request_id"), fields.alias("set_fields"),
+                        F.when(k % 2 == 0, F.upper("c_name")).otherwise(F.col("c_name")).alias("last_name"),
+                        ((F.col("c_nationkey") + 1) % 25).cast("string").alias("enterprise_id"),
+                        F.when(k % 3 == 2, F.concat(F.lit('{"grade":'), (k % 5).cast("string"), F.lit("}")))
+                        .alias("extra"),
+                        F.lit("0").alias("actor_id"))
+
     def opening_stock(self) -> DataFrame:
         """Opening balance of OPENING_BALANCE on every (warehouse, item) key that the events touch."""
         ev = self["movement_events"].select("warehouse_id", "siz_item_id", "size_value").distinct()
