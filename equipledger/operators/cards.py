@@ -125,11 +125,10 @@ def equipment_cards(t: Mapping[str, DataFrame], as_of=None) -> DataFrame:
     return stock_cards(t).unionByName(holding_cards(t, as_of))
 
 
-def card_stats(cards: DataFrame, as_of=None, by: list[str] | None = None) -> DataFrame:
-    """A2: total / in_stock / issued / expired / expiring_soon row counts in one pass (partial + final
-    aggregate). ``by`` gives the same per group (e.g. per enterprise: every enterprise actor at once)."""
+def card_stats_aggs(as_of=None) -> list:
+    """The five A2 counters as aggregate expressions (row counts, not quantities)."""
     src, st = F.col("source_type"), F.col("status")
-    aggs = [
+    return [
         F.count(F.lit(1)).alias("total"),
         F.count_if(src == SOURCE_WAREHOUSE).alias("in_stock"),
         F.count_if((src == SOURCE_EMPLOYEE) & (st == "issued")).alias("issued"),
@@ -137,6 +136,26 @@ def card_stats(cards: DataFrame, as_of=None, by: list[str] | None = None) -> Dat
         F.count_if((src == SOURCE_EMPLOYEE) & F.coalesce(within_days(F.col("exploitation_end"), as_of),
                                                           F.lit(False))).alias("expiring_soon"),
     ]
+
+
+STAT_COLUMNS = ["total", "in_stock", "issued", "expired", "expiring_soon"]
+
+
+def card_stats(cards: DataFrame, as_of=None, by: list[str] | None = None) -> DataFrame:
+    """A2: total / in_stock / issued / expired / expiring_soon row counts in one pass (partial + final
+    aggregate). ``by`` gives the same per group (e.g. per enterprise: every enterprise actor at once)."""
     cards = cards.select("source_type", "status", "exploitation_end", *(by or []))
+    aggs = card_stats_aggs(as_of)
     return cards.groupBy(*by).agg(*aggs) if by else cards.agg(*aggs)
 
+
+def card_stats_by_scope(cards: DataFrame, as_of=None) -> DataFrame:
+    """A2 for every scope key at once, in ONE aggregate over the cards (grouping sets): per enterprise_id
+    (scope_kind 'enterprise'), per res_unit_id ('res') and the grand total ('total', scope_key '*')."""
+    c = cards.select("source_type", "status", "exploitation_end", "enterprise_id", "res_unit_id")
+    g = c.groupingSets([["enterprise_id"], ["res_unit_id"], []], "enterprise_id", "res_unit_id").agg(
+        *card_stats_aggs(as_of), F.grouping_id().alias("__gid"))
+    kind = F.when(F.col("__gid") == 1, "enterprise").when(F.col("__gid") == 2, "res").otherwise("total")
+    key = (F.when(F.col("__gid") == 1, F.col("enterprise_id")).when(F.col("__gid") == 2, F.col("res_unit_id"))
+            .otherwise(F.lit("*")))
+    return g.select(kind.alias("scope_kind"), key.alias("scope_key"), *STAT_COLUMNS)

@@ -149,10 +149,10 @@ def _openings(stock: DataFrame, holdings: DataFrame, lg: DataFrame) -> DataFrame
     return so.unionByName(ho)
 
 
-def _fold_units(ev: DataFrame) -> DataFrame:
+def _fold_units(lg: DataFrame) -> DataFrame:
     """Per (item, size) group: does it hold a transfer or return (which link its stock keys)? Unlinked groups
     fold per stock key (sub = warehouse), linked ones as a whole (sub = '*')."""
-    g = ev.groupBy("siz_item_id", "size_value").agg(
+    g = lg.groupBy("siz_item_id", "size_value").agg(
         F.max(F.col("kind").isin(TRANSFER, RETURN).cast("int")).alias("__linked"))
     return g
 
@@ -217,6 +217,15 @@ def _fold(key, state: pd.DataFrame, events: pd.DataFrame) -> pd.DataFrame:
                          "available": pd.array(out_avail, dtype="Int32")})
 
 
+EVENT_CARRY = ("warehouse_id", "to_warehouse_id", "holding_id", "quantity", "employee_id", "document_reference",
+               "notes", "actor_id")
+
+
+def _is_lead() -> Column:
+    """The lead leg of an event: its debit (or reset) leg, or the single leg of a receipt."""
+    return (F.col("leg_order") == 0) | (F.col("kind") == RECEIPT)
+
+
 def _default_buckets(spark) -> int:
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -225,34 +234,49 @@ def decide(stock: DataFrame, holdings: DataFrame, events: DataFrame, slow_bucket
            ) -> DataFrame:
     """L9 decisions: one row per event (event_id, accepted, reason, available = balance of the debited key just
     before the event; for set / drop the old quantity)."""
+    return _decide(stock, holdings, events, slow_buckets)[0]
+
+
+def _decide(stock: DataFrame, holdings: DataFrame, events: DataFrame, slow_buckets: int | None = None
+            ) -> tuple[DataFrame, DataFrame]:
+    """(decisions, prepared events). The prepared events (valid, returns resolved to their holding's item,
+    size and employee) are checkpointed once: every later step reads them instead of the source plan."""
     spark = events.sparkSession
     checkpoint_dir(spark)
     ev, static_rejects = prepare_events(events, holdings)
-    ev = ev.join(_fold_units(ev), ["siz_item_id", "size_value"])
-    ev = ev.withColumn("sub", F.when(F.col("__linked") == 1, F.lit("*")).otherwise(F.col("warehouse_id")))
-    carry = ("sub", "warehouse_id", "to_warehouse_id", "holding_id", "quantity")
-    lg = legs(ev, keep=carry)
-    opening = _openings(stock, holdings, lg)
+    # One checkpointed legs table carries every event column (on each event's lead leg): everything below
+    # reads it instead of re-running the source plan.
+    lg = legs(ev, keep=EVENT_CARRY).checkpoint(eager=True)
     unit = ["siz_item_id", "size_value", "sub"]
     key = ["siz_item_id", "size_value", "key_type", "key"]
+    opening = _openings(stock, holdings, lg)
 
-    # Running balance per key, chunk-parallel (a hot key is split by day).
+    # Running balance per key, chunk-parallel (a hot key is split by day): per (key, day) totals, their
+    # running offsets (plus the opening balance) over the small per-day table, then running sums inside each
+    # (key, day). The legs are shuffled once, by (key, day), for both the join and the window.
     lg = lg.withColumn("chunk", F.to_date("event_time"))
     order = [F.col("event_time"), F.col("event_id"), F.col("leg_order")]
     chunk_tot = lg.groupBy(*key, "chunk").agg(F.sum("delta").alias("__tot"))
+    chunk_tot = chunk_tot.join(
+        opening.select(*key, F.col("balance").alias("__open"), F.col("exists").alias("__open_exists")), key, "left")
     w_chunks = Window.partitionBy(*key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunk_off = chunk_tot.withColumn("__off", F.coalesce(F.sum("__tot").over(w_chunks), F.lit(0))).drop("__tot")
+    chunk_off = chunk_tot.select(
+        *key, "chunk", F.coalesce("__open", F.lit(0)).alias("__open"), "__open_exists",
+        (F.coalesce("__open", F.lit(0)) + F.coalesce(F.sum("__tot").over(w_chunks), F.lit(0))).alias("__off"))
     w_in = Window.partitionBy(*key, "chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     lb = (lg.join(chunk_off, [*key, "chunk"])
-            .join(opening.select(*key, F.col("balance").alias("__open"), F.col("exists").alias("__open_exists")),
-                  key, "left")
-            .withColumn("__open", F.coalesce("__open", F.lit(0)))
-            .withColumn("bal_after", F.col("__open") + F.col("__off") + F.sum("delta").over(w_in))
+            .withColumn("bal_after", F.col("__off") + F.sum("delta").over(w_in))
             .drop("__off", "chunk"))
-    # Everything below reads this table several times: materialise it once in the shared checkpoint folder
-    # (cuts the lineage; survives executor loss without recomputing the join / window plan).
+    # Fold units: an (item, size) group with a transfer or return folds as a whole (sub '*'), any other group
+    # per stock key (sub = warehouse).
+    lb = lb.join(_fold_units(lg), ["siz_item_id", "size_value"])
+    lb = lb.withColumn("sub", F.when(F.col("__linked") == 1, F.lit("*")).otherwise(F.col("warehouse_id"))) \
+           .drop("__linked")
+    # Read several times below: materialise once in the shared checkpoint folder (cuts the lineage; a lost
+    # executor does not recompute the joins and windows).
     lb = lb.checkpoint(eager=True)
 
+    lead = _is_lead()   # one lead leg per event: read it instead of grouping legs by event
     # Cut per fold unit: first event with a negative balance after its leg, or first reset.
     pos = F.struct("event_time", "event_id")
     cuts = (lb.where((F.col("bal_after") < 0) | F.col("reset").isNotNull())
@@ -260,13 +284,11 @@ def decide(stock: DataFrame, holdings: DataFrame, events: DataFrame, slow_bucket
     lb = lb.join(cuts, unit, "left")
     before = F.col("__cut").isNull() | (pos < F.col("__cut"))
 
-    # Accepted without replay; ``available`` = balance of the debited key before the event (none for receipts).
-    fast = (lb.where(before).groupBy("event_id")
-              .agg(F.max(F.when(F.col("leg_order") == 0, F.col("bal_after") - F.col("delta"))).alias("available"),
-                   F.first("kind").alias("kind"))
-              .select("event_id", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reason"),
-                      F.when(F.col("kind") == RECEIPT, F.lit(None)).otherwise(F.col("available")).cast("int")
-                      .alias("available")))
+    # Accepted without replay; ``available`` = balance of the debited key before the event. A receipt has no
+    # debit leg, so it reports none.
+    fast = lb.where(before & lead).select(
+        "event_id", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reason"),
+        F.when(F.col("leg_order") == 0, F.col("bal_after") - F.col("delta")).cast("int").alias("available"))
 
     # Slow tier: state at the cut = opening + legs before the cut, for every key of a cut unit.
     cut = lb.where(F.col("__cut").isNotNull())
@@ -275,9 +297,8 @@ def decide(stock: DataFrame, holdings: DataFrame, events: DataFrame, slow_bucket
         .alias("balance"),
         (F.coalesce(F.first("__open_exists"), F.lit(False))
          | (F.max(F.when((pos < F.col("__cut")) & (F.col("delta") > 0), 1).otherwise(0)) == 1)).alias("exists"))
-    tail = (cut.where(~before).groupBy("event_id")
-               .agg(*[F.first(c).alias(c) for c in
-                      (*unit, "event_time", "kind", "warehouse_id", "to_warehouse_id", "holding_id", "quantity")]))
+    tail = cut.where(~before & lead).select(
+        *unit, "event_id", "event_time", "kind", "warehouse_id", "to_warehouse_id", "holding_id", "quantity")
     # Units are hashed into a bounded number of buckets; one pandas call folds all units of a bucket (a call
     # per unit would cost more than the fold). The two sides share lineage, so the state side's columns are
     # renamed to keep the cogroup keys unambiguous.
@@ -287,7 +308,9 @@ def decide(stock: DataFrame, holdings: DataFrame, events: DataFrame, slow_bucket
     state = state.withColumn("s_bucket", (F.abs(F.xxhash64(*[F.col("s_" + c) for c in unit])) % nb).cast("int"))
     slow = (state.groupBy("s_bucket").cogroup(tail.withColumn("bucket", bucket).groupBy("bucket"))
                  .applyInPandas(_fold, DECISION_SCHEMA))
-    return fast.unionByName(slow).unionByName(static_rejects)
+    events_out = lg.where(_is_lead()).select("event_id", "event_time", "kind", "siz_item_id", "size_value",
+                                             *EVENT_CARRY)
+    return fast.unionByName(slow).unionByName(static_rejects), events_out
 
 
 def apply_movements(stock: DataFrame, holdings: DataFrame, events: DataFrame, items: DataFrame,
@@ -297,21 +320,10 @@ def apply_movements(stock: DataFrame, holdings: DataFrame, events: DataFrame, it
     ``materialize`` checkpoints the decisions (to the shared ``spark.checkpoint.dir``) because four outputs
     read them; it also cuts the lineage, so a lost executor does not re-run the whole decision plan.
     """
-    dec = decide(stock, holdings, events)
+    dec, ev = _decide(stock, holdings, events)
     if materialize:
         dec = dec.checkpoint(eager=True)
-    ev = conform(events, "movement_events").withColumn("size_value", F.coalesce("size_value", F.lit("")))
     acc = ev.join(dec.where("accepted").select("event_id", "available"), "event_id")
-    ret_info = holdings.select(F.col("id").alias("holding_id"), F.col("siz_item_id").alias("__h_item"),
-                               F.coalesce("size_value", F.lit("")).alias("__h_size"),
-                               F.col("employee_id").alias("__h_emp"))
-    batch_issues = acc.where(F.col("kind") == ISSUE).select(
-        F.col("event_id").alias("holding_id"), F.col("siz_item_id").alias("__h_item"),
-        F.col("size_value").alias("__h_size"), F.col("employee_id").alias("__h_emp"))
-    acc_r = acc.where(F.col("kind") == RETURN).join(ret_info.unionByName(batch_issues), "holding_id", "left")
-    acc = (acc.where(F.col("kind") != RETURN)
-              .unionByName(acc_r.withColumn("siz_item_id", F.col("__h_item")).withColumn("size_value", F.col("__h_size"))
-                           .withColumn("employee_id", F.col("__h_emp")).drop("__h_item", "__h_size", "__h_emp")))
     return LedgerResult(dec, new_stock(stock, acc), new_holdings(holdings, acc, items), movements(acc),
                         ledger_audit(acc))
 

@@ -174,23 +174,16 @@ def permission(actor_perms: Column | str, name: str) -> Column:
     return json_truthy(actor_perms, name)
 
 
-def stats_per_actor(base: DataFrame, actors: DataFrame, measures: list[str]) -> DataFrame:
-    """Per-actor totals of ``measures`` from ``base`` (already aggregated by enterprise_id, res_unit_id): 'ia'
-    sees the grand total, enterprise / spbipk actors their enterprise's rows, res actors their res unit's rows
-    (SURVEY 2.2.1, statistics form). Three small roll-ups joined by scope key; a NULL actor key matches
-    nothing and gives zeros."""
-    sums = [F.sum(m).cast("bigint").alias(m) for m in measures]
-    by_ent = base.groupBy(F.col("enterprise_id").alias("__k")).agg(*sums)
-    by_res = base.groupBy(F.col("res_unit_id").alias("__k")).agg(*sums)
-    total = base.agg(*sums).withColumn("__k", F.lit("*"))
+def stats_per_actor(stats: DataFrame, actors: DataFrame, measures: list[str]) -> DataFrame:
+    """Per-actor totals from ``stats`` (scope_kind, scope_key, measures...; see ``cards.card_stats_by_scope``):
+    'ia' sees the grand total, enterprise / spbipk actors their enterprise's rows, res actors their res unit's
+    rows (SURVEY 2.2.1, statistics form). One join on the scope key; a NULL actor key matches nothing and
+    gives zeros. No actor x row pairs are formed."""
     key = (F.when(F.col("role_level") == "ia", F.lit("*"))
             .when(F.col("role_level").isin("enterprise", "spbipk"), F.col("enterprise_id"))
             .when(F.col("role_level") == "res", F.col("res_unit_id")))
-    a = actors.select(F.col("id").alias("actor_id"), "role_level", key.alias("__k"),
-                      F.when(F.col("role_level") == "ia", "total")
-                       .when(F.col("role_level") == "res", "res").otherwise("enterprise").alias("__kind"))
-    stats = (by_ent.withColumn("__kind", F.lit("enterprise"))
-             .unionByName(by_res.withColumn("__kind", F.lit("res")))
-             .unionByName(total.withColumn("__kind", F.lit("total"))))
-    j = a.join(bounded_broadcast(stats), ["__kind", "__k"], "left")
+    kind = (F.when(F.col("role_level") == "ia", "total").when(F.col("role_level") == "res", "res")
+             .otherwise("enterprise"))
+    a = actors.select(F.col("id").alias("actor_id"), "role_level", kind.alias("scope_kind"), key.alias("scope_key"))
+    j = a.join(bounded_broadcast(stats), ["scope_kind", "scope_key"], "left")
     return j.select("actor_id", "role_level", *[F.coalesce(m, F.lit(0)).cast("bigint").alias(m) for m in measures])

@@ -185,12 +185,11 @@ def employee_norm_summary(spark, sf_dir):
 # ---------------------------------------------------------------- scope and admission
 
 def card_stats_per_actor(spark, sf_dir):
-    """F4 + F5 + A2 for every active actor at once: statistics are aggregated per (enterprise, res unit) once,
-    rolled up per scope key, then joined to the actors by their scope key; no actor x card pairs."""
+    """F4 + F5 + A2 for every active actor at once: one grouping-sets aggregate over the cards (per enterprise,
+    per res unit, total), joined to the actors by their scope key; no actor x card pairs."""
     t = tables(spark, sf_dir)
-    base = C.card_stats(equipment_cards(spark, sf_dir), AS_OF, by=["enterprise_id", "res_unit_id"])
-    return S.stats_per_actor(base, S.actor_context(t["users"], t["roles"]),
-                             ["total", "in_stock", "issued", "expired", "expiring_soon"])
+    stats = C.card_stats_by_scope(equipment_cards(spark, sf_dir), AS_OF)
+    return S.stats_per_actor(stats, S.actor_context(t["users"], t["roles"]), C.STAT_COLUMNS)
 
 
 def admit_requests(spark, sf_dir):

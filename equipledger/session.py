@@ -26,7 +26,9 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
     b = (SparkSession.builder.master(master).appName(app)
          .config("spark.ui.enabled", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-         .config("spark.driver.memory", "8g"))
+         .config("spark.driver.memory", "8g")
+         # checkpoint files of DataFrames that are gone are removed, so repeated batches do not pile up
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     for k, v in {**SESSION_CONF, **(extra or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()

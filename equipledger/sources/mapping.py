@@ -277,7 +277,11 @@ class MappedTables(Mapping):
 
     def opening_stock(self) -> DataFrame:
         """Opening balance of OPENING_BALANCE on every (warehouse, item) key that the events touch."""
-        ev = self["movement_events"].select("warehouse_id", "siz_item_id", "size_value").distinct()
+        # The keys of the events, read from lineitem alone (every lineitem has its order, so the event
+        # mapping's join with orders neither adds nor drops keys).
+        li = self.raw("lineitem")
+        ev = li.select((F.col("l_suppkey") % EVENT_WAREHOUSES).cast("string").alias("warehouse_id"),
+                       _s("l_partkey").alias("siz_item_id"), F.lit("").alias("size_value")).distinct()
         return conform(ev.select(F.concat_ws("/", "warehouse_id", "siz_item_id", "size_value").alias("id"),
                                  "warehouse_id", "siz_item_id", "size_value",
                                  F.lit(OPENING_BALANCE).alias("quantity")), "warehouse_stock")
