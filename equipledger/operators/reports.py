@@ -242,8 +242,8 @@ def latest_movements(moves: DataFrame, n: int = 200, salts: int = 16) -> DataFra
     return out.withColumnRenamed("warehouse_id_", "warehouse_id")
 
 
-def transaction_report(t: Mapping[str, DataFrame], employee_id: str | None = None, limit: int | None = None
-                       ) -> DataFrame:
+def transaction_report(t: Mapping[str, DataFrame], employee_id: str | None = None, limit: int | None = None,
+                       tie_break: str | None = None) -> DataFrame:
     """J10 + O2: old transaction feed INNER employee and item, LEFT category and user, newest first."""
     tx = filter_equal(t["siz_transactions"], {"employee_id": employee_id})
     e = t["employees"].select(F.col("id").alias("__e"), "last_name", "first_name", "middle_name",
@@ -254,7 +254,7 @@ def transaction_report(t: Mapping[str, DataFrame], employee_id: str | None = Non
     i = left_labels(i, t["siz_categories"], "category_id", cols={"name": "category_name"})
     j = j.join(bounded_broadcast(i), j["siz_item_id"] == i["__i"]).drop("__i", "category_id")
     j = left_labels(j, t["users"], "issued_by", cols={"full_name": "issued_by_name"})
-    return latest_first(j, ["transaction_date", "created_at"], limit)
+    return latest_first(j, ["transaction_date", "created_at"] + ([tie_break] if tie_break else []), limit)
 
 
 def audit_report(audit: DataFrame, users: DataFrame, table_name: str | None = None, n: int = 100) -> DataFrame:

@@ -315,6 +315,57 @@ def check_movement_types(spark, sf_dir):
                           L.MOVEMENT_KINDS)[1]
 
 
+def transactions_report(spark, sf_dir):
+    """The old transaction feed with employee, item, category and user labels (whole feed)."""
+    return R.transaction_report(tables(spark, sf_dir)).select(
+        "id", "employee_id", "siz_item_id", "transaction_type", "quantity", "transaction_date", "last_name",
+        "employee_number", "item_name", "unit", "category_name", "issued_by_name")
+
+
+def latest_transactions(spark, sf_dir):
+    """J10 + O2 with LIMIT: the newest 100 transactions (ties broken by id, newest first)."""
+    t = tables(spark, sf_dir)
+    return R.transaction_report(t, limit=100, tie_break="id").select(
+        "id", "employee_id", "transaction_type", "quantity", "transaction_date", "last_name", "item_name")
+
+
+def insert_employees(spark, sf_dir):
+    """I1 + M1: imported employees inserted into the employee table (ids from the request number)."""
+    t = tables(spark, sf_dir)
+    rows = I.import_employees(t.import_employee_rows())["rows"].drop("id")
+    rows = rows.withColumn("request_id", F.col("employee_number")).withColumn("actor_id", F.lit("0"))
+    ch = M.insert_rows(t["employees"], rows, "employees")
+    return ch.table.select("last_name", "first_name", "employee_number", "enterprise_id", "position_id", "extra",
+                           "is_active")
+
+
+def import_positions_rows(spark, sf_dir):
+    out = I.import_positions(tables(spark, sf_dir).import_position_rows())["rows"]
+    return out.groupBy("name", "code").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def drop_inactive_stock(spark, sf_dir):
+    """M4: stock rows of inactive warehouses removed; the audit keeps each removed row."""
+    t = tables(spark, sf_dir)
+    ch = M.hard_delete(t["warehouse_stock"], t.empty_stock_rows(), "warehouse_stock")
+    return ch.table.select("warehouse_id", "siz_item_id", "quantity")
+
+
+def adjust_stock(spark, sf_dir):
+    """M9: absolute stock corrections; a request naming the wrong warehouse is not found."""
+    t = tables(spark, sf_dir)
+    ch = M.set_quantity(t["warehouse_stock"], t.stock_adjustments())
+    return ch.table.select("warehouse_id", "siz_item_id", "quantity")
+
+
+def norms_insert_absent(spark, sf_dir):
+    """M7: the norm requests inserted only where (position, item) is not stored yet."""
+    t = tables(spark, sf_dir)
+    req = t.norm_requests().withColumn("is_active", F.lit(True))
+    out = M.insert_absent(t["position_siz_norms"], req.drop("request_id"), ["position_id", "siz_item_id"])
+    return out.select("position_id", "siz_item_id", "quantity", "issue_period_months", "is_active")
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "equipment_cards": equipment_cards,
     "card_stats": card_stats,
@@ -362,4 +413,11 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "check_norm_keys_unique": check_norm_keys_unique,
     "check_movement_employees": check_movement_employees,
     "check_movement_types": check_movement_types,
+    "transactions_report": transactions_report,
+    "latest_transactions": latest_transactions,
+    "insert_employees": insert_employees,
+    "import_positions_rows": import_positions_rows,
+    "drop_inactive_stock": drop_inactive_stock,
+    "adjust_stock": adjust_stock,
+    "norms_insert_absent": norms_insert_absent,
 }

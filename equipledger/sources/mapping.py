@@ -171,6 +171,16 @@ class MappedTables(Mapping):
                          F.when(flag != "N", _s("o_custkey")).alias("employee_id"),
                          F.to_date("l_shipdate").alias("movement_date"), F.col("l_shipdate").alias("created_at"))
 
+    # -- old transaction feed (read only) --
+    def _build_siz_transactions(self):
+        li = self._lineitem_orders(["R"])
+        d = F.to_date("l_shipdate")
+        return li.select(lineitem_row_id().alias("id"), _s("o_custkey").alias("employee_id"),
+                         _s("l_partkey").alias("siz_item_id"),
+                         F.when(F.col("l_linestatus") == "F", "return").otherwise("issue").alias("transaction_type"),
+                         F.col("l_quantity").cast("int").alias("quantity"), d.alias("transaction_date"),
+                         F.col("l_shipdate").alias("created_at"))
+
     # -- actors --
     def _build_users(self):
         u = self.raw("events").select("user_id").distinct()
@@ -275,6 +285,27 @@ class MappedTables(Mapping):
                         .alias("extra"),
                         F.lit("0").alias("actor_id"))
 
+    def stock_adjustments(self) -> DataFrame:
+        """M9 requests: every stock row above 40 is set to 40; rows of warehouse keys divisible by 7 are asked
+        for under the wrong warehouse (-> not_found)."""
+        st = self["warehouse_stock"].where(F.col("quantity") > 40)
+        wrong = F.col("warehouse_id").cast("int") % 7 == 0
+        return st.select("id", F.when(wrong, F.concat(F.col("warehouse_id"), F.lit("x"))).otherwise(F.col("warehouse_id"))
+                         .alias("warehouse_id"), F.lit(40).alias("quantity"), F.lit(None).cast("string").alias("notes"),
+                         F.lit("0").alias("actor_id"))
+
+    def empty_stock_rows(self) -> DataFrame:
+        """M4 requests: drop every stock row of warehouses that are inactive."""
+        wh = self["warehouses"].where(~F.col("is_active")).select(F.col("id").alias("warehouse_id"))
+        return self["warehouse_stock"].join(wh, "warehouse_id", "left_semi").select("id", F.lit("0").alias("actor_id"))
+
+    def import_position_rows(self) -> DataFrame:
+        """I2 payload: one row per customer naming its segment (duplicates stay: positions have no natural key);
+        blank names for c_custkey % 13 = 0."""
+        c = self.raw("customer")
+        return c.select(F.when(F.col("c_custkey") % 13 == 0, F.lit("")).otherwise(F.col("c_mktsegment")).alias("name"),
+                        F.lower("c_mktsegment").alias("code"), _s("c_nationkey").alias("enterprise_id"))
+
     def opening_stock(self) -> DataFrame:
         """Opening balance of OPENING_BALANCE on every (warehouse, item) key that the events touch."""
         # The keys of the events, read from lineitem alone (every lineitem has its order, so the event
