@@ -225,20 +225,16 @@ def movement_report(t: Mapping[str, DataFrame], moves: DataFrame | None = None)
     return left_labels(j, t["users"], "moved_by", cols={"full_name": "moved_by_name"})
 
 
-def latest_movements(moves: DataFrame, n: int = 200, salts: int = 16) -> DataFrame:
+def latest_movements(moves: DataFrame, n: int = 200) -> DataFrame:
     """O3: per warehouse, its newest ``n`` movements (from or to it), newest first by (created_at, id).
 
-    Two-phase top-k: a hot warehouse is first cut to ``n`` rows inside each of ``salts`` sub-groups (the window
-    sort is split over ``salts`` tasks), then the final top ``n`` is taken over at most ``n * salts`` rows.
+    ``row_number() <= n`` over a window is planned with a map-side ``WindowGroupLimit`` before the shuffle
+    (Spark's window group limit), so every input partition sends at most ``n`` rows per warehouse: a hot
+    warehouse costs at most ``n`` x partitions rows in its final task, never its whole history.
     """
     m = by_warehouse(moves, "warehouse_id_")
-    order = [F.col("created_at").desc_nulls_last(), F.col("id").desc()]
-    salt = (F.abs(F.xxhash64("id")) % salts).cast("int")
-    m = m.withColumn("__salt", salt)
-    w1 = Window.partitionBy("warehouse_id_", "__salt").orderBy(*order)
-    part = m.withColumn("__r", F.row_number().over(w1)).where(F.col("__r") <= n).drop("__r", "__salt")
-    w2 = Window.partitionBy("warehouse_id_").orderBy(*order)
-    out = part.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= n)
+    w = Window.partitionBy("warehouse_id_").orderBy(F.col("created_at").desc_nulls_last(), F.col("id").desc())
+    out = m.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
     return out.withColumnRenamed("warehouse_id_", "warehouse_id")
 
 

@@ -46,7 +46,9 @@ def test_latest_movements_matches_brute_force(spark):
         moves.append({"id": f"m{i:03d}", "from_warehouse_id": frm, "to_warehouse_id": to,
                       "created_at": base + dt.timedelta(days=i // 7), "movement_type": "transfer"})
     df = frame(spark, "stock_movements", moves)
-    got = {(r.warehouse_id, r.rank): r.id for r in R.latest_movements(df, n=20, salts=4).collect()}
+    top = R.latest_movements(df, n=20)
+    assert "WindowGroupLimit" in plan_text(top)      # map-side top-k before the shuffle
+    got = {(r.warehouse_id, r.rank): r.id for r in top.collect()}
     want = {}
     for w in ("W0", "W1", "W2"):
         mine = [m for m in moves if w in (m["from_warehouse_id"], m["to_warehouse_id"])]
