@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from equipledger.operators import cards as C
 from equipledger.operators import filters as FL
