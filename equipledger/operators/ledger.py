@@ -40,6 +40,9 @@ STOCK, HOLDING = "stock", "holding"
 LedgerResult = namedtuple("LedgerResult", "decisions stock holdings movements audit")
 
 DECISION_SCHEMA = "event_id string, accepted boolean, reason string, available int"
+# The fold returns both its decisions (rec 'd') and the final state of every key of its units (rec 's').
+FOLD_SCHEMA = ("rec string, event_id string, accepted boolean, reason string, available int, "
+               "siz_item_id string, size_value string, key_type string, key string, balance int, exists boolean")
 
 
 # ---------------------------------------------------------------- static checks (F13) and legs
@@ -213,8 +216,15 @@ def _fold(key, state: pd.DataFrame, events: pd.DataFrame) -> pd.DataFrame:
         out_acc.append(ok)
         out_reason.append(reason)
         out_avail.append(avail)
-    return pd.DataFrame({"event_id": out_id, "accepted": out_acc, "reason": out_reason,
-                         "available": pd.array(out_avail, dtype="Int32")})
+    n = len(out_id)
+    dec = pd.DataFrame({"rec": ["d"] * n, "event_id": out_id, "accepted": out_acc, "reason": out_reason,
+                        "available": pd.array(out_avail, dtype="Int32")})
+    keys = list(bal)
+    st = pd.DataFrame({"rec": ["s"] * len(keys), "siz_item_id": [k[0][0] for k in keys],
+                       "size_value": [k[0][1] for k in keys], "key_type": [k[1] for k in keys],
+                       "key": [k[2] for k in keys], "balance": pd.array([bal[k] for k in keys], dtype="Int32"),
+                       "exists": [bool(exists.get(k, False)) for k in keys]})
+    return pd.concat([dec, st], ignore_index=True)
 
 
 EVENT_CARRY = ("warehouse_id", "to_warehouse_id", "holding_id", "quantity", "employee_id", "document_reference",
@@ -238,8 +248,8 @@ def decide(stock: DataFrame, holdings: DataFrame, events: DataFrame, slow_bucket
 
 
 def _decide(stock: DataFrame, holdings: DataFrame, events: DataFrame, slow_buckets: int | None = None
-            ) -> tuple[DataFrame, DataFrame]:
-    """(decisions, prepared events). The prepared events (valid, returns resolved to their holding's item,
+            ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(decisions, prepared events, final key states). The prepared events (valid, returns resolved to their holding's item,
     size and employee) are checkpointed once: every later step reads them instead of the source plan."""
     spark = events.sparkSession
     checkpoint_dir(spark)
@@ -306,11 +316,20 @@ def _decide(stock: DataFrame, holdings: DataFrame, events: DataFrame, slow_bucke
     bucket = (F.abs(F.xxhash64(*[F.col(c) for c in unit])) % nb).cast("int")
     state = state.select(*[F.col(c).alias("s_" + c) for c in unit], "key_type", "key", "balance", "exists")
     state = state.withColumn("s_bucket", (F.abs(F.xxhash64(*[F.col("s_" + c) for c in unit])) % nb).cast("int"))
-    slow = (state.groupBy("s_bucket").cogroup(tail.withColumn("bucket", bucket).groupBy("bucket"))
-                 .applyInPandas(_fold, DECISION_SCHEMA))
+    folded = (state.groupBy("s_bucket").cogroup(tail.withColumn("bucket", bucket).groupBy("bucket"))
+                   .applyInPandas(_fold, FOLD_SCHEMA))
+    slow = folded.where(F.col("rec") == "d").select("event_id", "accepted", "reason", "available")
+    # Final balance of every touched key: the last leg's balance in units decided without replay (every
+    # event accepted, no resets, so the key exists), the fold's end state elsewhere.
+    last = F.struct("event_time", "event_id", "leg_order")
+    fast_final = (lb.where(F.col("__cut").isNull()).groupBy(*key)
+                    .agg(F.max_by("bal_after", last).cast("int").alias("balance"))
+                    .withColumn("exists", F.lit(True)))
+    finals = fast_final.unionByName(
+        folded.where(F.col("rec") == "s").select(*key, "balance", "exists"))
     events_out = lg.where(_is_lead()).select("event_id", "event_time", "kind", "siz_item_id", "size_value",
                                              *EVENT_CARRY)
-    return fast.unionByName(slow).unionByName(static_rejects), events_out
+    return fast.unionByName(slow).unionByName(static_rejects), events_out, finals
 
 
 def apply_movements(stock: DataFrame, holdings: DataFrame, events: DataFrame, items: DataFrame,
@@ -320,12 +339,26 @@ def apply_movements(stock: DataFrame, holdings: DataFrame, events: DataFrame, it
     ``materialize`` checkpoints the decisions (to the shared ``spark.checkpoint.dir``) because four outputs
     read them; it also cuts the lineage, so a lost executor does not re-run the whole decision plan.
     """
-    dec, ev = _decide(stock, holdings, events)
+    dec, ev, finals = _decide(stock, holdings, events)
     if materialize:
         dec = dec.checkpoint(eager=True)
     acc = ev.join(dec.where("accepted").select("event_id", "available"), "event_id")
-    return LedgerResult(dec, new_stock(stock, acc), new_holdings(holdings, acc, items), movements(acc),
-                        ledger_audit(acc))
+    return LedgerResult(dec, stock_from_finals(stock, finals), new_holdings(holdings, acc, items),
+                        movements(acc), ledger_audit(acc))
+
+
+def stock_from_finals(stock: DataFrame, finals: DataFrame) -> DataFrame:
+    """New stock snapshot: touched keys take their final balance (a key that ends dropped disappears),
+    untouched rows pass through; a full outer join on the stock key."""
+    k = ["warehouse_id", "siz_item_id", "size_value"]
+    f = finals.where(F.col("key_type") == STOCK).select(
+        F.col("key").alias("warehouse_id"), "siz_item_id", "size_value", "balance", "exists")
+    s = stock.select("id", "warehouse_id", "siz_item_id", F.coalesce("size_value", F.lit("")).alias("size_value"),
+                     "quantity")
+    j = s.join(f, k, "full")
+    return (j.where(F.coalesce(F.col("exists"), F.lit(True)))
+             .select(F.coalesce("id", stable_id(*k)).alias("id"), *k,
+                     F.coalesce("balance", "quantity").cast("int").alias("quantity")))
 
 
 def new_stock(stock: DataFrame, acc: DataFrame) -> DataFrame:
