@@ -74,3 +74,19 @@ def test_place_filter_prunes_a_branch(spark):
     plan = plan_text(FL.cards_by_place(cards, "employee"))
     assert "warehouse_stock" not in plan.lower() or plan.count("Union") == 0
     assert "Union" not in plan
+
+
+def test_cards_scope_res_actor(spark):
+    """res actors see their unit's rows plus stock of non-'res' warehouses of their enterprise (raw
+    enterprise_id); statistics use the narrower res-unit rule."""
+    from equipledger.operators.scope import row_scope
+    cards = C.equipment_cards(tables(spark), AS_OF)
+    actor = {"role_level": "res", "res_unit_id": "R1", "enterprise_id": "E1"}
+    seen = rows(row_scope(cards, "cards", actor), "id")
+    # h1/h2 belong to U1 (res unit R1); s1 is in W1 (type spbipk, raw enterprise E1); s2 reaches E1 only through
+    # its spbipk, so its raw enterprise_id is NULL and it stays invisible.
+    assert seen == [("h1",), ("h2",), ("s1",)]
+    stats = rows(row_scope(cards, "card_stats", actor), "id")
+    assert stats == [("h1",), ("h2",)]
+    assert rows(row_scope(cards, "cards", {"role_level": "enterprise", "enterprise_id": "E1"}), "id") == \
+        [("h1",), ("h2",), ("h3",), ("h4",), ("h5",), ("s1",)]
