@@ -264,9 +264,11 @@ def _decide(stock: DataFrame, holdings: DataFrame, events: DataFrame, slow_bucke
     # Running balance per key, chunk-parallel (a hot key is split by day): per (key, day) totals, their
     # running offsets (plus the opening balance) over the small per-day table, then running sums inside each
     # (key, day). The legs are shuffled once, by (key, day), for both the join and the window.
-    lg = lg.withColumn("chunk", F.to_date("event_time"))
+    # Only the columns the decision needs travel through the shuffles below.
+    bl = lg.drop("employee_id", "document_reference", "notes", "actor_id") \
+           .withColumn("chunk", F.to_date("event_time"))
     order = [F.col("event_time"), F.col("event_id"), F.col("leg_order")]
-    chunk_tot = lg.groupBy(*key, "chunk").agg(F.sum("delta").alias("__tot"))
+    chunk_tot = bl.groupBy(*key, "chunk").agg(F.sum("delta").alias("__tot"))
     chunk_tot = chunk_tot.join(
         opening.select(*key, F.col("balance").alias("__open"), F.col("exists").alias("__open_exists")), key, "left")
     w_chunks = Window.partitionBy(*key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -274,7 +276,7 @@ def _decide(stock: DataFrame, holdings: DataFrame, events: DataFrame, slow_bucke
         *key, "chunk", F.coalesce("__open", F.lit(0)).alias("__open"), "__open_exists",
         (F.coalesce("__open", F.lit(0)) + F.coalesce(F.sum("__tot").over(w_chunks), F.lit(0))).alias("__off"))
     w_in = Window.partitionBy(*key, "chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    lb = (lg.join(chunk_off, [*key, "chunk"])
+    lb = (bl.join(chunk_off, [*key, "chunk"])
             .withColumn("bal_after", F.col("__off") + F.sum("delta").over(w_in))
             .drop("__off", "chunk"))
     # Fold units: an (item, size) group with a transfer or return folds as a whole (sub '*'), any other group
