@@ -104,7 +104,8 @@ def employee_cards(t: Mapping[str, DataFrame]) -> DataFrame:
     lists = _children(pn, "position_id", "norms")
     e = employees_report({**t, "employees": t["employees"].withColumn("is_active", F.lit(True))})
     e = e.drop("is_active").join(t["employees"].select("id", "is_active"), "id")
-    j = e.join(bounded_broadcast(lists), e["position_id"] == lists["__parent"], "left").drop("__parent")
+    j = e.join(bounded_broadcast(lists, bound_of=t["position_siz_norms"]), e["position_id"] == lists["__parent"],
+               "left").drop("__parent")
     return j.withColumn("norms", F.coalesce("norms", F.array().cast(lists.schema["norms"].dataType)))
 
 
@@ -115,6 +116,6 @@ def employee_norm_summary(t: Mapping[str, DataFrame]) -> DataFrame:
     per_pos = (n.join(items, "siz_item_id").groupBy("position_id")
                 .agg(F.count(F.lit(1)).alias("norms_count"), F.sum("quantity").cast("bigint").alias("norms_quantity")))
     e = t["employees"].select(F.col("id").alias("employee_id"), "position_id")
-    j = e.join(bounded_broadcast(per_pos), "position_id", "left")
+    j = e.join(bounded_broadcast(per_pos, bound_of=t["position_siz_norms"]), "position_id", "left")
     return j.select("employee_id", F.coalesce("norms_count", F.lit(0)).cast("bigint").alias("norms_count"),
                     F.coalesce("norms_quantity", F.lit(0)).cast("bigint").alias("norms_quantity"))

@@ -69,7 +69,7 @@ def position_norms(norms: DataFrame, items: DataFrame, categories: DataFrame) ->
     n = active_only(norms)
     i = _item_cols(items, categories, {"name": "item_name", "unit": "unit",
                                        "wear_period_months": "wear_period_months"})
-    return n.join(bounded_broadcast(i), n["siz_item_id"] == i["__i"]).drop("__i", "category_id")
+    return n.join(bounded_broadcast(i, bound_of=items), n["siz_item_id"] == i["__i"]).drop("__i", "category_id")
 
 
 def norm_report(norms: DataFrame, positions: DataFrame, items: DataFrame, categories: DataFrame,
@@ -87,8 +87,8 @@ def norm_report(norms: DataFrame, positions: DataFrame, items: DataFrame, catego
                                    "wear_period_months": "wear_period_months",
                                    "exploitation_months": "exploitation_months",
                                    "exploitation_years": "exploitation_years"})
-    j = (n.join(bounded_broadcast(p), n["position_id"] == p["__p"])
-          .join(bounded_broadcast(i), n["siz_item_id"] == i["__i"]))
+    j = (n.join(bounded_broadcast(p, bound_of=positions), n["position_id"] == p["__p"])
+          .join(bounded_broadcast(i, bound_of=items), n["siz_item_id"] == i["__i"]))
     return j.drop("__p", "__i", "category_id")
 
 
@@ -103,11 +103,11 @@ def entitlements(employees: DataFrame, norms: DataFrame, items: DataFrame, categ
                                   "issue_period_months")
     i = _item_cols(items, categories, {"name": "name", "code": "code", "unit": "unit",
                                        "wear_period_months": "wear_period_months"}, only_active=True)
-    ni = (n.join(bounded_broadcast(i), n["siz_item_id"] == i["__i"])
+    ni = (n.join(bounded_broadcast(i, bound_of=items), n["siz_item_id"] == i["__i"])
            .select(F.col("position_id").alias("__pos"), F.col("__i").alias("id"), "name", "code", "unit",
                    "wear_period_months", "category_name", "norm_quantity", "issue_period_months"))
     e = employees.select(F.col("id").alias("employee_id"), F.col("position_id").alias("__pos"))
-    return hot_key_join(e, ni, ["__pos"]).drop("__pos")
+    return hot_key_join(e, ni, ["__pos"], bound_of=norms).drop("__pos")
 
 
 def entitlement_counts(employees: DataFrame, norms: DataFrame, items: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def entitlement_counts(employees: DataFrame, norms: DataFrame, items: DataFrame)
     per_pos = (n.join(i, "siz_item_id").groupBy("position_id")
                 .agg(F.count(F.lit(1)).alias("items"), F.sum("quantity").cast("bigint").alias("total_quantity")))
     e = employees.select(F.col("id").alias("employee_id"), "position_id")
-    j = e.join(bounded_broadcast(per_pos), "position_id", "left")
+    j = e.join(bounded_broadcast(per_pos, bound_of=norms), "position_id", "left")
     return j.select("employee_id", F.coalesce("items", F.lit(0)).cast("bigint").alias("items"),
                     F.coalesce("total_quantity", F.lit(0)).cast("bigint").alias("total_quantity"))
 
@@ -187,7 +187,7 @@ def stock_report(stock: DataFrame, items: DataFrame, categories: DataFrame) -> D
                      F.col("code").alias("item_code"), "unit", F.col("gender").alias("item_gender"), "season",
                      "exploitation_months", "exploitation_years")
     i = left_labels(i, categories, "category_id", cols={"name": "category_name", "code": "category_code"})
-    return ws.join(bounded_broadcast(i), ws["siz_item_id"] == i["__i"]).drop("__i", "category_id")
+    return ws.join(bounded_broadcast(i, bound_of=items), ws["siz_item_id"] == i["__i"]).drop("__i", "category_id")
 
 
 def stock_totals(warehouses: DataFrame, stock: DataFrame) -> DataFrame:
@@ -206,7 +206,7 @@ def holdings_report(holdings: DataFrame, items: DataFrame, categories: DataFrame
                      F.col("code").alias("item_code"), "unit", "exploitation_months", "exploitation_years",
                      F.col("gender").alias("item_gender"), "season")
     i = left_labels(i, categories, "category_id", cols={"name": "category_name"})
-    j = h.join(bounded_broadcast(i), h["siz_item_id"] == i["__i"]).drop("__i", "category_id")
+    j = h.join(bounded_broadcast(i, bound_of=items), h["siz_item_id"] == i["__i"]).drop("__i", "category_id")
     j = left_labels(j, warehouses, "from_warehouse_id", cols={"name": "warehouse_name"})
     return j.withColumn("exploitation_end", exploitation_end("exploitation_start", "exploitation_months"))
 
@@ -217,11 +217,11 @@ def movement_report(t: Mapping[str, DataFrame], moves: DataFrame | None = None)
     i = t["siz_items"].select(F.col("id").alias("__i"), "category_id", F.col("name").alias("item_name"),
                               F.col("unit").alias("unit"))
     i = left_labels(i, t["siz_categories"], "category_id", cols={"name": "category_name"})
-    j = m.join(bounded_broadcast(i), m["siz_item_id"] == i["__i"]).drop("__i", "category_id")
+    j = m.join(bounded_broadcast(i, bound_of=t["siz_items"]), m["siz_item_id"] == i["__i"]).drop("__i", "category_id")
     j = left_labels(j, t["warehouses"], "from_warehouse_id", cols={"name": "from_warehouse_name"})
     j = left_labels(j, t["warehouses"], "to_warehouse_id", cols={"name": "to_warehouse_name"})
     e = t["employees"].select(F.col("id").alias("__e"), "last_name", "first_name", "middle_name")
-    j = null_safe_left(j, e, "employee_id", "__e").drop("__e")
+    j = null_safe_left(j, e, "employee_id", "__e", bound_of=t["employees"]).drop("__e")
     return left_labels(j, t["users"], "moved_by", cols={"full_name": "moved_by_name"})
 
 
@@ -248,7 +248,7 @@ def transaction_report(t: Mapping[str, DataFrame], employee_id: str | None = Non
     j = tx.join(e, tx["employee_id"] == e["__e"]).drop("__e")
     i = t["siz_items"].select(F.col("id").alias("__i"), "category_id", F.col("name").alias("item_name"), "unit")
     i = left_labels(i, t["siz_categories"], "category_id", cols={"name": "category_name"})
-    j = j.join(bounded_broadcast(i), j["siz_item_id"] == i["__i"]).drop("__i", "category_id")
+    j = j.join(bounded_broadcast(i, bound_of=t["siz_items"]), j["siz_item_id"] == i["__i"]).drop("__i", "category_id")
     j = left_labels(j, t["users"], "issued_by", cols={"full_name": "issued_by_name"})
     return latest_first(j, ["transaction_date", "created_at"] + ([tie_break] if tie_break else []), limit)
 
@@ -306,7 +306,7 @@ def warehouse_staff(warehouses: DataFrame, t: Mapping[str, DataFrame]) -> DataFr
     """
     wk = warehouse_staff_keys(warehouses)
     ek = employee_staff_keys(t["employees"])
-    pairs = hot_key_join(ek, wk, ["staff_kind", "staff_key"])
+    pairs = hot_key_join(ek, wk, ["staff_kind", "staff_key"], bound_of=warehouses)
     e = employees_report(t)
     return pairs.join(e, pairs["employee_id"] == e["id"]).drop("staff_kind", "staff_key")
 

@@ -96,7 +96,7 @@ def actor_context(users: DataFrame, roles: DataFrame) -> DataFrame:
     r = roles.select(F.col("id").alias("__r"), F.col("name").alias("role_name"), F.col("level").alias("role_level"),
                      "general_permissions", "field_permissions", F.col("display_name").alias("role_display_name"))
     u = users.where(F.col("is_active"))
-    return u.join(bounded_broadcast(r), u["role_id"] == r["__r"]).drop("__r")
+    return u.join(bounded_broadcast(r, bound_of=roles), u["role_id"] == r["__r"]).drop("__r")
 
 
 def seed_roles(spark) -> DataFrame:
@@ -132,7 +132,7 @@ ADMISSION_RULES: dict[str, tuple[str, tuple[str, ...] | None]] = {
 
 
 def admit_requests(requests: DataFrame, actors: DataFrame, op_col: str = "operation",
-                   actor_col: str = "actor_id") -> DataFrame:
+                   actor_col: str = "actor_id", actors_bound: DataFrame | None = None) -> DataFrame:
     """G1: each request with ``admitted`` and ``refusal`` ('no_actor', 'permission', 'level' or NULL).
 
     A request passes if its actor is an active user with a role, the role holds the operation's permission
@@ -144,7 +144,7 @@ def admit_requests(requests: DataFrame, actors: DataFrame, op_col: str = "operat
     lvl_map = F.create_map(*[x for op in ops for x in (
         F.lit(op), F.lit(",".join(ADMISSION_RULES[op][1] or ("*",))))])
     a = actors.select(F.col("id").alias("__a"), "role_level", "general_permissions")
-    j = requests.join(bounded_broadcast(a), requests[actor_col] == a["__a"], "left")
+    j = requests.join(bounded_broadcast(a, bound_of=actors_bound), requests[actor_col] == a["__a"], "left")
     perm = F.element_at(perm_map, F.col(op_col))
     perms = F.try_parse_json(F.col("general_permissions"))
     has_perm = _perm_truthy(perms, perm)
@@ -185,5 +185,7 @@ def stats_per_actor(stats: DataFrame, actors: DataFrame, measures: list[str]) ->
     kind = (F.when(F.col("role_level") == "ia", "total").when(F.col("role_level") == "res", "res")
              .otherwise("enterprise"))
     a = actors.select(F.col("id").alias("actor_id"), "role_level", kind.alias("scope_kind"), key.alias("scope_key"))
-    j = a.join(bounded_broadcast(stats), ["scope_kind", "scope_key"], "left")
+    # Both sides are small; their size is only known after the cards aggregate runs, so the choice of a
+    # broadcast is left to AQE at runtime (proving a bound here would run the aggregate twice).
+    j = a.join(stats, ["scope_kind", "scope_key"], "left")
     return j.select("actor_id", "role_level", *[F.coalesce(m, F.lit(0)).cast("bigint").alias(m) for m in measures])

@@ -195,7 +195,7 @@ def card_stats_per_actor(spark, sf_dir):
 def admit_requests(spark, sf_dir):
     t = tables(spark, sf_dir)
     actors = S.actor_context(t["users"], t["roles"])
-    return S.admit_requests(t.admission_requests(), actors).select(
+    return S.admit_requests(t.admission_requests(), actors, actors_bound=t["users"]).select(
         "request_id", "actor_id", "operation", "admitted", "refusal")
 
 

@@ -33,9 +33,13 @@ def within_rows(df: DataFrame, max_rows: int) -> bool:
     return memo[max_rows]
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` if its row count is proven within ``max_rows``, else ``df`` unchanged."""
-    return F.broadcast(df) if within_rows(df, max_rows) else df
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, bound_of: DataFrame | None = None
+                      ) -> DataFrame:
+    """``broadcast(df)`` if its row count is proven within ``max_rows``, else ``df`` unchanged.
+
+    ``bound_of``: a base table with at least as many rows as ``df`` (``df`` is a projection / filter / per-key
+    aggregate of it); the proof is made, and remembered, on that table instead of re-counting ``df``."""
+    return F.broadcast(df) if within_rows(bound_of if bound_of is not None else df, max_rows) else df
 
 
 def left_labels(fact: DataFrame, dim: DataFrame, fk: str, key: str = "id", cols: dict[str, str] | None = None,
@@ -54,14 +58,14 @@ def left_labels(fact: DataFrame, dim: DataFrame, fk: str, key: str = "id", cols:
 
 
 def hot_key_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salts: int = 32,
-                 max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                 max_rows: int = DEFAULT_BROADCAST_ROWS, bound_of: DataFrame | None = None) -> DataFrame:
     """Equi-join whose keys may be hot (one key holding a large share of ``big``).
 
     ``small`` is broadcast when its row count is proven within ``max_rows`` (no shuffle of ``big`` at all).
     Beyond that, each ``big`` row gets a salt in ``[0, salts)`` and ``small`` is replicated once per salt, so a
     hot key is spread over ``salts`` tasks instead of one. ``how`` is ``inner`` or ``left`` (``big`` preserved).
     """
-    if within_rows(small, max_rows):
+    if within_rows(bound_of if bound_of is not None else small, max_rows):
         return big.join(F.broadcast(small), on, how)
     salt = "__salt"
     b = big.withColumn(salt, (F.abs(F.xxhash64(*[F.col(c) for c in big.columns])) % salts).cast("int"))
@@ -69,14 +73,14 @@ def hot_key_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "in
     return b.join(s, [*on, salt], how).drop(salt)
 
 
-def null_safe_left(fact: DataFrame, dim: DataFrame, fk: str, key: str, max_rows: int = DEFAULT_BROADCAST_ROWS
-                   ) -> DataFrame:
+def null_safe_left(fact: DataFrame, dim: DataFrame, fk: str, key: str, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                   bound_of: DataFrame | None = None) -> DataFrame:
     """LEFT JOIN on ``fact.fk = dim.key`` where many ``fk`` may be NULL.
 
     Broadcast when the dimension is proven small. Otherwise rows with a NULL ``fk`` bypass the shuffle (they can
     match nothing) instead of all hashing to one partition, and are unioned back with typed NULL columns.
     """
-    if within_rows(dim, max_rows):
+    if within_rows(bound_of if bound_of is not None else dim, max_rows):
         return fact.join(F.broadcast(dim), fact[fk] == dim[key], "left")
     nulls = fact.where(F.col(fk).isNull())
     for f in dim.schema.fields:

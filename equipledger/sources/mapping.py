@@ -125,7 +125,7 @@ class MappedTables(Mapping):
         # positions x part on a computed equi-key (p_partkey % 100 = length(segment)): a hash join, not a cross join.
         pos = self["positions"].select(F.col("id").alias("position_id"), F.length("id").alias("k"))
         p = self.raw("part").select("p_partkey", "p_size", (F.col("p_partkey") % 100).alias("k"))
-        j = p.join(bounded_broadcast(pos), "k")
+        j = p.join(bounded_broadcast(pos, bound_of=self["positions"]), "k")
         return j.select(F.concat_ws(":", "position_id", _s("p_partkey")).alias("id"), "position_id",
                         _s("p_partkey").alias("siz_item_id"), (F.col("p_size") % 3 + 1).alias("quantity"),
                         F.lit(12).alias("issue_period_months"), F.lit("{}").alias("extra"),
