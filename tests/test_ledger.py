@@ -222,3 +222,20 @@ def test_retire_warehouses(spark):
     assert rows(out["warehouses"], "id", "is_active") == [("W1", True), ("W2", False), ("W3", False)]
     assert rows(out["refused"], "id", "total") == [("W1", 3)]
     assert rows(out["missing"], "id") == [("W9",)]
+
+
+@pytest.mark.parametrize("seed", [21, 22])
+def test_quantity_is_conserved(spark, seed):
+    """Without resets nothing is created or destroyed except by receipts: stock + active holdings after the
+    batch = opening stock + opening active holdings + accepted receipts."""
+    stock, holdings, events = random_case(seed)
+    events = [e for e in events if e["kind"] not in ("set", "drop")]
+    st, ho, ev = frames(spark, stock, holdings, events)
+    items = frame(spark, "siz_items", [{"id": "I1"}, {"id": "I2"}])
+    res = L.apply_movements(st, ho, ev, items)
+    acc = {r.event_id for r in res.decisions.collect() if r.accepted}
+    receipts = sum(e["quantity"] for e in events if e["kind"] == "receipt" and e["event_id"] in acc)
+    before = sum(s["quantity"] for s in stock) + sum(h["quantity"] for h in holdings if h["status"] == "active")
+    after = sum(r.quantity for r in res.stock.collect()) + \
+        sum(r.quantity for r in res.holdings.collect() if r.status == "active")
+    assert after == before + receipts
