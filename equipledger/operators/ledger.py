@@ -38,6 +38,9 @@ MOVEMENT_KINDS = (RECEIPT, TRANSFER, ISSUE, RETURN)
 STOCK, HOLDING = "stock", "holding"
 
 LedgerResult = namedtuple("LedgerResult", "decisions stock holdings movements audit")
+# Internal result of the decision plan: all decisions, prepared events (lead legs), final key states, and the
+# two tiers separately (the fast tier is pure SQL; the slow tier is the Python fold).
+Decided = namedtuple("Decided", "decisions events finals fast slow")
 
 DECISION_SCHEMA = "event_id string, accepted boolean, reason string, available int"
 # The fold returns both its decisions (rec 'd') and the final state of every key of its units (rec 's').
@@ -244,12 +247,12 @@ def decide(stock: DataFrame, holdings: DataFrame, events: DataFrame, slow_bucket
            ) -> DataFrame:
     """L9 decisions: one row per event (event_id, accepted, reason, available = balance of the debited key just
     before the event; for set / drop the old quantity)."""
-    return _decide(stock, holdings, events, slow_buckets)[0]
+    return _decide(stock, holdings, events, slow_buckets).decisions
 
 
 def _decide(stock: DataFrame, holdings: DataFrame, events: DataFrame, slow_buckets: int | None = None
-            ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(decisions, prepared events, final key states). The prepared events (valid, returns resolved to their holding's item,
+            ) -> Decided:
+    """Decisions, prepared events, final key states and the two tiers. The prepared events (valid, returns resolved to their holding's item,
     size and employee) are checkpointed once: every later step reads them instead of the source plan."""
     spark = events.sparkSession
     checkpoint_dir(spark)
@@ -331,7 +334,7 @@ def _decide(stock: DataFrame, holdings: DataFrame, events: DataFrame, slow_bucke
         folded.where(F.col("rec") == "s").select(*key, "balance", "exists"))
     events_out = lg.where(_is_lead()).select("event_id", "event_time", "kind", "siz_item_id", "size_value",
                                              *EVENT_CARRY)
-    return fast.unionByName(slow).unionByName(static_rejects), events_out, finals
+    return Decided(fast.unionByName(slow).unionByName(static_rejects), events_out, finals, fast, slow)
 
 
 def apply_movements(stock: DataFrame, holdings: DataFrame, events: DataFrame, items: DataFrame,
@@ -341,7 +344,7 @@ def apply_movements(stock: DataFrame, holdings: DataFrame, events: DataFrame, it
     ``materialize`` checkpoints the decisions (to the shared ``spark.checkpoint.dir``) because four outputs
     read them; it also cuts the lineage, so a lost executor does not re-run the whole decision plan.
     """
-    dec, ev, finals = _decide(stock, holdings, events)
+    dec, ev, finals, _, _ = _decide(stock, holdings, events)
     if materialize:
         dec = dec.checkpoint(eager=True)
     acc = ev.join(dec.where("accepted").select("event_id", "available"), "event_id")

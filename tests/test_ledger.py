@@ -6,7 +6,7 @@ import pytest
 
 from equipledger.operators import ledger as L
 
-from tests.conftest import rows
+from tests.conftest import plan_text, rows
 from tests.fixtures import D, frame
 
 
@@ -239,3 +239,12 @@ def test_quantity_is_conserved(spark, seed):
     after = sum(r.quantity for r in res.stock.collect()) + \
         sum(r.quantity for r in res.holdings.collect() if r.status == "active")
     assert after == before + receipts
+
+
+def test_fast_tier_has_no_python(spark):
+    stock, holdings, events = random_case(31)
+    st, ho, ev = frames(spark, stock, holdings, events)
+    tiers = L._decide(st, ho, ev)
+    fast_plan = plan_text(tiers.fast)
+    assert "Python" not in fast_plan and "ArrowEval" not in fast_plan and "InPandas" not in fast_plan
+    assert "FlatMapCoGroupsInPandas" in plan_text(tiers.slow)
