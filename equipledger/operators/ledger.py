@@ -42,7 +42,6 @@ LedgerResult = namedtuple("LedgerResult", "decisions stock holdings movements au
 # two tiers separately (the fast tier is pure SQL; the slow tier is the Python fold).
 Decided = namedtuple("Decided", "decisions events finals fast slow")
 
-DECISION_SCHEMA = "event_id string, accepted boolean, reason string, available int"
 # The fold returns both its decisions (rec 'd') and the final state of every key of its units (rec 's').
 FOLD_SCHEMA = ("rec string, event_id string, accepted boolean, reason string, available int, "
                "siz_item_id string, size_value string, key_type string, key string, balance int, exists boolean")
@@ -367,8 +366,10 @@ def stock_from_finals(stock: DataFrame, finals: DataFrame) -> DataFrame:
 
 
 def new_stock(stock: DataFrame, acc: DataFrame) -> DataFrame:
-    """Stock after the accepted events: last reset (or the stored balance) plus the legs after it; rows that
-    end dropped disappear. Keys untouched by the batch pass through unchanged."""
+    """Stock after the given accepted events, derived from the events alone: last reset (or the stored
+    balance) plus the legs after it; rows that end dropped disappear; untouched keys pass through. An
+    independent derivation of what ``stock_from_finals`` reads off the decision plan (used to cross-check it,
+    and to apply an already-decided event log to another snapshot)."""
     lg = legs(acc).where(F.col("key_type") == STOCK).select(
         F.col("key").alias("warehouse_id"), "siz_item_id", "size_value", "event_time", "event_id", "leg_order",
         "delta", "reset", "kind")

@@ -120,6 +120,11 @@ def test_decisions_match_replay(spark, seed, links):
     res = L.apply_movements(st, ho, ev, items)
     new = {(r.warehouse_id, r.siz_item_id, r.size_value): r.quantity for r in res.stock.collect()}
     assert new == final
+    # The same stock derived independently from the accepted events.
+    tiers = L._decide(st, ho, ev)
+    acc = tiers.events.join(tiers.decisions.where("accepted").select("event_id", "available"), "event_id")
+    again = {(r.warehouse_id, r.siz_item_id, r.size_value): r.quantity for r in L.new_stock(st, acc).collect()}
+    assert again == final
 
 
 def test_fast_tier_only_when_clean(spark):
