@@ -39,7 +39,7 @@ def tables(spark: SparkSession, sf_dir: str) -> MappedTables:
 
 
 def equipment_cards(spark, sf_dir):
-    return C.equipment_cards(tables(spark, sf_dir), AS_OF)
+    return tables(spark, sf_dir).derived("cards", lambda t: C.equipment_cards(t, AS_OF))
 
 
 def card_stats(spark, sf_dir):

@@ -67,6 +67,14 @@ class MappedTables(Mapping):
     def __len__(self):
         return len(SCHEMAS)
 
+    def derived(self, name: str, build) -> DataFrame:
+        """A lazy DataFrame built from these tables once per session (a plan, not data: nothing is cached or
+        collected). Saves re-analysing a many-join plan on every call."""
+        key = "__derived_" + name
+        if key not in self._built:
+            self._built[key] = build(self)
+        return self._built[key]
+
     def raw(self, name: str) -> DataFrame:
         key = "__raw_" + name
         if key not in self._built:
