@@ -77,18 +77,22 @@ def _bad(kind: str) -> Column:
     return F.coalesce(out, F.lit(True))
 
 
-def prepare_events(events: DataFrame, holdings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid events with item / size resolved, statically rejected decisions).
+def prepare_events(events: DataFrame, holdings: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """(valid events with item / size resolved, statically rejected decisions, whether returns were resolved).
 
     Sizes default to '' (``size_value || ''``). A return takes item and size from its holding: a stored one,
-    or one created by an issue of the same batch (holding id = issue event id).
+    or one created by an issue of the same batch (holding id = issue event id). The checked events are
+    materialised once, so the source is read once; the return lookup (a join) runs only when the batch holds a
+    return, which a LIMIT-1 probe of the materialised events tells.
     """
     ev = conform(events, "movement_events").withColumn("size_value", F.coalesce("size_value", F.lit("")))
-    ev = ev.withColumn("__static", static_reason())
+    ev = ev.withColumn("__static", static_reason()).checkpoint(eager=True)
     bad = ev.where(F.col("__static").isNotNull()).select(
         "event_id", F.lit(False).alias("accepted"), F.col("__static").alias("reason"),
         F.lit(None).cast("int").alias("available"))
     ev = ev.where(F.col("__static").isNull()).drop("__static")
+    if ev.where(F.col("kind") == RETURN).limit(1).count() == 0:
+        return ev, bad, False
 
     rets = ev.where(F.col("kind") == RETURN)
     others = ev.where(F.col("kind") != RETURN)
@@ -105,7 +109,7 @@ def prepare_events(events: DataFrame, holdings: DataFrame) -> tuple[DataFrame, D
     r = (r.where(F.col("__h_item").isNotNull())
           .withColumn("siz_item_id", F.col("__h_item")).withColumn("size_value", F.col("__h_size"))
           .withColumn("employee_id", F.col("__h_emp")).drop("__h_item", "__h_size", "__h_emp"))
-    return others.unionByName(r), bad.unionByName(no_holding)
+    return others.unionByName(r), bad.unionByName(no_holding), True
 
 
 def legs(ev: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -255,10 +259,13 @@ def _decide(stock: DataFrame, holdings: DataFrame, events: DataFrame, slow_bucke
     size and employee) are checkpointed once: every later step reads them instead of the source plan."""
     spark = events.sparkSession
     checkpoint_dir(spark)
-    ev, static_rejects = prepare_events(events, holdings)
-    # One checkpointed legs table carries every event column (on each event's lead leg): everything below
-    # reads it instead of re-running the source plan.
-    lg = legs(ev, keep=EVENT_CARRY).checkpoint(eager=True)
+    ev, static_rejects, resolved = prepare_events(events, holdings)
+    # The legs carry every event column (on each event's lead leg): everything below reads them. Without
+    # returns they are a cheap explode over the materialised events; with returns the lookup join is
+    # materialised once as well, so no consumer repeats it.
+    lg = legs(ev, keep=EVENT_CARRY)
+    if resolved:
+        lg = lg.checkpoint(eager=True)
     unit = ["siz_item_id", "size_value", "sub"]
     key = ["siz_item_id", "size_value", "key_type", "key"]
     opening = _openings(stock, holdings, lg)
