@@ -58,6 +58,26 @@ def cards_stock_by_type(spark, sf_dir):
     return FL.cards_by_place(equipment_cards(spark, sf_dir), "spbipk")
 
 
+def cards_expired(spark, sf_dir):
+    return FL.cards_by_status(equipment_cards(spark, sf_dir), "expired", AS_OF)
+
+
+def cards_issued(spark, sf_dir):
+    return FL.cards_by_status(equipment_cards(spark, sf_dir), "issued", AS_OF)
+
+
+def cards_search(spark, sf_dir):
+    """F3 on the card view: item name, item code or employee surname contains the text (case-insensitive)."""
+    return FL.search(equipment_cards(spark, sf_dir), "RING", ["item_name", "item_code", "last_name"]).select(
+        "id", "source_type", "item_name", "item_code", "last_name", "status")
+
+
+def employees_search(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return R.employees_report(t, text="customer#0000001").select("id", "last_name", "employee_number",
+                                                                   "position_name", "enterprise_name")
+
+
 # ---------------------------------------------------------------- reports
 
 def categories_report(spark, sf_dir):
@@ -401,6 +421,10 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "card_stats_by_enterprise": card_stats_by_enterprise,
     "cards_expiring_soon": cards_expiring_soon,
     "cards_stock_by_type": cards_stock_by_type,
+    "cards_expired": cards_expired,
+    "cards_issued": cards_issued,
+    "cards_search": cards_search,
+    "employees_search": employees_search,
     "categories_report": categories_report,
     "items_report": items_report,
     "items_search": items_search,
