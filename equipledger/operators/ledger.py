@@ -20,9 +20,11 @@ transfers and returns splits further into independent stock keys. Such an indepe
 
 from __future__ import annotations
 
+import sys
 from collections import namedtuple
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,10 @@ from equipledger.plans.joins import DEFAULT_BROADCAST_ROWS, within_rows
 from equipledger.schemas import conform
 from equipledger.session import checkpoint_dir
 
+# The slow tier ships ``_fold`` to the Python workers. Its module is pickled by value, so the workers need not
+# have this package installed (installing it on the cluster, or --py-files, works as well).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 RECEIPT, TRANSFER, ISSUE, RETURN, SET, DROP = "receipt", "transfer", "issue", "return", "set", "drop"
 MOVEMENT_KINDS = (RECEIPT, TRANSFER, ISSUE, RETURN)
 STOCK, HOLDING = "stock", "holding"
