@@ -253,3 +253,13 @@ def test_fast_tier_has_no_python(spark):
     fast_plan = plan_text(tiers.fast)
     assert "Python" not in fast_plan and "ArrowEval" not in fast_plan and "InPandas" not in fast_plan
     assert "FlatMapCoGroupsInPandas" in plan_text(tiers.slow)
+
+
+def test_fold_is_shipped_by_value():
+    """Python workers need not import this package: the ledger module (with the fold) is pickled by value."""
+    import pickle
+
+    from pyspark import cloudpickle
+    blob = cloudpickle.dumps(L._fold)
+    assert pickle.loads(blob) is not None
+    assert "equipledger.operators.ledger" in cloudpickle.cloudpickle.list_registry_pickle_by_value()
