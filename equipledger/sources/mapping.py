@@ -240,9 +240,9 @@ class MappedTables(Mapping):
         return li.select(item.alias("siz_item_id"), size.alias("size_value"), qty.alias("quantity"))
 
     def norm_requests(self) -> DataFrame:
-        """Norm upserts: parts with p_partkey % 50 = 9; FURNITURE when p_partkey % 100 = 9 (an existing norm
-        key: overwrite + re-activate), else BUILDING (a new key). quantity / period may be 0 (-> defaults)."""
-        p = self.raw("part").where(F.col("p_partkey") % 50 == 9)
+        """Norm upserts, one per part: FURNITURE when p_partkey % 100 = 9 (an existing norm key: overwrite +
+        re-activate), else BUILDING (mostly new keys, some existing). quantity / period may be 0 (-> defaults)."""
+        p = self.raw("part")
         pos = F.when(F.col("p_partkey") % 100 == 9, F.lit("FURNITURE")).otherwise(F.lit("BUILDING"))
         return p.select(F.col("p_partkey").alias("request_id"), pos.alias("position_id"),
                         _s("p_partkey").alias("siz_item_id"), (F.col("p_size") % 4).alias("quantity"),
