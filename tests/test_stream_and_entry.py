@@ -47,7 +47,8 @@ def test_entry_smoke(spark):
 
 ORACLE_SUBSET = ["card_stats", "card_stats_by_enterprise", "entitlement_counts", "positions_report",
                  "stock_totals", "latest_audit", "warehouse_staff_counts", "admit_requests", "ledger_decisions",
-                 "import_stock_summary", "norms_upsert", "patch_employees_audit", "import_items_rows"]
+                 "import_stock_summary", "norms_upsert", "patch_employees_audit", "import_items_rows",
+                 "latest_movements", "cards_search", "norms_insert_absent", "transactions_report", "adjust_stock"]
 
 
 @pytest.fixture(scope="module")
