@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings every operator relies on: UTC dates (JS "today" is a UTC date), ANSI arithmetic, last-writer-wins
@@ -46,17 +44,20 @@ def apply_conf(spark: SparkSession) -> None:
             pass
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, named by the cluster in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) do we pick our own folder; on a cluster the shared folder
-    is always the one the session names, never a machine-local temporary directory.
+    There is no fallback: a machine-local folder would be read by other executors as missing files.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="equipledger-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return d.rstrip("/")
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """Points the context's checkpoints at the shared folder and returns it."""
+    d = shared_dir(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(d)
     return d
