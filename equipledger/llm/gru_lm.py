@@ -2,7 +2,7 @@
 windows, complete-document log-likelihood.
 
 Word counts of the whole corpus give the short list (frequent words, with a learned softmax inside their class) and
-the share of every other word inside its tail class; a byte bigram model spells words never seen. Recurrent weights
+the share of every other word inside its tail class (add-one: a word never seen is one more type of it). Recurrent weights
 are trained in parallel on a fixed share of the training documents and averaged. Counts of words outside a
 bounded head are joined to the (document, word) pairs that need them, so nothing unbounded is broadcast.
 """
@@ -24,7 +24,6 @@ HEAD_BYTES = 64               # longer words are never in the head
 WORDS_IN_CLASS, CLASSES, TAILS = 32, 32, 32
 SHORT = WORDS_IN_CLASS * CLASSES
 HIDDEN = 16
-KNOWN = 0.9                   # weight of a tail word's count against its spelling
 SHARE = 32                    # one in so many training documents trains the recurrent weights
 ROUNDS, STREAMS, WINDOW, RATE = 2, 16, 32, 0.01
 CHUNK_WORDS = 120_000
@@ -58,35 +57,6 @@ def count_words(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "word string, n long").where("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def spelling(tail: DataFrame) -> np.ndarray:
-    """log10 P(byte | byte before), 257 x 257 (256: either edge), from the words of the tail, each counted once."""
-    def run(batches):
-        for b in batches:
-            c = np.zeros(257 * 257, dtype=np.int64)
-            text = b.column(0).to_pylist()
-            if text:
-                f, _ = _bigrams([w.encode() for w in text])
-                c += np.bincount(f, minlength=257 * 257)
-            k = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(c[k], pa.int64())], names=["k", "n"])
-
-    rows = tail.select("word").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    c = np.full(257 * 257, 0.01)
-    for r in rows:                # at most 257 x 257
-        c[r["k"]] += r["n"]
-    c = c.reshape(257, 257)
-    return np.log10(c / c.sum(axis=1, keepdims=True)).reshape(-1)
-
-
-def _bigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    end = np.cumsum(size + 1)                                # one edge after every word, and one in front of all
-    cp = np.full(int(end[-1]) + 1, 256, dtype=np.int64)
-    at = np.arange(int(size.sum())) + np.repeat(np.arange(len(words)), size) + 1
-    cp[at] = np.frombuffer(b"".join(words), dtype=np.uint8)
-    return cp[:-1] * 257 + cp[1:], end - size - 1
-
-
 class Gru:
     """Input rows (short list words, then tail classes) hold their three gate inputs; classes are the short list's
     ``CLASSES``, then ``TAILS``."""
@@ -222,45 +192,37 @@ class Gru:
 
 
 class Vocabulary:
-    """What every task gets: the head (word -> rank), counts, the totals of the tail classes and the spelling."""
+    """What every task gets: the head (word -> rank) with its counts, and tokens and types of the tail classes."""
 
-    def __init__(self, head: list[tuple[str, int]], total: int, distinct: int, tails: np.ndarray, spell: np.ndarray):
+    def __init__(self, head: list[tuple[str, int]], total: int, distinct: int, tails: np.ndarray, types: np.ndarray):
         head = sorted(head, key=lambda x: (-x[1], x[0]))
         self.rank = {w.encode(): i for i, (w, _) in enumerate(head)}
-        self.total, self.distinct, self.tails, self.spell = total, distinct, np.maximum(tails, 1.0), spell
+        self.total, self.distinct, self.tails = total, distinct, tails
+        self.space = tails + types + 1
         c = np.array([n for _, n in head], dtype=np.float64)
         self.short_counts = np.concatenate((c[:SHORT], np.zeros(max(0, SHORT - len(c)))))
         n = min(SHORT, len(head))
         self.row = np.arange(len(head))                       # input row
-        far = [w.encode() for w, _ in head[n:]]
-        self.row[n:] = [SHORT + tail_class(w) for w in far]
+        self.row[n:] = [SHORT + tail_class(w.encode()) for w, _ in head[n:]]
         self.inside = np.zeros(len(head))                     # log10 of what a tail word has of its class
-        if far:
-            self.inside[n:] = np.log10(KNOWN * c[n:] / self.tails[self.row[n:] - SHORT] + (1 - KNOWN) * 10 ** self.spelled(far))
+        self.inside[n:] = np.log10((c[n:] + 1) / self.space[self.row[n:] - SHORT])
         self.base = np.log10((c + 1) / (total + distinct + 1))
 
-    def spelled(self, words: list[bytes]) -> np.ndarray:
-        if not words:
-            return np.zeros(0)
-        f, at = _bigrams(words)
-        return np.maximum(np.add.reduceat(self.spell[f], at), -300.0)
-
 
 def vocabulary(counts: DataFrame) -> Vocabulary | None:
     sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     if not sums["n"]:
         return None
-    head = [(r["word"], r["n"]) for r in head_of(counts.where((F.octet_length("word") <= HEAD_BYTES)), HEAD_WORDS).collect()]
+    head = [(r["word"], r["n"]) for r in head_of(counts.where(F.octet_length("word") <= HEAD_BYTES), HEAD_WORDS).collect()]
     if END not in dict(head):
         head += [(r["word"], r["n"]) for r in counts.where(F.col("word") == END).collect()]
-    short = {w for w, _ in sorted(head, key=lambda x: (-x[1], x[0]))[:SHORT]}
-    tails = np.zeros(TAILS)
-    for r in counts.groupBy(_tail_class().alias("k")).agg(F.sum("n").alias("n")).collect():      # TAILS rows
-        tails[r["k"]] += r["n"]
-    for w, n in head:
-        if w in short:
-            tails[tail_class(w.encode())] -= n
-    return Vocabulary(head, sums["n"], sums["v"], tails, spelling(counts.where("n <= 4")))
+    tails, types = np.zeros(TAILS), np.zeros(TAILS)
+    for r in counts.groupBy(_tail_class().alias("k")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():   # TAILS rows
+        tails[r["k"]], types[r["k"]] = r["n"], r["v"]
+    for w, n in sorted(head, key=lambda x: (-x[1], x[0]))[:SHORT]:
+        tails[tail_class(w.encode())] -= n
+        types[tail_class(w.encode())] -= 1
+    return Vocabulary(head, sums["n"], sums["v"], tails, types)
 
 
 def _rows(words: list[bytes], v: Vocabulary) -> np.ndarray:
@@ -304,7 +266,7 @@ def train(docs: DataFrame, v: Vocabulary, shared) -> Gru:
 
 def _score(texts: list[bytes | None], v: Vocabulary, g: Gru):
     """Per text: tokens, known head tokens, base and model log10 of all but the counts of words outside the head, and
-    those words with how often they come and their spelling."""
+    those words with how often they come."""
     get, n_head = v.rank.get, len(v.rank)
     end = v.rank[END.encode()]
     fresh: dict[bytes, int] = {}
@@ -318,7 +280,6 @@ def _score(texts: list[bytes | None], v: Vocabulary, g: Gru):
     row = np.concatenate((v.row, np.array([SHORT + tail_class(w) for w in new], dtype=np.int64)))
     inside = np.concatenate((v.inside, np.zeros(len(new))))
     base = np.concatenate((v.base, np.zeros(len(new))))
-    spell = v.spelled(new)
     score = np.zeros(len(texts))
     order = sorted(range(len(texts)), key=lambda k: -len(ranks[k]))
     at = 0
@@ -352,7 +313,7 @@ def _score(texts: list[bytes | None], v: Vocabulary, g: Gru):
         far = r[r >= n_head] - n_head
         u, c = np.unique(far, return_counts=True) if len(far) else (far, far)
         out.append((len(r), len(r) - len(far), float(base[r].sum()), float(score[k] + inside[r].sum()),
-                    [(new[i], int(m), float(spell[i])) for i, m in zip(u.tolist(), c.tolist())]))
+                    [(new[i], m) for i, m in zip(u.tolist(), c.tolist())]))
     return out
 
 
@@ -360,12 +321,12 @@ def log_likelihood(docs: DataFrame, train_on: DataFrame) -> DataFrame:
     """Every row of ``docs``: doc_id, n_tokens, n_known, train_tokens, base_score and score (log10 P of the whole text,
     its end included). The model learns from ``train_on`` alone.
 
-    Null and empty texts have the end token only. Repeated rows are scored each; without training text the scores
-    are those of the spelling alone and n_known is 0; extra columns are ignored; an empty table gives no rows."""
+    Null and empty texts have the end token only. Repeated rows are scored each; without training text all
+    classes are alike and n_known is 0; extra columns are ignored; an empty table gives no rows."""
     counts = saved(count_words(train_on), "lm-words")
     v = vocabulary(counts)
     if v is None:
-        v = Vocabulary([(END, 0)], 0, 0, np.zeros(TAILS), np.full(257 * 257, -np.log10(257)))
+        v = Vocabulary([(END, 0)], 0, 0, np.zeros(TAILS), np.zeros(TAILS))
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(v)
     g = train(train_on, v, shared)
@@ -377,25 +338,25 @@ def log_likelihood(docs: DataFrame, train_on: DataFrame) -> DataFrame:
         g.put(weights.value)
         for b in batches:
             keys, ids = b.column(0).to_pylist(), b.column(1).to_pylist()
-            cols: list[list] = [[] for _ in range(9)]
+            cols: list[list] = [[] for _ in range(8)]
             for key, doc, (n, known, base, score, far) in zip(keys, ids, _score(b.column(2).to_pylist(), v, g)):
-                for c, x in zip(cols, (key, doc, n, known, base, score, None, None, None)):
+                for c, x in zip(cols, (key, doc, n, known, base, score, None, None)):
                     c.append(x)
-                for w, m, s in far:
-                    for c, x in zip(cols, (key, doc, None, None, None, None, w.decode("utf-8", "replace"), m, s)):
+                for w, m in far:
+                    for c, x in zip(cols, (key, doc, None, None, None, None, w.decode("utf-8", "replace"), m)):
                         c.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int64(), pa.float64()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
-                                             names=["key", "doc_id", "n_tokens", "n_known", "base", "score", "word", "m", "spell"])
+                                             names=["key", "doc_id", "n_tokens", "n_known", "base", "score", "word", "m"])
 
     rows = saved(docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "key long, doc_id long, n_tokens long, n_known long, base double, score double, word string, m long, spell double"), "lm-scores")
+        run, "key long, doc_id long, n_tokens long, n_known long, base double, score double, word string, m long"), "lm-scores")
     whole = float(v.total + v.distinct + 1)
-    tails = F.array(*[F.lit(float(x)) for x in v.tails])
+    space = F.array(*[F.lit(float(x)) for x in v.space])
     far = rows.where("word is not null").join(counts.select(F.col("word").alias("c_word"), F.col("n").alias("c")), F.col("word") == F.col("c_word"), "left")
     c = F.coalesce(F.col("c"), F.lit(0))
     far = far.select("key", F.when(c > 0, F.col("m")).otherwise(0).alias("n_known"), (F.col("m") * F.log10((c + 1) / whole)).alias("base"),
-                     (F.col("m") * F.log10(KNOWN * c / F.get(tails, _tail_class()) + (1 - KNOWN) * F.pow(F.lit(10.0), F.col("spell")))).alias("score"))
+                     (F.col("m") * F.log10((c + 1) / F.get(space, _tail_class()))).alias("score"))
     far = far.groupBy(F.col("key").alias("f_key")).agg(*[F.sum(x).alias(f"f_{x}") for x in ("n_known", "base", "score")])
     d = rows.where("word is null").join(far, F.col("key") == F.col("f_key"), "left")
     known = F.col("n_known") if v.total else F.lit(0)

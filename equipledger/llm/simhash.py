@@ -80,6 +80,7 @@ def _near(a: str, b: str, d: int):
 
 def _forest(fp: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndarray, d: int) -> list[tuple[int, int]]:
     """Edges that span the same components as all pairs (one of ``left``, one of ``right``) within distance ``d``."""
+    fp = fp.astype(np.int64).view(np.uint64)      # bit counts of signed numbers are those of their absolute values
     label, out = np.arange(len(fp)), []
     other = fp[right]
     for i in left.tolist():
