@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from equipledger.llm.common import table
+from equipledger.llm.common import saved, table
 
 K, S = 4, 2                # words of a k-mer and of its inner substrings; K - S must be 2
 PIECE = 16
@@ -92,6 +92,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     every = Window.partitionBy(F.lit(0)).orderBy("bucket")
     firsts = firsts.withColumn("before", F.coalesce(F.lag("bucket").over(every), F.max("bucket").over(Window.partitionBy(F.lit(0)))))
     firsts = firsts.select(F.col("bucket").alias("f_bucket"), "before", F.col("first.at").alias("f_at"), F.col("first.tie").alias("f_tie"))
+    firsts = saved(firsts, "first-rows")      # its size is known then: Spark broadcasts it as long as it is small
     heads = (d.join(firsts, (F.col("bucket") == F.col("f_bucket")) & (F.col("at") == F.col("f_at")) & (F.col("tie") == F.col("f_tie")))
              .select("before", F.col("text").alias("head_text")).dropDuplicates(["before"]))
     heads = with_anchors(heads, "head_text", "head_anchors").select("before", "head_text", sketch("head_anchors").alias("head_sketch"))
