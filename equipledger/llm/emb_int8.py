@@ -17,6 +17,7 @@ from equipledger.llm.components import connected_components
 
 THRESHOLD = 0.95
 TILE = 2048
+MOST_TASKS = 20_000       # tasks the tile pairs are dealt to
 ROUNDING = 1e-6           # slack for the float32 scale factors and sums around the bound
 
 
@@ -156,6 +157,9 @@ def _tile_products(reps: DataFrame, threshold: float) -> DataFrame:
             "a": pa.array(np.concatenate((ids[some], ids[i[keep]])).astype(np.int64)),
             "b": pa.array(np.concatenate((found[some].astype(np.int64), ids[jj[keep]])).astype(np.int64))})
 
+    # tile pairs are heavy on CPU and light on bytes: one task each (up to a bound), whatever their size
+    n = sum(r["tiles"] * (r["tiles"] + 1) // 2 for r in tiles.where("tiles > 0").collect())
+    sent = sent.repartition(max(1, min(n, MOST_TASKS)), "dim", "ti", "tj")
     return sent.groupBy("dim", "ti", "tj").applyInArrow(run, "kind int, a long, b long")
 
 
