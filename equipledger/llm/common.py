@@ -38,7 +38,7 @@ def sample_ids(df: DataFrame, limit: int) -> DataFrame:
 
 
 def numbered(df: DataFrame, group: list[str], order: list[str], size: str | None = None,
-             rows_per_part: int = 200_000) -> DataFrame:
+             rows_per_part: int = 10_000) -> DataFrame:
     """Adds ``slot`` (gapless from 0 within ``group``) and, if ``size`` is given, ``before`` (sum of it over the
     rows in front), without one task per group: rows are dealt to hash parts of a group, numbered inside a part and
     lifted by the totals of the parts before it. The number of parts follows the number of rows.
