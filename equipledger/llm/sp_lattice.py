@@ -13,16 +13,21 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from equipledger.llm.common import head_of, saved, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BYTE_SCORE = -100_000.0    # of a byte piece: below all others, so bytes stand only where they must
-HEAD_WORDS = 1 << 16       # words of the codebook
-CACHED_WORDS = 1 << 18     # rare words a task remembers before it starts anew
+HEAD_WORDS = 1 << 17       # words of the codebook
+CACHED_WORDS = 1 << 17     # rare words a task remembers before it starts anew
+SLICE = 256                # documents encoded together
+LONG_WORD = 48             # longer words are encoded one by one
+MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
@@ -97,6 +102,85 @@ def encode_word(word: str, pieces: Pieces) -> tuple[int, ...]:
     return tuple(i for part in reversed(out) for i in part)
 
 
+class ArrayLattice:
+    """The lattice of many words at once: their substrings are hashed length by length, joined to the piece table by
+    hash, and the best path is folded over positions for all words together. Same paths as ``encode_word``."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces, self.by_length = pieces, {}
+        for n in range(1, pieces.longest + 1):
+            own = [p for p in pieces.score if len(p) == n]
+            if not own:
+                continue
+            h = self._hash(np.array(own, dtype=f"U{n}").view(np.uint32).reshape(-1, n).astype(np.uint64))
+            order = np.argsort(h)
+            there = np.zeros(1 << 18, dtype=bool)
+            there[h >> np.uint64(46)] = True
+            self.by_length[n] = (h[order], np.array([pieces.score[p] for p in own])[order], there)
+
+    @staticmethod
+    def _mix(h, code):
+        h = (h ^ code) * MULT
+        return h ^ (h >> np.uint64(31))
+
+    def _hash(self, codes: np.ndarray) -> np.ndarray:
+        h = np.full(len(codes), 7, dtype=np.uint64)
+        for k in range(codes.shape[1]):
+            h = self._mix(h, codes[:, k])
+        return h
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        """ids of every word as little-endian int32 bytes."""
+        out = [b""] * len(words)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        for at in range(0, len(order), 4096):
+            part = order[at:at + 4096]
+            short = [i for i in part if 0 < len(words[i]) <= LONG_WORD]
+            for i in part:
+                if len(words[i]) > LONG_WORD:
+                    out[i] = np.array(encode_word(words[i], self.pieces), dtype="<i4").tobytes()
+            for i, ids in zip(short, self._paths([words[i] for i in short])):
+                out[i] = ids
+        return out
+
+    def _paths(self, words: list[str]):
+        if not words:
+            return
+        n, number, own = max(map(len, words)), self.pieces.number, self.pieces.own
+        codes = np.array(words, dtype=f"U{n}").view(np.uint32).reshape(-1, n).astype(np.uint64)
+        size = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF).astype(np.int64)
+        h = np.full(codes.shape, 7, dtype=np.uint64)
+        scores = []
+        for k in range(1, min(self.pieces.longest, n) + 1):
+            h = self._mix(h[:, :n - k + 1], codes[:, k - 1:])
+            s = BYTE_SCORE * size if k == 1 else np.full(h.shape, -np.inf)
+            if k in self.by_length:
+                key, score, there = self.by_length[k]
+                flat = h.reshape(-1)
+                maybe = np.flatnonzero(there[flat >> np.uint64(46)])
+                pos = np.minimum(np.searchsorted(key, flat[maybe]), len(key) - 1)
+                hit = key[pos] == flat[maybe]
+                s.reshape(-1)[maybe[hit]] = score[pos[hit]]
+            scores.append(s)
+        best = np.full((len(words), n + 1), -np.inf)
+        best[:, 0] = 0.0
+        back = np.zeros((len(words), n + 1), dtype=np.int8)
+        for z in range(1, n + 1):
+            for k in range(1, min(len(scores), z) + 1):
+                new = best[:, z - k] + scores[k - 1][:, z - k]
+                up = new > best[:, z]
+                best[up, z] = new[up]
+                back[up, z] = k
+        for w, steps in zip(words, back.tolist()):
+            ids, z = [], len(w)
+            while z:
+                a = z - steps[z]
+                i = number.get(w[a:z])
+                ids.append([i] if i is not None else [own[b] for b in w[a:z].encode("utf-8", "surrogatepass")])
+                z = a
+            yield np.array([i for part in reversed(ids) for i in part], dtype="<i4").tobytes()
+
+
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     """``(word)``, distinct, neither null nor empty -> ``(word, ids)``: the same best path, in relations.
 
@@ -157,34 +241,40 @@ def codebook(docs: DataFrame, pieces: Pieces, limit: int = HEAD_WORDS) -> DataFr
     return lattice(head.select("word"), pieces)
 
 
-def encode(docs: DataFrame, path: str = MODEL, head_words: int = HEAD_WORDS) -> DataFrame:
-    """``docs`` with ids (array of piece ids of the whole text) and n_pieces; same rows, all columns (columns of these
-    two names are replaced). Null and empty texts have no pieces. Texts stay in their partitions."""
+def encode(docs: DataFrame, path: str = MODEL, head_words: int = HEAD_WORDS, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with ids (array of piece ids of the whole text), n_pieces and round_trip (the ids' bytes are the text);
+    same rows, all columns or those of ``keep`` (columns of the three names are replaced). Null and empty texts have
+    no pieces. Texts stay in their partitions."""
     pieces = load_pieces(path)
     spark = docs.sparkSession
     t = codebook(docs, pieces, head_words).toArrow()       # at most head_words rows
-    known = spark.sparkContext.broadcast((pieces, dict(zip(t["word"].to_pylist(), map(tuple, t["ids"].to_pylist())))))
-    seen: dict[str, tuple[int, ...]] = {}
+    head = {w: np.array(x, dtype="<i4").tobytes() for w, x in zip(t["word"].to_pylist(), t["ids"].to_pylist())}
+    known = spark.sparkContext.broadcast((pieces, head))
+    own = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "n_pieces", "round_trip")]
 
-    @F.pandas_udf("array<int>")
-    def ids(texts):
-        import numpy as np
-        import pandas as pd
+    def run(batches):
         pieces, head = known.value
-        cut, out = re.compile(pieces.pattern), []
-        for t in texts:
-            got: list[int] = []
-            for w in words_of(t if isinstance(t, str) else None, cut):
-                x = head.get(w) or seen.get(w)
-                if x is None:
-                    if len(seen) >= CACHED_WORDS:
-                        seen.clear()
-                    x = seen[w] = encode_word(w, pieces)
-                got += x
-            out.append(np.array(got, dtype=np.int32))
-        return pd.Series(out)
-
-    return docs.withColumn("ids", ids.asNondeterministic()("text")).withColumn("n_pieces", F.size("ids").cast("long"))
+        array, cut, seen, raw = ArrayLattice(pieces), re.compile(pieces.pattern), {}, pieces.text
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
+                texts = b.column(b.num_columns - 1).to_pylist()
+                split = [words_of(x, cut) for x in texts]
+                if len(seen) > CACHED_WORDS:
+                    seen = {}
+                new = list({w for ws in split for w in ws if w not in head and w not in seen})
+                seen.update(zip(new, array.encode(new)))
+                ids = [np.frombuffer(b"".join([head.get(w) or seen[w] for w in ws]), dtype="<i4") for ws in split]
+                same = [b"".join([raw[i] for i in x.tolist()])[1:] == (t or "").encode("utf-8", "surrogatepass") for x, t in zip(ids, texts)]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [*b.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), values), pa.array(np.diff(ends), pa.int64()), pa.array(same)],
+                    names=[*own, "ids", "n_pieces", "round_trip"])
+
+    schema = T.StructType([*[docs.schema[c] for c in own], T.StructField("ids", T.ArrayType(T.IntegerType())),
+                           T.StructField("n_pieces", T.LongType()), T.StructField("round_trip", T.BooleanType())])
+    return docs.select(*own, F.col("text").alias("text__")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
@@ -201,5 +291,4 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return d.select("doc_id", "n_pieces", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    return encode(table(spark, sf_dir, "documents"), keep=["doc_id"])

@@ -314,6 +314,8 @@ def test_lattice_is_the_brute_force_best_path(spark):
     words = [" the", "ing", " 的x", "ñ▁", "...!!", "  hello", " internationalization", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "\n", "é́", "👩‍🚀", "x" * 60]
     got = {r.word: tuple(r.ids) for r in sp_lattice.lattice(spark.createDataFrame([(w,) for w in words], "word string"), pieces).collect()}
     assert got == {w: sp_lattice.encode_word(w, pieces) for w in words}
+    more = [*words, "", "y" * 200, "a\x00", *{"".join(x) for x in np.random.default_rng(1).choice(list(" theraoinñ.的\n1"), (3000, 9))}]
+    assert sp_lattice.ArrayLattice(pieces).encode(more) == [np.array(sp_lattice.encode_word(w, pieces), dtype="<i4").tobytes() for w in more]
 
     def paths(w):
         if not w:
@@ -333,7 +335,7 @@ def test_lattice_is_the_brute_force_best_path(spark):
 def test_pieces_round_trip(spark, documents, odd, nothing):
     for docs in (documents, odd):
         d = sp_lattice.decode(sp_lattice.encode(docs, head_words=500))
-        assert all(r.decoded == (r.text or "") and r.n_pieces == len(r.ids) for r in d.collect())
+        assert all(r.round_trip and r.decoded == (r.text or "") and r.n_pieces == len(r.ids) for r in d.collect())
     pieces = sp_lattice.load_pieces()
     cut = re.compile(pieces.pattern)
     want = {r.doc_id: [i for w in sp_lattice.words_of(r.text, cut) for i in sp_lattice.encode_word(w, pieces)] for r in documents.collect()}
