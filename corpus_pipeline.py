@@ -6,14 +6,13 @@ Every function takes (spark, docs, sf_dir). All stages but the last return the c
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from equipledger.llm.common import saved, table
 from equipledger.llm.kn_quality import keep_quality
 from equipledger.llm.pfair import mixed
 from equipledger.llm.pii import mask_pii
 from equipledger.llm.simhash import drop_near_duplicates
-from equipledger.llm.sp_lattice import decode, encode
+from equipledger.llm.sp_lattice import encode
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +37,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_pieces, ids and whether decoding gives the text back."""
-    d = decode(encode(docs))
-    return d.select("doc_id", "lang", "source", "n_pieces", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    return encode(docs, keep=["doc_id", "lang", "source"])
 
 
 STAGES = [
