@@ -73,14 +73,24 @@ def soft_delete(cur: DataFrame, ids: DataFrame, table: str, actor: str | None =
 
 
 def hard_delete(cur: DataFrame, ids: DataFrame, table: str, actor: str | None = "actor_id") -> Change:
-    """M4: rows removed; audit 'delete' holding the deleted row ({deleted_entry: row})."""
-    req = ids.select(F.col("id").alias("__id"), *([F.col(actor).alias("__actor")] if actor else []))
+    """M4: rows removed; audit 'delete' holding the deleted row ({deleted_entry: row}). A request that names a
+    warehouse removes the row only there; elsewhere it is 'not_found'."""
+    req = ids.select(F.col("id").alias("__id"), *([F.col(actor).alias("__actor")] if actor else []),
+                     *([F.col("warehouse_id").alias("__wh")] if "warehouse_id" in ids.columns else []))
+    if "__wh" in req.columns and "warehouse_id" in cur.columns:
+        there = cur.select(F.col("id").alias("__id"), F.col("warehouse_id").alias("__at"))
+        named = req.join(there, "__id", "left")
+        fits = F.coalesce(F.col("__wh").isNull() | (F.col("__wh") == F.col("__at")), F.lit(False))
+        lost = named.where(F.col("__at").isNotNull() & ~fits).select("__id")
+        req = named.where(F.col("__at").isNull() | fits).drop("__wh", "__at")
+    else:
+        lost = req.select("__id").limit(0)
     gone = cur.join(req, cur["id"] == req["__id"])
     entry = F.to_json(F.struct(F.struct(*[F.col(c) for c in cur.columns]).alias("deleted_entry")),
                       {"ignoreNullFields": "false"})
     audit = audit_rows(gone, table, "delete", "id", entry, "__actor" if actor else None, salt="id")
     new = cur.join(req.select("__id"), cur["id"] == F.col("__id"), "left_anti")
-    rejected = req.join(cur.select(F.col("id").alias("__id")), "__id", "left_anti") \
+    rejected = req.join(cur.select(F.col("id").alias("__id")), "__id", "left_anti").select("__id").unionByName(lost) \
         .select(F.col("__id").alias("id"), F.lit("not_found").alias("reason"))
     return Change(new, audit, rejected)
 

@@ -20,17 +20,18 @@ def read_import(spark: SparkSession, path: str, table: str, wrapped: bool = True
     ``wrapped``: each JSON document is ``{"rows": [...], ...}`` (the request body form), exploded to one row
     per entry; the document's other top-level fields (warehouse_id, document_reference) are carried along.
     Otherwise the files are JSON lines, one row each. Values arrive as text, as numbers may in a body.
+    A document that cannot be parsed fails the import; it is never skipped.
     """
     row_schema = SCHEMAS[table]
     if wrapped:
         doc = T.StructType([T.StructField("rows", T.ArrayType(row_schema)),
                             T.StructField("warehouse_id", T.StringType()),
                             T.StructField("document_reference", T.StringType())])
-        df = spark.read.schema(doc).option("multiLine", "true").json(path)
+        df = spark.read.schema(doc).option("multiLine", "true").option("mode", "FAILFAST").json(path)
         df = df.select("warehouse_id", "document_reference", F.explode("rows").alias("r")).select(
             "warehouse_id", "document_reference", "r.*")
     else:
-        df = spark.read.schema(row_schema).json(path)
+        df = spark.read.schema(row_schema).option("mode", "FAILFAST").json(path)
     if check_empty and df.limit(1).count() == 0:
         raise EmptyPayload(path)
     return df

@@ -61,3 +61,34 @@ def test_touch_updated_at(spark):
     ts = F.lit(dt.datetime(2024, 5, 1))
     out = {r.id: r.updated_at for r in M.touch_updated_at(df, F.col("changed"), ts).collect()}
     assert out == {1: dt.datetime(2024, 5, 1), 2: None}
+
+
+def test_unreadable_pointer_and_payload_are_errors(spark, scratch):
+    import os
+
+    import pytest
+
+    from equipledger.sources import tables as T
+    from equipledger.sources.imports import read_import
+    assert T.current_version(spark, scratch, "positions") is None
+    os.makedirs(f"{scratch}/positions/{T.POINTER}")
+    with open(f"{scratch}/positions/{T.POINTER}/part-0.json", "w") as f:
+        f.write('{"versio')
+    with pytest.raises(Exception):
+        T.read_snapshot(spark, scratch, "positions")
+    os.makedirs(f"{scratch}/payload")
+    for name, text in (("a.json", '{"rows": [{"name": "x"}]}'), ("b.json", '{"rows": [{"name": ')):
+        with open(f"{scratch}/payload/{name}", "w") as f:
+            f.write(text)
+    with pytest.raises(Exception):
+        read_import(spark, f"{scratch}/payload", "positions").collect()
+
+
+def test_hard_delete_only_in_the_named_warehouse(spark):
+    from equipledger.operators.changes import hard_delete
+    cur = spark.createDataFrame([("1", "W1", 5), ("2", "W2", 6)], "id string, warehouse_id string, quantity int")
+    req = spark.createDataFrame([("1", "W9", "u"), ("2", "W2", "u"), ("3", "W1", "u")], "id string, warehouse_id string, actor_id string")
+    c = hard_delete(cur, req, "warehouse_stock")
+    out = [f for f in c if hasattr(f, "columns")] if isinstance(c, tuple) else [c.new, c.audit, c.rejected]
+    assert [r.id for r in out[0].collect()] == ["1"]
+    assert sorted(r.id for r in out[2].collect()) == ["1", "3"]
