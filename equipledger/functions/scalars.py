@@ -66,17 +66,25 @@ def js_falsy(c: Column, numeric: bool = False) -> Column:
     return c.isNull() | (c.cast("string") == "")
 
 
-def js_parse_int(s: Column | str) -> Column:
-    """C11, JS ``parseInt``: leading (signed) digits after white space; NULL stands for NaN."""
-    s = F.col(s) if isinstance(s, str) else s
-    digits = F.regexp_extract(s.cast("string"), r"^\s*([+-]?\d+)", 1)
-    return F.when(digits != "", digits.try_cast("int"))
+# White space as ECMAScript defines it (fixed values): Java's \\s knows the ASCII ones only.
+JS_SPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+
+
+def js_parse_int(s: Column | str, dtype: str = "int") -> Column:
+    """C11, JS ``parseInt``: leading (signed) digits, or hex digits after 0x, behind white space. NULL stands for
+    NaN, and for a number that ``dtype`` cannot hold."""
+    s = (F.col(s) if isinstance(s, str) else s).cast("string")
+    sign = F.regexp_extract(s, f"^{JS_SPACE}*(-?)", 1)
+    hexa = F.conv(F.regexp_extract(s, f"^{JS_SPACE}*[+-]?0[xX]([0-9a-fA-F]+)", 1), 16, 10)
+    digits = F.when(s.rlike(f"^{JS_SPACE}*[+-]?0[xX]"), F.concat(sign, hexa)).otherwise(
+        F.regexp_extract(s, f"^{JS_SPACE}*([+-]?[0-9]+)", 1))
+    return F.when(digits != "", digits.try_cast(dtype))
 
 
 def js_parse_float(s: Column | str) -> Column:
     """JS ``parseFloat``: the longest leading decimal literal; NULL stands for NaN."""
     s = F.col(s) if isinstance(s, str) else s
-    lit = F.regexp_extract(s.cast("string"), r"^\s*([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)", 1)
+    lit = F.regexp_extract(s.cast("string"), rf"^{JS_SPACE}*([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)", 1)
     return F.when(lit != "", lit.try_cast("double"))
 
 
@@ -88,7 +96,7 @@ def js_round(x: Column) -> Column:
 def js_trim(s: Column | str) -> Column:
     """C14, JS ``String.trim``: strips all white space (Spark ``trim`` strips spaces only)."""
     s = F.col(s) if isinstance(s, str) else s
-    return F.regexp_replace(s, r"^\s+|\s+$", "")
+    return F.regexp_replace(s, f"^{JS_SPACE}+|{JS_SPACE}+$", "")
 
 
 def ilike_contains(c: Column | str, text: str) -> Column:

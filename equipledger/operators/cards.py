@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from equipledger.functions.scalars import (SOURCE_EMPLOYEE, SOURCE_WAREHOUSE, STATUS_EXPIRED, STATUS_IN_STOCK,
                                            card_status, exploitation_end, typed_null, within_days)
 from equipledger.operators.filters import active_holdings, in_stock
-from equipledger.plans.joins import DEFAULT_BROADCAST_ROWS, within_rows
 
 CARD_COLUMNS = [
     "id", "source_type", "siz_item_id", "item_name", "item_code", "unit", "exploitation_months",
@@ -26,15 +25,9 @@ CARD_COLUMNS = [
 ]
 
 
-def _dim(df: DataFrame, *cols, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Project a dimension to the needed columns; broadcast it when its row count is proven small."""
-    out = df.select(*cols)
-    return F.broadcast(out) if within_rows(df, max_rows) else out
-
-
 def item_labels(items: DataFrame, categories: DataFrame) -> DataFrame:
     """Item with its category name (item INNER side of the cards, category LEFT)."""
-    cat = _dim(categories, F.col("id").alias("__cat"), F.col("name").alias("category_name"))
+    cat = categories.select(F.col("id").alias("__cat"), F.col("name").alias("category_name"))
     i = items.select(F.col("id").alias("siz_item_id"), F.col("name").alias("item_name"),
                      F.col("code").alias("item_code"), "unit", "exploitation_months", "category_id")
     return i.join(cat, i["category_id"] == cat["__cat"], "left").drop("__cat", "category_id")
@@ -42,9 +35,9 @@ def item_labels(items: DataFrame, categories: DataFrame) -> DataFrame:
 
 def warehouse_enterprise(warehouses: DataFrame, enterprises: DataFrame, spbipk: DataFrame) -> DataFrame:
     """The warehouse's enterprise, directly or else through its spbipk (``enterprise_fk``, name)."""
-    ent_w = _dim(enterprises, F.col("id").alias("__ew"), F.col("name").alias("__ew_name"))
-    sp = _dim(spbipk, F.col("id").alias("__sp"), F.col("enterprise_id").alias("__sp_ent"))
-    ent_sp = _dim(enterprises, F.col("id").alias("__es"), F.col("name").alias("__es_name"))
+    ent_w = enterprises.select(F.col("id").alias("__ew"), F.col("name").alias("__ew_name"))
+    sp = spbipk.select(F.col("id").alias("__sp"), F.col("enterprise_id").alias("__sp_ent"))
+    ent_sp = enterprises.select(F.col("id").alias("__es"), F.col("name").alias("__es_name"))
     w = (warehouses
          .join(ent_w, warehouses["enterprise_id"] == ent_w["__ew"], "left")
          .join(sp, warehouses["spbipk_id"] == sp["__sp"], "left"))
@@ -62,12 +55,10 @@ def stock_cards(t: Mapping[str, DataFrame]) -> DataFrame:
     wh = warehouse_enterprise(
         t["warehouses"].select("id", "name", "warehouse_type", "enterprise_id", "res_unit_id", "spbipk_id"),
         t["enterprises"], t["spbipk"])
-    res = _dim(t["res_units"], F.col("id").alias("__r"), F.col("name").alias("res_name"))
+    res = t["res_units"].select(F.col("id").alias("__r"), F.col("name").alias("res_name"))
     wh = (wh.join(res, wh["res_unit_id"] == res["__r"], "left")
           .select(F.col("id").alias("warehouse_id"), F.col("name").alias("warehouse_name"), "warehouse_type",
                   "enterprise_id", "res_unit_id", "enterprise_fk", "enterprise_name", "res_name"))
-    if within_rows(t["warehouses"], DEFAULT_BROADCAST_ROWS):
-        wh = F.broadcast(wh)
     j = ws.join(items, "siz_item_id").join(wh, "warehouse_id")
     return j.select(
         "id", F.lit(SOURCE_WAREHOUSE).alias("source_type"), "siz_item_id", "item_name", "item_code", "unit",
@@ -85,11 +76,11 @@ def employee_labels(t: Mapping[str, DataFrame]) -> DataFrame:
     """Employee with enterprise, res unit, department and position names (all LEFT)."""
     e = t["employees"].select(F.col("id").alias("employee_id"), "last_name", "first_name", "middle_name",
                               "enterprise_id", "res_unit_id", "department_id", "position_id")
-    ent = _dim(t["enterprises"], F.col("id").alias("__e"), F.col("id").alias("enterprise_fk"),
+    ent = t["enterprises"].select(F.col("id").alias("__e"), F.col("id").alias("enterprise_fk"),
                F.col("name").alias("enterprise_name"))
-    res = _dim(t["res_units"], F.col("id").alias("__r"), F.col("name").alias("res_name"))
-    dep = _dim(t["departments"], F.col("id").alias("__d"), F.col("name").alias("department_name"))
-    pos = _dim(t["positions"], F.col("id").alias("__p"), F.col("name").alias("position_name"))
+    res = t["res_units"].select(F.col("id").alias("__r"), F.col("name").alias("res_name"))
+    dep = t["departments"].select(F.col("id").alias("__d"), F.col("name").alias("department_name"))
+    pos = t["positions"].select(F.col("id").alias("__p"), F.col("name").alias("position_name"))
     e = (e.join(ent, e["enterprise_id"] == ent["__e"], "left")
           .join(res, e["res_unit_id"] == res["__r"], "left")
           .join(dep, e["department_id"] == dep["__d"], "left")
@@ -103,7 +94,7 @@ def holding_cards(t: Mapping[str, DataFrame], as_of=None) -> DataFrame:
         F.col("id").cast("string").alias("id"), "siz_item_id", "size_value", "quantity", "exploitation_start",
         "issued_date", "employee_id", F.col("from_warehouse_id"))
     items = item_labels(t["siz_items"], t["siz_categories"])
-    wf = _dim(t["warehouses"], F.col("id").alias("__wf"), F.col("id").alias("warehouse_id"),
+    wf = t["warehouses"].select(F.col("id").alias("__wf"), F.col("id").alias("warehouse_id"),
               F.col("name").alias("warehouse_name"), "warehouse_type")
     emp = employee_labels(t)
     j = (h.join(items, "siz_item_id")
@@ -125,6 +116,25 @@ def equipment_cards(t: Mapping[str, DataFrame], as_of=None) -> DataFrame:
     return stock_cards(t).unionByName(holding_cards(t, as_of))
 
 
+def card_core(t: Mapping[str, DataFrame], as_of=None) -> DataFrame:
+    """What counting and scoping need of every card: source, status, end and the two scope columns. Only the INNER
+    sides of the card view are joined (they decide which cards exist); no label is."""
+    items = t["siz_items"].select(F.col("id").alias("siz_item_id"), "exploitation_months")
+    scope = ["enterprise_id", "res_unit_id"]
+    stock = (in_stock(t["warehouse_stock"]).select("siz_item_id", "warehouse_id")
+             .join(items.select("siz_item_id"), "siz_item_id")
+             .join(t["warehouses"].select(F.col("id").alias("warehouse_id"), *scope), "warehouse_id")
+             .select(F.lit(SOURCE_WAREHOUSE).alias("source_type"), F.lit(STATUS_IN_STOCK).alias("status"),
+                     typed_null("date").alias("exploitation_end"), *scope))
+    end = exploitation_end("exploitation_start", "exploitation_months")
+    held = (active_holdings(t["employee_siz"]).select("siz_item_id", "employee_id", "exploitation_start")
+            .join(items, "siz_item_id")
+            .join(t["employees"].select(F.col("id").alias("employee_id"), *scope), "employee_id")
+            .select(F.lit(SOURCE_EMPLOYEE).alias("source_type"), card_status(end, as_of).alias("status"),
+                    end.alias("exploitation_end"), *scope))
+    return stock.unionByName(held)
+
+
 def card_stats_aggs(as_of=None) -> list:
     """The five A2 counters as aggregate expressions (row counts, not quantities)."""
     src, st = F.col("source_type"), F.col("status")

@@ -97,68 +97,100 @@ def hard_delete(cur: DataFrame, ids: DataFrame, table: str, actor: str | None =
 
 # ---------------------------------------------------------------- M2 + D1
 
+def _canonical(doc: Column) -> Column:
+    """JSON text in one spelling: members sorted, no white space; text that is no JSON stays as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(doc)), doc)
+
+
 def diff_changes(old: dict[str, Column], new: dict[str, Column], supplied: Column, extra_patch: Column | None = None
                  ) -> Column:
-    """``{field: {old, new}}`` for every *supplied* field whose value differs (NULL-safe; JSON values
-    compared as text). ``extra`` compares the whole old object with the patch and records the patch as new."""
+    """``{field: {old, new}}`` for every *supplied* field whose value differs (NULL-safe). ``extra`` compares
+    the whole old object with the patch (member order and white space do not count) and records the patch as new."""
     parts = []
     for name in new:
         changed = F.array_contains(supplied, name) & ~(old[name].cast("string").eqNullSafe(new[name].cast("string")))
         obj = F.to_json(F.struct(old[name].alias("old"), new[name].alias("new")), {"ignoreNullFields": "false"})
         parts.append(F.when(changed, F.concat(F.lit(F"\"{name}\":"), obj)))
     if extra_patch is not None:
-        changed = extra_patch.isNotNull() & ~F.coalesce(old["extra"], F.lit("null")).eqNullSafe(extra_patch)
-        obj = F.concat(F.lit('{"old":'), F.coalesce(old["extra"], F.lit("null")), F.lit(',"new":'), extra_patch,
-                       F.lit("}"))
+        before = F.coalesce(old["extra"], F.lit("null"))
+        changed = extra_patch.isNotNull() & ~_canonical(before).eqNullSafe(_canonical(extra_patch))
+        obj = F.concat(F.lit('{"old":'), before, F.lit(',"new":'), extra_patch, F.lit("}"))
         parts.append(F.when(changed, F.concat(F.lit('"extra":'), obj)))
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
+def _member_map(pairs: Column) -> Column:
+    """``array<struct<key, value>>`` (value: JSON text) as a JSON object, members in key order."""
+    m = F.map_from_entries(F.sort_array(pairs))
+    return F.to_json(F.transform_values(m, lambda _, v: F.parse_json(v)))
+
+
+def _extra_states(ok: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From the accepted patches ``(id, __req, __p_extra)``: what all of them together set, per id, and what the
+    requests before each one set, per (id, request). Members are handled one by one, so the requests of a hot id
+    are spread over its members; an array only ever holds the members of one object."""
+    m = ok.where(F.col("__merge")).select("id", "__req", F.explode(F.from_json("__p_extra", "map<string,variant>")))
+    m = m.select("id", "__req", "key", F.coalesce(F.to_json("value"), F.lit("null")).alias("value"))
+    entry = F.struct("key", "value")
+    total = (m.groupBy("id", "key").agg(F.max_by("value", "__req").alias("value"))
+              .groupBy("id").agg(_member_map(F.collect_list(entry)).alias("__all")))
+    reqs = ok.where(F.col("__p_extra").isNotNull()).select("id", "__req")
+    grid = (reqs.join(m.select("id", "key").distinct(), "id").join(m, ["id", "__req", "key"], "left"))
+    w = Window.partitionBy("id", "key").orderBy("__req").rowsBetween(Window.unboundedPreceding, -1)
+    before = grid.select("id", "__req", "key", F.last("value", ignorenulls=True).over(w).alias("value"))
+    before = (before.where(F.col("value").isNotNull()).groupBy("id", "__req")
+                    .agg(_member_map(F.collect_list(entry)).alias("__before")))
+    return total, before
+
+
 def patch_rows(cur: DataFrame, patches: DataFrame, table: str, fields_col: str = "set_fields",
                actor: str | None = "actor_id", request_id: str = "request_id") -> Change:
     """M2: only the supplied fields change (``set_fields`` lists them: NULL is a legal new value, so presence
-    needs its own flag); ``extra`` is merged (C8) when the patch is a non-empty object. Unknown id -> rejected
-    'not_found'; nothing supplied -> 'no_data'; a second patch of one id in the same batch -> 'duplicate'
-    (apply it in the next batch). Audit 'update' with D1."""
-    cols = [c for c in cur.columns if c not in ("id", "extra")]
+    needs its own flag); ``extra`` is merged (C8) when the patch is a non-empty object. All patches of an id apply,
+    in the order of ``request_id`` (which is unique): the new row takes each field from the last patch that supplies
+    it, and each audit row 'update' holds D1 against the state that the patches before it left. Unknown id ->
+    rejected 'not_found'; nothing supplied -> 'no_data'. Empty inputs give empty results."""
+    cols = [c for c in cur.columns if c not in ("id", "extra") and c in patches.columns]
     has_extra = "extra" in cur.columns and "extra" in patches.columns
-    p = patches.select("id", fields_col, request_id, *([actor] if actor else []),
-                       *[F.col(c).alias("__p_" + c) for c in cols if c in patches.columns],
-                       *([F.col("extra").alias("__p_extra")] if has_extra else []))
-    dup_w = Window.partitionBy("id").orderBy(F.col(request_id))
-    p = p.withColumn("__n", F.row_number().over(dup_w))
-    extra_given = (F.col("__p_extra").isNotNull() & (F.trim(F.col("__p_extra")) != "{}")) if has_extra else F.lit(False)
-    supplied = F.filter(F.coalesce(F.col(fields_col), F.array().cast("array<string>")),
-                        lambda f: f.isin(*cols)) if cols else F.array().cast("array<string>")
-    p = p.withColumn("__supplied", supplied)
-    j = p.join(cur.withColumn("__cur_present", F.lit(True)), "id", "left")
-    reason = (F.when(F.col("__n") > 1, "duplicate").when(F.col("__cur_present").isNull(), "not_found")
-               .when((F.size("__supplied") == 0) & ~extra_given, "no_data"))
-    j = j.withColumn("__reason", reason)
-    ok = j.where(F.col("__reason").isNull())
-    rejected = j.where(F.col("__reason").isNotNull()).select("id", request_id, F.col("__reason").alias("reason"))
-    newcols = {}
+    given = F.col("extra") if has_extra else F.lit(None).cast("string")
+    empty_array = F.array().cast("array<string>")
+    p = patches.select(
+        "id", F.col(request_id).alias("__req"), (F.col(actor) if actor else F.lit(None)).alias("__actor"),
+        F.filter(F.coalesce(F.col(fields_col), empty_array), lambda f: f.isin(*cols)).alias("__supplied"),
+        given.alias("__p_extra"), F.coalesce(F.trim(given) != "{}", F.lit(False)).alias("__merge"),
+        *[F.col(c).cast(cur.schema[c].dataType).alias("__p_" + c) for c in cols])
+    stored = cur.select("id", F.lit(True).alias("__found"), *[F.col(c).alias("__c_" + c) for c in cols],
+                        (F.col("extra") if "extra" in cur.columns else F.lit(None).cast("string")).alias("__c_extra"))
+    j = p.join(stored, "id", "left")
+    reason = F.when(F.col("__found").isNull(), "not_found").when(
+        (F.size("__supplied") == 0) & ~F.col("__merge"), "no_data")
+    rejected = j.where(reason.isNotNull()).select("id", F.col("__req").alias(request_id), reason.alias("reason"))
+    ok = j.where(reason.isNull())
+
+    sets = {c: F.array_contains("__supplied", c) for c in cols}
+    last = ok.groupBy("id").agg(F.count(F.lit(1)).alias("__n"), *[
+        F.max_by(F.struct(F.col("__p_" + c).alias("v")), F.when(sets[c], F.col("__req"))).alias("__n_" + c)
+        for c in cols])
+    new = cur.join(last, "id", "left")
+    values = {c: F.when(F.col("__n_" + c).isNotNull(), F.col(f"__n_{c}.v")).otherwise(F.col(c)) for c in cols}
+
+    w = Window.partitionBy("id").orderBy("__req").rowsBetween(Window.unboundedPreceding, -1)
+    old = {}
     for c in cols:
-        if "__p_" + c in p.columns:
-            newcols[c] = F.when(F.array_contains("__supplied", c), F.col("__p_" + c).cast(cur.schema[c].dataType)) \
-                .otherwise(F.col(c))
-        else:
-            newcols[c] = F.col(c)
-    if "extra" in cur.columns:
-        newcols["extra"] = (F.when(extra_given, json_merge(F.col("extra"), F.col("__p_extra"))).otherwise(F.col("extra"))
-                            if has_extra else F.col("extra"))
-    updated = ok.select("id", *[v.alias(k) for k, v in newcols.items()])
-    patched = [c for c in cols if "__p_" + c in p.columns]
-    old_vals = {c: F.col(c) for c in patched}
-    if "extra" in cur.columns:
-        old_vals["extra"] = F.col("extra")
-    new_vals = {c: F.col("__p_" + c).cast(cur.schema[c].dataType) for c in patched}
-    d = diff_changes(old_vals, new_vals, F.col("__supplied"),
-                     F.when(extra_given, F.col("__p_extra")) if has_extra else None)
-    audit = audit_rows(ok, table, "update", "id", d, actor, salt=request_id)
-    upd = updated.select(*cur.columns)
-    untouched = cur.join(updated.select(F.col("id").alias("__u")), cur["id"] == F.col("__u"), "left_anti")
-    return Change(untouched.unionByName(upd), audit, rejected)
+        prior = F.last(F.when(sets[c], F.struct(F.col("__p_" + c).alias("v"))), ignorenulls=True).over(w)
+        ok = ok.withColumn("__o_" + c, F.coalesce(prior, F.struct(F.col("__c_" + c).alias("v"))))
+        old[c] = F.col(f"__o_{c}.v")
+    if has_extra:
+        total, before = _extra_states(ok.select("id", "__req", "__p_extra", "__merge"))
+        new = new.join(total, "id", "left")
+        values["extra"] = F.when(F.col("__all").isNotNull(), json_merge("extra", "__all")).otherwise(F.col("extra"))
+        ok = ok.join(before, ["id", "__req"], "left")
+        old["extra"] = F.when(F.col("__before").isNotNull(), json_merge("__c_extra", "__before")) \
+            .otherwise(F.col("__c_extra"))
+    d = diff_changes(old, {c: F.col("__p_" + c) for c in cols}, F.col("__supplied"),
+                     F.col("__p_extra") if has_extra else None)
+    audit = audit_rows(ok, table, "update", "id", d, "__actor", salt="__req")
+    return Change(new.select(*[values.get(c, F.col(c)).alias(c) for c in cur.columns]), audit, rejected)
 
 
 # ---------------------------------------------------------------- keyed upserts M5-M8
@@ -177,9 +209,9 @@ def upsert_replace(cur: DataFrame, rows: DataFrame, keys: list[str], order: str,
                    reactivate: bool = True) -> DataFrame:
     """M6 / M8: insert, or on a key conflict overwrite ``set_cols`` (and re-activate). Within the batch the
     last request per key wins (ordered by ``order``); the stored row's id and other columns survive."""
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    last = rows.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
-    last = last.select(*keys, F.lit(True).alias("__hit"), *[v.alias("__n_" + k) for k, v in set_cols.items()])
+    put = F.struct(*[v.alias("__n_" + k) for k, v in set_cols.items()])
+    last = rows.groupBy(*keys).agg(F.max_by(put, F.col(order)).alias("__put"))
+    last = last.select(*keys, F.lit(True).alias("__hit"), "__put.*")
     j = cur.join(last, keys, "full")
     hit = F.coalesce(F.col("__hit"), F.lit(False))
     out = []
@@ -207,33 +239,40 @@ def upsert_norms(norms: DataFrame, requests: DataFrame, order: str = "request_id
 
 
 def insert_absent(cur: DataFrame, rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """M7: ``ON CONFLICT DO NOTHING``: first request per key (in ``order``), then only keys not stored yet.
+    """M7: ``ON CONFLICT DO NOTHING``: the first request per key (in ``order``; without one, the least row by its
+    values, so that every run keeps the same one), then only keys not stored yet. ``order`` itself is not stored.
     Idempotent: applying the same rows twice changes nothing."""
-    if order:
-        w = Window.partitionBy(*keys).orderBy(F.col(order))
-        rows = rows.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
-    else:
-        rows = rows.dropDuplicates(keys)
+    others = [c for c in rows.columns if c not in keys and c != order]
+    first = F.min(F.struct(*([F.col(order).alias("__order")] if order else []), F.lit(0).alias("__tie"),
+                           *[F.col(c) for c in others]))
+    rows = rows.groupBy(*keys).agg(first.alias("__first")).select(*keys, *[F.col(f"__first.{c}") for c in others])
     new = rows.join(cur.select(*keys), keys, "left_anti")
     if "id" in cur.columns and "id" not in new.columns:
         new = new.withColumn("id", stable_id(*keys))
     return cur.unionByName(new, allowMissingColumns=True)
 
 
-def set_quantity(stock: DataFrame, rows: DataFrame, actor: str | None = "actor_id") -> Change:
+def set_quantity(stock: DataFrame, rows: DataFrame, actor: str | None = "actor_id", request_id: str = "request_id"
+                 ) -> Change:
     """M9: absolute quantity (>= 0) of an existing stock row of that warehouse; audit old / new / notes; no
-    movement row. Missing row -> 'not_found'; negative or missing quantity -> 'invalid'."""
+    movement row. Corrections of one row apply in the order of ``request_id``: the last one stays, and each audit
+    row's old quantity is the one that the correction before it left. Rows without that column are ordered by
+    their values. Missing row -> 'not_found'; negative or missing quantity -> 'invalid'."""
+    order = F.col(request_id) if request_id in rows.columns else F.struct("quantity", "notes")
     r = rows.select(F.col("id").alias("__sid"), F.col("warehouse_id").alias("__wh"), F.col("quantity").alias("__q"),
-                    F.col("notes").alias("__notes"), *([F.col(actor).alias("__actor")] if actor else []))
+                    F.col("notes").alias("__notes"), order.alias("__req"),
+                    *([F.col(actor).alias("__actor")] if actor else []))
     j = r.join(stock, (stock["id"] == r["__sid"]) & (stock["warehouse_id"] == r["__wh"]), "left")
     reason = F.when(F.col("__q").isNull() | (F.col("__q") < 0), "invalid").when(F.col("id").isNull(), "not_found")
     j = j.withColumn("__reason", reason)
     ok = j.where(F.col("__reason").isNull())
-    changes = F.to_json(F.struct(F.col("quantity").alias("old_quantity"), F.col("__q").alias("new_quantity"),
+    before = F.coalesce(F.lag("__q").over(Window.partitionBy("id").orderBy("__req")), F.col("quantity"))
+    changes = F.to_json(F.struct(F.col("__old").alias("old_quantity"), F.col("__q").alias("new_quantity"),
                                  F.coalesce(F.when(F.col("__notes") != "", F.col("__notes")),
                                             F.lit(ADJUST_DEFAULT_NOTE)).alias("notes")))
-    audit = audit_rows(ok, "warehouse_stock", "update", "id", changes, "__actor" if actor else None, salt="__q")
-    last = ok.select(F.col("id").alias("__u"), F.col("__q").cast("int").alias("__newq")).dropDuplicates(["__u"])
+    audit = audit_rows(ok.withColumn("__old", before), "warehouse_stock", "update", "id", changes,
+                       "__actor" if actor else None, salt=F.to_json(F.struct("__req", "__q")))
+    last = ok.groupBy(F.col("id").alias("__u")).agg(F.max_by("__q", "__req").cast("int").alias("__newq"))
     new = stock.join(last, stock["id"] == last["__u"], "left").withColumn(
         "quantity", F.coalesce("__newq", "quantity")).drop("__u", "__newq")
     rejected = j.where(F.col("__reason").isNotNull()).select(F.col("__sid").alias("id"), F.col("__reason").alias("reason"))

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from equipledger.functions.scalars import js_falsy
-from equipledger.plans.joins import DEFAULT_BROADCAST_ROWS, within_rows
 
 # The CHECK constraint lists of the original schema.
 ALLOWED_VALUES = {
@@ -30,8 +29,6 @@ def check_references(df: DataFrame, fk: str, parent: DataFrame, key: str = "id")
     """the foreign key must exist in ``parent``; a NULL foreign key passes. Semi / anti join (the parent
     keys are broadcast when proven small)."""
     keys = parent.select(F.col(key).alias(fk)).distinct()
-    if within_rows(parent, DEFAULT_BROADCAST_ROWS):
-        keys = F.broadcast(keys)
     nulls = df.where(F.col(fk).isNull())
     present = df.where(F.col(fk).isNotNull())
     good = present.join(keys, fk, "left_semi").unionByName(nulls)

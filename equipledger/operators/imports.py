@@ -54,16 +54,15 @@ def import_positions(rows: DataFrame, actor: str | None = None, batch: str | Non
 def item_exploitation(months: F.Column, years: F.Column) -> tuple[F.Column, F.Column, F.Column]:
     """(exploitation_months, exploitation_years, bad) of an item row:
     months = parseInt(months) if months is truthy, else round(parseFloat(years) * 12) if years is truthy, else
-    NULL; years = months / 12 to 2 digits when months is truthy. ``bad``: months came out NaN (the original's
-    INSERT failed there)."""
+    NULL; years = months / 12 to 2 digits when months is truthy. ``bad``: months came out NaN or beyond what the
+    two columns hold (the original's INSERT failed there)."""
     m_given, y_given = ~js_falsy(months), ~js_falsy(years)
     from_months = js_parse_int(months)
-    from_years = js_round(js_parse_float(years) * 12)
+    from_years = js_round(js_parse_float(years) * 12).try_cast("int")
     m = F.when(m_given, from_months).when(y_given, from_years)
-    bad = (m_given & from_months.isNull()) | (~m_given & y_given & from_years.isNull())
-    m_ok = F.when(~bad, m).cast("int")
-    y = F.when(m_ok.isNotNull() & (m_ok != 0), F.round(m_ok / F.lit(12.0), 2)).cast("decimal(10,2)")
-    return m_ok, y, bad
+    in_years = F.round(m / F.lit(12.0), 2).try_cast("decimal(10,2)")
+    bad = (m_given | y_given) & (m.isNull() | in_years.isNull())
+    return F.when(~bad, m), F.when(~bad & (m != 0), in_years), bad
 
 
 def import_items(rows: DataFrame, mode: str = "quarantine", actor: str | None = None, batch: str | None = None
@@ -83,8 +82,7 @@ def import_items(rows: DataFrame, mode: str = "quarantine", actor: str | None =
     good = x.where(~F.col("__bad")).drop("__bad")
     rejected = x.where(F.col("__bad")).drop("__bad").withColumn("reason", F.lit("bad_number"))
     if mode == "all_or_nothing":
-        ok_all = rejected.limit(1).count() == 0
-        good = good if ok_all else good.limit(0)
+        good = good.where(rejected.select(F.count(F.lit(1))).scalar() == 0)
     out = conform(good.withColumn("extra", F.lit("{}")).withColumn("is_active", F.lit(True)), "siz_items")
     return {"rows": out, "rejected": rejected, "dropped": r.where(js_falsy(F.col("name"))),
             "audit": _bulk_audit(out, "siz_items", actor, batch)}

@@ -9,12 +9,13 @@ a return takes item and size from its holding). So (item, size) groups are indep
 transfers and returns splits further into independent stock keys. Such an independent piece is a *fold unit*.
 
 1. Fast tier (pure SQL). Events become signed legs (debit before credit). Running balances per key are built
-   chunk-parallel: per (key, day) totals (partial aggregation), day offsets by a window over the small per-day
-   table, running sums inside each (key, day). A unit whose balances never go below zero and that holds no
+   chunk-parallel: per (key, hour) totals (partial aggregation), hour offsets by a window over the small per-hour
+   table, running sums inside each (key, hour). A unit whose balances never go below zero and that holds no
    reset (set / drop) has every event accepted.
 2. Slow tier. For the remaining units, everything before the first negative balance or reset is still
-   accepted (at that point every earlier event was accepted), so only the tail from that *cut* is replayed:
-   ``cogroup(opening balances at the cut, tail events).applyInPandas(fold)``.
+   accepted (at that point every earlier event was accepted), so only the tail from that *cut* is replayed: the
+   balances at the cut and the tail events are dealt by unit, sorted by Spark (which spills) and walked by one
+   ``mapInPandas``, which holds the balances of the unit it is at and nothing else.
 3. Results (stock, holdings, movements, audit, rejections) are derived set-wise from the per-event decisions.
 """
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import sys
 from collections import namedtuple
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from equipledger.functions.scalars import (HOLDING_ACTIVE, HOLDING_RETURNED, IMPORT_STOCK_DOC_PREFIX,
                                            IMPORT_STOCK_NOTE, ADJUST_DEFAULT_NOTE, js_parse_int, js_trim,
                                            stable_id)
-from equipledger.plans.joins import DEFAULT_BROADCAST_ROWS, within_rows
+from equipledger.operators.changes import audit_rows
 from equipledger.schemas import conform
 from equipledger.session import checkpoint_dir
 
@@ -44,13 +46,14 @@ MOVEMENT_KINDS = (RECEIPT, TRANSFER, ISSUE, RETURN)
 STOCK, HOLDING = "stock", "holding"
 
 LedgerResult = namedtuple("LedgerResult", "decisions stock holdings movements audit")
-# Internal result of the decision plan: all decisions, prepared events (lead legs), final key states, and the
-# two tiers separately (the fast tier is pure SQL; the slow tier is the Python fold).
-Decided = namedtuple("Decided", "decisions events finals fast slow")
+# Internal result of the decision plan: all judged events with their columns, the static rejects, final stock key
+# states, and the plans of the two tiers (the fast tier is pure SQL; the slow tier is the Python fold).
+Decided = namedtuple("Decided", "judged rejects finals fast slow")
 
-# The fold returns both its decisions (rec 'd') and the final state of every key of its units (rec 's').
+# The fold returns its decisions (rec 'd') and the final state of every stock key of its units (rec 's').
 FOLD_SCHEMA = ("rec string, event_id string, accepted boolean, reason string, available int, "
-               "siz_item_id string, size_value string, key_type string, key string, balance int, exists boolean")
+               "siz_item_id string, size_value string, key string, balance int, exists boolean")
+DECISION = ["event_id", "accepted", "reason", "available"]
 
 
 # ---------------------------------------------------------------- static checks (F13) and legs
@@ -89,10 +92,16 @@ def prepare_events(events: DataFrame, holdings: DataFrame) -> tuple[DataFrame, D
     Sizes default to '' (``size_value || ''``). A return takes item and size from its holding: a stored one,
     or one created by an issue of the same batch (holding id = issue event id). The checked events are
     materialised once, so the source is read once; the return lookup (a join) runs only when the batch holds a
-    return, which a LIMIT-1 probe of the materialised events tells.
+    return, which a LIMIT-1 probe of the materialised events tells. An event id that arrives more than once is one
+    event (of differing copies the least by value counts): only the ids are shuffled to find such ids, and whole
+    events only when there are some.
     """
     ev = conform(events, "movement_events").withColumn("size_value", F.coalesce("size_value", F.lit("")))
     ev = ev.withColumn("__static", static_reason()).checkpoint(eager=True)
+    if ev.groupBy("event_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        others = [c for c in ev.columns if c != "event_id"]
+        ev = (ev.groupBy("event_id").agg(F.min(F.struct(*others)).alias("__e")).select("event_id", "__e.*")
+                .select(*ev.columns).checkpoint(eager=True))
     bad = ev.where(F.col("__static").isNotNull()).select(
         "event_id", F.lit(False).alias("accepted"), F.col("__static").alias("reason"),
         F.lit(None).cast("int").alias("available"))
@@ -172,75 +181,88 @@ def _fold_units(lg: DataFrame) -> DataFrame:
     return g
 
 
-def _fold(key, state: pd.DataFrame, events: pd.DataFrame) -> pd.DataFrame:
-    """Replay the tails of the fold units of one bucket, each unit in (event_time, event_id) order.
-
-    ``state``: unit columns, key_type, key, balance, exists at each unit's cut. Units are independent, so
-    their keys are prefixed with the unit and the events of all units are walked in one pass.
-    """
-    bal: dict[tuple, int] = {}
-    exists: dict[tuple, bool] = {}
-    su = zip(state["s_siz_item_id"], state["s_size_value"], state["s_sub"])
-    for u, kt, k, b, e in zip(su, state["key_type"], state["key"], state["balance"], state["exists"]):
-        bal[(u, kt, k)] = int(b) if b == b and b is not None else 0
-        exists[(u, kt, k)] = bool(e)
-    events = events.sort_values(["event_time", "event_id"], kind="mergesort")
-    out_id, out_acc, out_reason, out_avail = [], [], [], []
-    units = zip(events["siz_item_id"], events["size_value"], events["sub"])
-    for u, eid, kind, wh, to, hid, q in zip(units, events["event_id"], events["kind"], events["warehouse_id"],
-                                            events["to_warehouse_id"], events["holding_id"], events["quantity"]):
-        q = int(q) if q == q and q is not None else 0
-        src = (u, STOCK, wh)
-        ok, reason, avail = True, None, None
-        if kind == RECEIPT:
-            bal[src] = bal.get(src, 0) + q
-            exists[src] = True
-        elif kind in (TRANSFER, ISSUE):
-            avail = bal.get(src, 0)
-            if avail >= q:
-                bal[src] = avail - q
-                if kind == TRANSFER:
-                    dst = (u, STOCK, to)
-                    bal[dst] = bal.get(dst, 0) + q
-                    exists[dst] = True
-                else:
-                    bal[(u, HOLDING, eid)] = q
-                    exists[(u, HOLDING, eid)] = True
-            else:
-                ok, reason = False, "insufficient_stock"
-        elif kind == RETURN:
-            h = (u, HOLDING, hid)
-            avail = bal.get(h, 0)
-            if avail >= q and avail > 0:
-                bal[h] = avail - q
-                bal[src] = bal.get(src, 0) + q
-                exists[src] = True
+def _judge(bal: dict, exists: dict, linked: bool, eid, kind, wh, to, hid, q: int) -> tuple:
+    """One event against the balances of its unit, which it changes if accepted: (accepted, reason, available)."""
+    src = (STOCK, wh)
+    if kind == RECEIPT:
+        bal[src] = bal.get(src, 0) + q
+        exists[src] = True
+        return True, None, None
+    if kind in (TRANSFER, ISSUE):
+        avail = bal.get(src, 0)
+        if avail < q:
+            return False, "insufficient_stock", avail
+        bal[src] = avail - q
+        into = (STOCK, to) if kind == TRANSFER else (HOLDING, eid)
+        if kind == TRANSFER or linked:      # a unit without returns never looks at its holdings
+            bal[into] = bal.get(into, 0) + q
+            exists[into] = True
+        return True, None, avail
+    if kind == RETURN:
+        held = (HOLDING, hid)
+        avail = bal.get(held, 0)
+        if avail < q or avail <= 0:
+            return False, "insufficient_holding" if exists.get(held) else "no_holding", avail
+        bal[held] = avail - q
+        bal[src] = bal.get(src, 0) + q
+        exists[src] = True
+        return True, None, avail
+    avail = bal.get(src, 0)
+    if not exists.get(src, False):
+        return False, "no_stock_row", avail
+    bal[src] = q if kind == SET else 0
+    exists[src] = kind == SET
+    return True, None, avail
+
+
+def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Replay the tails of fold units: rows come sorted by unit, its balances at the cut (``opening``) before its
+    events in (event_time, event_id) order. Only the balances of the current unit are held."""
+    unit, bal, exists = None, {}, {}
+    names = [f.split()[0] for f in FOLD_SCHEMA.split(", ")]
+
+    def states():
+        return [("s", None, None, None, None, unit[0], unit[1], k, bal[kt, k], bool(exists.get((kt, k), False)))
+                for kt, k in bal if kt == STOCK]
+
+    def frame(out):
+        df = pd.DataFrame(out, columns=names)
+        return df.astype({"available": "Int32", "balance": "Int32"})
+
+    for df in batches:
+        out = []
+        for item, size, sub, opening, eid, kind, wh, to, hid, q, there in zip(
+                df["siz_item_id"], df["size_value"], df["sub"], df["opening"], df["event_id"], df["kind"],
+                df["warehouse_id"], df["to_warehouse_id"], df["holding_id"], df["quantity"], df["exists"]):
+            if (item, size, sub) != unit:
+                if unit is not None:
+                    out += states()
+                unit, bal, exists = (item, size, sub), {}, {}
+            q = 0 if pd.isna(q) else int(q)
+            if opening:
+                bal[kind, wh], exists[kind, wh] = q, bool(there)
             else:
-                ok, reason = False, "insufficient_holding" if exists.get(h) else "no_holding"
-        elif kind in (SET, DROP):
-            avail = bal.get(src, 0)
-            if exists.get(src, False):
-                bal[src] = q if kind == SET else 0
-                exists[src] = kind == SET
-            else:
-                ok, reason = False, "no_stock_row"
-        out_id.append(eid)
-        out_acc.append(ok)
-        out_reason.append(reason)
-        out_avail.append(avail)
-    n = len(out_id)
-    dec = pd.DataFrame({"rec": ["d"] * n, "event_id": out_id, "accepted": out_acc, "reason": out_reason,
-                        "available": pd.array(out_avail, dtype="Int32")})
-    keys = list(bal)
-    st = pd.DataFrame({"rec": ["s"] * len(keys), "siz_item_id": [k[0][0] for k in keys],
-                       "size_value": [k[0][1] for k in keys], "key_type": [k[1] for k in keys],
-                       "key": [k[2] for k in keys], "balance": pd.array([bal[k] for k in keys], dtype="Int32"),
-                       "exists": [bool(exists.get(k, False)) for k in keys]})
-    return pd.concat([dec, st], ignore_index=True)
-
-
-EVENT_CARRY = ("warehouse_id", "to_warehouse_id", "holding_id", "quantity", "employee_id", "document_reference",
-               "notes", "actor_id")
+                out.append(("d", eid, *_judge(bal, exists, sub == "*", eid, kind, wh, to, hid, q),
+                            None, None, None, None, None))
+        yield frame(out)
+    if unit is not None:
+        yield frame(states())
+
+
+def replay_tails(state: DataFrame, tail: DataFrame) -> DataFrame:
+    """Slow tier: ``state`` (unit, key_type, key, balance, exists at the cut) and ``tail`` (unit and events from the
+    cut on) -> rows of ``FOLD_SCHEMA``. One sort per unit, done and spilled by Spark."""
+    unit = ["siz_item_id", "size_value", "sub"]
+    rows = state.select(*unit, F.lit(True).alias("opening"), F.col("key_type").alias("kind"),
+                        F.col("key").alias("warehouse_id"), F.col("balance").alias("quantity"), "exists")
+    rows = rows.unionByName(tail.withColumn("opening", F.lit(False)), allowMissingColumns=True)
+    rows = rows.repartition(*unit).sortWithinPartitions(*unit, F.col("opening").desc(), "event_time", "event_id")
+    return rows.drop("event_time").mapInPandas(_fold, FOLD_SCHEMA)
+
+
+# Event columns that judging needs, and those that only the written results need.
+JUDGED = ("warehouse_id", "to_warehouse_id", "holding_id", "quantity")
+WRITTEN = ("employee_id", "document_reference", "notes", "actor_id")
 
 
 def _is_lead() -> Column:
@@ -248,40 +270,32 @@ def _is_lead() -> Column:
     return (F.col("leg_order") == 0) | (F.col("kind") == RECEIPT)
 
 
-def _default_buckets(spark) -> int:
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def decide(stock: DataFrame, holdings: DataFrame, events: DataFrame, slow_buckets: int | None = None
-           ) -> DataFrame:
+def decide(stock: DataFrame, holdings: DataFrame, events: DataFrame) -> DataFrame:
     """L9 decisions: one row per event (event_id, accepted, reason, available = balance of the debited key just
     before the event; for set / drop the old quantity)."""
-    return _decide(stock, holdings, events, slow_buckets).decisions
+    d = _decide(stock, holdings, events)
+    return d.judged.select(*DECISION).unionByName(d.rejects)
 
 
-def _decide(stock: DataFrame, holdings: DataFrame, events: DataFrame, slow_buckets: int | None = None
-            ) -> Decided:
-    """Decisions, prepared events, final key states and the two tiers. The prepared events (valid, returns resolved to their holding's item,
-    size and employee) are checkpointed once: every later step reads them instead of the source plan."""
-    spark = events.sparkSession
-    checkpoint_dir(spark)
+def _decide(stock: DataFrame, holdings: DataFrame, events: DataFrame, carry: tuple[str, ...] = ()) -> Decided:
+    """Judged events (with their columns and those of ``carry``), static rejects, final stock key states and the two
+    tiers. The prepared events (valid, returns resolved to their holding's item, size and employee) are checkpointed
+    once: every later step reads them instead of the source plan."""
+    checkpoint_dir(events.sparkSession)
     ev, static_rejects, resolved = prepare_events(events, holdings)
-    # The legs carry every event column (on each event's lead leg): everything below reads them. Without
-    # returns they are a cheap explode over the materialised events; with returns the lookup join is
-    # materialised once as well, so no consumer repeats it.
-    lg = legs(ev, keep=EVENT_CARRY)
+    # The legs carry the event's columns, so that no later step joins the events again. Without returns they are a
+    # cheap explode over the materialised events; with returns the lookup join is materialised once as well.
+    lg = legs(ev, keep=(*JUDGED, *carry))
     if resolved:
         lg = lg.checkpoint(eager=True)
     unit = ["siz_item_id", "size_value", "sub"]
     key = ["siz_item_id", "size_value", "key_type", "key"]
     opening = _openings(stock, holdings, lg)
 
-    # Running balance per key, chunk-parallel (a hot key is split by day): per (key, day) totals, their
-    # running offsets (plus the opening balance) over the small per-day table, then running sums inside each
-    # (key, day). The legs are shuffled once, by (key, day), for both the join and the window.
-    # Only the columns the decision needs travel through the shuffles below.
-    bl = lg.drop("employee_id", "document_reference", "notes", "actor_id") \
-           .withColumn("chunk", F.to_date("event_time"))
+    # Running balance per key, chunk-parallel (a hot key is split by hour): per (key, hour) totals, their
+    # running offsets (plus the opening balance) over the small per-hour table, then running sums inside each
+    # (key, hour). The legs are shuffled once, by (key, hour), for both the join and the window.
+    bl = lg.withColumn("chunk", F.date_trunc("hour", "event_time"))
     order = [F.col("event_time"), F.col("event_id"), F.col("leg_order")]
     chunk_tot = bl.groupBy(*key, "chunk").agg(F.sum("delta").alias("__tot"))
     chunk_tot = chunk_tot.join(
@@ -313,8 +327,9 @@ def _decide(stock: DataFrame, holdings: DataFrame, events: DataFrame, slow_bucke
 
     # Accepted without replay; ``available`` = balance of the debited key before the event. A receipt has no
     # debit leg, so it reports none.
+    event = ["event_id", "event_time", "kind", "siz_item_id", "size_value", *JUDGED, *carry]
     fast = lb.where(before & lead).select(
-        "event_id", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reason"),
+        *event, F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reason"),
         F.when(F.col("leg_order") == 0, F.col("bal_after") - F.col("delta")).cast("int").alias("available"))
 
     # Slow tier: state at the cut = opening + legs before the cut, for every key of a cut unit.
@@ -324,52 +339,40 @@ def _decide(stock: DataFrame, holdings: DataFrame, events: DataFrame, slow_bucke
         .alias("balance"),
         (F.coalesce(F.first("__open_exists"), F.lit(False))
          | (F.max(F.when((pos < F.col("__cut")) & (F.col("delta") > 0), 1).otherwise(0)) == 1)).alias("exists"))
-    tail = cut.where(~before & lead).select(
-        *unit, "event_id", "event_time", "kind", "warehouse_id", "to_warehouse_id", "holding_id", "quantity")
-    # Units are hashed into a bounded number of buckets; one pandas call folds all units of a bucket (a call
-    # per unit would cost more than the fold). The two sides share lineage, so the state side's columns are
-    # renamed to keep the cogroup keys unambiguous.
-    nb = slow_buckets or _default_buckets(spark)
-    bucket = (F.abs(F.xxhash64(*[F.col(c) for c in unit])) % nb).cast("int")
-    state = state.select(*[F.col(c).alias("s_" + c) for c in unit], "key_type", "key", "balance", "exists")
-    state = state.withColumn("s_bucket", (F.abs(F.xxhash64(*[F.col("s_" + c) for c in unit])) % nb).cast("int"))
-    folded = (state.groupBy("s_bucket").cogroup(tail.withColumn("bucket", bucket).groupBy("bucket"))
-                   .applyInPandas(_fold, FOLD_SCHEMA))
-    slow = folded.where(F.col("rec") == "d").select("event_id", "accepted", "reason", "available")
-    # Final balance of every touched key: the last leg's balance in units decided without replay (every
+    tail = cut.where(~before & lead)
+    replay = replay_tails(state, tail.select(*unit, "event_id", "event_time", "kind", *JUDGED))
+    folded = replay.checkpoint(eager=True)      # decisions and final states are read from the one written fold
+    slow = tail.select(*event).join(folded.where(F.col("rec") == "d").select(*DECISION), "event_id")
+    # Final balance of every touched stock key: the last leg's balance in units decided without replay (every
     # event accepted, no resets, so the key exists), the fold's end state elsewhere.
     last = F.struct("event_time", "event_id", "leg_order")
-    fast_final = (lb.where(F.col("__cut").isNull()).groupBy(*key)
-                    .agg(F.max_by("bal_after", last).cast("int").alias("balance"))
-                    .withColumn("exists", F.lit(True)))
-    finals = fast_final.unionByName(
-        folded.where(F.col("rec") == "s").select(*key, "balance", "exists"))
-    events_out = lg.where(_is_lead()).select("event_id", "event_time", "kind", "siz_item_id", "size_value",
-                                             *EVENT_CARRY)
-    return Decided(fast.unionByName(slow).unionByName(static_rejects), events_out, finals, fast, slow)
+    skey = ["siz_item_id", "size_value", "key"]
+    finals = (lb.where(F.col("__cut").isNull() & (F.col("key_type") == STOCK)).groupBy(*skey)
+                .agg(F.max_by("bal_after", last).cast("int").alias("balance"))
+                .withColumn("exists", F.lit(True))
+                .unionByName(folded.where(F.col("rec") == "s").select(*skey, "balance", "exists")))
+    return Decided(fast.unionByName(slow), static_rejects, finals, fast, replay)
 
 
 def apply_movements(stock: DataFrame, holdings: DataFrame, events: DataFrame, items: DataFrame,
                     materialize: bool = True) -> LedgerResult:
     """(new stock snapshot, new holdings, accepted movements, audit rows, decisions) for a batch.
 
-    ``materialize`` checkpoints the decisions (to the shared ``spark.checkpoint.dir``) because four outputs
+    ``materialize`` checkpoints the judged events (to the shared ``spark.checkpoint.dir``) because four outputs
     read them; it also cuts the lineage, so a lost executor does not re-run the whole decision plan.
     """
-    dec, ev, finals, _, _ = _decide(stock, holdings, events)
-    if materialize:
-        dec = dec.checkpoint(eager=True)
-    acc = ev.join(dec.where("accepted").select("event_id", "available"), "event_id")
-    return LedgerResult(dec, stock_from_finals(stock, finals), new_holdings(holdings, acc, items),
-                        movements(acc), ledger_audit(acc))
+    d = _decide(stock, holdings, events, WRITTEN)
+    judged = d.judged.checkpoint(eager=True) if materialize else d.judged
+    acc = judged.where("accepted").drop("accepted", "reason")
+    return LedgerResult(judged.select(*DECISION).unionByName(d.rejects), stock_from_finals(stock, d.finals),
+                        new_holdings(holdings, acc, items), movements(acc), ledger_audit(acc))
 
 
 def stock_from_finals(stock: DataFrame, finals: DataFrame) -> DataFrame:
     """New stock snapshot: touched keys take their final balance (a key that ends dropped disappears),
     untouched rows pass through; a full outer join on the stock key."""
     k = ["warehouse_id", "siz_item_id", "size_value"]
-    f = finals.where(F.col("key_type") == STOCK).select(
-        F.col("key").alias("warehouse_id"), "siz_item_id", "size_value", "balance", "exists")
+    f = finals.select(F.col("key").alias("warehouse_id"), "siz_item_id", "size_value", "balance", "exists")
     s = stock.select("id", "warehouse_id", "siz_item_id", F.coalesce("size_value", F.lit("")).alias("size_value"),
                      "quantity")
     j = s.join(f, k, "full")
@@ -412,8 +415,6 @@ def new_holdings(holdings: DataFrame, acc: DataFrame, items: DataFrame) -> DataF
     status 'returned', returned_date, and keeps its own quantity as the stored one."""
     it = items.select(F.col("id").alias("siz_item_id"), "exploitation_years")
     iss = acc.where(F.col("kind") == ISSUE)
-    if within_rows(items, DEFAULT_BROADCAST_ROWS):
-        it = F.broadcast(it)
     d = F.to_date("event_time")
     new = iss.join(it, "siz_item_id", "left").select(
         F.col("event_id").alias("id"), "employee_id", "siz_item_id", "size_value", "quantity",
@@ -475,24 +476,28 @@ def ledger_audit(acc: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- L7, L8
 
 def import_stock(rows: DataFrame, items: DataFrame, warehouse_id: str, actor_id: str | None = None,
-                 document_reference: str | None = None, today=None) -> dict[str, DataFrame]:
+                 document_reference: str | None = None, today=None, warehouses: DataFrame | None = None,
+                 batch: str | None = None) -> dict[str, DataFrame]:
     """Bulk receipt of stock rows into one (active) warehouse.
 
-    Per row: no item id, or parseInt(quantity) NaN / <= 0 -> 'skipped'; item missing or inactive -> 'error';
+    Per row: no item id, or parseInt(quantity) NaN / <= 0 -> 'skipped'; item missing or inactive, or a quantity
+    that the column cannot hold -> 'error';
     else a receipt of the trimmed size (repeated keys add up). Returns ``rows`` (with outcome), ``deltas``
-    (per key, for M5), ``movements`` and ``summary`` (A4)."""
+    (per key, for M5), ``movements``, ``summary`` (A4) and ``audit`` (one bulk row). Given ``warehouses``, a
+    warehouse that is missing there or inactive refuses every row ('no_warehouse', no audit). ``batch`` names the
+    request: ids of two imports of the same list differ by it."""
+    here = (F.lit(True) if warehouses is None else warehouses.where(
+        (F.col("id") == warehouse_id) & F.col("is_active")).select(F.count(F.lit(1))).scalar() > 0)
     today_c = F.current_date() if today is None else F.lit(today).cast("date")
     r = conform(rows, "import_stock")
-    qty = js_parse_int("quantity")
-    r = r.withColumn("qty", qty).withColumn("sv", js_trim(F.coalesce(F.col("size_value").cast("string"), F.lit(""))))
+    r = r.withColumn("__asked", js_parse_int("quantity", "decimal(38,0)"))
+    r = r.withColumn("qty", F.col("__asked").try_cast("int")).withColumn("sv", js_trim(F.coalesce(F.col("size_value").cast("string"), F.lit(""))))
     act = items.where(F.col("is_active")).select(F.col("id").alias("__item"))
-    if within_rows(items, DEFAULT_BROADCAST_ROWS):
-        act = F.broadcast(act)
     r = r.join(act, r["siz_item_id"] == act["__item"], "left")
-    outcome = (F.when(F.col("siz_item_id").isNull() | (F.col("siz_item_id") == "") | F.col("qty").isNull()
-                      | (F.col("qty") <= 0), "skipped")
-                .when(F.col("__item").isNull(), "error").otherwise("imported"))
-    r = r.withColumn("outcome", outcome).drop("__item")
+    outcome = (F.when(~here, "no_warehouse").when(F.col("siz_item_id").isNull() | (F.col("siz_item_id") == "") | F.col("__asked").isNull()
+                      | (F.col("__asked") <= 0), "skipped")
+                .when(F.col("__item").isNull() | F.col("qty").isNull(), "error").otherwise("imported"))
+    r = r.withColumn("outcome", outcome).drop("__item", "__asked")
     ok = r.where(F.col("outcome") == "imported")
     doc = (F.lit(document_reference.strip()) if document_reference and document_reference.strip()
            else F.concat(F.lit(IMPORT_STOCK_DOC_PREFIX), F.date_format(today_c, "dd.MM.yyyy")))
@@ -503,18 +508,25 @@ def import_stock(rows: DataFrame, items: DataFrame, warehouse_id: str, actor_id:
     same = ok.groupBy("siz_item_id", "sv", "qty").agg(F.count(F.lit(1)).alias("__n"))
     same = same.select("*", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__occ"))
     mv = conform(same.select(
-        stable_id(F.lit(warehouse_id), "siz_item_id", "sv", "qty", doc, today_c, "__occ")
+        stable_id(F.lit(warehouse_id), "siz_item_id", "sv", "qty", doc, today_c, "__occ",
+                  *([F.lit(batch)] if batch is not None else []))
         .alias("id"), F.lit(RECEIPT).alias("movement_type"), "siz_item_id", F.col("sv").alias("size_value"),
         F.col("qty").alias("quantity"), F.lit(warehouse_id).alias("to_warehouse_id"),
         doc.alias("document_reference"), F.lit(IMPORT_STOCK_NOTE).alias("notes"),
         F.lit(actor_id).cast("string").alias("moved_by"), today_c.alias("movement_date")), "stock_movements")
     summary = r.groupBy("outcome").agg(F.count(F.lit(1)).alias("rows"))
-    return {"rows": r, "deltas": deltas, "movements": mv, "summary": summary}
+    of = lambda o: F.count_if(F.col("outcome") == o)
+    counts = r.agg(of("imported").alias("count"), of("skipped").alias("skipped"), of("error").alias("errors"))
+    audit = audit_rows(counts.where(here), "warehouse_stock", "bulk_import", None, F.to_json(
+        F.struct(F.lit(warehouse_id).alias("warehouse_id"), "count", "skipped", "errors")),
+        F.lit(actor_id), salt=F.lit(batch))
+    return {"rows": r, "deltas": deltas, "movements": mv, "summary": summary, "audit": audit}
 
 
 def retire_warehouses(warehouses: DataFrame, stock: DataFrame, ids: DataFrame) -> dict[str, DataFrame]:
     """Soft-delete the requested warehouses unless their stock sums to > 0 (a negative sum passes).
-    Returns ``warehouses`` (new snapshot), ``refused`` (id, total) and ``missing`` (unknown ids)."""
+    Returns ``warehouses`` (new snapshot), ``refused`` (id, total), ``missing`` (unknown ids) and ``audit`` (a
+    'delete' row per retired warehouse)."""
     req = ids.select(F.col("id").alias("id")).distinct()
     totals = stock.join(req.select(F.col("id").alias("warehouse_id")), "warehouse_id", "left_semi") \
         .groupBy(F.col("warehouse_id").alias("id")).agg(F.sum("quantity").cast("bigint").alias("total"))
@@ -524,4 +536,5 @@ def retire_warehouses(warehouses: DataFrame, stock: DataFrame, ids: DataFrame) -
     missing = req.join(warehouses.select("id"), "id", "left_anti")
     w = warehouses.join(go, "id", "left")
     w = w.withColumn("is_active", F.when(F.col("__retire").isNotNull(), F.lit(False)).otherwise(F.col("is_active")))
-    return {"warehouses": w.drop("__retire"), "refused": refused, "missing": missing}
+    audit = audit_rows(go.join(missing, "id", "left_anti"), "warehouses", "delete", "id", F.lit("{}"), salt="id")
+    return {"warehouses": w.drop("__retire"), "refused": refused, "missing": missing, "audit": audit}

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from equipledger.operators.filters import active_only
 from equipledger.operators.scope import tree_scope
-from equipledger.plans.joins import bounded_broadcast
 
 
 def _children(child: DataFrame, fk: str, alias: str) -> DataFrame:
@@ -50,10 +49,8 @@ def org_tree(t: Mapping[str, DataFrame], actor: Mapping | None = None) -> DataFr
 
     central = whs.where((F.col("warehouse_type") == "ia") & F.col("enterprise_id").isNull())
     central_list = central.agg(F.sort_array(F.collect_list(F.struct(*central.columns))).alias("warehouses"))
-    # One-row side joined on a constant key: every organisation gets the same list.
-    central_list = central_list.withColumn("__one", F.lit(1))
-    out = orgs.withColumn("__one", F.lit(1)).join(F.broadcast(central_list), "__one", "left").drop("__one")
-    return out
+    # a scalar subquery: the list is one value, which every organisation shows
+    return orgs.withColumn("warehouses", central_list.scalar())
 
 
 def org_tree_nodes(t: Mapping[str, DataFrame], actor: Mapping | None = None) -> DataFrame:
@@ -97,14 +94,14 @@ def employee_cards(t: Mapping[str, DataFrame]) -> DataFrame:
     """Every employee (any activity) with position / res / enterprise / department names and ``norms[]``:
     the active norms of its position with item name, unit and category name (item activity not required).
 
-    The norm list is built once per position and joined to the employees (broadcast when proven small)."""
+    The norm list is built once per position and joined to the employees (broadcast when small)."""
     from equipledger.operators.reports import employees_report, position_norms
 
     pn = position_norms(t["position_siz_norms"], t["siz_items"], t["siz_categories"])
     lists = _children(pn, "position_id", "norms")
     e = employees_report({**t, "employees": t["employees"].withColumn("is_active", F.lit(True))})
     e = e.drop("is_active").join(t["employees"].select("id", "is_active"), "id")
-    j = e.join(bounded_broadcast(lists, bound_of=t["position_siz_norms"]), e["position_id"] == lists["__parent"],
+    j = e.join(lists, e["position_id"] == lists["__parent"],
                "left").drop("__parent")
     return j.withColumn("norms", F.coalesce("norms", F.array().cast(lists.schema["norms"].dataType)))
 
@@ -116,6 +113,6 @@ def employee_norm_summary(t: Mapping[str, DataFrame]) -> DataFrame:
     per_pos = (n.join(items, "siz_item_id").groupBy("position_id")
                 .agg(F.count(F.lit(1)).alias("norms_count"), F.sum("quantity").cast("bigint").alias("norms_quantity")))
     e = t["employees"].select(F.col("id").alias("employee_id"), "position_id")
-    j = e.join(bounded_broadcast(per_pos, bound_of=t["position_siz_norms"]), "position_id", "left")
+    j = e.join(per_pos, "position_id", "left")
     return j.select("employee_id", F.coalesce("norms_count", F.lit(0)).cast("bigint").alias("norms_count"),
                     F.coalesce("norms_quantity", F.lit(0)).cast("bigint").alias("norms_quantity"))

@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from equipledger.functions.scalars import exploitation_end
 from equipledger.operators.filters import (active_holdings, active_only, by_warehouse, filter_equal, in_stock,
                                            search)
-from equipledger.plans.joins import (DEFAULT_BROADCAST_ROWS, bounded_broadcast, hot_key_join, left_labels,
-                                     null_safe_left, within_rows)
+from equipledger.plans.joins import left_labels, null_safe_left
 
 
 # ---------------------------------------------------------------- ordering (O1, O2)
@@ -69,7 +68,7 @@ def position_norms(norms: DataFrame, items: DataFrame, categories: DataFrame) ->
     n = active_only(norms)
     i = _item_cols(items, categories, {"name": "item_name", "unit": "unit",
                                        "wear_period_months": "wear_period_months"})
-    return n.join(bounded_broadcast(i, bound_of=items), n["siz_item_id"] == i["__i"]).drop("__i", "category_id")
+    return n.join(i, n["siz_item_id"] == i["__i"]).drop("__i", "category_id")
 
 
 def norm_report(norms: DataFrame, positions: DataFrame, items: DataFrame, categories: DataFrame,
@@ -87,8 +86,8 @@ def norm_report(norms: DataFrame, positions: DataFrame, items: DataFrame, catego
                                    "wear_period_months": "wear_period_months",
                                    "exploitation_months": "exploitation_months",
                                    "exploitation_years": "exploitation_years"})
-    j = (n.join(bounded_broadcast(p, bound_of=positions), n["position_id"] == p["__p"])
-          .join(bounded_broadcast(i, bound_of=items), n["siz_item_id"] == i["__i"]))
+    j = (n.join(p, n["position_id"] == p["__p"])
+          .join(i, n["siz_item_id"] == i["__i"]))
     return j.drop("__p", "__i", "category_id")
 
 
@@ -96,18 +95,18 @@ def entitlements(employees: DataFrame, norms: DataFrame, items: DataFrame, categ
     """Every employee's entitlement: employee x active norm of its position x active item.
 
     Employee and position activity are not required. ``position_id`` is a low-cardinality, hot key (a
-    position may hold a third of all employees), so the norm side is broadcast when proven small, else joined
-    with salting; never a plain shuffle on position_id.
+    position may hold a third of all employees): a norm side below the broadcast threshold in bytes is
+    broadcast, and beyond it AQE splits the hot partition.
     """
     n = active_only(norms).select(F.col("position_id"), F.col("siz_item_id"), F.col("quantity").alias("norm_quantity"),
                                   "issue_period_months")
     i = _item_cols(items, categories, {"name": "name", "code": "code", "unit": "unit",
                                        "wear_period_months": "wear_period_months"}, only_active=True)
-    ni = (n.join(bounded_broadcast(i, bound_of=items), n["siz_item_id"] == i["__i"])
+    ni = (n.join(i, n["siz_item_id"] == i["__i"])
            .select(F.col("position_id").alias("__pos"), F.col("__i").alias("id"), "name", "code", "unit",
                    "wear_period_months", "category_name", "norm_quantity", "issue_period_months"))
     e = employees.select(F.col("id").alias("employee_id"), F.col("position_id").alias("__pos"))
-    return hot_key_join(e, ni, ["__pos"], bound_of=norms).drop("__pos")
+    return e.join(ni, "__pos").drop("__pos")
 
 
 def entitlement_counts(employees: DataFrame, norms: DataFrame, items: DataFrame) -> DataFrame:
@@ -118,7 +117,7 @@ def entitlement_counts(employees: DataFrame, norms: DataFrame, items: DataFrame)
     per_pos = (n.join(i, "siz_item_id").groupBy("position_id")
                 .agg(F.count(F.lit(1)).alias("items"), F.sum("quantity").cast("bigint").alias("total_quantity")))
     e = employees.select(F.col("id").alias("employee_id"), "position_id")
-    j = e.join(bounded_broadcast(per_pos, bound_of=norms), "position_id", "left")
+    j = e.join(per_pos, "position_id", "left")
     return j.select("employee_id", F.coalesce("items", F.lit(0)).cast("bigint").alias("items"),
                     F.coalesce("total_quantity", F.lit(0)).cast("bigint").alias("total_quantity"))
 
@@ -187,7 +186,7 @@ def stock_report(stock: DataFrame, items: DataFrame, categories: DataFrame) -> D
                      F.col("code").alias("item_code"), "unit", F.col("gender").alias("item_gender"), "season",
                      "exploitation_months", "exploitation_years")
     i = left_labels(i, categories, "category_id", cols={"name": "category_name", "code": "category_code"})
-    return ws.join(bounded_broadcast(i, bound_of=items), ws["siz_item_id"] == i["__i"]).drop("__i", "category_id")
+    return ws.join(i, ws["siz_item_id"] == i["__i"]).drop("__i", "category_id")
 
 
 def stock_totals(warehouses: DataFrame, stock: DataFrame) -> DataFrame:
@@ -206,7 +205,7 @@ def holdings_report(holdings: DataFrame, items: DataFrame, categories: DataFrame
                      F.col("code").alias("item_code"), "unit", "exploitation_months", "exploitation_years",
                      F.col("gender").alias("item_gender"), "season")
     i = left_labels(i, categories, "category_id", cols={"name": "category_name"})
-    j = h.join(bounded_broadcast(i, bound_of=items), h["siz_item_id"] == i["__i"]).drop("__i", "category_id")
+    j = h.join(i, h["siz_item_id"] == i["__i"]).drop("__i", "category_id")
     j = left_labels(j, warehouses, "from_warehouse_id", cols={"name": "warehouse_name"})
     return j.withColumn("exploitation_end", exploitation_end("exploitation_start", "exploitation_months"))
 
@@ -217,11 +216,11 @@ def movement_report(t: Mapping[str, DataFrame], moves: DataFrame | None = None)
     i = t["siz_items"].select(F.col("id").alias("__i"), "category_id", F.col("name").alias("item_name"),
                               F.col("unit").alias("unit"))
     i = left_labels(i, t["siz_categories"], "category_id", cols={"name": "category_name"})
-    j = m.join(bounded_broadcast(i, bound_of=t["siz_items"]), m["siz_item_id"] == i["__i"]).drop("__i", "category_id")
+    j = m.join(i, m["siz_item_id"] == i["__i"]).drop("__i", "category_id")
     j = left_labels(j, t["warehouses"], "from_warehouse_id", cols={"name": "from_warehouse_name"})
     j = left_labels(j, t["warehouses"], "to_warehouse_id", cols={"name": "to_warehouse_name"})
     e = t["employees"].select(F.col("id").alias("__e"), "last_name", "first_name", "middle_name")
-    j = null_safe_left(j, e, "employee_id", "__e", bound_of=t["employees"]).drop("__e")
+    j = null_safe_left(j, e, "employee_id", "__e").drop("__e")
     return left_labels(j, t["users"], "moved_by", cols={"full_name": "moved_by_name"})
 
 
@@ -233,11 +232,17 @@ def latest_movements(moves: DataFrame, n: int = 200) -> DataFrame:
     warehouse costs at most ``n`` x partitions rows in its final task, never its whole history.
     """
     m = by_warehouse(moves, "warehouse_id_")
-    w = Window.partitionBy("warehouse_id_").orderBy(F.col("created_at").desc_nulls_last(), F.col("id").desc())
+    w = Window.partitionBy("warehouse_id_").orderBy(F.col("created_at").desc_nulls_first(), F.col("id").desc())
     out = m.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
     return out.withColumnRenamed("warehouse_id_", "warehouse_id")
 
 
+def movement_page(t: Mapping[str, DataFrame], n: int = 200) -> DataFrame:
+    """O3 + J5: per warehouse its newest ``n`` movements with item, category, both warehouses, employee and user
+    labels. The labels are joined to the chosen rows only."""
+    return movement_report(t, latest_movements(t["stock_movements"], n))
+
+
 def transaction_report(t: Mapping[str, DataFrame], employee_id: str | None = None, limit: int | None = None,
                        tie_break: str | None = None) -> DataFrame:
     """J10 + O2: old transaction feed INNER employee and item, LEFT category and user, newest first."""
@@ -248,7 +253,7 @@ def transaction_report(t: Mapping[str, DataFrame], employee_id: str | None = Non
     j = tx.join(e, tx["employee_id"] == e["__e"]).drop("__e")
     i = t["siz_items"].select(F.col("id").alias("__i"), "category_id", F.col("name").alias("item_name"), "unit")
     i = left_labels(i, t["siz_categories"], "category_id", cols={"name": "category_name"})
-    j = j.join(bounded_broadcast(i, bound_of=t["siz_items"]), j["siz_item_id"] == i["__i"]).drop("__i", "category_id")
+    j = j.join(i, j["siz_item_id"] == i["__i"]).drop("__i", "category_id")
     j = left_labels(j, t["users"], "issued_by", cols={"full_name": "issued_by_name"})
     return latest_first(j, ["transaction_date", "created_at"] + ([tie_break] if tie_break else []), limit)
 
@@ -301,12 +306,12 @@ def warehouse_staff(warehouses: DataFrame, t: Mapping[str, DataFrame]) -> DataFr
     """The staff list of each requested warehouse (the warehouse may be inactive) with employee labels.
 
     An equi-join on the classified (kind, key) -- never an OR condition (which plans as a nested loop). The
-    requested warehouses are the small side; the 'all' / 'central' keys are hot on the employee side, which
-    is why the warehouse side is broadcast (proven small) or else salted.
+    requested warehouses are the small side; the 'all' / 'central' keys are hot on the employee side: the
+    warehouse side is broadcast below the threshold in bytes, and beyond it AQE splits the hot partitions.
     """
     wk = warehouse_staff_keys(warehouses)
     ek = employee_staff_keys(t["employees"])
-    pairs = hot_key_join(ek, wk, ["staff_kind", "staff_key"], bound_of=warehouses)
+    pairs = ek.join(wk, ["staff_kind", "staff_key"])
     e = employees_report(t)
     return pairs.join(e, pairs["employee_id"] == e["id"]).drop("staff_kind", "staff_key")
 
@@ -323,6 +328,4 @@ def warehouse_staff_counts(warehouses: DataFrame, employees: DataFrame) -> DataF
 def item_exists(rows: DataFrame, items: DataFrame, fk: str = "siz_item_id") -> tuple[DataFrame, DataFrame]:
     """(rows whose item is active, rows whose item is missing or inactive) by semi / anti join."""
     act = active_only(items).select(F.col("id").alias(fk))
-    if within_rows(items, DEFAULT_BROADCAST_ROWS):
-        act = F.broadcast(act)
     return rows.join(act, fk, "left_semi"), rows.join(act, fk, "left_anti")

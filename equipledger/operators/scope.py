@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from equipledger.functions.scalars import SOURCE_WAREHOUSE, json_truthy
-from equipledger.plans.joins import bounded_broadcast
 
 # Role levels and the seed roles of the original back end.
 LEVELS = ("ia", "enterprise", "spbipk", "res")
@@ -96,7 +95,7 @@ def actor_context(users: DataFrame, roles: DataFrame) -> DataFrame:
     r = roles.select(F.col("id").alias("__r"), F.col("name").alias("role_name"), F.col("level").alias("role_level"),
                      "general_permissions", "field_permissions", F.col("display_name").alias("role_display_name"))
     u = users.where(F.col("is_active"))
-    return u.join(bounded_broadcast(r, bound_of=roles), u["role_id"] == r["__r"]).drop("__r")
+    return u.join(r, u["role_id"] == r["__r"]).drop("__r")
 
 
 def seed_roles(spark) -> DataFrame:
@@ -132,7 +131,7 @@ ADMISSION_RULES: dict[str, tuple[str, tuple[str, ...] | None]] = {
 
 
 def admit_requests(requests: DataFrame, actors: DataFrame, op_col: str = "operation",
-                   actor_col: str = "actor_id", actors_bound: DataFrame | None = None) -> DataFrame:
+                   actor_col: str = "actor_id") -> DataFrame:
     """G1: each request with ``admitted`` and ``refusal`` ('no_actor', 'permission', 'level' or NULL).
 
     A request passes if its actor is an active user with a role, the role holds the operation's permission
@@ -144,7 +143,7 @@ def admit_requests(requests: DataFrame, actors: DataFrame, op_col: str = "operat
     lvl_map = F.create_map(*[x for op in ops for x in (
         F.lit(op), F.lit(",".join(ADMISSION_RULES[op][1] or ("*",))))])
     a = actors.select(F.col("id").alias("__a"), "role_level", "general_permissions")
-    j = requests.join(bounded_broadcast(a, bound_of=actors_bound), requests[actor_col] == a["__a"], "left")
+    j = requests.join(a, requests[actor_col] == a["__a"], "left")
     perm = F.element_at(perm_map, F.col(op_col))
     perms = F.try_parse_json(F.col("general_permissions"))
     has_perm = _perm_truthy(perms, perm)

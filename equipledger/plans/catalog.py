@@ -30,7 +30,7 @@ _tables: dict[tuple[int, str], MappedTables] = {}
 
 
 def tables(spark: SparkSession, sf_dir: str) -> MappedTables:
-    """Mapped tables of ``sf_dir``, built once per session (row-bound checks are remembered on them)."""
+    """Mapped tables of ``sf_dir``, built once per session (plans, not data)."""
     key = (id(spark), sf_dir.rstrip("/"))
     if key not in _tables:
         apply_conf(spark)
@@ -42,12 +42,16 @@ def equipment_cards(spark, sf_dir):
     return tables(spark, sf_dir).derived("cards", lambda t: C.equipment_cards(t, AS_OF))
 
 
+def _core(spark, sf_dir):
+    return tables(spark, sf_dir).derived("core", lambda t: C.card_core(t, AS_OF))
+
+
 def card_stats(spark, sf_dir):
-    return C.card_stats(equipment_cards(spark, sf_dir), AS_OF)
+    return C.card_stats(_core(spark, sf_dir), AS_OF)
 
 
 def card_stats_by_enterprise(spark, sf_dir):
-    return C.card_stats(equipment_cards(spark, sf_dir), AS_OF, by=["enterprise_id"])
+    return C.card_stats(_core(spark, sf_dir), AS_OF, by=["enterprise_id"])
 
 
 def cards_expiring_soon(spark, sf_dir):
@@ -177,6 +181,13 @@ def latest_movements(spark, sf_dir):
         "warehouse_id", "id", "movement_type", "quantity", "created_at", "rank")
 
 
+def movement_page(spark, sf_dir):
+    """O3 + J5: the newest 200 movements of every warehouse with their labels."""
+    return R.movement_page(tables(spark, sf_dir)).select(
+        "warehouse_id", "rank", "id", "movement_type", "quantity", "movement_date", "item_name", "unit",
+        "category_name", "from_warehouse_name", "to_warehouse_name", "last_name", "moved_by_name")
+
+
 def warehouse_staff_counts(spark, sf_dir):
     t = tables(spark, sf_dir)
     return R.warehouse_staff_counts(t["warehouses"], t["employees"])
@@ -208,14 +219,14 @@ def card_stats_per_actor(spark, sf_dir):
     """F4 + F5 + A2 for every active actor at once: one grouping-sets aggregate over the cards (per enterprise,
     per res unit, total), joined to the actors by their scope key; no actor x card pairs."""
     t = tables(spark, sf_dir)
-    stats = C.card_stats_by_scope(equipment_cards(spark, sf_dir), AS_OF)
+    stats = C.card_stats_by_scope(_core(spark, sf_dir), AS_OF)
     return S.stats_per_actor(stats, S.actor_context(t["users"], t["roles"]), C.STAT_COLUMNS)
 
 
 def admit_requests(spark, sf_dir):
     t = tables(spark, sf_dir)
     actors = S.actor_context(t["users"], t["roles"])
-    return S.admit_requests(t.admission_requests(), actors, actors_bound=t["users"]).select(
+    return S.admit_requests(t.admission_requests(), actors).select(
         "request_id", "actor_id", "operation", "admitted", "refusal")
 
 
@@ -303,6 +314,48 @@ def patch_employees_audit(spark, sf_dir):
                            F.get_json_object("changes", "$.last_name.new").alias("new_last_name"))
 
 
+def patch_series(spark, sf_dir):
+    """M2 with three patches per employee, applied in request order."""
+    t = tables(spark, sf_dir)
+    ch = M.patch_rows(t["employees"], t.employee_patch_series(), "employees")
+    return ch.table.select("id", "last_name", "enterprise_id", "extra")
+
+
+def patch_series_audit(spark, sf_dir):
+    """M2 + D1: the audit row of every patch, against the state that the patches before it left."""
+    t = tables(spark, sf_dir)
+    ch = M.patch_rows(t["employees"], t.employee_patch_series(), "employees")
+    part = lambda p: F.get_json_object("changes", p)
+    return ch.audit.select("record_id", F.array_join(F.array_sort(F.json_object_keys("changes")), ",").alias("fields"),
+                           part("$.last_name.old").alias("old_name"), part("$.last_name.new").alias("new_name"),
+                           part("$.enterprise_id.old").alias("old_enterprise"),
+                           part("$.enterprise_id.new").alias("new_enterprise"),
+                           part("$.extra.old").alias("old_extra"), part("$.extra.new").alias("new_extra"))
+
+
+def adjust_series(spark, sf_dir):
+    """M9 with two corrections per stock row: the last valid one stays."""
+    t = tables(spark, sf_dir)
+    return M.set_quantity(t["warehouse_stock"], t.stock_adjustment_series()).table.select(
+        "warehouse_id", "siz_item_id", "quantity")
+
+
+def adjust_series_audit(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    a = M.set_quantity(t["warehouse_stock"], t.stock_adjustment_series()).audit
+    part = lambda p: F.get_json_object("changes", p).cast("int")
+    return a.select("record_id", part("$.old_quantity").alias("old_quantity"),
+                    part("$.new_quantity").alias("new_quantity"))
+
+
+def norms_insert_first(spark, sf_dir):
+    """M7 with two requests per key: the first one is stored."""
+    t = tables(spark, sf_dir)
+    req = t.norm_request_series().withColumn("is_active", F.lit(True))
+    return M.insert_absent(t["position_siz_norms"], req, ["position_id", "siz_item_id"], order="request_id").select(
+        "position_id", "siz_item_id", "quantity", "issue_period_months", "is_active")
+
+
 def import_items_rows(spark, sf_dir):
     out = I.import_items(tables(spark, sf_dir).import_item_rows())["rows"]
     return out.select("name", "code", "category_id", "exploitation_months", "exploitation_years", "unit")
@@ -382,7 +435,7 @@ def norms_insert_absent(spark, sf_dir):
     """M7: the norm requests inserted only where (position, item) is not stored yet."""
     t = tables(spark, sf_dir)
     req = t.norm_requests().withColumn("is_active", F.lit(True))
-    out = M.insert_absent(t["position_siz_norms"], req.drop("request_id"), ["position_id", "siz_item_id"])
+    out = M.insert_absent(t["position_siz_norms"], req, ["position_id", "siz_item_id"], order="request_id")
     return out.select("position_id", "siz_item_id", "quantity", "issue_period_months", "is_active")
 
 
@@ -474,4 +527,10 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "adjust_stock": adjust_stock,
     "norms_insert_absent": norms_insert_absent,
     "stream_ledger_stock": stream_ledger_stock,
+    "movement_page": movement_page,
+    "patch_series": patch_series,
+    "patch_series_audit": patch_series_audit,
+    "adjust_series": adjust_series,
+    "adjust_series_audit": adjust_series_audit,
+    "norms_insert_first": norms_insert_first,
 }

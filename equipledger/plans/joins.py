@@ -1,49 +1,17 @@
-"""Join helpers: broadcast only behind a proven size bound, with a shuffle join beyond it."""
+"""Label joins. The join strategy is left to Spark: a side is broadcast when its size in bytes is known to lie under
+``spark.sql.autoBroadcastJoinThreshold`` (from the scan when planned, from the finished shuffle under AQE), and AQE
+splits the partition of a hot key otherwise. Building a join starts no job."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Dimension tables of the organisation / catalogue (enterprises, categories, positions, roles, warehouses)
-# are small by nature but their size is not guaranteed. A side is broadcast only after a bounded count proves
-# it has at most this many rows; beyond that the join is left to the planner (sort-merge / shuffled hash,
-# with AQE converting to broadcast at runtime when the materialised side turns out small, and splitting
-# skewed partitions).
-DEFAULT_BROADCAST_ROWS = 1_000_000
+NULL_PARTS = 64   # rows without a foreign key are spread over this many values that match nothing
 
 
-def within_rows(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows. Reads at most ``max_rows + 1`` rows (LIMIT stops the scan).
-
-    The answer is remembered on the DataFrame object, so a table loaded once and joined by many reports is
-    counted once.
-    """
-    if max_rows < 0:
-        return False
-    memo = getattr(df, "_eql_row_bounds", None)
-    if memo is None:
-        memo = {}
-        try:
-            df._eql_row_bounds = memo
-        except AttributeError:
-            pass
-    if max_rows not in memo:
-        memo[max_rows] = df.limit(max_rows + 1).count() <= max_rows
-    return memo[max_rows]
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, bound_of: DataFrame | None = None
-                      ) -> DataFrame:
-    """``broadcast(df)`` if its row count is proven within ``max_rows``, else ``df`` unchanged.
-
-    ``bound_of``: a base table with at least as many rows as ``df`` (``df`` is a projection / filter / per-key
-    aggregate of it); the proof is made, and remembered, on that table instead of re-counting ``df``."""
-    return F.broadcast(df) if within_rows(bound_of if bound_of is not None else df, max_rows) else df
-
-
-def left_labels(fact: DataFrame, dim: DataFrame, fk: str, key: str = "id", cols: dict[str, str] | None = None,
-                max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def left_labels(fact: DataFrame, dim: DataFrame, fk: str, key: str = "id", cols: dict[str, str] | None = None
+                ) -> DataFrame:
     """LEFT JOIN ``dim`` on ``fact.fk = dim.key`` to attach display columns ``{dim_col: alias}``.
 
     The dimension is projected to its key + label columns first (column pruning reaches the scan), and
@@ -52,38 +20,13 @@ def left_labels(fact: DataFrame, dim: DataFrame, fk: str, key: str = "id", cols:
     cols = cols or {"name": fk.removesuffix("_id") + "_name"}
     k = f"__k_{fk}"
     d = dim.select(F.col(key).alias(k), *[F.col(c).alias(a) for c, a in cols.items()])
-    if within_rows(dim, max_rows):
-        return fact.join(F.broadcast(d), fact[fk] == d[k], "left").drop(k)
-    return null_safe_left(fact, d, fk, k, max_rows=-1).drop(k)
+    return null_safe_left(fact, d, fk, k).drop(k)
 
 
-def hot_key_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salts: int = 32,
-                 max_rows: int = DEFAULT_BROADCAST_ROWS, bound_of: DataFrame | None = None) -> DataFrame:
-    """Equi-join whose keys may be hot (one key holding a large share of ``big``).
-
-    ``small`` is broadcast when its row count is proven within ``max_rows`` (no shuffle of ``big`` at all).
-    Beyond that, each ``big`` row gets a salt in ``[0, salts)`` and ``small`` is replicated once per salt, so a
-    hot key is spread over ``salts`` tasks instead of one. ``how`` is ``inner`` or ``left`` (``big`` preserved).
-    """
-    if within_rows(bound_of if bound_of is not None else small, max_rows):
-        return big.join(F.broadcast(small), on, how)
-    salt = "__salt"
-    b = big.withColumn(salt, (F.abs(F.xxhash64(*[F.col(c) for c in big.columns])) % salts).cast("int"))
-    s = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return b.join(s, [*on, salt], how).drop(salt)
-
-
-def null_safe_left(fact: DataFrame, dim: DataFrame, fk: str, key: str, max_rows: int = DEFAULT_BROADCAST_ROWS,
-                   bound_of: DataFrame | None = None) -> DataFrame:
-    """LEFT JOIN on ``fact.fk = dim.key`` where many ``fk`` may be NULL.
-
-    Broadcast when the dimension is proven small. Otherwise rows with a NULL ``fk`` bypass the shuffle (they can
-    match nothing) instead of all hashing to one partition, and are unioned back with typed NULL columns.
-    """
-    if within_rows(bound_of if bound_of is not None else dim, max_rows):
-        return fact.join(F.broadcast(dim), fact[fk] == dim[key], "left")
-    nulls = fact.where(F.col(fk).isNull())
-    for f in dim.schema.fields:
-        nulls = nulls.withColumn(f.name, F.lit(None).cast(f.dataType))
-    hit = fact.where(F.col(fk).isNotNull())
-    return hit.join(dim, hit[fk] == dim[key], "left").unionByName(nulls)
+def null_safe_left(fact: DataFrame, dim: DataFrame, fk: str, key: str) -> DataFrame:
+    """LEFT JOIN on ``fact.fk = dim.key`` (text keys) where many ``fk`` may be NULL: those rows match nothing, and
+    are spread by their id, so that a shuffle does not put them all into one partition."""
+    if "id" not in fact.columns:
+        return fact.join(dim, fact[fk] == dim[key], "left")
+    nowhere = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(fact["id"]), F.lit(NULL_PARTS)).cast("string"))
+    return fact.join(dim, F.coalesce(fact[fk], nowhere) == dim[key], "left")

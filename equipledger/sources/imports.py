@@ -13,16 +13,29 @@ class EmptyPayload(ValueError):
     """The payload holds no rows (the original answered 400 'no data')."""
 
 
+def _request_text(name: str) -> F.Column:
+    """A request value (variant) as text, NULL where it is falsy by its JSON type."""
+    v = F.col(name)
+    text = F.try_variant_get(v, "$", "string")
+    kind = F.schema_of_variant(v)
+    return (F.when(kind == "STRING", text).when(kind == "BOOLEAN", F.when(text == "true", text))
+             .when(F.try_variant_get(v, "$", "double") == 0, F.lit(None).cast("string")).otherwise(text))
+
+
 def read_import(spark: SparkSession, path: str, table: str, wrapped: bool = True, check_empty: bool = True
                 ) -> DataFrame:
     """Read an import payload with the request table's explicit schema.
 
     ``wrapped``: each JSON document is ``{"rows": [...], ...}`` (the request body form), exploded to one row
     per entry; the document's other top-level fields (warehouse_id, document_reference) are carried along.
-    Otherwise the files are JSON lines, one row each. Values arrive as text, as numbers may in a body.
+    Otherwise the files are JSON lines, one row each. Values become text; a JSON number 0, false or null becomes
+    NULL, since the import rules take a falsy value as missing (the text '0' is not falsy and stays).
     A document that cannot be parsed fails the import; it is never skipped.
     """
-    row_schema = SCHEMAS[table]
+    names = SCHEMAS[table].fieldNames()
+    texts = {f.name for f in SCHEMAS[table] if f.dataType == T.StringType()}
+    row_schema = T.StructType([T.StructField(f.name, T.VariantType() if f.name in texts else f.dataType)
+                               for f in SCHEMAS[table]])
     if wrapped:
         doc = T.StructType([T.StructField("rows", T.ArrayType(row_schema)),
                             T.StructField("warehouse_id", T.StringType()),
@@ -32,6 +45,7 @@ def read_import(spark: SparkSession, path: str, table: str, wrapped: bool = True
             "warehouse_id", "document_reference", "r.*")
     else:
         df = spark.read.schema(row_schema).option("mode", "FAILFAST").json(path)
+    df = df.select(*[c for c in df.columns if c not in names], *[_request_text(n).alias(n) if n in texts else n for n in names])
     if check_empty and df.limit(1).count() == 0:
         raise EmptyPayload(path)
     return df

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equipledger.functions.scalars import DEFAULT_UNIT, HOLDING_ACTIVE, HOLDING_RETURNED
-from equipledger.plans.joins import bounded_broadcast
 from equipledger.schemas import SCHEMAS, conform, empty
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -133,7 +132,7 @@ class MappedTables(Mapping):
         # positions x part on a computed equi-key (p_partkey % 100 = length(segment)): a hash join, not a cross join.
         pos = self["positions"].select(F.col("id").alias("position_id"), F.length("id").alias("k"))
         p = self.raw("part").select("p_partkey", "p_size", (F.col("p_partkey") % 100).alias("k"))
-        j = p.join(bounded_broadcast(pos, bound_of=self["positions"]), "k")
+        j = p.join(pos, "k")
         return j.select(F.concat_ws(":", "position_id", _s("p_partkey")).alias("id"), "position_id",
                         _s("p_partkey").alias("siz_item_id"), (F.col("p_size") % 3 + 1).alias("quantity"),
                         F.lit(12).alias("issue_period_months"), F.lit("{}").alias("extra"),
@@ -293,6 +292,39 @@ class MappedTables(Mapping):
                         .alias("extra"),
                         F.lit("0").alias("actor_id"))
 
+    def employee_patch_series(self) -> DataFrame:
+        """Three patches per employee, in the order of request_id: 0 upper-cases the surname and sets member grade;
+        1 sets the enterprise (NULL for c % 4 = 0) and leaves the surname as the first patch left it; 2 sets the
+        surname back for even c, and member shift, and for c % 5 = 0 grade again."""
+        c = self.raw("customer").withColumn("n", F.explode(F.array(*[F.lit(i) for i in range(3)])))
+        k, n = F.col("c_custkey"), F.col("n")
+        name, ent = F.lit("last_name"), F.lit("enterprise_id")
+        fields = (F.when(n == 0, F.array(name)).when(n == 1, F.array(name, ent))
+                  .when(k % 2 == 0, F.array(name)).otherwise(F.array().cast("array<string>")))
+        grade = lambda v: F.concat(F.lit('"grade":'), v.cast("string"))
+        shift = F.concat(F.lit('"shift":'), (k % 3).cast("string"))
+        members = (F.when(n == 0, grade(k % 5)).when((n == 2) & (k % 5 == 0), F.concat_ws(",", shift, grade(k % 7)))
+                   .when(n == 2, shift))
+        return c.select(_s("c_custkey").alias("id"), (n * 1_000_000_000 + k).alias("request_id"),
+                        fields.alias("set_fields"),
+                        F.when(n < 2, F.upper("c_name")).otherwise(F.col("c_name")).alias("last_name"),
+                        F.when(k % 4 != 0, ((F.col("c_nationkey") + 1) % 25).cast("string")).alias("enterprise_id"),
+                        F.when(members.isNotNull(), F.concat(F.lit("{"), members, F.lit("}"))).alias("extra"),
+                        F.lit("0").alias("actor_id"))
+
+    def stock_adjustment_series(self) -> DataFrame:
+        """Two corrections per stock row (first to quantity + 5, then to quantity - 3, negative ones invalid)."""
+        st = self["warehouse_stock"].withColumn("n", F.explode(F.array(F.lit(0), F.lit(1))))
+        q = F.col("quantity") + F.when(F.col("n") == 0, 5).otherwise(-3)
+        return st.select("id", "warehouse_id", F.col("n").alias("request_id"), q.alias("quantity"),
+                         F.lit("").alias("notes"), F.lit("0").alias("actor_id"))
+
+    def norm_request_series(self) -> DataFrame:
+        """Two requests per (position, item) of ``norm_requests``; the second differs in quantity."""
+        r = self.norm_requests().withColumn("n", F.explode(F.array(F.lit(0), F.lit(1))))
+        return (r.withColumn("request_id", F.col("request_id") * 2 + F.col("n"))
+                 .withColumn("quantity", F.col("quantity") + F.col("n") * 10).drop("n"))
+
     def stock_adjustments(self) -> DataFrame:
         """M9 requests: every stock row above 40 is set to 40; rows of warehouse keys divisible by 7 are asked
         for under the wrong warehouse (-> not_found)."""

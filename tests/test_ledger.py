@@ -113,7 +113,7 @@ def test_decisions_match_replay(spark, seed, links):
     stock, holdings, events = random_case(seed, with_links=links)
     want, final = replay(stock, holdings, events)
     st, ho, ev = frames(spark, stock, holdings, events)
-    got = {r.event_id: (r.accepted, r.reason) for r in L.decide(st, ho, ev, slow_buckets=3).collect()}
+    got = {r.event_id: (r.accepted, r.reason) for r in L.decide(st, ho, ev).collect()}
     assert set(got) == set(want)
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
     items = frame(spark, "siz_items", [{"id": "I1", "exploitation_years": decimal.Decimal("1.00")}, {"id": "I2"}])
@@ -121,8 +121,7 @@ def test_decisions_match_replay(spark, seed, links):
     new = {(r.warehouse_id, r.siz_item_id, r.size_value): r.quantity for r in res.stock.collect()}
     assert new == final
     # The same stock derived independently from the accepted events.
-    tiers = L._decide(st, ho, ev)
-    acc = tiers.events.join(tiers.decisions.where("accepted").select("event_id", "available"), "event_id")
+    acc = L._decide(st, ho, ev, L.WRITTEN).judged.where("accepted")
     again = {(r.warehouse_id, r.siz_item_id, r.size_value): r.quantity for r in L.new_stock(st, acc).collect()}
     assert again == final
 
@@ -252,7 +251,32 @@ def test_fast_tier_has_no_python(spark):
     tiers = L._decide(st, ho, ev)
     fast_plan = plan_text(tiers.fast)
     assert "Python" not in fast_plan and "ArrowEval" not in fast_plan and "InPandas" not in fast_plan
-    assert "FlatMapCoGroupsInPandas" in plan_text(tiers.slow)
+    slow_plan = plan_text(tiers.slow)
+    assert "MapInPandas" in slow_plan and "CoGroups" not in slow_plan
+
+
+def test_an_event_delivered_twice_counts_once(spark):
+    stock = [{"warehouse_id": "W1", "siz_item_id": "I1", "size_value": "", "quantity": 5}]
+    event = {"event_id": "e", "event_time": dt.datetime(2024, 1, 1), "kind": "receipt", "warehouse_id": "W1",
+             "siz_item_id": "I1", "quantity": 3}
+    st, ho, ev = frames(spark, stock, [], [event, event])
+    res = L.apply_movements(st, ho, ev, frame(spark, "siz_items", [{"id": "I1"}]))
+    assert rows(res.stock, "quantity") == [(8,)] and res.decisions.count() == 1
+
+
+def test_import_into_an_inactive_warehouse_is_refused(spark):
+    items = frame(spark, "siz_items", [{"id": "I1", "is_active": True}])
+    wh = frame(spark, "warehouses", [{"id": "W1", "is_active": True}, {"id": "W2", "is_active": False}])
+    payload = frame(spark, "import_stock", [{"siz_item_id": "I1", "size_value": "\u00a042", "quantity": "\u00a03"},
+                                            {"siz_item_id": "I1", "size_value": "1", "quantity": "99999999999"}])
+    ok = L.import_stock(payload, items, "W1", today="2024-03-05", warehouses=wh, batch="b1")
+    assert rows(ok["deltas"], "size_value", "quantity") == [("42", 3)]
+    assert '"count":1,"skipped":0,"errors":1' in ok["audit"].first().changes
+    again = L.import_stock(payload, items, "W1", today="2024-03-05", warehouses=wh, batch="b2")
+    assert rows(ok["movements"], "id") != rows(again["movements"], "id")
+    no = L.import_stock(payload, items, "W2", today="2024-03-05", warehouses=wh)
+    assert rows(no["summary"], "outcome", "rows") == [("no_warehouse", 2)]
+    assert rows(no["deltas"]) == [] and rows(no["audit"]) == []
 
 
 def test_fold_is_shipped_by_value():
