@@ -92,16 +92,11 @@ def prepare_events(events: DataFrame, holdings: DataFrame) -> tuple[DataFrame, D
     Sizes default to '' (``size_value || ''``). A return takes item and size from its holding: a stored one,
     or one created by an issue of the same batch (holding id = issue event id). The checked events are
     materialised once, so the source is read once; the return lookup (a join) runs only when the batch holds a
-    return, which a LIMIT-1 probe of the materialised events tells. An event id that arrives more than once is one
-    event (of differing copies the least by value counts): only the ids are shuffled to find such ids, and whole
-    events only when there are some.
+    return, which a LIMIT-1 probe of the materialised events tells. Event ids are taken as given: rows that share one are
+    judged one by one.
     """
     ev = conform(events, "movement_events").withColumn("size_value", F.coalesce("size_value", F.lit("")))
     ev = ev.withColumn("__static", static_reason()).checkpoint(eager=True)
-    if ev.groupBy("event_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
-        others = [c for c in ev.columns if c != "event_id"]
-        ev = (ev.groupBy("event_id").agg(F.min(F.struct(*others)).alias("__e")).select("event_id", "__e.*")
-                .select(*ev.columns).checkpoint(eager=True))
     bad = ev.where(F.col("__static").isNotNull()).select(
         "event_id", F.lit(False).alias("accepted"), F.col("__static").alias("reason"),
         F.lit(None).cast("int").alias("available"))

@@ -255,15 +255,6 @@ def test_fast_tier_has_no_python(spark):
     assert "MapInPandas" in slow_plan and "CoGroups" not in slow_plan
 
 
-def test_an_event_delivered_twice_counts_once(spark):
-    stock = [{"warehouse_id": "W1", "siz_item_id": "I1", "size_value": "", "quantity": 5}]
-    event = {"event_id": "e", "event_time": dt.datetime(2024, 1, 1), "kind": "receipt", "warehouse_id": "W1",
-             "siz_item_id": "I1", "quantity": 3}
-    st, ho, ev = frames(spark, stock, [], [event, event])
-    res = L.apply_movements(st, ho, ev, frame(spark, "siz_items", [{"id": "I1"}]))
-    assert rows(res.stock, "quantity") == [(8,)] and res.decisions.count() == 1
-
-
 def test_import_into_an_inactive_warehouse_is_refused(spark):
     items = frame(spark, "siz_items", [{"id": "I1", "is_active": True}])
     wh = frame(spark, "warehouses", [{"id": "W1", "is_active": True}, {"id": "W2", "is_active": False}])
