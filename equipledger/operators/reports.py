@@ -157,6 +157,14 @@ def departments_report(departments: DataFrame, res_units: DataFrame, filters: di
     return left_labels(d, res_units, "res_unit_id", cols={"name": "res_name"})
 
 
+def users_report(t: Mapping[str, DataFrame]) -> DataFrame:
+    """Every user (active or not) with role, organisation, enterprise and res unit names."""
+    u = left_labels(t["users"], t["roles"], "role_id", cols={"display_name": "role_name", "level": "role_level"})
+    u = left_labels(u, t["organizations"], "organization_id", cols={"name": "organization_name"})
+    u = left_labels(u, t["enterprises"], "enterprise_id", cols={"name": "enterprise_name"})
+    return left_labels(u, t["res_units"], "res_unit_id", cols={"name": "res_name"})
+
+
 def warehouses_report(warehouses: DataFrame, spbipk: DataFrame, res_units: DataFrame, enterprises: DataFrame,
                       filters: dict | None = None) -> DataFrame:
     """Active warehouses with spbipk / res / enterprise names; filters on type and the three org ids."""

@@ -137,6 +137,28 @@ def enterprises_report(spark, sf_dir):
         "id", "name", "organization_id", "organization_name")
 
 
+def spbipk_report(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return R.spbipk_report(t["spbipk"], t["enterprises"]).select("id", "name", "enterprise_id", "enterprise_name")
+
+
+def res_units_report(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return R.res_units_report(t["res_units"], t["enterprises"], t["spbipk"]).select(
+        "id", "name", "enterprise_id", "spbipk_id", "enterprise_name", "spbipk_name")
+
+
+def departments_report(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return R.departments_report(t["departments"], t["res_units"]).select("id", "name", "res_unit_id", "res_name")
+
+
+def users_report(spark, sf_dir):
+    return R.users_report(tables(spark, sf_dir)).select(
+        "id", "username", "full_name", "is_active", "role_id", "enterprise_id", "res_unit_id", "role_level",
+        "enterprise_name", "res_name")
+
+
 def warehouses_report(spark, sf_dir):
     t = tables(spark, sf_dir)
     return R.warehouses_report(t["warehouses"], t["spbipk"], t["res_units"], t["enterprises"]).select(
@@ -230,6 +252,43 @@ def admit_requests(spark, sf_dir):
         "request_id", "actor_id", "operation", "admitted", "refusal")
 
 
+def admit_all_operations(spark, sf_dir):
+    """G1 over all operations of the rules, and one that no rule names."""
+    t = tables(spark, sf_dir)
+    return S.admit_requests(t.all_operation_requests(), S.actor_context(t["users"], t["roles"])).select(
+        "request_id", "actor_id", "operation", "admitted", "refusal")
+
+
+# One actor of each lower level, for the lists an actor sees.
+RES_ACTOR = {"role_level": "res", "enterprise_id": "3", "res_unit_id": "R3-1"}
+SPBIPK_ACTOR = {"role_level": "spbipk", "enterprise_id": "3", "res_unit_id": None}
+
+
+def cards_of_res_actor(spark, sf_dir):
+    """Own res unit's cards, and the stock of the enterprise's warehouses that are not of a res unit."""
+    return S.row_scope(equipment_cards(spark, sf_dir), "cards", RES_ACTOR)
+
+
+def employees_of_res_actor(spark, sf_dir):
+    return S.row_scope(R.employees_report(tables(spark, sf_dir)), "employees", RES_ACTOR).select(
+        "id", "last_name", "enterprise_id", "res_unit_id", "res_name", "department_name")
+
+
+def warehouses_of_spbipk_actor(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    w = R.warehouses_report(t["warehouses"], t["spbipk"], t["res_units"], t["enterprises"])
+    return S.row_scope(w, "warehouses", SPBIPK_ACTOR).select("id", "name", "warehouse_type", "spbipk_name", "res_name")
+
+
+def transactions_of_res_actor(spark, sf_dir):
+    return S.row_scope(R.transaction_report(tables(spark, sf_dir)), "transactions", RES_ACTOR).select(
+        "id", "employee_id", "transaction_type", "quantity", "employee_enterprise_id", "employee_res_unit_id")
+
+
+def org_tree_of_res_actor(spark, sf_dir):
+    return N.org_tree_nodes(tables(spark, sf_dir), RES_ACTOR)
+
+
 # ---------------------------------------------------------------- ledger
 
 def _ledger(spark, sf_dir):
@@ -533,4 +592,14 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "adjust_series": adjust_series,
     "adjust_series_audit": adjust_series_audit,
     "norms_insert_first": norms_insert_first,
+    "spbipk_report": spbipk_report,
+    "res_units_report": res_units_report,
+    "departments_report": departments_report,
+    "users_report": users_report,
+    "admit_all_operations": admit_all_operations,
+    "cards_of_res_actor": cards_of_res_actor,
+    "employees_of_res_actor": employees_of_res_actor,
+    "warehouses_of_spbipk_actor": warehouses_of_spbipk_actor,
+    "transactions_of_res_actor": transactions_of_res_actor,
+    "org_tree_of_res_actor": org_tree_of_res_actor,
 }

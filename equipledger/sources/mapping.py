@@ -22,6 +22,7 @@ EVENT_WAREHOUSES = 5     # movement events go to warehouse l_suppkey % 5
 AS_OF = "1999-01-01"     # fixed as-of date for expiry tests
 IMPORT_WAREHOUSE = "1"   # target warehouse of the stock-import fixture
 IMPORT_DAY = "2024-01-15"
+RES_PER_NATION = 4       # res units of an enterprise
 
 
 def lineitem_row_id() -> F.Column:
@@ -38,6 +39,11 @@ def _s(c: str) -> F.Column:
     return F.col(c).cast("string")
 
 
+def res_unit_id(nation, k) -> F.Column:
+    return F.concat(F.lit("R"), (F.col(nation) if isinstance(nation, str) else nation).cast("string"), F.lit("-"),
+                    k.cast("string"))
+
+
 class MappedTables(Mapping):
     """Lazy ``{domain table: DataFrame}`` over one driver data directory. Each table is built on first use."""
 
@@ -92,20 +98,47 @@ class MappedTables(Mapping):
                         F.col("n_name").alias("name"), F.col("n_name").alias("code"),
                         F.lit("{}").alias("extra"), F.lit(True).alias("is_active"))
 
+    def _build_spbipk(self):
+        n = self.raw("nation")
+        return n.select(F.concat(F.lit("S"), _s("n_nationkey")).alias("id"), _s("n_nationkey").alias("enterprise_id"),
+                        F.concat(F.lit("SPBIPK "), "n_name").alias("name"), F.lit("{}").alias("extra"),
+                        (F.col("n_nationkey") % 12 != 5).alias("is_active"))
+
+    def _build_res_units(self):
+        n = self.raw("nation").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(RES_PER_NATION - 1))))
+        return n.select(res_unit_id("n_nationkey", F.col("k")).alias("id"), _s("n_nationkey").alias("enterprise_id"),
+                        F.concat(F.lit("S"), _s("n_nationkey")).alias("spbipk_id"),
+                        F.concat("n_name", F.lit(" RES "), _s("k")).alias("name"), F.lit("{}").alias("extra"),
+                        ((F.col("n_nationkey") + F.col("k")) % 9 != 4).alias("is_active"))
+
+    def _build_departments(self):
+        r = self["res_units"].withColumn("d", F.explode(F.array(F.lit(0), F.lit(1))))
+        return r.select(F.concat("id", F.lit("-D"), _s("d")).alias("id"), F.col("id").alias("res_unit_id"),
+                        F.concat("name", F.lit(" / "), _s("d")).alias("name"), F.lit("{}").alias("extra"),
+                        ((F.col("d") == 0) | F.col("is_active")).alias("is_active"))
+
     def _build_warehouses(self):
         s = self.raw("supplier")
+        k = F.col("s_suppkey")
         wtype = (F.when(F.col("s_suppkey") % 3 == 0, "res").when(F.col("s_suppkey") % 3 == 1, "spbipk")
                  .otherwise("ia"))
         return s.select(_s("s_suppkey").alias("id"), F.col("s_name").alias("name"), wtype.alias("warehouse_type"),
                         F.when(F.col("s_suppkey") % 10 != 0, _s("s_nationkey")).alias("enterprise_id"),
+                        F.when(k % 3 == 1, F.concat(F.lit("S"), _s("s_nationkey"))).alias("spbipk_id"),
+                        F.when((k % 3 == 0) & (k % 7 != 0), res_unit_id("s_nationkey", k % RES_PER_NATION))
+                        .alias("res_unit_id"),
                         (F.col("s_acctbal") >= 0).alias("is_active"))
 
     # -- people --
     def _build_employees(self):
         c = self.raw("customer")
+        k = F.col("c_custkey")
+        res = F.when((k % 20 != 0) & (k % 3 != 0), res_unit_id("c_nationkey", k % RES_PER_NATION))
         return c.select(_s("c_custkey").alias("id"), _s("c_custkey").alias("employee_number"),
                         F.col("c_name").alias("last_name"), F.col("c_mktsegment").alias("position_id"),
                         F.when(F.col("c_custkey") % 20 != 0, _s("c_nationkey")).alias("enterprise_id"),
+                        res.alias("res_unit_id"),
+                        F.when(k % 5 == 1, F.concat(res, F.lit("-D"), (k % 2).cast("string"))).alias("department_id"),
                         F.lit("{}").alias("extra"), (F.col("c_acctbal") >= 0).alias("is_active"))
 
     def _build_positions(self):
@@ -196,6 +229,7 @@ class MappedTables(Mapping):
         return u.select(_s("user_id").alias("id"), F.concat(F.lit("user"), _s("user_id")).alias("username"),
                         F.concat(F.lit("User "), _s("user_id")).alias("full_name"), role.alias("role_id"),
                         (F.col("user_id") % 25).cast("string").alias("enterprise_id"),
+                        res_unit_id((F.col("user_id") % 25), F.col("user_id") % 3).alias("res_unit_id"),
                         (F.col("user_id") % 9 != 0).alias("is_active"))
 
     def _build_roles(self):
@@ -210,6 +244,14 @@ class MappedTables(Mapping):
               .when(F.col("event_type") == "signup", "employees.create").otherwise("stock.adjust"))
         return e.select(_s("event_id").alias("request_id"), _s("user_id").alias("actor_id"), op.alias("operation"))
 
+    def all_operation_requests(self) -> DataFrame:
+        """One change request per event, dealt over all operations of the admission rules and one unknown one."""
+        from equipledger.operators.scope import ADMISSION_RULES
+        ops = F.array(*[F.lit(o) for o in [*sorted(ADMISSION_RULES), "unknown.operation"]])
+        at = (F.col("event_id") % (len(ADMISSION_RULES) + 1)).cast("int")
+        return self.raw("events").select(_s("event_id").alias("request_id"), _s("user_id").alias("actor_id"),
+                                         F.get(ops, at).alias("operation"))
+
     # -- audit --
     def _build_audit_log(self):
         e = self.raw("events")
