@@ -319,6 +319,40 @@ def ledger_movements(spark, sf_dir):
         "movement_date")
 
 
+def _mixed(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return L.apply_movements(t.opening_stock(), empty(spark, "employee_siz"), t.mixed_movement_events(),
+                             t["siz_items"], materialize=False)
+
+
+def ledger_kinds_decisions(spark, sf_dir):
+    """L9 over all six kinds of events (L1-L6), with every reason of refusal."""
+    t = tables(spark, sf_dir)
+    return L.decide(t.opening_stock(), empty(spark, "employee_siz"), t.mixed_movement_events())
+
+
+def ledger_kinds_stock(spark, sf_dir):
+    return _mixed(spark, sf_dir).stock.select("warehouse_id", "siz_item_id", "size_value", "quantity")
+
+
+def ledger_kinds_holdings(spark, sf_dir):
+    return _mixed(spark, sf_dir).holdings.select("id", "employee_id", "siz_item_id", "quantity", "issued_date", "status",
+                                                 "returned_date", "from_warehouse_id")
+
+
+def ledger_kinds_movements(spark, sf_dir):
+    return _mixed(spark, sf_dir).movements.select("id", "movement_type", "siz_item_id", "quantity", "from_warehouse_id",
+                                                  "to_warehouse_id", "employee_id", "movement_date")
+
+
+def ledger_kinds_audit(spark, sf_dir):
+    """Audit rows of the accepted resets (old and new quantity) and movements."""
+    part = lambda p: F.get_json_object("changes", p).cast("int")
+    return _mixed(spark, sf_dir).audit.select(
+        "table_name", "action", "created_at", part("$.old_quantity").alias("old_quantity"),
+        part("$.new_quantity").alias("new_quantity"), part("$.deleted_entry.quantity").alias("deleted_quantity"))
+
+
 def _import(spark, sf_dir):
     t = tables(spark, sf_dir)
     return L.import_stock(t.import_stock_rows(), t["siz_items"], IMPORT_WAREHOUSE, today=IMPORT_DAY)
@@ -602,4 +636,9 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "warehouses_of_spbipk_actor": warehouses_of_spbipk_actor,
     "transactions_of_res_actor": transactions_of_res_actor,
     "org_tree_of_res_actor": org_tree_of_res_actor,
+    "ledger_kinds_decisions": ledger_kinds_decisions,
+    "ledger_kinds_stock": ledger_kinds_stock,
+    "ledger_kinds_holdings": ledger_kinds_holdings,
+    "ledger_kinds_movements": ledger_kinds_movements,
+    "ledger_kinds_audit": ledger_kinds_audit,
 }

@@ -270,6 +270,29 @@ class MappedTables(Mapping):
                          F.when(F.col("l_returnflag") == "A", _s("o_custkey")).alias("employee_id"),
                          F.col("l_quantity").cast("int").alias("quantity"))
 
+    def mixed_movement_events(self) -> DataFrame:
+        """Movement requests of all six kinds, one per lineitem id: 'A' issues; 'R' transfers to the next warehouse
+        (even lines) or returns of the order's first issue (odd lines; invalid where the order has none); 'N' drops
+        the stock row (line 5), sets it (line 6) or receives."""
+        key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "o_custkey"]
+        li = self._lineitem_orders().groupBy(*key).agg(
+            F.max("l_quantity").cast("int").alias("quantity"), F.min("l_shipdate").alias("event_time"),
+            F.max("l_returnflag").alias("flag"))
+        line = F.col("l_linenumber")
+        kind = (F.when(F.col("flag") == "A", "issue")
+                .when(F.col("flag") == "R", F.when(line % 2 == 0, "transfer").otherwise("return"))
+                .when(line == 5, "drop").when(line == 6, "set").otherwise("receipt"))
+        li = li.withColumn("kind", kind).withColumn("event_id", lineitem_row_id())
+        first = li.where(F.col("kind") == "issue").groupBy("l_orderkey").agg(F.min("event_id").alias("first_issue"))
+        li = li.join(first, "l_orderkey", "left")
+        k = F.col("kind")
+        wh = lambda shift: ((F.col("l_suppkey") + shift) % EVENT_WAREHOUSES).cast("string")
+        return li.select("event_id", "event_time", "kind", wh(0).alias("warehouse_id"),
+                         F.when(k == "transfer", wh(1)).alias("to_warehouse_id"),
+                         F.when(k != "return", _s("l_partkey")).alias("siz_item_id"), F.lit("").alias("size_value"),
+                         F.when(k == "issue", _s("o_custkey")).alias("employee_id"),
+                         F.when(k == "return", F.col("first_issue")).alias("holding_id"), "quantity")
+
     def import_stock_rows(self) -> DataFrame:
         """Stock-import payload rows from lineitem 'R' rows: padded sizes, quantities with trailing text or
         <= 0, blank item ids, inactive items -- every rule of the import is exercised."""

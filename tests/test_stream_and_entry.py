@@ -61,7 +61,9 @@ ORACLE_SUBSET = ["card_stats", "card_stats_by_enterprise", "entitlement_counts",
                  "import_stock_summary", "norms_upsert", "patch_employees_audit", "import_items_rows",
                  "latest_movements", "cards_search", "norms_insert_absent", "transactions_report", "adjust_stock",
                  "movement_page", "patch_series", "patch_series_audit", "adjust_series", "adjust_series_audit",
-                 "norms_insert_first", "equipment_cards", "norm_report", "entitlements", "movement_report"]
+                 "norms_insert_first", "ledger_kinds_decisions", "ledger_kinds_stock",
+                 "ledger_kinds_holdings", "admit_all_operations", "cards_of_res_actor", "transactions_of_res_actor",
+                 "org_tree_of_res_actor", "org_tree_nodes", "users_report", "equipment_cards", "norm_report", "entitlements", "movement_report"]
 
 
 @pytest.fixture(scope="module")
@@ -99,3 +101,11 @@ def test_every_query_has_an_oracle():
     """The training-data queries have none (the README says why); every other query has its SQL."""
     from equipledger.plans import catalog
     assert set(catalog.REGISTRY) <= set(E.oracle_sql())
+
+
+def test_mixed_events_reach_every_kind_and_refusal(spark):
+    from equipledger.plans import catalog as C
+    ev = C.tables(spark, SF_SMALL).mixed_movement_events().select("event_id", "kind")
+    got = C.ledger_kinds_decisions(spark, SF_SMALL).join(ev, "event_id").select("kind", "reason").distinct().collect()
+    assert {r["kind"] for r in got if r["reason"] is None} == {"receipt", "transfer", "issue", "return", "set", "drop"}
+    assert {r["reason"] for r in got} >= {"invalid", "insufficient_stock", "no_holding", "no_stock_row"}
