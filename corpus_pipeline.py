@@ -6,8 +6,9 @@ Every function takes (spark, docs, sf_dir). All stages but the last return the c
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from equipledger.llm.common import saved, table
+from equipledger.llm.common import placed, saved, table
 from equipledger.llm.kn_quality import keep_quality
 from equipledger.llm.pfair import mixed
 from equipledger.llm.pii import mask_pii
@@ -36,8 +37,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_pieces, ids and whether decoding gives the text back."""
-    return encode(docs, keep=["doc_id", "lang", "source"])
+    """doc_id, lang, source, mix_position, n_pieces, ids and whether decoding gives the text back. ``mix_position`` is
+    the row's place in ``docs`` as the mix wrote it (gapless from 0): the order to train in."""
+    at, starts = placed(docs)
+    coded = encode(at, keep=["doc_id", "lang", "source", "file_name", "file_row"])
+    # one row a file
+    return coded.join(F.broadcast(starts), "file_name").select(
+        "doc_id", "lang", "source", (F.col("file_start") + F.col("file_row")).alias("mix_position"), "ids", "n_pieces", "round_trip")
 
 
 STAGES = [

@@ -26,6 +26,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def placed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` with ``file_name`` and ``file_row`` (the row's index in that file), and ``(file_name, file_start)``, the rows
+    in the files before: together a row's place in the order the table was written in. Reading packs files by size, so
+    that order is in the files alone. What is not a table just read is written first."""
+    if df._jdf.queryExecution().analyzed().nodeName().split()[0] not in ("Relation", "LogicalRelation"):
+        df = saved(df, "placed")
+    at = df.select("*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias("file_row"))
+    part = F.regexp_extract("file_name", r"^part-(\d+)", 1).try_cast("long")
+    files = Window.partitionBy(F.lit(0)).orderBy(part, "file_name").rowsBetween(Window.unboundedPreceding, -1)
+    starts = at.groupBy("file_name").agg(F.count(F.lit(1)).alias("n")).select(
+        "file_name", F.coalesce(F.sum("n").over(files), F.lit(0)).alias("file_start"))
+    return at, starts
+
+
 def doc_bucket(modulus: int, doc_id: str = "doc_id") -> Column:
     """crc32(doc_id as text) mod ``modulus``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(modulus)
