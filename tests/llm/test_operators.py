@@ -546,6 +546,24 @@ def test_pfair_mix_keeps_shares_and_rows(spark, documents):
     assert order == sorted(order)
 
 
+@pytest.mark.parametrize("weights", [{"a": 0.9, "b": 0.05, "c": 0.05}, {"a": 1 / 3, **{f"s{i:02d}": 2 / 57 for i in range(19)}},
+                                     {"a": 0.9995, "b": 0.0005}])
+def test_pfair_shares_stay_within_a_block_of_the_weights(spark, weights):
+    """Over thousands of slots, not only over one round of rounded shares."""
+    from fractions import Fraction
+    total, slots = sum(map(Fraction, weights.values())), 3000
+    w = {f"s{s}": Fraction(x) / total for s, x in weights.items()}
+    sharing = pfair.shares(spark.createDataFrame([(s, 1) for s in w], "src string, bytes long"), weights, 1.0)
+    got = pfair.order_of(sharing.withColumn("blocks", F.lit(slots))).where(F.col("slot") < slots).collect()
+    order = {r.slot: r.src for r in got}
+    assert sorted(order) == list(range(slots)) and len(got) == slots
+    assert all(r.release <= r.slot < r.deadline for r in got)
+    had = Counter()
+    for t in range(slots):
+        had[order[t]] += 1
+        assert all(abs(had[s] - w[s] * (t + 1)) < 1 + 1e-6 for s in w), t
+
+
 def test_pfair_odd_rows(spark, odd, nothing):
     d = pfair.pfair_mix(odd, weights={"a": 3, None: 1})
     assert d.count() == len(ODD) and set(odd.columns) <= set(d.columns)
