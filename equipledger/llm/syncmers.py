@@ -2,8 +2,8 @@
 
 The alphabet is words (long ones in pieces of ``PIECE`` characters). A k-mer of ``K`` words is an anchor if the
 smallest hash of its inner ``S``-word substrings lies at its first or last place: this depends on the k-mer alone, so
-equal passages give equal anchors wherever they stand. The fingerprint keeps the ``KEPT`` smallest distinct anchors
-of the whole text (a bottom-k sketch: likeness is its estimate of the Jaccard index, exact below ``KEPT`` anchors).
+equal passages give equal anchors wherever they stand. The fingerprint has all distinct anchors of the whole text;
+likeness is the Jaccard index of two such sets. ``positions`` gives the anchors in order, repeats included.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from equipledger.llm.common import saved, table
 
 K, S = 4, 2                # words of a k-mer and of its inner substrings; K - S must be 2
 PIECE = 16
-KEPT = 128
+KEPT = None                # no anchor is left out of a fingerprint
 CELLS = 128                # quantile cells of doc_id; each is cut evenly into buckets
 ROWS_PER_BUCKET = 2_000
 
@@ -41,7 +41,7 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def sketch(anchors: str) -> Column:
-    return F.slice(F.sort_array(F.array_distinct(anchors)), 1, KEPT)
+    return F.sort_array(F.array_distinct(anchors))
 
 
 def fingerprint(sketched: str) -> Column:
@@ -49,10 +49,9 @@ def fingerprint(sketched: str) -> Column:
 
 
 def likeness(a: str, b: str) -> Column:
-    """Jaccard estimate of two sketches, 0 to 1; two empty ones are alike, an empty and another aren't."""
-    both = F.slice(F.sort_array(F.array_union(a, b)), 1, KEPT)
-    return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(
-        F.size(F.array_intersect(F.array_intersect(both, a), b)).cast("double") / F.size(both))
+    """Jaccard index of two sets of anchors, 0 to 1; two empty ones are alike, an empty and another aren't."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(both.cast("double") / (F.size(a) + F.size(b) - both))
 
 
 def anchors(docs: DataFrame) -> DataFrame:
@@ -79,7 +78,8 @@ def _bucketed(docs: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprint of every whole text, of its edited text, and its likeness to those of the edited text and of the
-    next document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    next document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next; and positions,
+    the anchors of the text in order (an anchor's index is its position).
 
     The next document is the next by doc_id (null ids first, ties by hash of the text), after the last the first; a
     single row is its own next. Texts move in one shuffle, by ranges of doc_id; the first row of every range is also
@@ -95,21 +95,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     firsts = saved(firsts, "first-rows")      # its size is known then: Spark broadcasts it as long as it is small
     heads = (d.join(firsts, (F.col("bucket") == F.col("f_bucket")) & (F.col("at") == F.col("f_at")) & (F.col("tie") == F.col("f_tie")))
              .select("before", F.col("text").alias("head_text")).dropDuplicates(["before"]))
-    heads = with_anchors(heads, "head_text", "head_anchors").select("before", "head_text", sketch("head_anchors").alias("head_sketch"))
-    own = with_anchors(d, "text", "anchors").withColumn("sketch", sketch("anchors")).drop("anchors")
+    # anchors take as much room as the texts: they are reckoned after the shuffle, the next text's from that text
     w = Window.partitionBy("bucket").orderBy("at", "tie")
-    own = own.withColumns({"l_text": F.lead("text").over(w), "l_sketch": F.lead("sketch").over(w)})
-    own = own.join(heads, F.col("bucket") == F.col("before"))
-    own = own.withColumns({"n_text": F.coalesce("l_text", "head_text"), "n_sketch": F.coalesce("l_sketch", "head_sketch"),
-                           "n_chars": F.char_length("text").cast("long")})
+    own = d.withColumn("l_text", F.lead("text").over(w)).join(heads, F.col("bucket") == F.col("before"))
+    own = own.withColumns({"n_text": F.coalesce("l_text", "head_text"), "n_chars": F.char_length("text").cast("long")})
     cut = F.floor(F.col("n_chars") / 4).cast("int")
-    own = own.select("doc_id", "n_chars", "sketch", "n_sketch",
+    own = own.select("doc_id", "n_chars", "text", "n_text",
                      F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut),
                               F.substring("n_text", F.lit(1), cut)).alias("edited"))
-    own = with_anchors(own, "edited", "e_anchors").withColumn("e_sketch", sketch("e_anchors"))
+    own = with_anchors(with_anchors(with_anchors(own, "text", "positions"), "n_text", "n_anchors"), "edited", "e_anchors")
+    own = own.withColumns({"own_set": sketch("positions"), "n_set": sketch("n_anchors"), "e_set": sketch("e_anchors")})
     return own.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-                      fingerprint("sketch").alias("fingerprint"), fingerprint("e_sketch").alias("edited_fingerprint"),
-                      likeness("sketch", "e_sketch").alias("near_edited"), likeness("sketch", "n_sketch").alias("near_next"))
+                      fingerprint("own_set").alias("fingerprint"), fingerprint("e_set").alias("edited_fingerprint"),
+                      likeness("own_set", "e_set").alias("near_edited"), likeness("own_set", "n_set").alias("near_next"), "positions")
 
 
 def op5_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
