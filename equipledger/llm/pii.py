@@ -26,6 +26,12 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _DIGIT = re.compile(r"[0-9]")
+# characters of an IBAN by country (ISO 13616)
+IBAN_CHARS = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU",
+    31: "MT SC", 32: "LC", 33: "RU"}.items() for c in cs.split()}
 
 # start score of a kind, and the words near a span that raise or lower it
 START = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.4}
@@ -72,6 +78,21 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, free))
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """A proposal runs on over blanks, so its end is tried at every group edge: the country's length first, then the
+    longest. After a span the scan goes on behind it, after a failure at the next group."""
+    m = _IBAN.search(text)
+    while m:
+        a, whole = m.start(), m[0]
+        ends = [len(whole), *[i for i in range(len(whole) - 1, 0, -1) if whole[i] == " "]]
+        own = IBAN_CHARS.get(whole[:2])
+        ends.sort(key=lambda z: len(whole[:z].replace(" ", "")) != own)      # stable: the others stay longest first
+        z = next((z for z in ends if mod97(whole[:z])), None)
+        if z:
+            yield a, a + z
+        m = _IBAN.search(text, a + (z or 1))
+
+
 def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
     if "@" in text:
         for a, z in _emails(text):
@@ -90,9 +111,8 @@ def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
         for m in _PHONE.finditer(text):
             if 9 <= sum("0" <= c <= "9" for c in m[0]) <= 15:
                 yield "phone", m.start(), m.end()
-    for m in _IBAN.finditer(text):
-        if mod97(m[0]):
-            yield "iban", m.start(), m.end()
+    for a, z in _ibans(text):
+        yield "iban", a, z
     if "-" in text:
         for m in _SSN.finditer(text):
             yield "ssn", m.start(), m.end()
