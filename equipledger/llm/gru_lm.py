@@ -3,12 +3,13 @@ windows, complete-document log-likelihood.
 
 Word counts of the whole corpus give the short list (frequent words, with a learned softmax inside their class) and
 the share of every other word inside its tail class (add-one: a word never seen is one more type of it). Recurrent weights
-are trained in parallel on a fixed share of the training documents and averaged. Counts of words outside a
+are trained in parallel, every task on all its training documents, and averaged. Counts of words outside a
 bounded head are joined to the (document, word) pairs that need them, so nothing unbounded is broadcast.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 
 import numpy as np
@@ -24,8 +25,8 @@ HEAD_BYTES = 64               # longer words are never in the head
 WORDS_IN_CLASS, CLASSES, TAILS = 32, 32, 32
 SHORT = WORDS_IN_CLASS * CLASSES
 HIDDEN = 16
-SHARE = 32                    # one in so many training documents trains the recurrent weights
-ROUNDS, STREAMS, WINDOW, RATE = 2, 16, 32, 0.01
+ROUNDS, WINDOW, RATE = 1, 32, 0.01
+STREAMS, MOST_STREAMS = 16, 128    # of a batch: as many as its longest document leaves filled
 CHUNK_WORDS = 120_000
 
 
@@ -99,24 +100,29 @@ class Gru:
         return out / np.log(10)
 
     def train(self, docs: list[np.ndarray]) -> int:
-        """Truncated backpropagation over ``WINDOW`` steps of ``STREAMS`` streams of documents (input numbers, the end
-        token last); a stream's state goes on from window to window and starts anew after an end. Adam."""
+        """Truncated backpropagation over ``WINDOW`` steps of ``STREAMS`` to ``MOST_STREAMS`` streams of documents (input
+        numbers, the end token last), long ones first, so that streams end together; a stream's state goes on from window to window and starts anew after an end. Adam."""
         end = docs[0][-1]
-        lanes: list[list[np.ndarray]] = [[] for _ in range(STREAMS)]
-        sizes = [0] * STREAMS
+        docs = sorted(docs, key=len, reverse=True)
+        streams = min(MOST_STREAMS, max(STREAMS, sum(map(len, docs)) // len(docs[0])))
+        lanes: list[list[np.ndarray]] = [[] for _ in range(streams)]
+        shortest = [(0, k) for k in range(streams)]
         for d in docs:
-            k = int(np.argmin(sizes))
+            n, k = shortest[0]
             lanes[k].append(d)
-            sizes[k] += len(d)
+            heapq.heapreplace(shortest, (n + len(d), k))
+        lanes.sort(key=lambda lane: -sum(map(len, lane)))        # those still running stand in front
+        sizes = [sum(map(len, lane)) for lane in lanes]
         time = max(sizes)
-        ids = np.full((time, STREAMS), -1, dtype=np.int64)
+        ids = np.full((time, streams), -1, dtype=np.int64)
         for k, lane in enumerate(lanes):
             if lane:
                 ids[:sizes[k], k] = np.concatenate(lane)
         moment = {n: [np.zeros_like(getattr(self, n)), np.zeros_like(getattr(self, n))] for n in self.NAMES}
-        h, last, turn = np.zeros((STREAMS, HIDDEN), np.float32), np.full(STREAMS, end), 0
+        h, last, turn = np.zeros((streams, HIDDEN), np.float32), np.full(streams, end), 0
         for s in range(0, time, WINDOW):
-            h, last, grad = self._window(ids[s:s + WINDOW], h, last, end)
+            live = sum(n > s for n in sizes)
+            h, last, grad = self._window(ids[s:s + WINDOW, :live], h[:live], last[:live], end)
             turn += 1
             for n, g in grad.items():
                 norm = float(np.sqrt((g * g).sum()))
@@ -231,10 +237,9 @@ def _rows(words: list[bytes], v: Vocabulary) -> np.ndarray:
 
 
 def train(docs: DataFrame, v: Vocabulary, shared) -> Gru:
-    """Recurrent weights from one in ``SHARE`` of ``docs`` (all of them if that leaves none): every task trains from
-    the same start, the results are averaged by tokens, and again. What is trained on grows with the corpus."""
+    """Recurrent weights from all of ``docs``: every task trains on its documents from the same start, and the results
+    are averaged by tokens, ``ROUNDS`` times. Without any document the start weights stand."""
     gru = Gru(v.short_counts, v.tails)
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SHARE)) == 0).select("text")
     spark = docs.sparkSession
     for _ in range(ROUNDS):
         weights = spark.sparkContext.broadcast(gru.get())
@@ -253,7 +258,7 @@ def train(docs: DataFrame, v: Vocabulary, shared) -> Gru:
                                                  names=["n", "w"])
 
         # one row of weights a task, summed place by place on the executors
-        mean = (some.mapInArrow(run, "n long, w array<double>").select("n", F.posexplode("w").alias("i", "w"))
+        mean = (docs.select("text").mapInArrow(run, "n long, w array<double>").select("n", F.posexplode("w").alias("i", "w"))
                 .groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).collect())
         if not mean:
             break
