@@ -2,7 +2,8 @@
 application of movements with the original acceptance rules (L9).
 
 L9 contract: events are judged in the total order (event_time, event_id); each is accepted or rejected
-against the balances left by the *accepted* ones. A rejected event consumes nothing.
+against the balances left by the *accepted* ones. A rejected event consumes nothing. Rows that share an id are events of their
+own: each gets a position when the batch is materialised, and ties of time and id go by a hash of the content.
 
 Plan. Every event touches keys of one (item, size) only: stock keys (warehouse) and holding keys (holding id;
 a return takes item and size from its holding). So (item, size) groups are independent; a group without
@@ -16,7 +17,11 @@ transfers and returns splits further into independent stock keys. Such an indepe
    accepted (at that point every earlier event was accepted), so only the tail from that *cut* is replayed: the
    balances at the cut and the tail events are dealt by unit, sorted by Spark (which spills) and walked by one
    ``mapInPandas``, which holds the balances of the unit it is at and nothing else.
-3. Results (stock, holdings, movements, audit, rejections) are derived set-wise from the per-event decisions.
+3. Hot units. A unit with more than ``HOT_EVENTS`` legs is cut at hours. Each (key, hour) is summed up to its total and the
+   balance it needs at entry. A walk over these summaries with a lower bound of every balance finds the hours that are
+   accepted whole whatever happened before; only the events of the other hours are replayed, and for a sure hour
+   the replay adds its totals and notes the balances at its entry.
+4. Results (stock, holdings, movements, audit, rejections) are derived set-wise from the per-event decisions.
 """
 
 from __future__ import annotations
@@ -50,10 +55,14 @@ LedgerResult = namedtuple("LedgerResult", "decisions stock holdings movements au
 # states, and the plans of the two tiers (the fast tier is pure SQL; the slow tier is the Python fold).
 Decided = namedtuple("Decided", "judged rejects finals fast slow")
 
-# The fold returns its decisions (rec 'd') and the final state of every stock key of its units (rec 's').
-FOLD_SCHEMA = ("rec string, event_id string, accepted boolean, reason string, available int, "
-               "siz_item_id string, size_value string, key string, balance int, exists boolean")
+# The fold returns its decisions (rec 'd'), the final state of every stock key of its units (rec 's') and the balances at the
+# entry of the hours that it took whole (rec 'e').
+FOLD_SCHEMA = ("rec string, pos long, accepted boolean, reason string, available int, siz_item_id string, "
+               "size_value string, sub string, chunk long, key_type string, key string, balance int, exists boolean")
 DECISION = ["event_id", "accepted", "reason", "available"]
+HOT_EVENTS = 100_000
+UNIT = ["siz_item_id", "size_value", "sub"]
+OPENING, WHOLE, EVENT = range(3)      # parts of a fold's input
 
 
 # ---------------------------------------------------------------- static checks (F13) and legs
@@ -93,10 +102,11 @@ def prepare_events(events: DataFrame, holdings: DataFrame) -> tuple[DataFrame, D
     or one created by an issue of the same batch (holding id = issue event id). The checked events are
     materialised once, so the source is read once; the return lookup (a join) runs only when the batch holds a
     return, which a LIMIT-1 probe of the materialised events tells. Event ids are taken as given: rows that share one are
-    judged one by one.
+    judged one by one, told apart by ``pos``; ``tie`` orders them if their times are equal, too.
     """
     ev = conform(events, "movement_events").withColumn("size_value", F.coalesce("size_value", F.lit("")))
-    ev = ev.withColumn("__static", static_reason()).checkpoint(eager=True)
+    tie = F.xxhash64("kind", "warehouse_id", "to_warehouse_id", "siz_item_id", "size_value", "holding_id", "employee_id", "quantity")
+    ev = ev.withColumns({"__static": static_reason(), "tie": tie, "pos": F.monotonically_increasing_id()}).checkpoint(eager=True)
     bad = ev.where(F.col("__static").isNotNull()).select(
         "event_id", F.lit(False).alias("accepted"), F.col("__static").alias("reason"),
         F.lit(None).cast("int").alias("available"))
@@ -211,50 +221,116 @@ def _judge(bal: dict, exists: dict, linked: bool, eid, kind, wh, to, hid, q: int
 
 
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Replay the tails of fold units: rows come sorted by unit, its balances at the cut (``opening``) before its
-    events in (event_time, event_id) order. Only the balances of the current unit are held."""
+    """Replay the tails of fold units: rows come sorted by unit, its balances at the cut before its hours, the totals of a sure
+    hour or the events of another in order. Only the balances of the current unit are held."""
     unit, bal, exists = None, {}, {}
     names = [f.split()[0] for f in FOLD_SCHEMA.split(", ")]
 
     def states():
-        return [("s", None, None, None, None, unit[0], unit[1], k, bal[kt, k], bool(exists.get((kt, k), False)))
+        return [("s", None, None, None, None, *unit, None, kt, k, bal[kt, k], bool(exists.get((kt, k), False)))
                 for kt, k in bal if kt == STOCK]
 
-    def frame(out):
-        df = pd.DataFrame(out, columns=names)
-        return df.astype({"available": "Int32", "balance": "Int32"})
+    ints = {"pos": "Int64", "chunk": "Int64", "available": "Int32", "balance": "Int32"}
+
+    def frame(out):     # whole numbers beside nulls must not pass through floats
+        return pd.DataFrame({n: pd.array([r[i] for r in out], dtype=ints.get(n, "object")) for i, n in enumerate(names)})
 
     for df in batches:
         out = []
-        for item, size, sub, opening, eid, kind, wh, to, hid, q, there in zip(
-                df["siz_item_id"], df["size_value"], df["sub"], df["opening"], df["event_id"], df["kind"],
+        for item, size, sub, part, chunk, pos, eid, kind, wh, to, hid, q, there in zip(
+                df["siz_item_id"], df["size_value"], df["sub"], df["part"], df["chunk"], df["pos"], df["event_id"], df["kind"],
                 df["warehouse_id"], df["to_warehouse_id"], df["holding_id"], df["quantity"], df["exists"]):
             if (item, size, sub) != unit:
                 if unit is not None:
                     out += states()
                 unit, bal, exists = (item, size, sub), {}, {}
             q = 0 if pd.isna(q) else int(q)
-            if opening:
-                bal[kind, wh], exists[kind, wh] = q, bool(there)
-            else:
-                out.append(("d", eid, *_judge(bal, exists, sub == "*", eid, kind, wh, to, hid, q),
-                            None, None, None, None, None))
+            if part == EVENT:
+                out.append(("d", pos, *_judge(bal, exists, sub == "*", eid, kind, wh, to, hid, q), *[None] * 8))
+                continue
+            k = kind, wh
+            if part == WHOLE:
+                out.append(("e", *[None] * 4, *unit, chunk, *k, bal.get(k, 0), exists.get(k, False)))
+                q, there = bal.get(k, 0) + q, exists.get(k, False) or bool(there)
+            bal[k], exists[k] = q, bool(there)
         yield frame(out)
     if unit is not None:
         yield frame(states())
 
 
-def replay_tails(state: DataFrame, tail: DataFrame) -> DataFrame:
-    """Slow tier: ``state`` (unit, key_type, key, balance, exists at the cut) and ``tail`` (unit and events from the
-    cut on) -> rows of ``FOLD_SCHEMA``. One sort per unit, done and spilled by Spark."""
-    unit = ["siz_item_id", "size_value", "sub"]
-    rows = state.select(*unit, F.lit(True).alias("opening"), F.col("key_type").alias("kind"),
-                        F.col("key").alias("warehouse_id"), F.col("balance").alias("quantity"), "exists")
-    rows = rows.unionByName(tail.withColumn("opening", F.lit(False)), allowMissingColumns=True)
-    # dealt by a hash of the unit: a plain repartition by its columns may be dropped as already given by the union,
+SURE_SCHEMA = "siz_item_id string, size_value string, sub string, chunk long"
+
+
+def _sure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The hours of hot units in which every event is accepted whatever the hours before decided.
+
+    Rows come sorted by unit and hour, the balances at the cut first. ``low`` bounds the balance of a key from below: a sure
+    hour adds its totals; after any other one the certain legs (all debits, and receipts) count, and a balance that was
+    refused a debit has stayed at or above the floor, so it ends at no less than what came in after its lowest point."""
+    names = [f.split()[0] for f in SURE_SCHEMA.split(", ")]
+    unit, hour, low, floor, rows, out = None, None, {}, {}, [], []
+
+    def close():
+        sure = all(not r[3] and low.get(r[0], 0) >= r[2] for r in rows)
+        for key, total, need, _, certain, dip in rows:
+            now = low.get(key, 0)
+            low[key] = now + total if sure else max(floor.get(key, 0), certain + max(now, dip + floor.get(key, 0)))
+        for r in rows:
+            if r[3]:
+                low[r[0]] = min(floor.get(r[0], 0), 0)
+        if sure and rows:
+            out.append((*unit, hour))
+
+    for df in batches:
+        for item, size, sub, part, chunk, kt, k, total, need, reset, certain, dip in zip(
+                df["siz_item_id"], df["size_value"], df["sub"], df["part"], df["chunk"], df["key_type"], df["key"], df["total"],
+                df["need"], df["reset"], df["certain"], df["dip"]):
+            if (item, size, sub) != unit or chunk != hour:
+                close()
+                rows = []
+                if (item, size, sub) != unit:
+                    unit, low, floor = (item, size, sub), {}, {}
+                hour = chunk
+            if part == OPENING:
+                low[kt, k], floor[kt, k] = int(total), min(0, int(total))
+            else:
+                rows.append(((kt, k), int(total), int(need), bool(reset), int(certain), int(dip)))
+        yield pd.DataFrame(out, columns=names).astype({"chunk": "int64"})
+        out.clear()
+    close()
+    yield pd.DataFrame(out, columns=names).astype({"chunk": "int64"})
+
+
+def _by_unit(rows: DataFrame, *order) -> DataFrame:
+    # dealt by a hash of the unit: a plain repartition by its columns may be dropped as already given by a union,
     # whose two sides AQE can still change
-    rows = rows.repartition(F.xxhash64(*unit)).sortWithinPartitions(*unit, F.col("opening").desc(), "event_time", "event_id")
-    return rows.drop("event_time").mapInPandas(_fold, FOLD_SCHEMA)
+    return rows.repartition(F.xxhash64(*UNIT)).sortWithinPartitions(*UNIT, *order)
+
+
+def sure_hours(state: DataFrame, sums: DataFrame) -> DataFrame:
+    """Hours (unit, chunk) of hot units that are accepted whole: ``state`` at the cut, ``sums`` per (unit, hour, key)."""
+    rows = state.select(*UNIT, F.lit(OPENING).alias("part"), F.lit(-(1 << 62)).alias("chunk"), "key_type", "key",
+                        F.col("balance").cast("long").alias("total"),
+                        *[F.lit(0).cast("long").alias(c) for c in ("need", "certain", "dip")], F.lit(False).alias("reset"))
+    rows = rows.unionByName(sums.select(*UNIT, F.lit(WHOLE).alias("part"), "chunk", "key_type", "key", "total", "need", "certain",
+                                        "dip", "reset"))
+    return _by_unit(rows, "chunk").mapInPandas(_sure, SURE_SCHEMA)
+
+
+def replay_tails(state: DataFrame, tail: DataFrame, whole: DataFrame | None = None) -> DataFrame:
+    """Slow tier: ``state`` (unit, key_type, key, balance, exists at the cut), ``tail`` (unit, chunk and events from the
+    cut on) and ``whole`` (sums of the sure hours of hot units) -> rows of ``FOLD_SCHEMA``. One sort per unit, done and spilled
+    by Spark."""
+    key = [F.col("key_type").alias("kind"), F.col("key").alias("warehouse_id"), F.lit(-1).cast("long").alias("pos")]
+    rows = state.select(*UNIT, F.lit(OPENING).alias("part"), F.lit(-(1 << 62)).alias("chunk"), *key,
+                        F.col("balance").alias("quantity"), "exists")
+    rows = rows.unionByName(tail.withColumn("part", F.lit(EVENT)), allowMissingColumns=True)
+    if whole is not None:
+        rows = rows.unionByName(whole.select(*UNIT, F.lit(WHOLE).alias("part"), "chunk", *key,
+                                             F.col("total").cast("int").alias("quantity"), F.col("credit").alias("exists")),
+                                allowMissingColumns=True)
+    rows = _by_unit(rows, "chunk", "part", "event_time", "event_id", "tie", "pos")
+    return rows.drop("event_time", "tie").mapInPandas(_fold, FOLD_SCHEMA)
 
 
 # Event columns that judging needs, and those that only the written results need.
@@ -267,14 +343,15 @@ def _is_lead() -> Column:
     return (F.col("leg_order") == 0) | (F.col("kind") == RECEIPT)
 
 
-def decide(stock: DataFrame, holdings: DataFrame, events: DataFrame) -> DataFrame:
+def decide(stock: DataFrame, holdings: DataFrame, events: DataFrame, hot_events: int = HOT_EVENTS) -> DataFrame:
     """L9 decisions: one row per event (event_id, accepted, reason, available = balance of the debited key just
     before the event; for set / drop the old quantity)."""
-    d = _decide(stock, holdings, events)
+    d = _decide(stock, holdings, events, hot_events=hot_events)
     return d.judged.select(*DECISION).unionByName(d.rejects)
 
 
-def _decide(stock: DataFrame, holdings: DataFrame, events: DataFrame, carry: tuple[str, ...] = ()) -> Decided:
+def _decide(stock: DataFrame, holdings: DataFrame, events: DataFrame, carry: tuple[str, ...] = (),
+            hot_events: int = HOT_EVENTS) -> Decided:
     """Judged events (with their columns and those of ``carry``), static rejects, final stock key states and the two
     tiers. The prepared events (valid, returns resolved to their holding's item, size and employee) are checkpointed
     once: every later step reads them instead of the source plan."""
@@ -282,18 +359,18 @@ def _decide(stock: DataFrame, holdings: DataFrame, events: DataFrame, carry: tup
     ev, static_rejects, resolved = prepare_events(events, holdings)
     # The legs carry the event's columns, so that no later step joins the events again. Without returns they are a
     # cheap explode over the materialised events; with returns the lookup join is materialised once as well.
-    lg = legs(ev, keep=(*JUDGED, *carry))
+    lg = legs(ev, keep=("tie", "pos", *JUDGED, *carry))
     if resolved:
         lg = lg.checkpoint(eager=True)
-    unit = ["siz_item_id", "size_value", "sub"]
+    unit = UNIT
     key = ["siz_item_id", "size_value", "key_type", "key"]
     opening = _openings(stock, holdings, lg)
 
     # Running balance per key, chunk-parallel (a hot key is split by hour): per (key, hour) totals, their
     # running offsets (plus the opening balance) over the small per-hour table, then running sums inside each
     # (key, hour). The legs are shuffled once, by (key, hour), for both the join and the window.
-    bl = lg.withColumn("chunk", F.date_trunc("hour", "event_time"))
-    order = [F.col("event_time"), F.col("event_id"), F.col("leg_order")]
+    bl = lg.withColumn("chunk", F.expr("unix_seconds(event_time) div 3600"))
+    order = [F.col(c) for c in ("event_time", "event_id", "tie", "pos", "leg_order")]
     chunk_tot = bl.groupBy(*key, "chunk").agg(F.sum("delta").alias("__tot"))
     chunk_tot = chunk_tot.join(
         opening.select(*key, F.col("balance").alias("__open"), F.col("exists").alias("__open_exists")), key, "left")
@@ -303,8 +380,7 @@ def _decide(stock: DataFrame, holdings: DataFrame, events: DataFrame, carry: tup
         (F.coalesce("__open", F.lit(0)) + F.coalesce(F.sum("__tot").over(w_chunks), F.lit(0))).alias("__off"))
     w_in = Window.partitionBy(*key, "chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     lb = (bl.join(chunk_off, [*key, "chunk"])
-            .withColumn("bal_after", F.col("__off") + F.sum("delta").over(w_in))
-            .drop("__off", "chunk"))
+            .withColumn("run", F.sum("delta").over(w_in)).withColumn("bal_after", F.col("__off") + F.col("run")).drop("__off"))
     # Fold units: an (item, size) group with a transfer or return folds as a whole (sub '*'), any other group
     # per stock key (sub = warehouse).
     lb = lb.join(_fold_units(lg), ["siz_item_id", "size_value"])
@@ -316,33 +392,51 @@ def _decide(stock: DataFrame, holdings: DataFrame, events: DataFrame, carry: tup
 
     lead = _is_lead()   # one lead leg per event: read it instead of grouping legs by event
     # Cut per fold unit: first event with a negative balance after its leg, or first reset.
-    pos = F.struct("event_time", "event_id")
+    pos = F.struct("event_time", "event_id", "tie", "pos")
     cuts = (lb.where((F.col("bal_after") < 0) | F.col("reset").isNotNull())
-              .groupBy(*unit).agg(F.min(pos).alias("__cut")))
+              .groupBy(*unit).agg(F.min(pos).alias("__cut"), F.min("chunk").alias("__cut_chunk")))
+    # Units with very many legs, a bounded number of them (all legs / hot_events): cut at the start of an hour.
+    hot = lb.groupBy(*unit).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_events).drop("__n").checkpoint(eager=True)
+    any_hot = not hot.isEmpty()
+    if any_hot:
+        cuts = cuts.join(hot.withColumn("__hot", F.lit(True)), unit, "left")
     lb = lb.join(cuts, unit, "left")
-    before = F.col("__cut").isNull() | (pos < F.col("__cut"))
+    is_hot = F.coalesce(F.col("__hot"), F.lit(False)) if any_hot else F.lit(False)
+    ahead = pos < F.col("__cut")
+    if any_hot:
+        ahead = F.when(is_hot, F.col("chunk") < F.col("__cut_chunk")).otherwise(ahead)
+    before = F.col("__cut").isNull() | ahead
 
     # Accepted without replay; ``available`` = balance of the debited key before the event. A receipt has no
     # debit leg, so it reports none.
     event = ["event_id", "event_time", "kind", "siz_item_id", "size_value", *JUDGED, *carry]
-    fast = lb.where(before & lead).select(
-        *event, F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reason"),
-        F.when(F.col("leg_order") == 0, F.col("bal_after") - F.col("delta")).cast("int").alias("available"))
+    accepted = [F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reason")]
+    had = lambda bal: F.when(F.col("leg_order") == 0, bal - F.col("delta")).cast("int").alias("available")
+    fast = lb.where(before & lead).select(*event, *accepted, had(F.col("bal_after")))
 
     # Slow tier: state at the cut = opening + legs before the cut, for every key of a cut unit.
     cut = lb.where(F.col("__cut").isNotNull())
     state = cut.groupBy(*unit, "key_type", "key").agg(
-        (F.first("__open") + F.sum(F.when(pos < F.col("__cut"), F.col("delta")).otherwise(0))).cast("int")
+        (F.first("__open") + F.sum(F.when(ahead, F.col("delta")).otherwise(0))).cast("int")
         .alias("balance"),
         (F.coalesce(F.first("__open_exists"), F.lit(False))
-         | (F.max(F.when((pos < F.col("__cut")) & (F.col("delta") > 0), 1).otherwise(0)) == 1)).alias("exists"))
-    tail = cut.where(~before & lead)
-    replay = replay_tails(state, tail.select(*unit, "event_id", "event_time", "kind", *JUDGED))
+         | (F.max(F.when(ahead & (F.col("delta") > 0), 1).otherwise(0)) == 1)).alias("exists"))
+    tail, sums, calm = cut.where(~before & lead), None, None
+    if any_hot:
+        sums = _hour_sums(cut.where(is_hot & ~before))
+        sure = sure_hours(state.join(hot, unit, "left_semi"), sums).checkpoint(eager=True)
+        sums = sums.join(sure, [*unit, "chunk"], "left_semi")
+        calm, tail = tail.join(sure, [*unit, "chunk"], "left_semi"), tail.join(sure, [*unit, "chunk"], "left_anti")
+    replay = replay_tails(state, tail.select(*unit, "chunk", "tie", "pos", "event_id", "event_time", "kind", *JUDGED), sums)
     folded = replay.checkpoint(eager=True)      # decisions and final states are read from the one written fold
-    slow = tail.select(*event).join(folded.where(F.col("rec") == "d").select(*DECISION), "event_id")
+    slow = tail.select("pos", *event).join(folded.where(F.col("rec") == "d").select("pos", *DECISION[1:]), "pos").drop("pos")
+    if calm is not None:
+        entry = folded.where(F.col("rec") == "e").select(*unit, "chunk", "key_type", "key", F.col("balance").alias("__entry"))
+        slow = slow.unionByName(calm.join(entry, [*unit, "chunk", "key_type", "key"]).select(
+            *event, *accepted, had(F.col("__entry") + F.col("run"))))
     # Final balance of every touched stock key: the last leg's balance in units decided without replay (every
     # event accepted, no resets, so the key exists), the fold's end state elsewhere.
-    last = F.struct("event_time", "event_id", "leg_order")
+    last = F.struct("event_time", "event_id", "tie", "pos", "leg_order")
     skey = ["siz_item_id", "size_value", "key"]
     finals = (lb.where(F.col("__cut").isNull() & (F.col("key_type") == STOCK)).groupBy(*skey)
                 .agg(F.max_by("bal_after", last).cast("int").alias("balance"))
@@ -351,6 +445,21 @@ def _decide(stock: DataFrame, holdings: DataFrame, events: DataFrame, carry: tup
     return Decided(fast.unionByName(slow), static_rejects, finals, fast, replay)
 
 
+def _hour_sums(rows: DataFrame) -> DataFrame:
+    """Per (unit, hour, key) of the legs ``rows``: total, the balance ``need``ed at entry for all legs to pass, the ``certain``
+    total (debits and receipts; a transfer or return may be refused and bring nothing) with its ``dip`` (how far it falls
+    below its start), whether a reset or a credit is among them. Keys that judging never looks at are left out."""
+    key = [*UNIT, "chunk", "key_type", "key"]
+    w = Window.partitionBy(*key).orderBy("event_time", "event_id", "tie", "pos", "leg_order").rowsBetween(Window.unboundedPreceding, 0)
+    certain = F.when((F.col("delta") < 0) | (F.col("kind") == RECEIPT), F.col("delta")).otherwise(0)
+    rows = rows.where((F.col("key_type") == STOCK) | (F.col("sub") == "*")).withColumn("__sure", certain)
+    rows = rows.withColumn("__low", F.sum("__sure").over(w))
+    depth = lambda c: F.greatest(-F.min(c), F.lit(0)).cast("long")
+    return rows.groupBy(*key).agg(
+        F.sum("delta").cast("long").alias("total"), depth("run").alias("need"), F.sum("__sure").cast("long").alias("certain"),
+        depth("__low").alias("dip"), F.max(F.col("reset").isNotNull()).alias("reset"), F.max(F.col("delta") > 0).alias("credit"))
+
+
 def apply_movements(stock: DataFrame, holdings: DataFrame, events: DataFrame, items: DataFrame,
                     materialize: bool = True) -> LedgerResult:
     """(new stock snapshot, new holdings, accepted movements, audit rows, decisions) for a batch.

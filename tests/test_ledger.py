@@ -126,6 +126,53 @@ def test_decisions_match_replay(spark, seed, links):
     assert again == final
 
 
+@pytest.mark.parametrize("seed,links", [(41, True), (42, True), (44, False)])
+def test_hot_units_match_replay(spark, seed, links):
+    """Units cut at hours: sure hours taken whole, the others replayed; decisions and available as in the plain fold."""
+    stock, holdings, events = random_case(seed, n=300, with_links=links)
+    for e in events:      # enough stock that some hours are sure after a first refusal
+        if e["kind"] == "receipt":
+            e["quantity"] = 5
+    want, final = replay(stock, holdings, events)
+    st, ho, ev = frames(spark, stock, holdings, events)
+    hot = L.decide(st, ho, ev, hot_events=3).collect()
+    plain = L.decide(st, ho, ev, hot_events=10**9).collect()
+    assert sorted(map(str, hot)) == sorted(map(str, plain))
+    assert {r.event_id: r.accepted for r in hot} == {k: v[0] for k, v in want.items()}
+    d = L._decide(st, ho, ev, hot_events=3)
+    got = {(r.key, r.siz_item_id, r.size_value): r.balance for r in d.finals.where("exists").collect()}
+    assert all(final[k] == v for k, v in got.items())
+
+
+def test_sure_hours_of_a_hot_unit_are_not_replayed(spark):
+    """One refused issue in the first of 50 hours: only that hour is replayed event by event."""
+    events = [{"event_id": f"e{h:02d}{i}", "event_time": dt.datetime(2024, 1, 1) + dt.timedelta(hours=h, minutes=i),
+               "kind": "receipt" if i % 2 else "issue", "warehouse_id": "W1", "siz_item_id": "I1", "employee_id": "U1",
+               "quantity": 4 if i % 2 else 3} for h in range(50) for i in range(6)]
+    st, ho, ev = frames(spark, [], [], events)
+    parts = L._decide(st, ho, ev, hot_events=10).slow.groupBy("rec").count().collect()
+    assert {r["rec"]: r["count"] for r in parts} == {"d": 6, "e": 49, "s": 1}
+    assert sum(not r.accepted for r in L.decide(st, ho, ev, hot_events=10).collect()) == 1
+
+
+def test_rows_of_one_id_are_judged_one_by_one(spark):
+    T = lambda h: dt.datetime(2024, 1, 1, h)
+    base = {"warehouse_id": "W1", "siz_item_id": "I1", "employee_id": "U1"}
+    events = [{**base, "event_id": e, "event_time": T(h), "kind": k, "quantity": q} for e, h, k, q in (
+        ("a", 1, "issue", 9), ("b", 2, "receipt", 5), ("x", 3, "issue", 3), ("x", 4, "issue", 2))]
+    st, ho, ev = frames(spark, [], [], events)
+    items = frame(spark, "siz_items", [{"id": "I1"}])
+    for hot in (1, 10**6):
+        assert sorted((r.event_id, r.accepted, r.available) for r in L.decide(st, ho, ev, hot).collect()) == [
+            ("a", False, 0), ("b", True, None), ("x", True, 2), ("x", True, 5)]
+    res = L.apply_movements(st, ho, ev, items)
+    assert res.decisions.count() == 4 and res.movements.count() == 3
+    assert rows(res.stock, "warehouse_id", "quantity") == [("W1", 0)]
+    same = frame(spark, "movement_events", [dict(e, event_time=T(3)) for e in events[1:]] + [dict(events[2], event_time=T(3))])
+    got = sorted((r.event_id, r.accepted) for r in L.decide(st, ho, same).collect())
+    assert len(got) == 4 and sum(a for _, a in got) == 3
+
+
 def test_fast_tier_only_when_clean(spark):
     """A batch that never overdraws is decided without any Python fold input rows and all accepted."""
     stock = [{"warehouse_id": "W1", "siz_item_id": "I1", "size_value": "", "quantity": 10}]
