@@ -50,7 +50,8 @@ RECEIPT, TRANSFER, ISSUE, RETURN, SET, DROP = "receipt", "transfer", "issue", "r
 MOVEMENT_KINDS = (RECEIPT, TRANSFER, ISSUE, RETURN)
 STOCK, HOLDING = "stock", "holding"
 
-LedgerResult = namedtuple("LedgerResult", "decisions stock holdings movements audit")
+# ``stock_changes`` and ``holding_changes`` hold the touched keys only (a stock row that went has ``gone``).
+LedgerResult = namedtuple("LedgerResult", "decisions stock holdings movements audit stock_changes holding_changes")
 # Internal result of the decision plan: all judged events with their columns, the static rejects, final stock key
 # states, and the plans of the two tiers (the fast tier is pure SQL; the slow tier is the Python fold).
 Decided = namedtuple("Decided", "judged rejects finals fast slow")
@@ -470,8 +471,20 @@ def apply_movements(stock: DataFrame, holdings: DataFrame, events: DataFrame, it
     d = _decide(stock, holdings, events, WRITTEN)
     judged = d.judged.checkpoint(eager=True) if materialize else d.judged
     acc = judged.where("accepted").drop("accepted", "reason")
+    back = acc.where(F.col("kind") == RETURN).select(F.col("holding_id").alias("id"))
+    touched = new_holdings(holdings.join(back, "id", "left_semi"), acc, items)
     return LedgerResult(judged.select(*DECISION).unionByName(d.rejects), stock_from_finals(stock, d.finals),
-                        new_holdings(holdings, acc, items), movements(acc), ledger_audit(acc))
+                        new_holdings(holdings, acc, items), movements(acc), ledger_audit(acc), changed_stock(stock, d.finals), touched)
+
+
+def changed_stock(stock: DataFrame, finals: DataFrame) -> DataFrame:
+    """The stock rows that a batch changed, made or dropped (``gone``)."""
+    k = ["warehouse_id", "siz_item_id", "size_value"]
+    f = finals.select(F.col("key").alias("warehouse_id"), "siz_item_id", "size_value", "balance", "exists")
+    s = stock.select("id", "warehouse_id", "siz_item_id", F.coalesce("size_value", F.lit("")).alias("size_value"), "quantity")
+    j = f.join(s, k, "left").where(F.when(F.col("exists"), F.col("id").isNull() | (F.col("quantity") != F.col("balance")))
+                                   .otherwise(F.col("id").isNotNull()))
+    return j.select(F.coalesce("id", stable_id(*k)).alias("id"), *k, F.col("balance").alias("quantity"), (~F.col("exists")).alias("gone"))
 
 
 def stock_from_finals(stock: DataFrame, finals: DataFrame) -> DataFrame:

@@ -532,10 +532,12 @@ def norms_insert_absent(spark, sf_dir):
     return out.select("position_id", "siz_item_id", "quantity", "issue_period_months", "is_active")
 
 
-def stream_ledger_stock(spark, sf_dir):
-    """The movement events arrive as three time-ordered files (before 1997, 1997-1998, from 1999) in the
-    shared checkpoint folder; the stream applies them one file per micro-batch with L9. Judged batch by batch,
-    the final stock equals the whole batch applied at once."""
+YEARS = ((None, 1997), (1997, 1999), (1999, None))
+
+
+def _streamed_years(spark, sf_dir, again=None):
+    """The state root after the movement events arrived in three time-ordered parts (before 1997, 1997-1998, from 1999),
+    each written in parallel and drained by a run of the same stream. ``again(earlier, part)`` may deliver rows twice."""
     import uuid
 
     from equipledger.session import checkpoint_dir
@@ -543,22 +545,59 @@ def stream_ledger_stock(spark, sf_dir):
 
     t = tables(spark, sf_dir)
     root = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    ev = t["movement_events"]
     year = F.year("event_time")
-    cuts = [(None, 1997), (1997, 1999), (1999, None)]
-    for i, (lo, hi) in enumerate(cuts):   # sequential writes: arrival order = time order
-        part = ev
-        if lo is not None:
-            part = part.where(year >= lo)
-        if hi is not None:
-            part = part.where(year < hi)
-        part.coalesce(1).write.parquet(f"{root}/inbox/chunk={i}")
+    within = lambda lo, hi: t["movement_events"].where(
+        (year >= lo if lo else F.lit(True)) & (year < hi if hi else F.lit(True)))
     T.seed_state(t.opening_stock(), empty(spark, "employee_siz"), f"{root}/state")
-    q = T.stream_movements(spark, f"{root}/inbox/chunk=*", f"{root}/state", t["siz_items"], files_per_batch=1)
-    q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    return T.final_stock(spark, f"{root}/state", last).select("warehouse_id", "siz_item_id", "size_value",
-                                                              "quantity")
+    for i, (lo, hi) in enumerate(YEARS):
+        part = within(lo, hi)
+        if again:
+            part = again(within(*YEARS[i - 1]) if i else None, part)
+        part.write.parquet(f"{root}/inbox/chunk={i}")
+        T.stream_movements(spark, f"{root}/inbox/chunk=*", f"{root}/state", t["siz_items"]).awaitTermination()
+    return f"{root}/state"
+
+
+def stream_ledger_stock(spark, sf_dir):
+    """Judged part by part, the final stock equals the whole batch applied at once."""
+    from equipledger.streaming import movements as T
+    return T.final_stock(spark, _streamed_years(spark, sf_dir)).select("warehouse_id", "siz_item_id", "size_value", "quantity")
+
+
+def _order_of(event):
+    return F.substring(event, 1, 12).cast("long")
+
+
+def stream_repeats_stock(spark, sf_dir):
+    """T1 with events delivered twice: orders divisible by 5 twice within a part, those divisible by 7 once more in the next
+    part, an hour later and with another quantity. Each id counts once."""
+    from equipledger.streaming import movements as T
+
+    def again(earlier, part):
+        order = _order_of("event_id")
+        out = part.unionByName(part.where(order % 5 == 0))
+        if earlier is None:
+            return out
+        late = earlier.where(order % 7 == 0).withColumn("quantity", F.col("quantity") + 1)
+        return out.unionByName(late.withColumn("event_time", F.col("event_time") + F.expr("interval 1 hour")))
+    return T.final_stock(spark, _streamed_years(spark, sf_dir, again)).select("warehouse_id", "siz_item_id", "size_value", "quantity")
+
+
+def ledger_repeats_decisions(spark, sf_dir):
+    """L9 on a batch in which rows share ids: orders divisible by 5 are asked for again an hour later, half as much. Rows are judged
+    one by one."""
+    t = tables(spark, sf_dir)
+    return L.decide(t.opening_stock(), empty(spark, "employee_siz"), t.repeated_movement_events())
+
+
+def ledger_hot_decisions(spark, sf_dir):
+    """L9 with one stock key that holds the events of every 60th order and is far larger than ``hot_events``: sure hours whole,
+    the rest replayed."""
+    t = tables(spark, sf_dir)
+    ev = t.hot_movement_events()
+    opening = t.opening_stock()
+    return L.decide(opening.unionByName(t.hot_opening().join(opening, ["warehouse_id", "siz_item_id", "size_value"], "left_anti")),
+                    empty(spark, "employee_siz"), ev, hot_events=50)
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -620,6 +659,9 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "adjust_stock": adjust_stock,
     "norms_insert_absent": norms_insert_absent,
     "stream_ledger_stock": stream_ledger_stock,
+    "stream_repeats_stock": stream_repeats_stock,
+    "ledger_repeats_decisions": ledger_repeats_decisions,
+    "ledger_hot_decisions": ledger_hot_decisions,
     "movement_page": movement_page,
     "patch_series": patch_series,
     "patch_series_audit": patch_series_audit,

@@ -69,6 +69,7 @@ SCHEMAS: dict[str, T.StructType] = {
                             "issued_date date, exploitation_start date, exploitation_paused_days int, "
                             "status string, returned_date date, from_warehouse_id string, created_at timestamp"),
     "size_references": _schema("id string, category_type string, size_value string, sort_order int"),
+    "seen_events": _schema("id string, batch bigint"),
     "audit_log": _schema("id string, user_id string, table_name string, record_id string, action string, "
                          "changes string, ip_address string, created_at timestamp"),
     # Request tables (one HTTP request of the original back end = one row here).

@@ -293,6 +293,27 @@ class MappedTables(Mapping):
                          F.when(k == "issue", _s("o_custkey")).alias("employee_id"),
                          F.when(k == "return", F.col("first_issue")).alias("holding_id"), "quantity")
 
+    def repeated_movement_events(self) -> DataFrame:
+        """The movement events, and those of orders divisible by 5 once more under the same id, an hour later, half as much."""
+        ev = self["movement_events"]
+        more = ev.where(F.substring("event_id", 1, 12).cast("long") % 5 == 0)
+        more = more.withColumns({"event_time": F.col("event_time") + F.expr("interval 1 hour"),
+                                 "quantity": F.expr("quantity div 2 + 1")})
+        return ev.unionByName(more)
+
+    def hot_movement_events(self) -> DataFrame:
+        """The movement events; those of orders divisible by 60 all go to item 1 in warehouse 0."""
+        hot = F.substring("event_id", 1, 12).cast("long") % 60 == 0
+        return self["movement_events"].withColumns({
+            "warehouse_id": F.when(hot, "0").otherwise(F.col("warehouse_id")),
+            "siz_item_id": F.when(hot, "1").otherwise(F.col("siz_item_id"))})
+
+    def hot_opening(self) -> DataFrame:
+        """The opening row of the hot key."""
+        return conform(self.spark.createDataFrame(
+            [("0/1/", "0", "1", "", OPENING_BALANCE)], "id string, warehouse_id string, siz_item_id string, size_value string, quantity int"),
+            "warehouse_stock")
+
     def import_stock_rows(self) -> DataFrame:
         """Stock-import payload rows from lineitem 'R' rows: padded sizes, quantities with trailing text or
         <= 0, blank item ids, inactive items -- every rule of the import is exercised."""

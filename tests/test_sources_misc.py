@@ -26,6 +26,21 @@ def test_snapshot_versions_and_load(spark, scratch):
     assert t["employees"].count() == 0 and "glove_size" in t["employees"].columns   # typed empty table
 
 
+def test_two_writers_of_a_snapshot(spark, scratch):
+    import pytest
+
+    from equipledger.sources.commits import CommitConflict
+    wh = lambda n: frame(spark, "warehouses", [{"id": "W1", "name": n}])
+    write_snapshot(wh("a"), scratch, "warehouses", 1)
+    write_snapshot(wh("b"), scratch, "warehouses", 2, make_current=False)       # a crash before the commit
+    assert current_version(spark, scratch, "warehouses") == "1"
+    write_snapshot(wh("b"), scratch, "warehouses", "x", after=0)
+    with pytest.raises(CommitConflict):
+        write_snapshot(wh("c"), scratch, "warehouses", "y", after=0)
+    write_snapshot(wh("lost"), scratch, "warehouses", "x")                      # a replay
+    assert rows(read_snapshot(spark, scratch, "warehouses"), "name") == [("b",)]
+
+
 def test_ledger_append_replay(spark, scratch):
     mv = frame(spark, "stock_movements", [{"id": f"m{i}", "movement_type": "receipt",
                                            "created_at": dt.datetime(2024, 1 + i % 3, 1)} for i in range(6)])
@@ -71,8 +86,8 @@ def test_unreadable_pointer_and_payload_are_errors(spark, scratch):
     from equipledger.sources import tables as T
     from equipledger.sources.imports import read_import
     assert T.current_version(spark, scratch, "positions") is None
-    os.makedirs(f"{scratch}/positions/{T.POINTER}")
-    with open(f"{scratch}/positions/{T.POINTER}/part-0.json", "w") as f:
+    os.makedirs(f"{scratch}/positions/_commits")
+    with open(f"{scratch}/positions/_commits/{0:012d}.json", "w") as f:
         f.write('{"versio')
     with pytest.raises(Exception):
         T.read_snapshot(spark, scratch, "positions")
