@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from collections import namedtuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from equipledger.operators.blocks import BLOCK_ROWS, blocks, last_before
 from equipledger.functions.scalars import ADJUST_DEFAULT_NOTE, js_or, json_merge, stable_id
 from equipledger.schemas import SCHEMAS, conform
 
@@ -58,15 +59,18 @@ def insert_rows(cur: DataFrame, rows: DataFrame, table: str, request_id: str = "
     return Change(cur.unionByName(new, allowMissingColumns=True), audit, None)
 
 
-def soft_delete(cur: DataFrame, ids: DataFrame, table: str, actor: str | None = "actor_id") -> Change:
+def soft_delete(cur: DataFrame, ids: DataFrame, table: str, actor: str | None = "actor_id", request_id: str = "request_id") -> Change:
     """M3: is_active = false for the requested ids; audit 'delete' with {}; unknown ids change nothing and are
     returned as ``rejected`` (the 404 of norms and warehouses)."""
-    req = ids.select(F.col("id").alias("__id"), *( [F.col(actor).alias("__actor")] if actor else []))
+    salt = [F.col(request_id) if request_id in ids.columns else F.lit(None)]
+    req = ids.select(F.col("id").alias("__id"), salt[0].alias("__salt"), *([F.col(actor).alias("__actor")] if actor else []))
+    if request_id not in ids.columns:      # requests that nothing tells apart are one
+        req = req.distinct()
     hit = cur.select("id").join(req, cur["id"] == req["__id"])
     new = cur.join(req.select("__id").distinct(), cur["id"] == F.col("__id"), "left") \
         .withColumn("is_active", F.when(F.col("__id").isNotNull(), F.lit(False)).otherwise(F.col("is_active"))) \
         .drop("__id")
-    audit = audit_rows(hit, table, "delete", "id", F.lit("{}"), "__actor" if actor else None, salt="id")
+    audit = audit_rows(hit, table, "delete", "id", F.lit("{}"), "__actor" if actor else None, salt="__salt")
     rejected = req.join(cur.select(F.col("id").alias("__id")), "__id", "left_anti") \
         .select(F.col("__id").alias("id"), F.lit("not_found").alias("reason"))
     return Change(new, audit, rejected)
@@ -126,30 +130,31 @@ def _member_map(pairs: Column) -> Column:
 
 
 def _extra_states(ok: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From the accepted patches ``(id, __req, __p_extra)``: what all of them together set, per id, and what the
+    """From the accepted patches ``(id, __req, __block, __p_extra)``: what all of them together set, per id, and what the
     requests before each one set, per (id, request). Members are handled one by one, so the requests of a hot id
     are spread over its members; an array only ever holds the members of one object."""
-    m = ok.where(F.col("__merge")).select("id", "__req", F.explode(F.from_json("__p_extra", "map<string,variant>")))
-    m = m.select("id", "__req", "key", F.coalesce(F.to_json("value"), F.lit("null")).alias("value"))
+    m = ok.where(F.col("__merge")).select("id", "__req", "__block", F.explode(F.from_json("__p_extra", "map<string,variant>")))
+    m = m.select("id", "__req", "__block", "key", F.coalesce(F.to_json("value"), F.lit("null")).alias("value"))
     entry = F.struct("key", "value")
     total = (m.groupBy("id", "key").agg(F.max_by("value", "__req").alias("value"))
               .groupBy("id").agg(_member_map(F.collect_list(entry)).alias("__all")))
-    reqs = ok.where(F.col("__p_extra").isNotNull()).select("id", "__req")
-    grid = (reqs.join(m.select("id", "key").distinct(), "id").join(m, ["id", "__req", "key"], "left"))
-    w = Window.partitionBy("id", "key").orderBy("__req").rowsBetween(Window.unboundedPreceding, -1)
-    before = grid.select("id", "__req", "key", F.last("value", ignorenulls=True).over(w).alias("value"))
+    reqs = ok.where(F.col("__p_extra").isNotNull()).select("id", "__req", "__block")
+    grid = (reqs.join(m.select("id", "key").distinct(), "id").join(m.drop("__block"), ["id", "__req", "key"], "left"))
+    before = last_before(grid.withColumnRenamed("value", "__now"), ["id", "key"], "__req", {"value": F.col("__now")})
     before = (before.where(F.col("value").isNotNull()).groupBy("id", "__req")
                     .agg(_member_map(F.collect_list(entry)).alias("__before")))
     return total, before
 
 
 def patch_rows(cur: DataFrame, patches: DataFrame, table: str, fields_col: str = "set_fields",
-               actor: str | None = "actor_id", request_id: str = "request_id") -> Change:
+               actor: str | None = "actor_id", request_id: str = "request_id", updated_at: Column | None = None,
+               block_rows: int = BLOCK_ROWS) -> Change:
     """M2: only the supplied fields change (``set_fields`` lists them: NULL is a legal new value, so presence
     needs its own flag); ``extra`` is merged (C8) when the patch is a non-empty object. All patches of an id apply,
     in the order of ``request_id`` (which is unique): the new row takes each field from the last patch that supplies
     it, and each audit row 'update' holds D1 against the state that the patches before it left. Unknown id ->
-    rejected 'not_found'; nothing supplied -> 'no_data'. Empty inputs give empty results."""
+    rejected 'not_found'; nothing supplied -> 'no_data'. Empty inputs give empty results. ``request_id`` is a number; an id with
+    more than ``block_rows`` patches is cut into blocks of requests. ``updated_at`` stamps the patched rows (M10)."""
     cols = [c for c in cur.columns if c not in ("id", "extra") and c in patches.columns]
     has_extra = "extra" in cur.columns and "extra" in patches.columns
     given = F.col("extra") if has_extra else F.lit(None).cast("string")
@@ -174,14 +179,13 @@ def patch_rows(cur: DataFrame, patches: DataFrame, table: str, fields_col: str =
     new = cur.join(last, "id", "left")
     values = {c: F.when(F.col("__n_" + c).isNotNull(), F.col(f"__n_{c}.v")).otherwise(F.col(c)) for c in cols}
 
-    w = Window.partitionBy("id").orderBy("__req").rowsBetween(Window.unboundedPreceding, -1)
-    old = {}
-    for c in cols:
-        prior = F.last(F.when(sets[c], F.struct(F.col("__p_" + c).alias("v"))), ignorenulls=True).over(w)
-        ok = ok.withColumn("__o_" + c, F.coalesce(prior, F.struct(F.col("__c_" + c).alias("v"))))
-        old[c] = F.col(f"__o_{c}.v")
+    ok = blocks(ok, "id", "__req", block_rows)
+    if cols:
+        ok = last_before(ok, ["id"], "__req", {
+            "__b_" + c: F.when(sets[c], F.struct(F.col("__p_" + c).alias("v"))) for c in cols})
+    old = {c: F.when(F.col("__b_" + c).isNotNull(), F.col(f"__b_{c}.v")).otherwise(F.col("__c_" + c)) for c in cols}
     if has_extra:
-        total, before = _extra_states(ok.select("id", "__req", "__p_extra", "__merge"))
+        total, before = _extra_states(ok.select("id", "__req", "__block", "__p_extra", "__merge"))
         new = new.join(total, "id", "left")
         values["extra"] = F.when(F.col("__all").isNotNull(), json_merge("extra", "__all")).otherwise(F.col("extra"))
         ok = ok.join(before, ["id", "__req"], "left")
@@ -190,7 +194,10 @@ def patch_rows(cur: DataFrame, patches: DataFrame, table: str, fields_col: str =
     d = diff_changes(old, {c: F.col("__p_" + c) for c in cols}, F.col("__supplied"),
                      F.col("__p_extra") if has_extra else None)
     audit = audit_rows(ok, table, "update", "id", d, "__actor", salt="__req")
-    return Change(new.select(*[values.get(c, F.col(c)).alias(c) for c in cur.columns]), audit, rejected)
+    if updated_at is not None:
+        new = touch_updated_at(new, F.col("__n").isNotNull(), updated_at)
+    kept = cur.columns + (["updated_at"] if updated_at is not None and "updated_at" not in cur.columns else [])
+    return Change(new.select(*[values.get(c, F.col(c)).alias(c) for c in kept]), audit, rejected)
 
 
 # ---------------------------------------------------------------- keyed upserts M5-M8
@@ -238,22 +245,26 @@ def upsert_norms(norms: DataFrame, requests: DataFrame, order: str = "request_id
     return upsert_replace(norms, requests, ["position_id", "siz_item_id"], order, sets)
 
 
-def insert_absent(cur: DataFrame, rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+def insert_absent(cur: DataFrame, rows: DataFrame, keys: list[str], order: str | None = None,
+                  only_into_empty: bool = False) -> DataFrame:
     """M7: ``ON CONFLICT DO NOTHING``: the first request per key (in ``order``; without one, the least row by its
     values, so that every run keeps the same one), then only keys not stored yet. ``order`` itself is not stored.
-    Idempotent: applying the same rows twice changes nothing."""
+    Idempotent: applying the same rows twice changes nothing. ``only_into_empty``: nothing is inserted if the table has a
+    row, whatever its key (a scalar subquery of the plan, not a job of its own)."""
     others = [c for c in rows.columns if c not in keys and c != order]
     first = F.min(F.struct(*([F.col(order).alias("__order")] if order else []), F.lit(0).alias("__tie"),
                            *[F.col(c) for c in others]))
     rows = rows.groupBy(*keys).agg(first.alias("__first")).select(*keys, *[F.col(f"__first.{c}") for c in others])
     new = rows.join(cur.select(*keys), keys, "left_anti")
+    if only_into_empty:
+        new = new.where(cur.limit(1).select(F.count(F.lit(1))).scalar() == 0)
     if "id" in cur.columns and "id" not in new.columns:
         new = new.withColumn("id", stable_id(*keys))
     return cur.unionByName(new, allowMissingColumns=True)
 
 
-def set_quantity(stock: DataFrame, rows: DataFrame, actor: str | None = "actor_id", request_id: str = "request_id"
-                 ) -> Change:
+def set_quantity(stock: DataFrame, rows: DataFrame, actor: str | None = "actor_id", request_id: str = "request_id",
+                 block_rows: int = BLOCK_ROWS) -> Change:
     """M9: absolute quantity (>= 0) of an existing stock row of that warehouse; audit old / new / notes; no
     movement row. Corrections of one row apply in the order of ``request_id``: the last one stays, and each audit
     row's old quantity is the one that the correction before it left. Rows without that column are ordered by
@@ -266,7 +277,10 @@ def set_quantity(stock: DataFrame, rows: DataFrame, actor: str | None = "actor_i
     reason = F.when(F.col("__q").isNull() | (F.col("__q") < 0), "invalid").when(F.col("id").isNull(), "not_found")
     j = j.withColumn("__reason", reason)
     ok = j.where(F.col("__reason").isNull())
-    before = F.coalesce(F.lag("__q").over(Window.partitionBy("id").orderBy("__req")), F.col("quantity"))
+    # the leading number of the order cuts a hot row's corrections into blocks
+    ok = blocks(ok.withColumn("__by", F.col("__req" if request_id in rows.columns else "__q").cast("double")), "id", "__by", block_rows)
+    ok = last_before(ok, ["id"], "__req", {"__prior": F.col("__q")})
+    before = F.coalesce("__prior", F.col("quantity"))
     changes = F.to_json(F.struct(F.col("__old").alias("old_quantity"), F.col("__q").alias("new_quantity"),
                                  F.coalesce(F.when(F.col("__notes") != "", F.col("__notes")),
                                             F.lit(ADJUST_DEFAULT_NOTE)).alias("notes")))

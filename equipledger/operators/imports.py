@@ -6,7 +6,7 @@ DataFrame: validation is a projection, rejects are a filter, and the summary is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from equipledger.functions.scalars import DEFAULT_UNIT, js_falsy, js_or, js_parse_float, js_parse_int, js_round
@@ -23,6 +23,16 @@ def import_summary(rows: DataFrame, outcome: str = "outcome") -> DataFrame:
     return rows.groupBy(outcome).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def write_counted(rows: DataFrame, path: str, outcomes: tuple[str, ...], outcome: str = "outcome", keep: str = "imported") -> dict[str, int]:
+    """A4 while writing: the rows whose outcome is ``keep`` go to ``path`` as Parquet, and all rows are counted per outcome on
+    the way there, in the same job."""
+    seen = Observation()
+    counted = rows.observe(seen, *[F.count_if(F.col(outcome) == o).alias(o) for o in outcomes])
+    # the filter must not move below the counts: the observation is a node of the plan of its own, which Spark keeps in place
+    counted.where(F.col(outcome) == keep).write.mode("overwrite").parquet(path)
+    return {o: int(seen.get[o] or 0) for o in outcomes}
+
+
 def _bulk_audit(imported: DataFrame, table: str, actor: str | None, batch: str | None) -> DataFrame:
     """One audit row per import with {"count": n}; record NULL (bulk)."""
     cnt = imported.agg(F.count(F.lit(1)).alias("count"))

@@ -6,23 +6,45 @@ answer is a filter on the result, which Catalyst pushes to the scan.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from equipledger.functions.scalars import exploitation_end
 from equipledger.operators.filters import (active_holdings, active_only, by_warehouse, filter_equal, in_stock,
                                            search)
 from equipledger.plans.joins import left_labels, null_safe_left
+from equipledger.schemas import SCHEMAS
+from equipledger.sources.tables import read_ledger
 
 
 # ---------------------------------------------------------------- ordering (O1, O2)
 
-def order_report(df: DataFrame, cols: list[str], desc: bool = False) -> DataFrame:
-    """O1: multi-key ascending with NULLs last (PostgreSQL order); O2 with ``desc``: NULLs first."""
-    keys = [F.col(c).desc_nulls_first() if desc else F.col(c).asc_nulls_last() for c in cols]
-    return df.orderBy(*keys)
+# What the original's lists are ordered by (fixed values); text by the rules of its language.
+REPORT_ORDER = {
+    "categories": ["name"], "items": ["category_name", "name"], "norms": ["category_name", "item_name"],
+    "norm_report": ["position_name", "category_name", "item_name"], "sizes": ["category_type", "sort_order"],
+    "warehouses": ["warehouse_type", "name"], "stock": ["category_name", "item_name", "gender", "size_value"],
+    "cards": ["category_name", "item_name", "size_value"], "employees": ["last_name", "first_name"]}
+TEXT_ORDER = "ru"
+
+
+def order_report(df: DataFrame, cols: list[str], desc: bool = False, locale: str | None = None) -> DataFrame:
+    """O1: multi-key ascending with NULLs last (PostgreSQL order); O2 with ``desc``: NULLs first. ``locale`` orders text by
+    that language (Russian: ё beside е, small before capital letters of one spelling) instead of by code point."""
+    text = {f.name for f in df.schema.fields if isinstance(f.dataType, StringType)} if locale else set()
+    keys = [F.collate(F.col(c), locale) if c in text else F.col(c) for c in cols]
+    return df.orderBy(*[k.desc_nulls_first() if desc else k.asc_nulls_last() for k in keys])
+
+
+def in_report_order(df: DataFrame, report: str, limit: int | None = None, tie_break: str | None = None) -> DataFrame:
+    """O1 for one of the original's lists, optionally its first ``limit`` rows (planned as TakeOrderedAndProject; without a
+    limit a range sort, so ask for it where rows are shown). ``tie_break`` makes the limit repeatable."""
+    out = order_report(df, REPORT_ORDER[report] + ([tie_break] if tie_break else []), locale=TEXT_ORDER)
+    return out.limit(limit) if limit is not None else out
 
 
 def latest_first(df: DataFrame, cols: list[str], limit: int | None = None) -> DataFrame:
@@ -270,9 +292,37 @@ def audit_report(audit: DataFrame, users: DataFrame, table_name: str | None = No
     """J12 + O4 (= D3): newest ``n`` audit rows with user name / username, optional table filter."""
     a = filter_equal(audit, {"table_name": table_name})
     top = a.orderBy(F.col("created_at").desc_nulls_first(), F.col("id").desc()).limit(n)
+    return audit_labels(top, users)
+
+
+def audit_labels(top: DataFrame, users: DataFrame) -> DataFrame:
     return left_labels(top, users, "user_id", cols={"full_name": "user_name", "username": "username"})
 
 
+def latest_of_ledger(spark: SparkSession, root: str, table: str, n: int = 100, filters: dict | None = None) -> DataFrame:
+    """O4 over an appended ledger (S4): the newest ``n`` rows, from as few months as hold them.
+
+    The months are partition folders, known from the file names. They are counted newest first, one more than twice as many at a
+    time, until ``n`` rows are found; only their folders are read then. Rows without a time come first (NULLS FIRST), so their
+    folder is always read."""
+    ledger = read_ledger(spark, root, table)
+    files = ledger.inputFiles()
+    months = sorted({m[1] for m in (re.search("/month=([^/]+)/", f) for f in files) if m}, reverse=True)
+    dated = [m for m in months if re.fullmatch(r"\d{4,}-\d\d", m)]
+    found, rows, step = 0, filter_equal(ledger, filters), 1
+    newest = F.col("month").isNull()
+    for at in range(0, len(dated)):
+        if at + 1 < step and at + 1 < len(dated):
+            continue
+        newest = F.col("month").isNull() | (F.col("month") >= dated[at])
+        found = rows.where(newest).limit(n).count()
+        if found >= n:
+            break
+        step = 2 * step + 1
+    top = rows.where(newest).orderBy(F.col("created_at").desc_nulls_first(), F.col("id").desc()).limit(n)
+    return top.select(*SCHEMAS[table].fieldNames())
+
+
 # ---------------------------------------------------------------- warehouse staff
 
 STAFF_RES, STAFF_ENTERPRISE, STAFF_CENTRAL, STAFF_ALL = "res", "enterprise", "central", "all"

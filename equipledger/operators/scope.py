@@ -75,6 +75,40 @@ def row_scope(df: DataFrame, table: str, actor: Mapping) -> DataFrame:
     return df if p is None else df.where(F.coalesce(p, F.lit(False)))
 
 
+def scope_classes(actors: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
+    """F4 for many actors: (``actor_id, scope_class``, ``scope_class, tag``). Actors that see the same rows share a class; a class
+    sees the rows that carry one of its tags. An actor whose scope id is NULL is in no class (it sees nothing); a level that
+    the table's rules leave out sees everything."""
+    rules = {"enterprise": _ENT, "spbipk": _ENT, "res": _RES} if table == "cards" else SCOPE_RULES[table]
+    tag = lambda kind, c: F.concat_ws(":", F.lit(kind), c)
+    everyone = ~F.col("role_level").isin(*rules)
+    tags = F.when(everyone, F.array(F.lit("*")))
+    for level, (column, field) in rules.items():
+        own = F.when(F.col(field).isNotNull(), tag(column, F.col(field)))
+        more = [F.when(F.col("enterprise_id").isNotNull(), tag("central", F.col("enterprise_id")))] if (table, level) == ("cards", "res") else []
+        tags = tags.when(F.col("role_level") == level, F.array_compact(F.array(own, *more)))
+    a = actors.select(F.col("id").alias("actor_id"), tags.alias("tags")).where(F.size("tags") > 0)
+    a = a.withColumn("scope_class", F.array_join("tags", "+"))
+    return a.select("actor_id", "scope_class"), a.select("scope_class", "tags").distinct().select("scope_class", F.explode("tags").alias("tag"))
+
+
+def visible_rows(df: DataFrame, table: str, classes: DataFrame) -> DataFrame:
+    """Every row of ``df`` once for each class of ``classes`` (``scope_classes``) that sees it, with its ``scope_class``. A row has
+    at most four tags and meets the classes by one equi-join; no actor x row pairs are formed."""
+    rules = {"enterprise": _ENT, "res": _RES} if table == "cards" else SCOPE_RULES[table]
+    kinds = {column for column, _ in rules.values()}
+    tags = [F.lit("*")] + [F.when(F.col(c).isNotNull(), F.concat_ws(":", F.lit(c), F.col(c))) for c in sorted(kinds)]
+    if table == "cards":      # stock of a warehouse that is not a res unit's is seen by the res actors of its enterprise
+        central = (F.col("source_type") == SOURCE_WAREHOUSE) & (F.col("warehouse_type") != "res") & F.col("enterprise_id").isNotNull()
+        tags.append(F.when(central, F.concat_ws(":", F.lit("central"), F.col("enterprise_id"))))
+    rows = df.withColumn("tag", F.explode(F.array_compact(F.array(*tags)))).join(classes, "tag")
+    if table == "cards":      # seen as central stock only if not already as the own unit's
+        own = F.concat_ws(":", F.lit("res_unit_id"), F.col("res_unit_id"))
+        twice = F.col("tag").startswith("central:") & F.col("res_unit_id").isNotNull() & F.startswith(F.col("scope_class"), F.concat(own, F.lit("+")))
+        rows = rows.where(~twice)
+    return rows.drop("tag")
+
+
 def tree_scope(t: Mapping[str, DataFrame], actor: Mapping | None) -> dict[str, DataFrame]:
     """Org-tree scoping: a NULL scope id means *no* filter here (unlike the other lists)."""
     ents, sps, units = t["enterprises"], t["spbipk"], t["res_units"]

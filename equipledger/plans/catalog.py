@@ -22,6 +22,7 @@ from equipledger.operators import ledger as L
 from equipledger.operators import nested as N
 from equipledger.operators import reports as R
 from equipledger.operators import scope as S
+from equipledger.operators import seeds as SD
 from equipledger.session import apply_conf
 from equipledger.schemas import empty
 from equipledger.sources.mapping import AS_OF, IMPORT_DAY, IMPORT_WAREHOUSE, MappedTables
@@ -417,7 +418,10 @@ def patch_series(spark, sf_dir):
 def patch_series_audit(spark, sf_dir):
     """M2 + D1: the audit row of every patch, against the state that the patches before it left."""
     t = tables(spark, sf_dir)
-    ch = M.patch_rows(t["employees"], t.employee_patch_series(), "employees")
+    return _series_audit(M.patch_rows(t["employees"], t.employee_patch_series(), "employees"))
+
+
+def _series_audit(ch):
     part = lambda p: F.get_json_object("changes", p)
     return ch.audit.select("record_id", F.array_join(F.array_sort(F.json_object_keys("changes")), ",").alias("fields"),
                            part("$.last_name.old").alias("old_name"), part("$.last_name.new").alias("new_name"),
@@ -435,9 +439,12 @@ def adjust_series(spark, sf_dir):
 
 def adjust_series_audit(spark, sf_dir):
     t = tables(spark, sf_dir)
-    a = M.set_quantity(t["warehouse_stock"], t.stock_adjustment_series()).audit
+    return _adjust_audit(M.set_quantity(t["warehouse_stock"], t.stock_adjustment_series()))
+
+
+def _adjust_audit(ch):
     part = lambda p: F.get_json_object("changes", p).cast("int")
-    return a.select("record_id", part("$.old_quantity").alias("old_quantity"),
+    return ch.audit.select("record_id", part("$.old_quantity").alias("old_quantity"),
                     part("$.new_quantity").alias("new_quantity"))
 
 
@@ -600,6 +607,169 @@ def ledger_hot_decisions(spark, sf_dir):
                     empty(spark, "employee_siz"), ev, hot_events=50)
 
 
+# ---------------------------------------------------------------- ordered lists, seeds, checks with content
+
+def employees_ordered(spark, sf_dir):
+    """O1: the first 300 employees by surname and first name as Russian orders them (NULLs last), ties by id."""
+    e = tables(spark, sf_dir).russian_employees().withColumn("number", F.col("id").cast("long"))
+    return R.in_report_order(e, "employees", 300, "number").select("id", "last_name", "first_name")
+
+
+def items_ordered(spark, sf_dir):
+    """O1: the first 200 items by category and name."""
+    t = tables(spark, sf_dir)
+    return R.in_report_order(R.items_report(t["siz_items"], t["siz_categories"]), "items", 200, "id").select("id", "category_name", "name")
+
+
+def cards_ordered(spark, sf_dir):
+    """O1: the first 200 cards by category, item and size."""
+    return R.in_report_order(equipment_cards(spark, sf_dir), "cards", 200, "id").select("id", "category_name", "item_name", "size_value")
+
+
+def sizes_in_use(spark, sf_dir):
+    """The size list with the number of employees who wear each shoe size; the list seeded into a table that holds one of its
+    sizes already."""
+    t = tables(spark, sf_dir)
+    stored = spark.createDataFrame([("old", "shoes", "40", 99)], "id string, category_type string, size_value string, sort_order int")
+    sizes = SD.seed(spark, {**{n: empty(spark, n) for n in ("siz_categories", "organizations")}, "size_references": stored})["size_references"]
+    worn = t.sized_employees().groupBy(F.col("shoe_size").alias("size_value")).agg(F.count(F.lit(1)).alias("employees"))
+    out = SD.sizes_report(sizes).join(worn.withColumn("category_type", F.lit("shoes")), ["category_type", "size_value"], "left")
+    return out.select("category_type", "size_value", "sort_order", F.coalesce("employees", F.lit(0)).alias("employees"))
+
+
+def seeded_categories(spark, sf_dir):
+    """M7 with the whole-table condition: the seed categories go into an empty table, not into one that has rows."""
+    t = tables(spark, sf_dir)
+    none = {n: empty(spark, n) for n in ("organizations", "size_references")}
+    stored = SD.seed(spark, {**none, "siz_categories": t["siz_categories"]})["siz_categories"]
+    fresh = SD.seed(spark, {**none, "siz_categories": t["siz_categories"].where("is_active is null")})["siz_categories"]
+    return stored.select(F.lit("stored").alias("into"), "name").unionByName(fresh.select(F.lit("empty").alias("into"), "name"))
+
+
+def check_audit_actions(spark, sf_dir):
+    """audit rows whose action is outside a list."""
+    return K.check_values(tables(spark, sf_dir)["audit_log"].select("id", "action"), "action", ("view", "click", "purchase"))[1]
+
+
+def import_employees_missing(spark, sf_dir):
+    """import rows without a surname, first name or enterprise, with the fields that are missing."""
+    return K.check_required(tables(spark, sf_dir).import_employee_rows(), ["last_name", "first_name", "enterprise_id"])[1].select(
+        "employee_number", "reason")
+
+
+def import_positions_repeated(spark, sf_dir):
+    """position names that an import repeats."""
+    return K.check_unique(tables(spark, sf_dir).import_position_rows(), ["name", "enterprise_id"])
+
+
+def import_stock_unknown_items(spark, sf_dir):
+    """Stock-import rows per item that is missing or inactive."""
+    t = tables(spark, sf_dir)
+    return R.item_exists(t.import_stock_rows(), t["siz_items"])[1].groupBy("siz_item_id").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def soft_delete_norms(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return M.soft_delete(t["position_siz_norms"], t.norm_deletions(), "position_siz_norms").table.select("id", "is_active")
+
+
+def soft_delete_norms_audit(spark, sf_dir):
+    """M3: an audit row per deleted norm, 'not_found' for the others."""
+    t = tables(spark, sf_dir)
+    ch = M.soft_delete(t["position_siz_norms"], t.norm_deletions(), "position_siz_norms")
+    return ch.audit.select("record_id", F.col("action").alias("outcome")).unionByName(
+        ch.rejected.select(F.col("id").alias("record_id"), F.col("reason").alias("outcome")))
+
+
+def roles_upsert(spark, sf_dir):
+    """M8: stored roles take the description of the request and keep their level; new ones are inserted."""
+    t = tables(spark, sf_dir)
+    out = M.upsert_replace(t["roles"], t.role_requests(), ["name"], "request_id", {"description": F.col("description")}, reactivate=False)
+    return out.select("name", "level", "description")
+
+
+def patch_employees_touched(spark, sf_dir):
+    """M2 + M10: patched rows carry the time of the change, the others none."""
+    t = tables(spark, sf_dir)
+    some = t.employee_patches().where(F.col("request_id") % 2 == 0)
+    out = M.patch_rows(t["employees"], some, "employees", updated_at=F.lit("2024-05-01 10:00:00").cast("timestamp"), block_rows=1)
+    return out.table.select("id", "last_name", "updated_at")
+
+
+def insert_employees_ids(spark, sf_dir):
+    """Ids derived from the request."""
+    t = tables(spark, sf_dir)
+    rows = I.import_employees(t.import_employee_rows())["rows"].drop("id").withColumns(
+        {"request_id": F.col("employee_number"), "actor_id": F.lit("0")})
+    new = M.insert_rows(empty(spark, "employees"), rows, "employees").table
+    return new.select("id", "employee_number")
+
+
+def patch_series_hot_audit(spark, sf_dir):
+    """M2 + D1 with the patches of an id cut into blocks of one request: the same audit rows."""
+    t = tables(spark, sf_dir)
+    return _series_audit(M.patch_rows(t["employees"], t.employee_patch_series(), "employees", block_rows=1))
+
+
+def adjust_series_hot_audit(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return _adjust_audit(M.set_quantity(t["warehouse_stock"], t.stock_adjustment_series(), block_rows=1))
+
+
+def _by_actor_class(spark, sf_dir, table, df):
+    t = tables(spark, sf_dir)
+    members, classes = S.scope_classes(S.actor_context(t["users"], t["roles"]), table)
+    seen = S.visible_rows(df, table, classes).groupBy("scope_class").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("long")).alias("mark"))
+    actors = S.actor_context(t["users"], t["roles"]).select(F.col("id").alias("actor_id"))
+    out = actors.join(members, "actor_id", "left").join(seen, "scope_class", "left")
+    return out.select("actor_id", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("mark", F.lit(0)).alias("mark"))
+
+
+def cards_of_every_actor(spark, sf_dir):
+    """per active actor the number of cards it sees and a mark of which (sum over their ids)."""
+    return _by_actor_class(spark, sf_dir, "cards", equipment_cards(spark, sf_dir))
+
+
+def employees_of_every_actor(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return _by_actor_class(spark, sf_dir, "employees", t["employees"].where("is_active"))
+
+
+def cards_by_scope_class(spark, sf_dir):
+    """the rows themselves, once for each set of actors that sees them."""
+    t = tables(spark, sf_dir)
+    _, classes = S.scope_classes(S.actor_context(t["users"], t["roles"]).where("role_level <> 'ia'"), "cards")
+    return S.visible_rows(equipment_cards(spark, sf_dir), "cards", classes).select("scope_class", "id")
+
+
+def ledger_latest_audit(spark, sf_dir):
+    """D3 over S4: the newest 100 rows of the appended audit ledger, read from its newest months only."""
+    import uuid
+
+    from equipledger.session import checkpoint_dir
+    from equipledger.sources.tables import append_ledger
+
+    t = tables(spark, sf_dir)
+    root = f"{checkpoint_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    for batch in (0, 1):
+        append_ledger(t["audit_log"].where(F.col("id").cast("long") % 2 == batch), root, "audit_log", batch)
+    return R.audit_labels(R.latest_of_ledger(spark, root, "audit_log"), t["users"]).select(
+        "id", "user_id", "table_name", "action", "changes", "created_at", "user_name", "username")
+
+
+def import_stock_written(spark, sf_dir):
+    """L7 + A4: an import that is written and counted in one job."""
+    import uuid
+
+    from equipledger.session import checkpoint_dir
+
+    t = tables(spark, sf_dir)
+    rows = L.import_stock(t.import_stock_rows(), t["siz_items"], IMPORT_WAREHOUSE, today=IMPORT_DAY)["rows"]
+    counts = I.write_counted(rows, f"{checkpoint_dir(spark).rstrip('/')}/import-{uuid.uuid4().hex}", ("imported", "skipped", "error"))
+    return spark.createDataFrame([(k, v) for k, v in counts.items() if v], "outcome string, rows long")
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "equipment_cards": equipment_cards,
     "card_stats": card_stats,
@@ -683,4 +853,25 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ledger_kinds_holdings": ledger_kinds_holdings,
     "ledger_kinds_movements": ledger_kinds_movements,
     "ledger_kinds_audit": ledger_kinds_audit,
+    "employees_ordered": employees_ordered,
+    "items_ordered": items_ordered,
+    "cards_ordered": cards_ordered,
+    "sizes_in_use": sizes_in_use,
+    "seeded_categories": seeded_categories,
+    "check_audit_actions": check_audit_actions,
+    "import_employees_missing": import_employees_missing,
+    "import_positions_repeated": import_positions_repeated,
+    "import_stock_unknown_items": import_stock_unknown_items,
+    "soft_delete_norms": soft_delete_norms,
+    "soft_delete_norms_audit": soft_delete_norms_audit,
+    "roles_upsert": roles_upsert,
+    "patch_employees_touched": patch_employees_touched,
+    "insert_employees_ids": insert_employees_ids,
+    "patch_series_hot_audit": patch_series_hot_audit,
+    "adjust_series_hot_audit": adjust_series_hot_audit,
+    "cards_of_every_actor": cards_of_every_actor,
+    "employees_of_every_actor": employees_of_every_actor,
+    "cards_by_scope_class": cards_by_scope_class,
+    "ledger_latest_audit": ledger_latest_audit,
+    "import_stock_written": import_stock_written,
 }

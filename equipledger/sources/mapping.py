@@ -25,6 +25,10 @@ IMPORT_DAY = "2024-01-15"
 RES_PER_NATION = 4       # res units of an enterprise
 
 
+# Surnames whose order by language differs from that by code point.
+SURNAMES = ("яшин", "Ёлкин", "Ельцов", "абрамов", "Жуков", "Абрамов", "Еда", "ёлкин", "Яшин", "Аксёнов")
+
+
 def lineitem_row_id() -> F.Column:
     """Unique, order-preserving text id of a lineitem row: its string order is (orderkey, linenumber, partkey,
     suppkey)."""
@@ -314,6 +318,30 @@ class MappedTables(Mapping):
             [("0/1/", "0", "1", "", OPENING_BALANCE)], "id string, warehouse_id string, siz_item_id string, size_value string, quantity int"),
             "warehouse_stock")
 
+    def russian_employees(self) -> DataFrame:
+        """The active employees under Russian surnames (by customer key), some with a first name."""
+        k = F.col("id").cast("long")
+        name = F.get(F.array(*[F.lit(n) for n in SURNAMES]), (k % len(SURNAMES)).cast("int"))
+        first = F.when(k % 3 == 0, F.lit("Иван")).when(k % 3 == 1, F.lit("ёжик"))
+        return self["employees"].where("is_active").withColumns({"last_name": name, "first_name": first})
+
+    def sized_employees(self) -> DataFrame:
+        """Employees with a shoe size by customer key, from 33 to 52 (some beyond the list)."""
+        return self["employees"].withColumn("shoe_size", (33 + F.col("id").cast("long") % 20).cast("string"))
+
+    def norm_deletions(self) -> DataFrame:
+        """Delete requests for the norms of every fifth item and, per such item, one for a norm that doesn't exist."""
+        n = self["position_siz_norms"].where(F.col("siz_item_id").cast("long") % 5 == 0)
+        some = n.select("id", F.concat(F.lit("d"), "id").alias("request_id"), F.lit("0").alias("actor_id"))
+        return some.unionByName(n.select(F.concat(F.lit("no-"), "id").alias("id"), F.concat(F.lit("x"), "id").alias("request_id"),
+                                         F.lit("0").alias("actor_id")))
+
+    def role_requests(self) -> DataFrame:
+        """Per role of the users one request that sets its description to their number, and one for a new role."""
+        u = self["users"].groupBy(F.col("role_id").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+        u = u.select("name", F.lit("res").alias("level"), F.concat(F.lit("users: "), F.col("n").cast("string")).alias("description"))
+        return u.unionByName(u.select(F.concat(F.lit("new_"), "name").alias("name"), "level", "description")).withColumn("request_id", F.lit(1))
+
     def import_stock_rows(self) -> DataFrame:
         """Stock-import payload rows from lineitem 'R' rows: padded sizes, quantities with trailing text or
         <= 0, blank item ids, inactive items -- every rule of the import is exercised."""
