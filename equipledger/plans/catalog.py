@@ -770,6 +770,55 @@ def import_stock_written(spark, sf_dir):
     return spark.createDataFrame([(k, v) for k, v in counts.items() if v], "outcome string, rows long")
 
 
+def import_documents(spark, sf_dir):
+    """Stock-import rows as request bodies, one per item category of the rows (some cut off, some empty), read back with
+    their outcomes: rows and documents per outcome."""
+    import uuid
+
+    from equipledger.session import checkpoint_dir
+    from equipledger.sources.imports import read_import_documents
+
+    t = tables(spark, sf_dir)
+    key = F.col("p_partkey") % 50
+    rows = t.raw("part").select(key.alias("k"), F.to_json(F.struct(
+        F.col("p_partkey").cast("string").alias("siz_item_id"), F.lit("").alias("size_value"), F.col("p_size").alias("quantity"))).alias("r"))
+    body = rows.groupBy("k").agg(F.array_join(F.sort_array(F.collect_list("r")), ",").alias("rows"))
+    text = F.concat(F.lit('{"rows": ['), F.when(F.col("k") % 10 == 3, F.lit("")).otherwise(F.col("rows")),
+                    F.when(F.col("k") % 10 == 7, F.lit("")).otherwise(F.lit("]}")))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/bodies-{uuid.uuid4().hex}"
+    body.select(text.alias("value"), "k").write.partitionBy("k").text(path)
+    read, outcomes = read_import_documents(spark, path, "import_stock")
+    found = outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("documents"), F.sum("rows").alias("rows"))
+    total = read.agg(F.sum(F.col("quantity").cast("long")).alias("quantity"))
+    return found.select("outcome", "documents", "rows", F.when(F.col("outcome") == "parsed", total.scalar()).alias("quantity"))
+
+
+def org_tree_exploded(spark, sf_dir):
+    """The nested tree taken apart again: warehouses per spbipk and res unit, departments per res unit."""
+    tree = N.org_tree(tables(spark, sf_dir)).select(F.col("id").alias("organization_id"), F.explode("enterprises").alias("e"))
+    sp = tree.select("organization_id", F.explode("e.spbipk_list").alias("n")).select(
+        "organization_id", F.lit("spbipk").alias("kind"), F.col("n.id").alias("id"), F.size("n.warehouses").alias("warehouses"),
+        F.lit(0).alias("departments"))
+    ru = tree.select("organization_id", F.explode("e.res_units").alias("n")).select(
+        "organization_id", F.lit("res_unit").alias("kind"), F.col("n.id").alias("id"), F.size("n.warehouses").alias("warehouses"),
+        F.size("n.departments").alias("departments"))
+    return sp.unionByName(ru)
+
+
+def employee_cards_exploded(spark, sf_dir):
+    """Employees with their list of norms, taken apart again."""
+    return N.employee_cards(tables(spark, sf_dir)).select(
+        F.col("id").alias("employee_id"), "last_name", F.explode_outer("norms").alias("n")).select(
+        "employee_id", "last_name", F.col("n.id").alias("norm_id"), F.col("n.quantity").alias("quantity"))
+
+
+def staff_of_res_warehouses(spark, sf_dir):
+    """J9 as pairs for a requested set: the res-unit warehouses whose name ends in 5."""
+    t = tables(spark, sf_dir)
+    asked = t["warehouses"].where((F.col("warehouse_type") == "res") & F.col("res_unit_id").isNotNull() & F.col("name").endswith("5"))
+    return R.warehouse_staff(asked, t).select("warehouse_id", F.col("id").alias("employee_id"), "last_name")
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "equipment_cards": equipment_cards,
     "card_stats": card_stats,
@@ -874,4 +923,8 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cards_by_scope_class": cards_by_scope_class,
     "ledger_latest_audit": ledger_latest_audit,
     "import_stock_written": import_stock_written,
+    "import_documents": import_documents,
+    "org_tree_exploded": org_tree_exploded,
+    "employee_cards_exploded": employee_cards_exploded,
+    "staff_of_res_warehouses": staff_of_res_warehouses,
 }

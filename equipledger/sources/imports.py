@@ -49,3 +49,32 @@ def read_import(spark: SparkSession, path: str, table: str, wrapped: bool = True
     if check_empty and df.limit(1).count() == 0:
         raise EmptyPayload(path)
     return df
+
+
+def read_import_documents(spark: SparkSession, path: str, table: str) -> tuple[DataFrame, DataFrame]:
+    """S2 with an outcome per document: (rows of the good documents with their ``document``, ``document, outcome, rows``).
+
+    A document is 'parsed', 'empty' (an object without rows: the original's 400) or 'corrupt' (no JSON, no object, or ``rows``
+    that is no list); one bad document costs itself, not the import. Documents are request bodies (10 MB at most in the
+    original), so each is one value; many of them are spread over tasks. Rows are rejected by the import operators."""
+    names = SCHEMAS[table].fieldNames()
+    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("document"),
+                                                        F.try_parse_json("value").alias("body"))
+    docs = docs.withColumn("list", F.try_variant_get("body", "$.rows", "array<variant>"))
+    kind = F.schema_of_variant("body")
+    given = F.try_variant_get("body", "$.rows", "variant")
+    listed = F.filter("list", lambda r: r.isNotNull())
+    outcome = (F.when(F.col("body").isNull() | ~kind.startswith("OBJECT"), "corrupt")
+               .when(given.isNull() | (F.schema_of_variant(given) == "VOID"), "empty")
+               .when(F.col("list").isNull(), "corrupt").when(F.size("list") == 0, "empty").otherwise("parsed"))
+    docs = docs.select("document", outcome.alias("outcome"), listed.alias("list"),
+                       *[F.try_variant_get("body", f"$.{c}", "string").alias(c) for c in ("warehouse_id", "document_reference")])
+    good = docs.where("outcome = 'parsed'").select("document", "warehouse_id", "document_reference", F.explode("list").alias("r"))
+    fields = {n: F.try_variant_get("r", f"$.{n}", "variant") for n in names}
+    good = good.select("document", *[c for c in ("warehouse_id", "document_reference") if c not in names],
+                       *[v.alias(n) for n, v in fields.items()])
+    texts = {f.name for f in SCHEMAS[table] if f.dataType == T.StringType()}
+    rows = good.select(*[c for c in good.columns if c not in names],
+                       *[_request_text(n).alias(n) if n in texts else F.try_variant_get(n, "$", SCHEMAS[table][n].dataType.simpleString()).alias(n)
+                         for n in names])
+    return rows, docs.select("document", "outcome", F.when(F.col("outcome") == "parsed", F.size("list")).otherwise(0).alias("rows"))
