@@ -2,14 +2,17 @@
 windows, complete-document log-likelihood.
 
 Word counts of the whole corpus give the short list (frequent words, with a learned softmax inside their class) and
-the share of every other word inside its tail class (add-one: a word never seen is one more type of it). Recurrent weights
-are trained in parallel, every task on all its training documents, and averaged. Counts of words outside a
-bounded head are joined to the (document, word) pairs that need them, so nothing unbounded is broadcast.
+the share of every other word inside its tail class (add-one: a word never seen is one more type of it).
+
+Recurrent weights: every training document is dealt by a hash of its id and text to one of many shards and one of ``ROUNDS``
+slices. In each round every shard goes on from the common weights and Adam moments through its slice, and the results are
+averaged by tokens. A shard holds about ``SHARD_TOKENS`` tokens at any size of the corpus, so the number of updates between averages
+does not depend on files, partitions or machines; more text means more shards. Counts of words outside a bounded head are joined
+to the (document, word) pairs that need them, so nothing unbounded is broadcast.
 """
 
 from __future__ import annotations
 
-import heapq
 import zlib
 
 import numpy as np
@@ -25,9 +28,12 @@ HEAD_BYTES = 64               # longer words are never in the head
 WORDS_IN_CLASS, CLASSES, TAILS = 32, 32, 32
 SHORT = WORDS_IN_CLASS * CLASSES
 HIDDEN = 16
-ROUNDS, WINDOW, RATE = 1, 32, 0.01
-STREAMS, MOST_STREAMS = 16, 128    # of a batch: as many as its longest document leaves filled
-CHUNK_WORDS = 120_000
+ROUNDS, WINDOW, RATE = 4, 32, 0.02
+SHARD_TOKENS = 1_500_000      # of a shard, all rounds together
+UPDATES = 64                  # of a shard in a round, where it has streams enough
+STREAMS, MOST_STREAMS = 16, 512
+CHUNK_WORDS = 100_000         # of one window while scoring
+SUMMING = 8                   # tasks that sum up the shards' weights
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -99,93 +105,114 @@ class Gru:
                 out[m] += own[np.arange(len(m)), word[m]] - big - np.log(np.exp(own - big[:, None]).sum(axis=1))
         return out / np.log(10)
 
-    def train(self, docs: list[np.ndarray]) -> int:
-        """Truncated backpropagation over ``WINDOW`` steps of ``STREAMS`` to ``MOST_STREAMS`` streams of documents (input
-        numbers, the end token last), long ones first, so that streams end together; a stream's state goes on from window to window and starts anew after an end. Adam."""
-        end = docs[0][-1]
-        docs = sorted(docs, key=len, reverse=True)
-        streams = min(MOST_STREAMS, max(STREAMS, sum(map(len, docs)) // len(docs[0])))
-        lanes: list[list[np.ndarray]] = [[] for _ in range(streams)]
-        shortest = [(0, k) for k in range(streams)]
-        for d in docs:
-            n, k = shortest[0]
-            lanes[k].append(d)
-            heapq.heapreplace(shortest, (n + len(d), k))
-        lanes.sort(key=lambda lane: -sum(map(len, lane)))        # those still running stand in front
-        sizes = [sum(map(len, lane)) for lane in lanes]
-        time = max(sizes)
-        ids = np.full((time, streams), -1, dtype=np.int64)
-        for k, lane in enumerate(lanes):
-            if lane:
-                ids[:sizes[k], k] = np.concatenate(lane)
-        moment = {n: [np.zeros_like(getattr(self, n)), np.zeros_like(getattr(self, n))] for n in self.NAMES}
-        h, last, turn = np.zeros((streams, HIDDEN), np.float32), np.full(streams, end), 0
+    def begin(self) -> None:
+        """Adam's moments, from nothing."""
+        self.moments = {n: (np.zeros_like(getattr(self, n)), np.zeros_like(getattr(self, n))) for n in self.NAMES}
+        self.turn = 0.0
+
+    def fit(self, text: np.ndarray, end: int) -> None:
+        """Truncated backpropagation with Adam over ``text`` (input numbers of whole documents, each closed by ``end``), cut into
+        equal streams that go through it side by side, ``WINDOW`` steps an update. The state goes on from window to window and
+        starts anew after an end."""
+        streams = min(MOST_STREAMS, max(STREAMS, len(text) // (WINDOW * UPDATES)))
+        time = -(-len(text) // streams)
+        ids = np.full(time * streams, -1, dtype=np.int64)
+        ids[:len(text)] = text
+        ids = ids.reshape(streams, time).T
+        last = np.concatenate(([end], ids[-1, :-1]))            # what stands before each stream
+        h, last = np.zeros((streams, HIDDEN), self.x.dtype), np.where(last < 0, end, last)
         for s in range(0, time, WINDOW):
-            live = sum(n > s for n in sizes)
-            h, last, grad = self._window(ids[s:s + WINDOW, :live], h[:live], last[:live], end)
-            turn += 1
+            h, last, grad = self._window(ids[s:s + WINDOW], h, last, end)
+            self.turn += 1
             for n, g in grad.items():
                 norm = float(np.sqrt((g * g).sum()))
                 g = g * min(1.0, 5.0 / (norm + 1e-9))
-                m, v = moment[n]
+                m, v = self.moments[n]
                 m *= 0.9
                 m += 0.1 * g
                 v *= 0.99
                 v += 0.01 * g * g
-                getattr(self, n)[...] -= RATE * (m / (1 - 0.9 ** turn)) / (np.sqrt(v / (1 - 0.99 ** turn)) + 1e-6)
-        return sum(sizes)
+                getattr(self, n)[...] -= RATE * (m / (1 - 0.9 ** self.turn)) / (np.sqrt(v / (1 - 0.99 ** self.turn)) + 1e-6)
 
     def _window(self, ids, h, last, end):
-        k, steps = HIDDEN, []
-        for target in ids:
-            fresh = last == end
-            h = np.where(fresh[:, None], 0.0, h).astype(np.float32)
-            new, z, r, n = self.step(self.x[last], h)
-            steps.append((last, h, z, r, n, new, fresh))
-            live = target >= 0
-            h, last = np.where(live[:, None], new, h), np.where(live, target, last)
-        hs = np.stack([s[5] for s in steps])
-        live = ids >= 0
-        flat, target = hs[live], ids[live]
+        """States, last inputs and gradients of the mean log loss over the targets ``ids`` (steps x streams, -1 where a stream
+        is over)."""
+        k, (steps, lanes) = HIDDEN, ids.shape
+        prev = np.concatenate((last[None], ids[:-1]))
+        prev = np.where(prev < 0, end, prev)
+        x, keep = self.x[prev], (prev != end).astype(self.x.dtype)[:, :, None]
+        h0s, zs, rs, ns, hs = (np.empty((steps, lanes, k), self.x.dtype) for _ in range(5))
+        for t in range(steps):
+            h0 = h * keep[t]
+            h, zs[t], rs[t], ns[t] = self.step(x[t], h0)
+            h0s[t], hs[t] = h0, h
+        last = np.where(ids[-1] < 0, end, ids[-1])
+        live = np.flatnonzero(ids.reshape(-1) >= 0)
+        target = ids.reshape(-1)[live]
         grad = {n: np.zeros_like(getattr(self, n)) for n in self.NAMES}
         if not len(target):
             return h, last, grad
         share = np.float32(1.0 / len(target))
         cls = np.where(target < SHORT, target // WORDS_IN_CLASS, CLASSES + target - SHORT)
-        logit = flat @ self.wc + self.bc
-        p = np.exp(logit - logit.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(cls)), cls] -= 1
-        p *= share
+        order = np.argsort(cls.astype(np.int16), kind="stable")       # by class, so that each is one stretch
+        live, target, cls = live[order], target[order], cls[order]
+        flat = hs.reshape(-1, k)[live]
+        p = flat @ self.wc + self.bc
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, p)
+        p *= share / p.sum(axis=1, keepdims=True)
+        p[np.arange(len(cls)), cls] -= share
         grad["wc"], grad["bc"] = flat.T @ p, p.sum(axis=0)
         back = p @ self.wc.T
-        for c in np.unique(cls[cls < CLASSES]):
-            m = np.flatnonzero(cls == c)
-            own = flat[m] @ self.wo[c] + self.bo[c]
-            q = np.exp(own - own.max(axis=1, keepdims=True))
-            q /= q.sum(axis=1, keepdims=True)
-            q[np.arange(len(m)), target[m] % WORDS_IN_CLASS] -= 1
-            q *= share
-            grad["wo"][c], grad["bo"][c] = flat[m].T @ q, q.sum(axis=0)
-            back[m] += q @ self.wo[c].T
-        outer = np.zeros_like(hs)
+        cut = np.searchsorted(cls, np.arange(CLASSES + 1))
+        for c in range(CLASSES):
+            a, b = cut[c], cut[c + 1]
+            if a == b:
+                continue
+            q = flat[a:b] @ self.wo[c] + self.bo[c]
+            q -= q.max(axis=1, keepdims=True)
+            np.exp(q, q)
+            q *= share / q.sum(axis=1, keepdims=True)
+            q[np.arange(b - a), target[a:b] % WORDS_IN_CLASS] -= share
+            grad["wo"][c], grad["bo"][c] = flat[a:b].T @ q, q.sum(axis=0)
+            back[a:b] += q @ self.wo[c].T
+        outer = np.zeros((steps * lanes, k), self.x.dtype)
         outer[live] = back
-        carry = np.zeros_like(h)
-        for t in range(len(steps) - 1, -1, -1):
-            at, h0, z, r, n, _, fresh = steps[t]
-            d = np.where(live[t][:, None], outer[t] + carry, 0.0).astype(np.float32)
-            dn = d * z * (1 - n * n)
-            dz = d * (n - h0) * z * (1 - z)
-            drh = dn @ self.un.T
-            dr = drh * h0 * r * (1 - r)
-            gates = np.concatenate((dz, dr), axis=1)
-            np.add.at(grad["x"], at, np.concatenate((gates, dn), axis=1))
-            grad["u"] += h0.T @ gates
-            grad["un"] += (r * h0).T @ dn
-            before = d * (1 - z) + drh * r + gates @ self.u.T
-            carry = np.where(fresh[:, None], 0.0, np.where(live[t][:, None], before, carry)).astype(np.float32)
+        outer = outer.reshape(steps, lanes, k)
+        gates = np.empty((steps, lanes, 3 * k), self.x.dtype)
+        carry = np.zeros((lanes, k), self.x.dtype)
+        for t in range(steps - 1, -1, -1):
+            d, g, h0, z, r, n = outer[t] + carry, gates[t], h0s[t], zs[t], rs[t], ns[t]
+            into = d * z
+            g[:, 2 * k:] = into * (1 - n * n)
+            g[:, :k] = into * (n - h0) * (1 - z)
+            drh = g[:, 2 * k:] @ self.un.T
+            g[:, k:2 * k] = drh * h0 * r * (1 - r)
+            carry = (d - into + drh * r + g[:, :2 * k] @ self.u.T) * keep[t]
+        gates = gates.reshape(-1, 3 * k)
+        grad["u"] = h0s.reshape(-1, k).T @ gates[:, :2 * k]
+        grad["un"] = (rs * h0s).reshape(-1, k).T @ gates[:, 2 * k:]
+        prev = prev.reshape(-1)
+        order = np.argsort(prev.astype(np.int16), kind="stable")      # input rows are fewer than 2 ** 15
+        rows = prev[order]
+        at = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+        grad["x"][rows[at]] = np.add.reduceat(gates[order], at, axis=0)
         return h, last, grad
 
+    def state(self) -> np.ndarray:
+        """Weights, moments and the number of updates as one row of numbers."""
+        return np.concatenate([self.get(), *[m.reshape(-1) for n in self.NAMES for m in self.moments[n]], [self.turn]]).astype(np.float64)
+
+    def set_state(self, flat: np.ndarray) -> None:
+        self.begin()
+        self.put(flat)
+        at = sum(getattr(self, n).size for n in self.NAMES)
+        for n in self.NAMES:
+            for m in self.moments[n]:
+                m[...] = flat[at:at + m.size].reshape(m.shape)
+                at += m.size
+        self.turn = float(flat[at])
+
     def get(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).reshape(-1) for n in self.NAMES])
 
@@ -214,6 +241,13 @@ class Vocabulary:
         self.inside[n:] = np.log10((c[n:] + 1) / self.space[self.row[n:] - SHORT])
         self.base = np.log10((c + 1) / (total + distinct + 1))
 
+    @classmethod
+    def of(cls, parts: dict) -> "Vocabulary":
+        """From ``vars(vocabulary)``: what is broadcast is plain data, which workers without this package can read."""
+        v = cls.__new__(cls)
+        v.__dict__.update(parts)
+        return v
+
 
 def vocabulary(counts: DataFrame) -> Vocabulary | None:
     sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -236,36 +270,68 @@ def _rows(words: list[bytes], v: Vocabulary) -> np.ndarray:
     return np.array([v.row[k] if (k := get(w)) is not None else SHORT + tail_class(w) for w in [*words, END.encode()]], dtype=np.int64)
 
 
+def dealt(docs: DataFrame, v: Vocabulary, shared) -> DataFrame:
+    """``(shard, slice, key, ids)`` of every row of ``docs``: its input numbers as two-byte numbers, the end last. The key is a
+    hash of id and text, so copies of a text and repeated ids are spread."""
+    shards = max(1, round(v.total / SHARD_TOKENS))
+
+    def run(batches):
+        v = Vocabulary.of(shared.value)
+        for b in batches:
+            ids = [_rows(tokens(t.as_py()), v).astype("<i2").tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["key", "ids"])
+
+    d = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(run, "key long, ids binary")
+    return d.select((F.pmod("key", F.lit(ROUNDS))).cast("int").alias("slice"),
+                    (F.pmod(F.shiftright("key", 20), F.lit(shards))).cast("int").alias("shard"), "key", "ids")
+
+
+def _sums(batches):
+    """One row for all of a task: the sum of its rows (n, w), w numbers as bytes."""
+    n, w = 0, None
+    for b in batches:
+        for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            n, w = n + k, np.frombuffer(x) if w is None else w + np.frombuffer(x)
+    if w is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([w.tobytes()], pa.binary())], names=["n", "w"])
+
+
 def train(docs: DataFrame, v: Vocabulary, shared) -> Gru:
-    """Recurrent weights from all of ``docs``: every task trains on its documents from the same start, and the results
-    are averaged by tokens, ``ROUNDS`` times. Without any document the start weights stand."""
-    gru = Gru(v.short_counts, v.tails)
-    spark = docs.sparkSession
-    for _ in range(ROUNDS):
-        weights = spark.sparkContext.broadcast(gru.get())
+    """Recurrent weights from all of ``docs`` (doc_id, text), whatever their files and partitions. Without any document the start
+    weights stand."""
+    spark, gru, end = docs.sparkSession, Gru(v.short_counts, v.tails), int(v.row[v.rank[END.encode()]])
+    gru.begin()
+    coded = saved(dealt(docs, v, shared), "lm-coded")
+    counts = v.short_counts, v.tails
+    for k in range(ROUNDS):
+        start = spark.sparkContext.broadcast(gru.state())
 
         def run(batches):
-            v = shared.value
-            g = Gru(v.short_counts, v.tails)
-            g.put(weights.value)
-            n = 0
+            g, total, n, shard, held = Gru(*counts), None, 0, None, []
+
+            def close():
+                nonlocal total, n
+                if held:
+                    g.set_state(start.value)
+                    text = np.concatenate(held)
+                    g.fit(text, end)
+                    total = g.state() * len(text) + (0 if total is None else total)
+                    n += len(text)
+
             for b in batches:
-                rows = [_rows(tokens(t.as_py()), v) for t in b.column(0)]
-                if rows:
-                    n += g.train(rows)
+                for at, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    if at != shard:
+                        close()
+                        shard, held = at, []
+                    held.append(np.frombuffer(ids, "<i2"))
+            close()
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(g.get() * n).astype(np.float64).tolist()], pa.list_(pa.float64()))],
-                                                 names=["n", "w"])
-
-        # one row of weights a task, summed place by place on the executors
-        mean = (docs.select("text").mapInArrow(run, "n long, w array<double>").select("n", F.posexplode("w").alias("i", "w"))
-                .groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).collect())
-        if not mean:
-            break
-        flat = np.zeros(len(gru.get()))
-        for r in mean:                # as many as there are weights
-            flat[r["i"]] = r["w"]
-        gru.put(flat.astype(np.float32))
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "w"])
+
+        rows = coded.where(F.col("slice") == k).repartition("shard").sortWithinPartitions("shard", "key").select("shard", "ids")
+        sums = rows.mapInArrow(run, "n long, w binary").repartition(SUMMING).mapInArrow(_sums, "n long, w binary").collect()
+        if sums:          # at most SUMMING rows
+            gru.set_state(sum(np.frombuffer(r["w"]) for r in sums) / sum(r["n"] for r in sums))
     return gru
 
 
@@ -286,33 +352,30 @@ def _score(texts: list[bytes | None], v: Vocabulary, g: Gru):
     inside = np.concatenate((v.inside, np.zeros(len(new))))
     base = np.concatenate((v.base, np.zeros(len(new))))
     score = np.zeros(len(texts))
-    order = sorted(range(len(texts)), key=lambda k: -len(ranks[k]))
+    order = np.argsort([-len(r) for r in ranks], kind="stable")       # long ones first: those still running stand in front
+    size = np.array([len(ranks[k]) for k in order], dtype=np.int64)
+    flat = row[np.concatenate([ranks[k] for k in order])] if len(order) else row[:0]
+    starts = np.cumsum(size) - size
+    h, last, total = np.zeros((len(order), HIDDEN), dtype=np.float32), np.full(len(order), row[end]), np.zeros(len(order))
     at = 0
-    while at < len(order):
-        n = max(1, CHUNK_WORDS // len(ranks[order[at]]))
-        part = order[at:at + n]
-        at += n
-        size = np.array([len(ranks[k]) for k in part])
-        ids = np.full((size[0], len(part)), row[end], dtype=np.int64)
-        for i, k in enumerate(part):
-            ids[:size[i], i] = row[ranks[k]]
-        live = np.searchsorted(-size, -np.arange(size[0]), side="left")
-        h = np.zeros((len(part), HIDDEN), dtype=np.float32)
-        last, total = np.full(len(part), row[end]), np.zeros(len(part))
-        for w in range(0, size[0], 256):            # windows; the state goes on from one to the next
-            z = min(w + 256, size[0])
-            hs = np.zeros((z - w, len(part), HIDDEN), dtype=np.float32)
-            for t in range(w, z):
-                m = live[t]
-                h[:m] = g.step(g.x[last[:m]], h[:m])[0]
-                hs[t - w, :m] = h[:m]
-                last[:m] = ids[t, :m]
-            there = np.arange(w, z)[:, None] < size[None, :]
-            target = ids[w:z][there]
-            cls = np.where(target < SHORT, target // WORDS_IN_CLASS, CLASSES + target - SHORT)
-            p = g.log_prob(hs[there], cls, target % WORDS_IN_CLASS)
-            total += np.bincount(np.nonzero(there)[1], weights=p, minlength=len(part))
-        score[part] = total
+    while len(size) and at < size[0]:               # windows; the state goes on from one to the next
+        live = int(np.searchsorted(-size, -at, side="left"))
+        steps = int(min(size[0] - at, max(1, CHUNK_WORDS // live), 256))
+        when = at + np.arange(steps)
+        there = when[:, None] < size[None, :live]
+        ids = flat[np.minimum(starts[None, :live] + when[:, None], len(flat) - 1)]
+        x = np.concatenate((last[None, :live], ids[:-1]))
+        hs = np.zeros((steps, live, HIDDEN), dtype=np.float32)
+        for t, m in enumerate(there.sum(axis=1).tolist()):
+            h[:m] = g.step(g.x[x[t, :m]], h[:m])[0]
+            hs[t, :m] = h[:m]
+        last[:live] = ids[-1]
+        target = ids[there]
+        cls = np.where(target < SHORT, target // WORDS_IN_CLASS, CLASSES + target - SHORT)
+        p = g.log_prob(hs[there], cls, target % WORDS_IN_CLASS)
+        total[:live] += np.bincount(np.nonzero(there)[1], weights=p, minlength=live)
+        at += steps
+    score[order] = total
     out = []
     for k, r in enumerate(ranks):
         far = r[r >= n_head] - n_head
@@ -333,12 +396,12 @@ def log_likelihood(docs: DataFrame, train_on: DataFrame) -> DataFrame:
     if v is None:
         v = Vocabulary([(END, 0)], 0, 0, np.zeros(TAILS), np.zeros(TAILS))
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(v)
+    shared = sc.broadcast(vars(v))
     g = train(train_on, v, shared)
     weights = sc.broadcast(g.get())
 
     def run(batches):
-        v = shared.value
+        v = Vocabulary.of(shared.value)
         g = Gru(v.short_counts, v.tails)
         g.put(weights.value)
         for b in batches:
