@@ -249,11 +249,11 @@ def encode(docs: DataFrame, path: str = MODEL, head_words: int = HEAD_WORDS, kee
     spark = docs.sparkSession
     t = codebook(docs, pieces, head_words).toArrow()       # at most head_words rows
     head = {w: np.array(x, dtype="<i4").tobytes() for w, x in zip(t["word"].to_pylist(), t["ids"].to_pylist())}
-    known = spark.sparkContext.broadcast((pieces, head))
+    known = spark.sparkContext.broadcast((vars(pieces), head))     # plain data: workers need no copy of the class
     own = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "n_pieces", "round_trip")]
 
     def run(batches):
-        pieces, head = known.value
+        pieces, head = Pieces(**known.value[0]), known.value[1]
         array, cut, seen, raw = ArrayLattice(pieces), re.compile(pieces.pattern), {}, pieces.text
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
