@@ -29,7 +29,11 @@ MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """Runs of letters in lower case; numerals such as ½ or ² are no letters."""
+    found = WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    return [part for w in found for part in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -69,17 +73,20 @@ def _ranges(size: np.ndarray) -> np.ndarray:
 
 
 class Crf:
-    def __init__(self, langs: list[str], lexicon: dict[str, int]):
+    def __init__(self, langs: list[str], lexicon: dict[str, list[int]]):
         y = len(langs)
-        self.langs, self.lexicon = langs, lexicon                     # word -> bit set of the languages that list it
+        self.langs, self.lexicon = langs, lexicon                     # word -> numbers of the languages that list it
         self.w = np.zeros((FEATURES, y), dtype=np.float32)
         self.lex = np.zeros((y, y), dtype=np.float32)
         self.trans, self.begin = np.zeros((y, y)), np.zeros(y)
 
     def listed(self, words: list[str]) -> np.ndarray:
         get = self.lexicon.get
-        bits = np.array([get(w, 0) for w in words], dtype=np.int64)
-        return (bits[:, None] >> np.arange(len(self.langs)) & 1).astype(np.float32)
+        out = np.zeros((len(words), len(self.langs)), dtype=np.float32)
+        hits = [(k, i) for k, w in enumerate(words) for i in get(w, ())]
+        if hits:
+            out[tuple(np.array(hits).T)] = 1.0
+        return out
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """(words, languages): the score of every label for each of the distinct words."""
@@ -120,13 +127,13 @@ class Crf:
     def dump(self) -> bytes:
         out = io.BytesIO()
         np.savez(out, w=self.w, lex=self.lex, trans=self.trans, begin=self.begin, langs=np.array(self.langs, dtype=object),
-                 words=np.array(list(self.lexicon), dtype=object), bits=np.array(list(self.lexicon.values()), dtype=np.int64))
+                 words=np.array(list(self.lexicon), dtype=object), lists=np.array(list(self.lexicon.values()) + [[]], dtype=object))
         return out.getvalue()
 
     @staticmethod
     def load(raw: bytes) -> Crf:
         z = np.load(io.BytesIO(raw), allow_pickle=True)
-        m = Crf(z["langs"].tolist(), dict(zip(z["words"].tolist(), z["bits"].tolist())))
+        m = Crf(z["langs"].tolist(), dict(zip(z["words"].tolist(), z["lists"].tolist())))
         m.w, m.lex, m.trans, m.begin = z["w"], z["lex"], z["trans"], z["begin"]
         return m
 
@@ -139,11 +146,11 @@ def train(texts: list[str], langs: list[str]) -> Crf:
     names = sorted(set(langs))
     split = [words_of(t) for t in texts]
     ids = np.array([names.index(x) for x in langs])
-    lexicon: dict[str, int] = {}
+    lexicon: dict[str, list[int]] = {}
     for i in range(len(names)):
         top = Counter(w for k, ws in enumerate(split) if ids[k] == i for w in ws)
         for w, _ in sorted(top.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
-            lexicon[w] = lexicon.get(w, 0) | 1 << i
+            lexicon.setdefault(w, []).append(i)
     m = Crf(names, lexicon)
     number: dict[str, int] = {}
     coded = [np.array([number.setdefault(w, len(number)) for w in ws], dtype=np.int64) for ws in split]
