@@ -274,9 +274,17 @@ def movement_page(t: Mapping[str, DataFrame], n: int = 200) -> DataFrame:
 
 
 def transaction_report(t: Mapping[str, DataFrame], employee_id: str | None = None, limit: int | None = None,
-                       tie_break: str | None = None) -> DataFrame:
-    """J10 + O2: old transaction feed INNER employee and item, LEFT category and user, newest first."""
+                       tie_break: str | None = None, ordered: bool = False) -> DataFrame:
+    """J10 + O2: old transaction feed INNER employee and item, LEFT category and user.
+
+    With ``limit`` the newest rows, newest first: rows whose employee and item exist are cut to the top first, and the labels are
+    attached to these. The whole feed is sorted only if ``ordered`` asks for it."""
     tx = filter_equal(t["siz_transactions"], {"employee_id": employee_id})
+    newest = ["transaction_date", "created_at"] + ([tie_break] if tie_break else [])
+    if limit is not None:
+        for fk, parent in (("employee_id", "employees"), ("siz_item_id", "siz_items")):
+            tx = tx.join(t[parent].select(F.col("id").alias(fk)), fk, "left_semi")
+        tx = latest_first(tx, newest, limit)
     e = t["employees"].select(F.col("id").alias("__e"), "last_name", "first_name", "middle_name",
                               "employee_number", F.col("enterprise_id").alias("employee_enterprise_id"),
                               F.col("res_unit_id").alias("employee_res_unit_id"))
@@ -285,7 +293,7 @@ def transaction_report(t: Mapping[str, DataFrame], employee_id: str | None = Non
     i = left_labels(i, t["siz_categories"], "category_id", cols={"name": "category_name"})
     j = j.join(i, j["siz_item_id"] == i["__i"]).drop("__i", "category_id")
     j = left_labels(j, t["users"], "issued_by", cols={"full_name": "issued_by_name"})
-    return latest_first(j, ["transaction_date", "created_at"] + ([tie_break] if tie_break else []), limit)
+    return latest_first(j, newest) if limit is not None or ordered else j
 
 
 def audit_report(audit: DataFrame, users: DataFrame, table_name: str | None = None, n: int = 100) -> DataFrame:

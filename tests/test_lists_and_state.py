@@ -85,8 +85,8 @@ def test_newest_months_of_a_ledger(spark, scratch):
     append_ledger(frame(spark, "audit_log", audit[1::2]), scratch, "audit_log", 1)
     top = R.latest_of_ledger(spark, scratch, "audit_log", 4)
     assert [r.id for r in top.collect()] == ["123", "122", "121", "113"]
-    plan = plan_text(top)
-    assert "PartitionFilters" in plan and "2024-11" in plan.replace("2024-10", "2024-11")
+    filters = [x for x in plan_text(top).splitlines() if "PartitionFilters" in x]
+    assert filters and all("2024-10" in x for x in filters)      # one month, then two more
     some = R.latest_of_ledger(spark, scratch, "audit_log", 7, {"table_name": "x"})
     assert [r.id for r in some.collect()] == ["113", "112", "111", "093", "092", "091", "073"]
     append_ledger(frame(spark, "audit_log", [{"id": "none", "created_at": None}]), scratch, "audit_log", 2)
