@@ -64,6 +64,39 @@ def count_words(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "word string, n long").where("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _shift(w: np.ndarray, b: np.ndarray) -> tuple[np.float32, bool]:
+    """States lie within -1 and 1, so a row's greatest logit is between two bounds that hold for all rows: shifted by the upper
+    one no row overflows, and none vanishes while the bounds are near."""
+    reach = np.abs(w).sum(axis=0)
+    top = (b + reach).max()
+    return top, bool(top - (b - reach).max() < 80)
+
+
+def _loss_gradient(h1: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray, share) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of ``share`` times the log loss of a softmax at the places ``at``: by weights and bias (last row), and by the
+    states. ``h1``: states and a column of ones."""
+    top, near = _shift(w, b)
+    p = h1 @ np.concatenate((w, (b - top)[None]))
+    if not near:
+        p -= p.max(axis=1, keepdims=True)
+    np.exp(p, p)
+    p *= share / p.sum(axis=1, keepdims=True)
+    p[np.arange(len(p)), at] -= share
+    return h1.T @ p, p @ w.T
+
+
+def _picked(h: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """log softmax of ``h @ w + b`` at the places ``at``."""
+    top, near = _shift(w, b)
+    logit = h @ w
+    logit += b - top
+    if not near:
+        logit -= logit.max(axis=1, keepdims=True)
+    own = logit[np.arange(len(h)), at]
+    np.exp(logit, logit)
+    return own - np.log(logit.sum(axis=1))
+
+
 class Gru:
     """Input rows (short list words, then tail classes) hold their three gate inputs; classes are the short list's
     ``CLASSES``, then ``TAILS``."""
@@ -85,24 +118,33 @@ class Gru:
 
     def step(self, x: np.ndarray, h: np.ndarray):
         k = HIDDEN
-        zr = 1.0 / (1.0 + np.exp(-(x[:, :2 * k] + h @ self.u)))
+        zr = h @ self.u
+        zr += x[:, :2 * k]
+        np.negative(zr, zr)
+        np.exp(zr, zr)
+        zr += 1.0
+        np.reciprocal(zr, zr)
         z, r = zr[:, :k], zr[:, k:]
-        n = np.tanh(x[:, 2 * k:] + (r * h) @ self.un)
-        return h + z * (n - h), z, r, n
+        n = (r * h) @ self.un
+        n += x[:, 2 * k:]
+        np.tanh(n, n)
+        new = n - h
+        new *= z
+        new += h
+        return new, z, r, n
 
     def log_prob(self, h: np.ndarray, cls: np.ndarray, word: np.ndarray) -> np.ndarray:
         """log10 P of a class and, for the short list, of the word in it (word: place in its class, else -1)."""
-        logit = h @ self.wc + self.bc
-        top = logit.max(axis=1, keepdims=True)
-        out = (logit[np.arange(len(h)), cls] - top[:, 0] - np.log(np.exp(logit - top).sum(axis=1))).astype(np.float64)
-        order = np.argsort(cls, kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        order = np.argsort(cls.astype(np.int16), kind="stable")       # by class, so that each is one stretch
+        h, cls, word = h[order], cls[order], word[order]
+        own = _picked(h, self.wc, self.bc, cls).astype(np.float64)
+        cut = np.searchsorted(cls, np.arange(CLASSES + 1))
         for c in range(CLASSES):
-            m = order[cut[c]:cut[c + 1]]
-            if len(m):
-                own = h[m] @ self.wo[c] + self.bo[c]
-                big = own.max(axis=1)
-                out[m] += own[np.arange(len(m)), word[m]] - big - np.log(np.exp(own - big[:, None]).sum(axis=1))
+            a, b = cut[c], cut[c + 1]
+            if a < b:
+                own[a:b] += _picked(h[a:b], self.wo[c], self.bo[c], word[a:b])
+        out = np.empty(len(own))
+        out[order] = own
         return out / np.log(10)
 
     def begin(self) -> None:
@@ -156,26 +198,17 @@ class Gru:
         cls = np.where(target < SHORT, target // WORDS_IN_CLASS, CLASSES + target - SHORT)
         order = np.argsort(cls.astype(np.int16), kind="stable")       # by class, so that each is one stretch
         live, target, cls = live[order], target[order], cls[order]
-        flat = hs.reshape(-1, k)[live]
-        p = flat @ self.wc + self.bc
-        p -= p.max(axis=1, keepdims=True)
-        np.exp(p, p)
-        p *= share / p.sum(axis=1, keepdims=True)
-        p[np.arange(len(cls)), cls] -= share
-        grad["wc"], grad["bc"] = flat.T @ p, p.sum(axis=0)
-        back = p @ self.wc.T
+        flat = np.ones((len(live), k + 1), self.x.dtype)              # a state and the one of its bias
+        flat[:, :k] = hs.reshape(-1, k)[live]
+        both, back = _loss_gradient(flat, self.wc, self.bc, cls, share)
+        grad["wc"], grad["bc"] = both[:k], both[k]
         cut = np.searchsorted(cls, np.arange(CLASSES + 1))
         for c in range(CLASSES):
             a, b = cut[c], cut[c + 1]
-            if a == b:
-                continue
-            q = flat[a:b] @ self.wo[c] + self.bo[c]
-            q -= q.max(axis=1, keepdims=True)
-            np.exp(q, q)
-            q *= share / q.sum(axis=1, keepdims=True)
-            q[np.arange(b - a), target[a:b] % WORDS_IN_CLASS] -= share
-            grad["wo"][c], grad["bo"][c] = flat[a:b].T @ q, q.sum(axis=0)
-            back[a:b] += q @ self.wo[c].T
+            if a < b:
+                both, more = _loss_gradient(flat[a:b], self.wo[c], self.bo[c], target[a:b] % WORDS_IN_CLASS, share)
+                grad["wo"][c], grad["bo"][c] = both[:k], both[k]
+                back[a:b] += more
         outer = np.zeros((steps * lanes, k), self.x.dtype)
         outer[live] = back
         outer = outer.reshape(steps, lanes, k)
@@ -265,9 +298,29 @@ def vocabulary(counts: DataFrame) -> Vocabulary | None:
     return Vocabulary(head, sums["n"], sums["v"], tails, types)
 
 
-def _rows(words: list[bytes], v: Vocabulary) -> np.ndarray:
-    get = v.rank.get
-    return np.array([v.row[k] if (k := get(w)) is not None else SHORT + tail_class(w) for w in [*words, END.encode()]], dtype=np.int64)
+class _Rows(dict):
+    """Word -> input row; words outside the head by their tail class."""
+
+    def __missing__(self, word: bytes) -> int:
+        return SHORT + tail_class(word)
+
+
+class _Ranks(dict):
+    """Word -> rank in the head; others get numbers behind it, in the order of their coming."""
+
+    def begin(self) -> dict[bytes, int]:
+        self.fresh: dict[bytes, int] = {}
+        return self.fresh
+
+    def __missing__(self, word: bytes) -> int:
+        return self.fresh.setdefault(word, len(self.fresh)) + len(self)
+
+
+def _numbers(table_: dict, words: list[bytes], end: int) -> np.ndarray:
+    out = np.empty(len(words) + 1, dtype=np.int64)
+    out[:-1] = np.fromiter(map(table_.__getitem__, words), np.int64, len(words))
+    out[-1] = end
+    return out
 
 
 def dealt(docs: DataFrame, v: Vocabulary, shared) -> DataFrame:
@@ -277,8 +330,9 @@ def dealt(docs: DataFrame, v: Vocabulary, shared) -> DataFrame:
 
     def run(batches):
         v = Vocabulary.of(shared.value)
+        rows, end = _Rows(zip(v.rank, v.row.tolist())), int(v.row[v.rank[END.encode()]])
         for b in batches:
-            ids = [_rows(tokens(t.as_py()), v).astype("<i2").tobytes() for t in b.column(1)]
+            ids = [_numbers(rows, tokens(t.as_py()), end).astype("<i2").tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["key", "ids"])
 
     d = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(run, "key long, ids binary")
@@ -335,18 +389,13 @@ def train(docs: DataFrame, v: Vocabulary, shared) -> Gru:
     return gru
 
 
-def _score(texts: list[bytes | None], v: Vocabulary, g: Gru):
+def _score(texts: list[str | None], v: Vocabulary, g: Gru, known: _Ranks | None = None):
     """Per text: tokens, known head tokens, base and model log10 of all but the counts of words outside the head, and
     those words with how often they come."""
-    get, n_head = v.rank.get, len(v.rank)
-    end = v.rank[END.encode()]
-    fresh: dict[bytes, int] = {}
-    put = fresh.setdefault
-    ranks = []
-    for t in texts:
-        r = [k if (k := get(w)) is not None else put(w, len(fresh)) + n_head for w in tokens(t)]
-        r.append(end)
-        ranks.append(np.array(r, dtype=np.int64))
+    n_head, end = len(v.rank), v.rank[END.encode()]
+    known = _Ranks(v.rank) if known is None else known
+    fresh = known.begin()
+    ranks = [_numbers(known, tokens(t), end) for t in texts]
     new = list(fresh)
     row = np.concatenate((v.row, np.array([SHORT + tail_class(w) for w in new], dtype=np.int64)))
     inside = np.concatenate((v.inside, np.zeros(len(new))))
@@ -364,11 +413,11 @@ def _score(texts: list[bytes | None], v: Vocabulary, g: Gru):
         when = at + np.arange(steps)
         there = when[:, None] < size[None, :live]
         ids = flat[np.minimum(starts[None, :live] + when[:, None], len(flat) - 1)]
-        x = np.concatenate((last[None, :live], ids[:-1]))
+        x = g.x[np.concatenate((last[None, :live], ids[:-1]))]
         hs = np.zeros((steps, live, HIDDEN), dtype=np.float32)
         for t, m in enumerate(there.sum(axis=1).tolist()):
-            h[:m] = g.step(g.x[x[t, :m]], h[:m])[0]
-            hs[t, :m] = h[:m]
+            h = g.step(x[t, :m], h[:m])[0]
+            hs[t, :m] = h
         last[:live] = ids[-1]
         target = ids[there]
         cls = np.where(target < SHORT, target // WORDS_IN_CLASS, CLASSES + target - SHORT)
@@ -379,7 +428,7 @@ def _score(texts: list[bytes | None], v: Vocabulary, g: Gru):
     out = []
     for k, r in enumerate(ranks):
         far = r[r >= n_head] - n_head
-        u, c = np.unique(far, return_counts=True) if len(far) else (far, far)
+        u, c = np.unique(far, return_counts=True) if len(far) > 1 else (far, np.ones(len(far), np.int64))
         out.append((len(r), len(r) - len(far), float(base[r].sum()), float(score[k] + inside[r].sum()),
                     [(new[i], m) for i, m in zip(u.tolist(), c.tolist())]))
     return out
@@ -404,10 +453,11 @@ def log_likelihood(docs: DataFrame, train_on: DataFrame) -> DataFrame:
         v = Vocabulary.of(shared.value)
         g = Gru(v.short_counts, v.tails)
         g.put(weights.value)
+        known = _Ranks(v.rank)
         for b in batches:
             keys, ids = b.column(0).to_pylist(), b.column(1).to_pylist()
             cols: list[list] = [[] for _ in range(8)]
-            for key, doc, (n, known, base, score, far) in zip(keys, ids, _score(b.column(2).to_pylist(), v, g)):
+            for key, doc, (n, known, base, score, far) in zip(keys, ids, _score(b.column(2).to_pylist(), v, g, known)):
                 for c, x in zip(cols, (key, doc, n, known, base, score, None, None)):
                     c.append(x)
                 for w, m in far:
