@@ -390,8 +390,8 @@ def train(docs: DataFrame, v: Vocabulary, shared) -> Gru:
 
 
 def _score(texts: list[str | None], v: Vocabulary, g: Gru, known: _Ranks | None = None):
-    """Per text: tokens, known head tokens, base and model log10 of all but the counts of words outside the head, and
-    those words with how often they come."""
+    """Arrays over the texts (tokens, head tokens, base and model log10 of all but the counts of words outside the head) and
+    over the pairs of a text and such a word (number of the text, number of the word, how often), and those words."""
     n_head, end = len(v.rank), v.rank[END.encode()]
     known = _Ranks(v.rank) if known is None else known
     fresh = known.begin()
@@ -403,7 +403,7 @@ def _score(texts: list[str | None], v: Vocabulary, g: Gru, known: _Ranks | None
     score = np.zeros(len(texts))
     order = np.argsort([-len(r) for r in ranks], kind="stable")       # long ones first: those still running stand in front
     size = np.array([len(ranks[k]) for k in order], dtype=np.int64)
-    flat = row[np.concatenate([ranks[k] for k in order])] if len(order) else row[:0]
+    flat = row[np.concatenate([ranks[k] for k in order])]
     starts = np.cumsum(size) - size
     h, last, total = np.zeros((len(order), HIDDEN), dtype=np.float32), np.full(len(order), row[end]), np.zeros(len(order))
     at = 0
@@ -425,13 +425,15 @@ def _score(texts: list[str | None], v: Vocabulary, g: Gru, known: _Ranks | None
         total[:live] += np.bincount(np.nonzero(there)[1], weights=p, minlength=live)
         at += steps
     score[order] = total
-    out = []
-    for k, r in enumerate(ranks):
-        far = r[r >= n_head] - n_head
-        u, c = np.unique(far, return_counts=True) if len(far) > 1 else (far, np.ones(len(far), np.int64))
-        out.append((len(r), len(r) - len(far), float(base[r].sum()), float(score[k] + inside[r].sum()),
-                    [(new[i], m) for i, m in zip(u.tolist(), c.tolist())]))
-    return out
+    every = np.concatenate(ranks)
+    n = np.array([len(r) for r in ranks], dtype=np.int64)
+    begins = np.cumsum(n) - n
+    far = np.flatnonzero(every >= n_head)
+    text = np.repeat(np.arange(len(ranks)), n)[far]
+    pair, m = np.unique(text * max(1, len(new)) + every[far] - n_head, return_counts=True)
+    of, word = np.divmod(pair, max(1, len(new)))
+    return (n, n - np.bincount(text, minlength=len(ranks)), np.add.reduceat(base[every], begins),
+            score + np.add.reduceat(inside[every], begins), of, word, m, new)
 
 
 def log_likelihood(docs: DataFrame, train_on: DataFrame) -> DataFrame:
@@ -454,18 +456,18 @@ def log_likelihood(docs: DataFrame, train_on: DataFrame) -> DataFrame:
         g = Gru(v.short_counts, v.tails)
         g.put(weights.value)
         known = _Ranks(v.rank)
+        names = ["key", "doc_id", "n_tokens", "n_known", "base", "score", "word", "m"]
         for b in batches:
-            keys, ids = b.column(0).to_pylist(), b.column(1).to_pylist()
-            cols: list[list] = [[] for _ in range(8)]
-            for key, doc, (n, known, base, score, far) in zip(keys, ids, _score(b.column(2).to_pylist(), v, g, known)):
-                for c, x in zip(cols, (key, doc, n, known, base, score, None, None)):
-                    c.append(x)
-                for w, m in far:
-                    for c, x in zip(cols, (key, doc, None, None, None, None, w.decode("utf-8", "replace"), m)):
-                        c.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
-                                             names=["key", "doc_id", "n_tokens", "n_known", "base", "score", "word", "m"])
+            if not b.num_rows:
+                continue
+            n, head, base, score, of, word, m, new = _score(b.column(2).to_pylist(), v, g, known)
+            none = [pa.nulls(b.num_rows, pa.string()), pa.nulls(b.num_rows, pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(head), pa.array(base), pa.array(score), *none], names=names)
+            if len(of):
+                words = pa.array([w.decode("utf-8", "replace") for w in new], pa.string())
+                none = [pa.nulls(len(of), k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), b.column(1).take(pa.array(of)), *none,
+                                                  words.take(pa.array(word)), pa.array(m)], names=names)
 
     rows = saved(docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "key long, doc_id long, n_tokens long, n_known long, base double, score double, word string, m long"), "lm-scores")
