@@ -1,6 +1,7 @@
 """Training-data pipeline over ``documents``: each stage takes what its predecessor kept and is written as Parquet.
 
-Every function takes (spark, docs, sf_dir). All stages but the last return the columns of ``documents``.
+Every function takes (spark, docs, sf_dir). All stages but the last return the columns of ``documents``, extra ones included.
+Empty tables go through as empty tables.
 """
 
 from __future__ import annotations
@@ -17,22 +18,24 @@ from equipledger.llm.sp_lattice import encode
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the Kneser-Ney quality classifier keeps."""
+    """Documents that the Kneser-Ney quality classifier keeps. Null and empty texts stay; a null language has the bounds of
+    all languages; without labels all rows stay; repeated rows stay or go together."""
     return keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: 3-word shingles, at most 3 differing bits."""
+    """One document of each SimHash group, the smallest id: 3-word shingles, at most 3 differing bits. Texts without a word
+    are one group; of repeated rows one stays; rows without an id stay once a text."""
     return drop_near_duplicates(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data masked."""
+    """All documents, personal data masked in whole texts; null text stays null."""
     return mask_pii(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, written in the order of the Pfair mix."""
+    """All documents, written in the order of the Pfair mix; rows without a source are a source of their own."""
     return mixed(docs)
 
 
