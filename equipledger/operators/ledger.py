@@ -40,7 +40,7 @@ from equipledger.functions.scalars import (HOLDING_ACTIVE, HOLDING_RETURNED, IMP
                                            stable_id)
 from equipledger.operators.changes import audit_rows
 from equipledger.schemas import conform
-from equipledger.session import checkpoint_dir
+from equipledger.session import materialized
 
 # The slow tier ships ``_fold`` to the Python workers. Its module is pickled by value, so the workers need not
 # have this package installed (installing it on the cluster, or --py-files, works as well).
@@ -62,7 +62,10 @@ FOLD_SCHEMA = ("rec string, pos long, accepted boolean, reason string, available
                "size_value string, sub string, chunk long, key_type string, key string, balance int, exists boolean")
 DECISION = ["event_id", "accepted", "reason", "available"]
 HOT_EVENTS = 100_000
-UNIT = ["siz_item_id", "size_value", "sub"]
+ITEM = ["siz_item_id", "size_value"]
+UNIT = [*ITEM, "sub"]
+POS = ["event_time", "event_id", "tie", "pos"]      # order of the events, unique by pos
+ORDER = [*POS, "leg_order"]
 OPENING, WHOLE, EVENT = range(3)      # parts of a fold's input
 
 
@@ -107,7 +110,7 @@ def prepare_events(events: DataFrame, holdings: DataFrame) -> tuple[DataFrame, D
     """
     ev = conform(events, "movement_events").withColumn("size_value", F.coalesce("size_value", F.lit("")))
     tie = F.xxhash64("kind", "warehouse_id", "to_warehouse_id", "siz_item_id", "size_value", "holding_id", "employee_id", "quantity")
-    ev = ev.withColumns({"__static": static_reason(), "tie": tie, "pos": F.monotonically_increasing_id()}).checkpoint(eager=True)
+    ev = materialized(ev.withColumns({"__static": static_reason(), "tie": tie, "pos": F.monotonically_increasing_id()}), "ledger-events")
     bad = ev.where(F.col("__static").isNotNull()).select(
         "event_id", F.lit(False).alias("accepted"), F.col("__static").alias("reason"),
         F.lit(None).cast("int").alias("available"))
@@ -159,17 +162,20 @@ def legs(ev: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 # ---------------------------------------------------------------- L9
 
-def _openings(stock: DataFrame, holdings: DataFrame, lg: DataFrame) -> DataFrame:
-    """Opening balance and existence of every key the legs touch (missing stock row = 0, not existing;
-    a holding stored as 'returned' opens at 0)."""
-    skeys = lg.where(F.col("key_type") == STOCK).select(
-        F.col("key").alias("warehouse_id"), "siz_item_id", "size_value").distinct()
+def _openings(stock: DataFrame, holdings: DataFrame, lg: DataFrame | None, all_stock: bool = True) -> DataFrame:
+    """Opening balance and existence of the stock keys (``all_stock``; else of those the legs touch) and, given legs, of the
+    holdings they debit (missing stock row = 0, not existing; a holding stored as 'returned' opens at 0)."""
     s = stock.select("warehouse_id", "siz_item_id", F.coalesce("size_value", F.lit("")).alias("size_value"),
                      "quantity")
-    s = s.join(skeys, ["warehouse_id", "siz_item_id", "size_value"], "left_semi")
+    if not all_stock:
+        skeys = lg.where(F.col("key_type") == STOCK).select(
+            F.col("key").alias("warehouse_id"), "siz_item_id", "size_value").distinct()
+        s = s.join(skeys, ["warehouse_id", "siz_item_id", "size_value"], "left_semi")
     s = s.groupBy("warehouse_id", "siz_item_id", "size_value").agg(F.sum("quantity").cast("int").alias("balance"))
     so = s.select("siz_item_id", "size_value", F.lit(STOCK).alias("key_type"), F.col("warehouse_id").alias("key"),
                   "balance", F.lit(True).alias("exists"))
+    if lg is None:
+        return so
     hkeys = lg.where((F.col("key_type") == HOLDING) & (F.col("delta") < 0)).select(F.col("key").alias("id")).distinct()
     h = holdings.join(hkeys, "id", "left_semi")
     ho = h.select(F.col("siz_item_id"), F.coalesce("size_value", F.lit("")).alias("size_value"),
@@ -179,12 +185,10 @@ def _openings(stock: DataFrame, holdings: DataFrame, lg: DataFrame) -> DataFrame
     return so.unionByName(ho)
 
 
-def _fold_units(lg: DataFrame) -> DataFrame:
-    """Per (item, size) group: does it hold a transfer or return (which link its stock keys)? Unlinked groups
-    fold per stock key (sub = warehouse), linked ones as a whole (sub = '*')."""
-    g = lg.groupBy("siz_item_id", "size_value").agg(
-        F.max(F.col("kind").isin(TRANSFER, RETURN).cast("int")).alias("__linked"))
-    return g
+def _links() -> Column:
+    """Does the leg link stock keys of its (item, size) group (a transfer or return)? Unlinked groups fold per stock key
+    (sub = warehouse), linked ones as a whole (sub = '*')."""
+    return F.col("kind").isin(TRANSFER, RETURN)
 
 
 def _judge(bal: dict, exists: dict, linked: bool, eid, kind, wh, to, hid, q: int) -> tuple:
@@ -354,98 +358,134 @@ def decide(stock: DataFrame, holdings: DataFrame, events: DataFrame, hot_events:
 def _decide(stock: DataFrame, holdings: DataFrame, events: DataFrame, carry: tuple[str, ...] = (),
             hot_events: int = HOT_EVENTS) -> Decided:
     """Judged events (with their columns and those of ``carry``), static rejects, final stock key states and the two
-    tiers. The prepared events (valid, returns resolved to their holding's item, size and employee) are checkpointed
+    tiers. The prepared events (valid, returns resolved to their holding's item, size and employee) are written
     once: every later step reads them instead of the source plan."""
-    checkpoint_dir(events.sparkSession)
     ev, static_rejects, resolved = prepare_events(events, holdings)
     # The legs carry the event's columns, so that no later step joins the events again. Without returns they are a
     # cheap explode over the materialised events; with returns the lookup join is materialised once as well.
-    lg = legs(ev, keep=("tie", "pos", *JUDGED, *carry))
+    lg = legs(ev, keep=("tie", "pos", *JUDGED, *carry)).where(F.col("key").isNotNull() & F.col("event_time").isNotNull())
     if resolved:
-        lg = lg.checkpoint(eager=True)
-    unit = UNIT
-    key = ["siz_item_id", "size_value", "key_type", "key"]
-    opening = _openings(stock, holdings, lg)
-
-    # Running balance per key, chunk-parallel (a hot key is split by hour): per (key, hour) totals, their
-    # running offsets (plus the opening balance) over the small per-hour table, then running sums inside each
-    # (key, hour). The legs are shuffled once, by (key, hour), for both the join and the window.
-    bl = lg.withColumn("chunk", F.expr("unix_seconds(event_time) div 3600"))
-    order = [F.col(c) for c in ("event_time", "event_id", "tie", "pos", "leg_order")]
-    chunk_tot = bl.groupBy(*key, "chunk").agg(F.sum("delta").alias("__tot"))
-    chunk_tot = chunk_tot.join(
-        opening.select(*key, F.col("balance").alias("__open"), F.col("exists").alias("__open_exists")), key, "left")
-    w_chunks = Window.partitionBy(*key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunk_off = chunk_tot.select(
-        *key, "chunk", F.coalesce("__open", F.lit(0)).alias("__open"), "__open_exists",
-        (F.coalesce("__open", F.lit(0)) + F.coalesce(F.sum("__tot").over(w_chunks), F.lit(0))).alias("__off"))
-    w_in = Window.partitionBy(*key, "chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    lb = (bl.join(chunk_off, [*key, "chunk"])
-            .withColumn("run", F.sum("delta").over(w_in)).withColumn("bal_after", F.col("__off") + F.col("run")).drop("__off"))
-    # Fold units: an (item, size) group with a transfer or return folds as a whole (sub '*'), any other group
-    # per stock key (sub = warehouse).
-    lb = lb.join(_fold_units(lg), ["siz_item_id", "size_value"])
-    lb = lb.withColumn("sub", F.when(F.col("__linked") == 1, F.lit("*")).otherwise(F.col("warehouse_id"))) \
-           .drop("__linked")
+        lg = materialized(lg, "ledger-legs")
+    else:       # no return looks at a holding
+        lg = lg.where(F.col("key_type") == STOCK)
+    lg = lg.withColumn("chunk", F.expr("unix_seconds(event_time) div 3600"))
+    hot_items = _hot_items(lg, hot_events)
+    if hot_items.isEmpty():
+        lb, hot = _cold_balances(lg, _openings(stock, holdings, lg if resolved else None)), None
+    else:
+        hot_legs = lg.join(hot_items, ITEM, "left_semi")
+        own, hot = _hot_balances(hot_legs, _openings(stock, holdings, hot_legs, all_stock=False), hot_events)
+        cold = lg.join(hot_items, ITEM, "left_anti")
+        lb = _cold_balances(cold, _openings(stock, holdings, cold if resolved else None)).unionByName(own)
     # Read several times below: materialise once in the shared checkpoint folder (cuts the lineage; a lost
     # executor does not recompute the joins and windows).
-    lb = lb.checkpoint(eager=True)
+    lb = materialized(lb, "ledger-balances")
 
     lead = _is_lead()   # one lead leg per event: read it instead of grouping legs by event
-    # Cut per fold unit: first event with a negative balance after its leg, or first reset.
-    pos = F.struct("event_time", "event_id", "tie", "pos")
-    cuts = (lb.where((F.col("bal_after") < 0) | F.col("reset").isNotNull())
-              .groupBy(*unit).agg(F.min(pos).alias("__cut"), F.min("chunk").alias("__cut_chunk")))
-    # Units with very many legs, a bounded number of them (all legs / hot_events): cut at the start of an hour.
-    hot = lb.groupBy(*unit).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_events).drop("__n").checkpoint(eager=True)
-    any_hot = not hot.isEmpty()
-    if any_hot:
-        cuts = cuts.join(hot.withColumn("__hot", F.lit(True)), unit, "left")
-    lb = lb.join(cuts, unit, "left")
-    is_hot = F.coalesce(F.col("__hot"), F.lit(False)) if any_hot else F.lit(False)
-    ahead = pos < F.col("__cut")
-    if any_hot:
-        ahead = F.when(is_hot, F.col("chunk") < F.col("__cut_chunk")).otherwise(ahead)
-    before = F.col("__cut").isNull() | ahead
-
     # Accepted without replay; ``available`` = balance of the debited key before the event. A receipt has no
     # debit leg, so it reports none.
     event = ["event_id", "event_time", "kind", "siz_item_id", "size_value", *JUDGED, *carry]
     accepted = [F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reason")]
     had = lambda bal: F.when(F.col("leg_order") == 0, bal - F.col("delta")).cast("int").alias("available")
-    fast = lb.where(before & lead).select(*event, *accepted, had(F.col("bal_after")))
+    fast = lb.where(F.col("ahead") & lead).select(*event, *accepted, had(F.col("bal_after")))
 
     # Slow tier: state at the cut = opening + legs before the cut, for every key of a cut unit.
-    cut = lb.where(F.col("__cut").isNotNull())
-    state = cut.groupBy(*unit, "key_type", "key").agg(
-        (F.first("__open") + F.sum(F.when(ahead, F.col("delta")).otherwise(0))).cast("int")
+    ahead = F.col("ahead")
+    cut = lb.where("is_cut")
+    state = cut.groupBy(*UNIT, "key_type", "key").agg(
+        (F.first("open") + F.sum(F.when(ahead, F.col("delta")).otherwise(0))).cast("int")
         .alias("balance"),
-        (F.coalesce(F.first("__open_exists"), F.lit(False))
-         | (F.max(F.when(ahead & (F.col("delta") > 0), 1).otherwise(0)) == 1)).alias("exists"))
-    tail, sums, calm = cut.where(~before & lead), None, None
-    if any_hot:
-        sums = _hour_sums(cut.where(is_hot & ~before))
-        sure = sure_hours(state.join(hot, unit, "left_semi"), sums).checkpoint(eager=True)
-        sums = sums.join(sure, [*unit, "chunk"], "left_semi")
-        calm, tail = tail.join(sure, [*unit, "chunk"], "left_semi"), tail.join(sure, [*unit, "chunk"], "left_anti")
-    replay = replay_tails(state, tail.select(*unit, "chunk", "tie", "pos", "event_id", "event_time", "kind", *JUDGED), sums)
-    folded = replay.checkpoint(eager=True)      # decisions and final states are read from the one written fold
+        (F.first("open_exists") | (F.max(F.when(ahead & (F.col("delta") > 0), 1).otherwise(0)) == 1)).alias("exists"))
+    tail, sums, calm = cut.where(~ahead & lead), None, None
+    if hot is not None:
+        sums = _hour_sums(cut.where(F.col("is_hot") & ~ahead))
+        sure = materialized(sure_hours(state.join(hot, UNIT, "left_semi"), sums), "ledger-sure")
+        sums = sums.join(sure, [*UNIT, "chunk"], "left_semi")
+        calm, tail = tail.join(sure, [*UNIT, "chunk"], "left_semi"), tail.join(sure, [*UNIT, "chunk"], "left_anti")
+    replay = replay_tails(state, tail.select(*UNIT, "chunk", "tie", "pos", "event_id", "event_time", "kind", *JUDGED), sums)
+    folded = materialized(replay, "ledger-fold")      # decisions and final states are read from the one written fold
     slow = tail.select("pos", *event).join(folded.where(F.col("rec") == "d").select("pos", *DECISION[1:]), "pos").drop("pos")
     if calm is not None:
-        entry = folded.where(F.col("rec") == "e").select(*unit, "chunk", "key_type", "key", F.col("balance").alias("__entry"))
-        slow = slow.unionByName(calm.join(entry, [*unit, "chunk", "key_type", "key"]).select(
+        entry = folded.where(F.col("rec") == "e").select(*UNIT, "chunk", "key_type", "key", F.col("balance").alias("__entry"))
+        slow = slow.unionByName(calm.join(entry, [*UNIT, "chunk", "key_type", "key"]).select(
             *event, *accepted, had(F.col("__entry") + F.col("run"))))
     # Final balance of every touched stock key: the last leg's balance in units decided without replay (every
     # event accepted, no resets, so the key exists), the fold's end state elsewhere.
-    last = F.struct("event_time", "event_id", "tie", "pos", "leg_order")
     skey = ["siz_item_id", "size_value", "key"]
-    finals = (lb.where(F.col("__cut").isNull() & (F.col("key_type") == STOCK)).groupBy(*skey)
-                .agg(F.max_by("bal_after", last).cast("int").alias("balance"))
-                .withColumn("exists", F.lit(True))
+    finals = (lb.where(F.col("is_last") & ~F.col("is_cut") & (F.col("key_type") == STOCK))
+                .select(*skey, F.col("bal_after").cast("int").alias("balance"), F.lit(True).alias("exists"))
                 .unionByName(folded.where(F.col("rec") == "s").select(*skey, "balance", "exists")))
     return Decided(fast.unionByName(slow), static_rejects, finals, fast, replay)
 
 
+def _hot_items(lg: DataFrame, hot_events: int) -> DataFrame:
+    """(item, size) groups of more than ``hot_events`` legs, at most all legs / ``hot_events``. Legs are counted by hash bucket
+    first, and by group only in the buckets that can hold such a group."""
+    bucket = F.pmod(F.xxhash64(*ITEM), F.lit(1 << 16)).cast("int").alias("__bucket")
+    keyed = lg.select(*ITEM, bucket)
+    many = lambda df, by: df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_events).drop("__n")
+    full = materialized(many(keyed, ["__bucket"]), "ledger-buckets")
+    return materialized(many(keyed.join(full, "__bucket", "left_semi"), ITEM), "ledger-hot")
+
+
+def _cold_balances(lg: DataFrame, opening: DataFrame) -> DataFrame:
+    """Legs of items with few events, with their balances and what the cut makes of them: the legs and openings of an item meet
+    in one partition by the one shuffle, sorted once for all windows."""
+    rows = lg.withColumn("__opening", F.lit(None).cast("int")).unionByName(
+        opening.select(*ITEM, "key_type", "key", F.col("balance").alias("__opening")), allowMissingColumns=True)
+    rows = rows.withColumn("__leg", F.col("delta").isNotNull()).repartition(*ITEM)
+    key = [*ITEM, "key_type", "key"]
+    in_order = Window.partitionBy(*key).orderBy("__leg", *ORDER)        # openings come first
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({
+        "run": F.sum("delta").over(so_far), "open": F.coalesce(F.sum("__opening").over(so_far), F.lit(0)).cast("int"),
+        "open_exists": F.count(F.when(~F.col("__leg"), 1)).over(so_far) > 0, "is_last": F.lead(F.lit(1)).over(in_order).isNull()})
+    rows = rows.where("__leg").withColumn("bal_after", F.col("open") + F.col("run"))
+    bad, pos = (F.col("bal_after") < 0) | F.col("reset").isNotNull(), F.struct(*POS)
+    of_key, of_item = Window.partitionBy(*key), Window.partitionBy(*ITEM)
+    rows = rows.withColumn("__key_cut", F.min(F.when(bad, pos)).over(of_key))
+    rows = rows.withColumns({"__item_cut": F.min("__key_cut").over(of_item), "__linked": F.max(_links()).over(of_item)})
+    # an unlinked unit is one stock key; its holdings are never looked at
+    rows = rows.where(F.col("__linked") | (F.col("key_type") == STOCK)).withColumns({
+        "sub": F.when(F.col("__linked"), F.lit("*")).otherwise(F.col("warehouse_id")),
+        "__cut": F.when(F.col("__linked"), F.col("__item_cut")).otherwise(F.col("__key_cut"))})
+    rows = rows.withColumns({"is_cut": F.col("__cut").isNotNull(), "is_hot": F.lit(False),
+                             "ahead": F.col("__cut").isNull() | (pos < F.col("__cut"))})
+    return rows.drop("__opening", "__leg", "__key_cut", "__item_cut", "__linked", "__cut")
+
+
+def _hot_balances(lg: DataFrame, opening: DataFrame, hot_events: int) -> tuple[DataFrame, DataFrame]:
+    """The same for items with many events, chunk-parallel (a hot key is split by hour), and the units that are hot: per
+    (key, hour) totals, their running offsets (plus the opening balance) over the small per-hour table, then running sums
+    inside each (key, hour)."""
+    key = [*ITEM, "key_type", "key"]
+    chunk_tot = lg.groupBy(*key, "chunk").agg(F.sum("delta").alias("__tot")).join(
+        opening.select(*key, F.col("balance").alias("open"), F.col("exists").alias("open_exists")), key, "left")
+    w_chunks = Window.partitionBy(*key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunk_off = chunk_tot.select(
+        *key, "chunk", F.coalesce("open", F.lit(0)).alias("open"), F.coalesce("open_exists", F.lit(False)).alias("open_exists"),
+        (F.coalesce("open", F.lit(0)) + F.coalesce(F.sum("__tot").over(w_chunks), F.lit(0))).alias("__off"))
+    in_hour = Window.partitionBy(*key, "chunk").orderBy(*ORDER)
+    lb = (lg.join(chunk_off, [*key, "chunk"]).withColumns({
+        "run": F.sum("delta").over(in_hour.rowsBetween(Window.unboundedPreceding, 0)), "__end": F.lead(F.lit(1)).over(in_hour).isNull()})
+            .withColumn("bal_after", F.col("__off") + F.col("run")).drop("__off"))
+    linked = lg.groupBy(*ITEM).agg(F.max(_links()).alias("__linked"))
+    lb = lb.join(linked, ITEM).withColumn("sub", F.when(F.col("__linked"), F.lit("*")).otherwise(F.col("warehouse_id")))
+    lb = materialized(lb.where(F.col("__linked") | (F.col("key_type") == STOCK)).drop("__linked"), "ledger-hot-balances")
+    # Cut per fold unit: first event with a negative balance after its leg, or first reset. Units with very many legs, a bounded
+    # number of them (all legs / hot_events): cut at the start of an hour.
+    pos = F.struct(*POS)
+    cuts = (lb.where((F.col("bal_after") < 0) | F.col("reset").isNotNull())
+              .groupBy(*UNIT).agg(F.min(pos).alias("__cut"), F.min("chunk").alias("__cut_chunk")))
+    hot = materialized(lb.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_events).drop("__n"), "ledger-hot-units")
+    last = lb.groupBy(*key).agg(F.max("chunk").alias("__last"))
+    lb = lb.join(cuts.join(hot.withColumn("__hot", F.lit(True)), UNIT, "left"), UNIT, "left").join(last, key)
+    lb = lb.withColumns({"is_hot": F.coalesce("__hot", F.lit(False)), "is_cut": F.col("__cut").isNotNull(),
+                         "is_last": F.col("__end") & (F.col("chunk") == F.col("__last"))})
+    lb = lb.withColumn("ahead", ~F.col("is_cut") | F.when(F.col("is_hot"), F.col("chunk") < F.col("__cut_chunk")).otherwise(pos < F.col("__cut")))
+    return lb.drop("__cut", "__cut_chunk", "__hot", "__last", "__end"), hot
+
+
 def _hour_sums(rows: DataFrame) -> DataFrame:
     """Per (unit, hour, key) of the legs ``rows``: total, the balance ``need``ed at entry for all legs to pass, the ``certain``
     total (debits and receipts; a transfer or return may be refused and bring nothing) with its ``dip`` (how far it falls
@@ -465,11 +505,11 @@ def apply_movements(stock: DataFrame, holdings: DataFrame, events: DataFrame, it
                     materialize: bool = True) -> LedgerResult:
     """(new stock snapshot, new holdings, accepted movements, audit rows, decisions) for a batch.
 
-    ``materialize`` checkpoints the judged events (to the shared ``spark.checkpoint.dir``) because four outputs
+    ``materialize`` writes the judged events (to the shared ``spark.checkpoint.dir``) because four outputs
     read them; it also cuts the lineage, so a lost executor does not re-run the whole decision plan.
     """
     d = _decide(stock, holdings, events, WRITTEN)
-    judged = d.judged.checkpoint(eager=True) if materialize else d.judged
+    judged = materialized(d.judged, "ledger-judged") if materialize else d.judged
     acc = judged.where("accepted").drop("accepted", "reason")
     back = acc.where(F.col("kind") == RETURN).select(F.col("holding_id").alias("id"))
     touched = new_holdings(holdings.join(back, "id", "left_semi"), acc, items)

@@ -3,6 +3,7 @@ import decimal
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from equipledger.operators import ledger as L
 
@@ -325,3 +326,30 @@ def test_fold_is_shipped_by_value():
     blob = cloudpickle.dumps(L._fold)
     assert pickle.loads(blob) is not None
     assert "equipledger.operators.ledger" in cloudpickle.cloudpickle.list_registry_pickle_by_value()
+
+
+def test_balances_take_one_shuffle_of_the_legs(spark):
+    """Legs, their openings, running balances, cuts and last legs: one exchange beside the sum of the openings; written as Parquet."""
+    st, ho, ev = frames(spark, *random_case(7, with_links=False))
+    kept = L.legs(ev.withColumns({"tie": F.lit(0), "pos": F.monotonically_increasing_id()}), keep=("tie", "pos", *L.JUDGED))
+    cold = L._cold_balances(kept.withColumn("chunk", F.lit(0).cast("long")), L._openings(st, ho, None))
+    plan = cold._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    fast = plan_text(L._decide(st, ho, ev).fast)
+    assert "parquet" in fast and "ExistingRDD" not in fast
+
+
+def test_hot_and_cold_items_of_one_batch(spark):
+    """An item with many events beside one with few: decisions, available and final stock as without hot items."""
+    stock, holdings, events = random_case(51, n=200, with_links=True)
+    calm = [dict(e, event_id=f"c{i}", siz_item_id="I9") for i, e in enumerate(events) if e["kind"] in ("receipt", "issue")][:5]
+    st, ho, ev = frames(spark, stock, holdings, events + calm)
+    items = frame(spark, "siz_items", [{"id": "I1"}])
+    both, plain = L._decide(st, ho, ev, hot_events=8), L._decide(st, ho, ev, hot_events=10**9)
+    for part in ("judged", "finals"):
+        got, want = (sorted(map(str, getattr(d, part).where("exists" if part == "finals" else "true").collect())) for d in (both, plain))
+        assert got == want
+    want, final = replay(stock, holdings, events + calm)
+    judged = {r.event_id: r.accepted for r in both.judged.collect()}
+    assert judged == {k: want[k][0] for k in judged}
+    assert {(r.warehouse_id, r.siz_item_id, r.size_value): r.quantity for r in L.apply_movements(st, ho, ev, items).stock.collect()} == final
