@@ -353,3 +353,11 @@ def test_hot_and_cold_items_of_one_batch(spark):
     judged = {r.event_id: r.accepted for r in both.judged.collect()}
     assert judged == {k: want[k][0] for k in judged}
     assert {(r.warehouse_id, r.siz_item_id, r.size_value): r.quantity for r in L.apply_movements(st, ho, ev, items).stock.collect()} == final
+
+
+def test_an_event_without_a_time_counts_first(spark):
+    base = {"warehouse_id": "W1", "siz_item_id": "I1", "employee_id": "U1"}
+    st, ho, ev = frames(spark, [], [], [{**base, "event_id": "n", "kind": "receipt", "quantity": 5},
+                                        {**base, "event_id": "a", "event_time": dt.datetime(2024, 1, 1), "kind": "issue", "quantity": 3}])
+    for hot in (1, 10**6):
+        assert [(r.event_id, r.accepted, r.available) for r in L.decide(st, ho, ev, hot).collect()] == [("a", True, 5)]
