@@ -130,16 +130,17 @@ def _member_map(pairs: Column) -> Column:
 
 
 def _extra_states(ok: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From the accepted patches ``(id, __req, __block, __p_extra)``: what all of them together set, per id, and what the
+    """From the accepted patches ``(id, __req, __p_extra, __merge)``: what all of them together set, per id, and what the
     requests before each one set, per (id, request). Members are handled one by one, so the requests of a hot id
     are spread over its members; an array only ever holds the members of one object."""
-    m = ok.where(F.col("__merge")).select("id", "__req", "__block", F.explode(F.from_json("__p_extra", "map<string,variant>")))
-    m = m.select("id", "__req", "__block", "key", F.coalesce(F.to_json("value"), F.lit("null")).alias("value"))
+    cut = ["__block"] if "__block" in ok.columns else []
+    m = ok.where(F.col("__merge")).select("id", "__req", F.explode(F.from_json("__p_extra", "map<string,variant>")))
+    m = m.select("id", "__req", "key", F.coalesce(F.to_json("value"), F.lit("null")).alias("value"))
     entry = F.struct("key", "value")
     total = (m.groupBy("id", "key").agg(F.max_by("value", "__req").alias("value"))
               .groupBy("id").agg(_member_map(F.collect_list(entry)).alias("__all")))
-    reqs = ok.where(F.col("__p_extra").isNotNull()).select("id", "__req", "__block")
-    grid = (reqs.join(m.select("id", "key").distinct(), "id").join(m.drop("__block"), ["id", "__req", "key"], "left"))
+    reqs = ok.where(F.col("__p_extra").isNotNull()).select("id", "__req", *cut)
+    grid = (reqs.join(m.select("id", "key").distinct(), "id").join(m, ["id", "__req", "key"], "left"))
     before = last_before(grid.withColumnRenamed("value", "__now"), ["id", "key"], "__req", {"value": F.col("__now")})
     before = (before.where(F.col("value").isNotNull()).groupBy("id", "__req")
                     .agg(_member_map(F.collect_list(entry)).alias("__before")))
@@ -185,7 +186,7 @@ def patch_rows(cur: DataFrame, patches: DataFrame, table: str, fields_col: str =
             "__b_" + c: F.when(sets[c], F.struct(F.col("__p_" + c).alias("v"))) for c in cols})
     old = {c: F.when(F.col("__b_" + c).isNotNull(), F.col(f"__b_{c}.v")).otherwise(F.col("__c_" + c)) for c in cols}
     if has_extra:
-        total, before = _extra_states(ok.select("id", "__req", "__block", "__p_extra", "__merge"))
+        total, before = _extra_states(ok.select("id", "__req", *(c for c in ("__block",) if c in ok.columns), "__p_extra", "__merge"))
         new = new.join(total, "id", "left")
         values["extra"] = F.when(F.col("__all").isNotNull(), json_merge("extra", "__all")).otherwise(F.col("extra"))
         ok = ok.join(before, ["id", "__req"], "left")
@@ -276,7 +277,7 @@ def set_quantity(stock: DataFrame, rows: DataFrame, actor: str | None = "actor_i
     j = r.join(stock, (stock["id"] == r["__sid"]) & (stock["warehouse_id"] == r["__wh"]), "left")
     reason = F.when(F.col("__q").isNull() | (F.col("__q") < 0), "invalid").when(F.col("id").isNull(), "not_found")
     j = j.withColumn("__reason", reason)
-    ok = j.where(F.col("__reason").isNull())
+    ok = j.where(F.col("__reason").isNull()).select("id", "quantity", "__q", "__notes", "__req", *(["__actor"] if actor else []))
     # the leading number of the order cuts a hot row's corrections into blocks
     ok = blocks(ok.withColumn("__by", F.col("__req" if request_id in rows.columns else "__q").cast("double")), "id", "__by", block_rows)
     ok = last_before(ok, ["id"], "__req", {"__prior": F.col("__q")})

@@ -55,6 +55,9 @@ def test_corrections_of_a_hot_row_in_blocks(spark):
     one, cut = (M.set_quantity(stock, req, actor=None, block_rows=n) for n in (100, 3))
     old = lambda ch: sorted(r.changes for r in ch.audit.collect())
     assert old(one) == old(cut) and rows(cut.table, "quantity") == [(39 * 7 % 11,)]
+    # uncut: one window over the written rows; cut: the carry is joined on the columns that the rows are dealt by
+    assert "__block" not in plan_text(one.audit) and "Join" not in plan_text(one.audit)
+    assert "hashpartitioning(coalesce(" not in plan_text(cut.audit)
 
 
 def test_repeated_delete_requests_are_one(spark):
