@@ -243,6 +243,9 @@ def holdings_report(holdings: DataFrame, items: DataFrame, categories: DataFrame
 def movement_report(t: Mapping[str, DataFrame], moves: DataFrame | None = None) -> DataFrame:
     """Movements INNER item; LEFT category, from / to warehouse (one table in two roles), employee, user."""
     m = t["stock_movements"] if moves is None else moves
+    # movements that name no user need no join: they are not shuffled for it
+    m = m.where(F.col("moved_by").isNull()).withColumn("moved_by_name", F.lit(None).cast("string")).unionByName(
+        left_labels(m.where(F.col("moved_by").isNotNull()), t["users"], "moved_by", cols={"full_name": "moved_by_name"}))
     i = t["siz_items"].select(F.col("id").alias("__i"), "category_id", F.col("name").alias("item_name"),
                               F.col("unit").alias("unit"))
     i = left_labels(i, t["siz_categories"], "category_id", cols={"name": "category_name"})
@@ -250,8 +253,7 @@ def movement_report(t: Mapping[str, DataFrame], moves: DataFrame | None = None)
     j = left_labels(j, t["warehouses"], "from_warehouse_id", cols={"name": "from_warehouse_name"})
     j = left_labels(j, t["warehouses"], "to_warehouse_id", cols={"name": "to_warehouse_name"})
     e = t["employees"].select(F.col("id").alias("__e"), "last_name", "first_name", "middle_name")
-    j = null_safe_left(j, e, "employee_id", "__e").drop("__e")
-    return left_labels(j, t["users"], "moved_by", cols={"full_name": "moved_by_name"})
+    return null_safe_left(j, e, "employee_id", "__e").drop("__e")
 
 
 def latest_movements(moves: DataFrame, n: int = 200) -> DataFrame:

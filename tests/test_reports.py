@@ -113,3 +113,15 @@ def test_employee_cards_norms(spark):
     ent = dict(rows(R.entitlement_counts(t["employees"], t["position_siz_norms"], t["siz_items"]),
                     "employee_id", "items"))
     assert ent["U1"] == 1                                   # entitlements require an active item
+
+
+def test_movements_without_a_user_are_not_joined_for_one(spark):
+    t = dict(org(spark))
+    t["users"] = frame(spark, "users", [{"id": "U", "full_name": "User"}])
+    moves = frame(spark, "stock_movements", [{"id": "a", "siz_item_id": "I1", "moved_by": "U"}, {"id": "b", "siz_item_id": "I1", "moved_by": None},
+                                             {"id": "c", "siz_item_id": "I1", "moved_by": "?"}, {"id": None, "siz_item_id": "I1", "moved_by": None}])
+    got = R.movement_report(t, moves)
+    assert sorted((str(r.id), r.moved_by_name) for r in got.collect()) == [("None", None), ("a", "User"), ("b", None), ("c", None)]
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    nobody = R.movement_report(t, moves.withColumn("moved_by", F.lit(None).cast("string")))
+    assert joins(nobody) == joins(R.movement_report(t, moves)) - 1
