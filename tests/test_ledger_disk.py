@@ -49,3 +49,22 @@ def test_mixed_events_read_lineitem_once(spark):
     ev = MappedTables(spark, "/root/testdata/sf0.001").mixed_movement_events()
     plan = ev._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert sum("Relation" in x and "l_linenumber" in x for x in plan) == 1
+
+
+def test_judged_events_take_one_shuffle_and_no_file(spark):
+    """Balances and decisions are made where the one shuffle by item put the events: none is written or joined to its event."""
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    judged = L._decide(*batch(spark), L.WRITTEN).judged
+    assert judged._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert judged.count() == 15
+    names = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
+    assert not names & {"ledger-balances", "ledger-fold", "ledger-judged"}
+
+
+def test_events_are_written_without_their_hash(spark):
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    L._decide(*batch(spark))
+    for name in set(os.listdir(folder)) - before:
+        assert "tie" not in spark.read.parquet(f"{shared_dir(spark)}/{name}").columns, name
