@@ -41,6 +41,7 @@ from equipledger.functions.scalars import (HOLDING_ACTIVE, HOLDING_RETURNED, IMP
                                            IMPORT_STOCK_NOTE, ADJUST_DEFAULT_NOTE, js_parse_int, js_trim,
                                            stable_id)
 from equipledger.operators.changes import audit_rows
+from equipledger.plans.joins import left_labels
 from equipledger.schemas import conform
 from equipledger.session import materialized
 
@@ -647,20 +648,21 @@ def new_holdings(holdings: DataFrame, acc: DataFrame, items: DataFrame) -> DataF
     """Holdings after the accepted events: new holdings from issues (id = event id; exploitation starts on the
     issue date only when the item has exploitation_years); returns lower the quantity; the closing return sets
     status 'returned', returned_date, and keeps its own quantity as the stored one."""
-    it = items.select(F.col("id").alias("siz_item_id"), "exploitation_years")
-    iss = acc.where(F.col("kind") == ISSUE)
-    d = F.to_date("event_time")
-    new = iss.join(it, "siz_item_id", "left").select(
-        F.col("event_id").alias("id"), "employee_id", "siz_item_id", "size_value", "quantity",
-        d.alias("issued_date"), F.when(F.col("exploitation_years").isNotNull(), d).alias("exploitation_start"),
+    # issues and returns in one pass over the events: a return lies with its holding and is summed up there
+    issue, d = F.col("kind") == ISSUE, F.to_date("event_time")
+    batch = acc.where(issue | ((F.col("kind") == RETURN) & F.col("holding_id").isNotNull())).select(
+        F.when(issue, F.col("event_id")).otherwise(F.col("holding_id")).alias("id"), "employee_id", "siz_item_id", "size_value", "quantity",
+        d.alias("issued_date"), F.lit(None).cast("date").alias("exploitation_start"),
         F.lit(None).cast("int").alias("exploitation_paused_days"), F.lit(HOLDING_ACTIVE).alias("status"),
         F.lit(None).cast("date").alias("returned_date"), F.col("warehouse_id").alias("from_warehouse_id"),
-        F.col("event_time").alias("created_at"))
-    allh = conform(holdings, "employee_siz").unionByName(new)
-    rets = acc.where(F.col("kind") == RETURN).groupBy(F.col("holding_id").alias("id")).agg(
-        F.sum("quantity").alias("__ret"),
-        F.max(F.struct("event_time", "event_id", "quantity")).alias("__last"))
-    j = allh.join(rets, "id", "left")
+        F.col("event_time").alias("created_at"), F.when(issue, F.col("siz_item_id")).alias("__new"),
+        F.when(~issue, F.struct("event_time", "event_id", "quantity")).alias("__return"))
+    rows = conform(holdings, "employee_siz").unionByName(batch, allowMissingColumns=True)
+    of_holding = Window.partitionBy("id")
+    rows = rows.withColumns({"__ret": F.sum("__return.quantity").over(of_holding), "__last": F.max("__return").over(of_holding)})
+    j = left_labels(rows.where(F.col("__return").isNull()), items, "__new", cols={"exploitation_years": "__years"})
+    j = j.withColumn("exploitation_start", F.when(F.col("__new").isNull(), F.col("exploitation_start")).when(
+        F.col("__years").isNotNull(), F.col("issued_date")))
     remaining = F.col("quantity") - F.coalesce("__ret", F.lit(0))
     closed = F.col("__ret").isNotNull() & (remaining == 0)
     return j.select(

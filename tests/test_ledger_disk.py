@@ -68,3 +68,13 @@ def test_events_are_written_without_their_hash(spark):
     L._decide(*batch(spark))
     for name in set(os.listdir(folder)) - before:
         assert "tie" not in spark.read.parquet(f"{shared_dir(spark)}/{name}").columns, name
+
+
+def test_holdings_read_the_judged_events_once(spark):
+    stock, holdings, events = batch(spark)
+    items = conform(spark.createDataFrame([("A",)], "id string"), "siz_items")
+    res = L.apply_movements(stock, holdings, events, items, materialize=False)
+    assert res.holdings._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
+    got = {r.id: (r.quantity, r.status) for r in res.holdings.collect()}
+    assert len(got) == 9 and got["i0"] == (1, "returned")
+    assert got["i1"] == (1, "returned") and got["i8"] == (2, "active")
