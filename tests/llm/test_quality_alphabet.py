@@ -1,6 +1,7 @@
 """Every character of trusted text is a symbol of its own: no script is folded away, whatever its share of the corpus."""
 
 import math
+import string
 
 import numpy as np
 import pytest
@@ -81,3 +82,16 @@ def test_more_symbols_than_a_number_holds(spark):
     at = every[40_000:40_040]
     assert score(at)[0] > score("".join(np.random.default_rng(2).permutation(list(at))))[0] + 20
     assert len(seen[0][0]) == len({x[max(0, i - 3):i + 1] if i >= 3 else (i, x[:i + 1]) for x in rows for i in range(len(x))})
+
+
+def test_the_pipeline_drops_odd_text_in_a_rarer_script(spark):
+    rng = np.random.default_rng(5)
+    signs = string.ascii_letters + string.digits        # every one of them more frequent than those of the rarer script
+    latin = [" ".join(signs[k:k + 4] for k in rng.integers(0, 59, 12)) for _ in range(800)]
+    rows = [(i, t, lang) for i, (lang, t) in enumerate([*(("en", t) for t in latin), *(("zh", t) for t in texts("zh", 80, 4))])]
+    mixed = lambda t: " ".join("".join(rng.choice(list(t.replace(" ", "")), len(w))) for w in t.split())
+    odd = [(1000 + i, mixed(t), "zh") for i, t in enumerate(texts("zh", 20, 6))]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in kn_quality.keep_quality(docs, labels).collect()}
+    assert not kept & {r[0] for r in odd} and len(kept) >= 0.95 * len(rows)
