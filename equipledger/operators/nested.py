@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from equipledger.operators.filters import active_only
 from equipledger.operators.scope import tree_scope
+from equipledger.plans.joins import dealt
 
 
 def _children(child: DataFrame, fk: str, alias: str) -> DataFrame:
@@ -94,15 +95,17 @@ def employee_cards(t: Mapping[str, DataFrame]) -> DataFrame:
     """Every employee (any activity) with position / res / enterprise / department names and ``norms[]``:
     the active norms of its position with item name, unit and category name (item activity not required).
 
-    The norm list is built once per position and joined to the employees (broadcast when small)."""
+    The norm list is built once per position and joined to the employees; a position is cut into parts by the norms that its
+    employees list in all (``joins.dealt``)."""
     from equipledger.operators.reports import employees_report, position_norms
 
     pn = position_norms(t["position_siz_norms"], t["siz_items"], t["siz_categories"])
     lists = _children(pn, "position_id", "norms")
     e = employees_report({**t, "employees": t["employees"].withColumn("is_active", F.lit(True))})
     e = e.drop("is_active").join(t["employees"].select("id", "is_active"), "id")
-    j = e.join(lists, e["position_id"] == lists["__parent"],
-               "left").drop("__parent")
+    e, lists = dealt(e, lists.withColumnRenamed("__parent", "position_id"), "position_id", "id", F.size("norms"))
+    lists = lists.withColumnRenamed("position_id", "__parent")
+    j = e.join(lists, (e["position_id"] == lists["__parent"]) & (e["__part"] == lists["__part"]), "left").drop("__parent", lists["__part"]).drop("__part")
     return j.withColumn("norms", F.coalesce("norms", F.array().cast(lists.schema["norms"].dataType)))
 
 
